@@ -78,3 +78,36 @@ def with_ctes(*names: str, body: str) -> str:
     for n in names:
         visit(n)
     return "WITH " + ",\n".join(CTES[n] for n in order) + "\n" + body
+
+
+# --- transforms -------------------------------------------------------------
+
+SERIES64 = """SELECT vec_id, j, CAST(embedding[j + 1] AS DOUBLE) AS x, CAST(embedding[len(embedding) - j] AS DOUBLE) AS y
+  FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS j FROM embeddings)"""
+
+USER_SEGMENTS = """SELECT user_id, jj // 128 AS segment, jj % 128 AS j, value AS x, CAST(0 AS DOUBLE) AS y
+  FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS jj FROM events)"""
+
+
+def dft_sql(src: str, keys: list[str], out_index: str, inverse: bool = False, scale: bool = False,
+            half: bool = False, digits: int | None = 4) -> str:
+    """sum_j (x + iy) e^{-+2 pi i j k / n} for every group of ``src`` (columns keys, j, x, y)."""
+    ks = ", ".join(keys)
+    using = " AND ".join(f"s.{k} = kk.{k}" for k in keys)
+    sgn = "+" if inverse else "-"
+    rng = "range(n // 2 + 1)" if half else "range(n)"
+    f = " / kk.n" if scale else ""
+    t = "(2 * pi() * ((s.j * kk.k) % kk.n) / kk.n)"
+
+    def rnd(e: str) -> str:
+        return e if digits is None else f"round({e}, {digits}) + 0.0"
+
+    re = f"sum(s.x * cos({t}) {'-' if sgn == '+' else '+'} s.y * sin({t})){f}"
+    im = f"sum({'' if sgn == '+' else '-'}s.x * sin({t}) + s.y * cos({t})){f}"
+    return f"""WITH s AS ({src}),
+nn AS (SELECT {ks}, max(j) + 1 AS n FROM s GROUP BY {ks}),
+kk AS (SELECT {ks}, n, unnest({rng}) AS k FROM nn)
+SELECT {", ".join(f"kk.{k}" for k in keys)}, kk.k AS {out_index},
+       {rnd(re)} AS re, {rnd(im)} AS im
+FROM s JOIN kk ON {using}
+GROUP BY {", ".join(f"kk.{k}" for k in keys)}, kk.k, kk.n"""
