@@ -36,27 +36,38 @@ def fir_relational(signal: DataFrame, bank: DataFrame, keys: Sequence[str], widt
                    index: str = "i", value: str = "v", time: str = "time") -> DataFrame:
     """Filtered value ``y`` per (keys, time, frequency, i) by join + sum.
 
-    ``bank`` is the long form (frequency, u, h). ``y`` is BIGINT when sample
-    and tap types are integral (exact), else DOUBLE.
+    ``bank`` is the long form (frequency, u, h). Every sample j fans out to
+    the W outputs t = j + u it feeds and meets the taps of offset u as one
+    row with a column per kernel (the bank pivoted, broadcast: K*W cells,
+    bounded by kernel validation), so the aggregate per (keys, t) carries K
+    sums instead of K rows. The time of output t is that of the u = 0 row;
+    outputs past the series end have none and are dropped. ``y`` is BIGINT
+    when sample and tap types are integral (exact), else DOUBLE.
     """
     keys = list(keys)
-    w = width if width is not None else kernel_width(bank)
+    shape = bank.agg(F.sort_array(F.collect_set("frequency")).alias("f"), F.max("u").alias("w")).first()
+    freqs = list(shape["f"])
+    w = width if width is not None else int(shape["w"]) + 1
     integral = isinstance(signal.schema[value].dataType, T.IntegralType) and \
         isinstance(bank.schema["h"].dataType, T.IntegralType)
     rtype = "bigint" if integral else "double"
-    fan = (signal.select(*keys, F.col(index).alias("_j"), F.col(value).cast(rtype).alias("_v"))
+    wide = (bank.select(F.col("u").cast("int").alias("u"), "frequency", F.col("h").cast(rtype).alias("h"))
+            .groupBy("u").pivot("frequency", freqs).agg(F.first("h"))
+            .select("u", *[F.coalesce(F.col(str(f)), F.lit(0).cast(rtype)).alias(f"_h{k}")
+                           for k, f in enumerate(freqs)]))
+    fan = (signal.select(*keys, F.col(index).alias("_j"), F.col(value).cast(rtype).alias("_v"),
+                         F.col(time).alias("_time"))
            .withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
            .withColumn("_t", F.col("_j") + F.col("u")))
-    taps = bank.select(F.col("frequency").cast("int").alias("frequency"), F.col("u").cast("int").alias("u"),
-                       F.col("h").cast(rtype).alias("_h"))
-    # The bank is K*W rows, bounded by kernel validation; broadcast it.
-    sums = (fan.join(F.broadcast(taps), "u")
-            .groupBy(*keys, "_t", "frequency")
-            .agg(F.sum(F.col("_h") * F.col("_v")).alias("y")))
-    targets = signal.select(*keys, F.col(index).alias("_t"), F.col(time).alias("time")) \
-        .filter(F.col("_t") >= w - 1)
-    return (sums.join(targets, [*keys, "_t"])
-            .select(*keys, "time", "frequency", F.col("_t").alias(index), "y"))
+    sums = (fan.join(F.broadcast(wide), "u")
+            .groupBy(*keys, "_t")
+            .agg(F.max(F.when(F.col("u") == 0, F.col("_time"))).alias("time"),
+                 *[F.sum(F.col(f"_h{k}") * F.col("_v")).alias(f"_y{k}") for k in range(len(freqs))]))
+    rows = F.inline(F.array(*[F.struct(F.lit(f).cast("int").alias("frequency"), F.col(f"_y{k}").alias("y"))
+                              for k, f in enumerate(freqs)]))
+    return (sums.filter(F.col("time").isNotNull() & (F.col("_t") >= w - 1))
+            .select(*keys, "time", F.col("_t").alias(index), rows)
+            .select(*keys, "time", "frequency", index, "y"))
 
 
 def band_power_relational(signal: DataFrame, bank: DataFrame, keys: Sequence[str], width: int | None = None,
@@ -65,27 +76,34 @@ def band_power_relational(signal: DataFrame, bank: DataFrame, keys: Sequence[str
     return y.select(*keys, "time", "frequency", (F.col("y") * F.col("y")).cast("float").alias("convolution"))
 
 
-def _fft_length(width: int, min_block: int) -> int:
-    n = 1
-    while n < max(2 * (width - 1), width - 1 + min_block):
+def _fft_length(width: int, floor: int = 1024) -> int:
+    """Power-of-two FFT length with the halo at most 1/8 of it."""
+    n = floor
+    while n < 8 * (width - 1):
         n *= 2
     return n
 
 
 def band_power_blocks(signal: DataFrame, bank: DataFrame, keys: Sequence[str], block: int | None = None,
                       kernels_per_call: int = 16, index: str = "i", value: str = "v", time: str = "time",
-                      max_bank_cells: int = 1 << 24) -> DataFrame:
+                      max_kernels: int = 4096, partitions: int | None = None) -> DataFrame:
     """Band power by overlap-save FFT blocks (same rows as the relational form).
 
-    ``block`` is the number of output samples per group (default: an FFT
-    length of a power of two at least 8192 minus the halo). With integral
-    samples and taps the filtered value is rounded to the exact integer before
-    squaring, so the result equals the relational form bit for bit.
+    ``block`` is the number of output samples per group (default: a
+    power-of-two FFT length, at least 1024 and 8 halos, minus the halo). With
+    integral samples and taps the filtered value is rounded to the exact
+    integer before squaring, so the result equals the relational form bit for
+    bit.
+
+    The groups are hash-partitioned explicitly into ``partitions`` (default
+    ``spark.sql.shuffle.partitions``): the shuffle is small in bytes but the
+    work per group is heavy, and a user-set partitioning is not coalesced by
+    AQE. The grouped map reuses that partitioning (no second exchange).
     """
     keys = list(keys)
-    freqs, taps = bank_matrix(bank, max_cells=max_bank_cells)  # bounded, checked size
+    freqs, taps = bank_matrix(bank, max_kernels=max_kernels)  # bounded, checked size
     k_total, w = taps.shape
-    n_fft = _fft_length(w, 8192) if block is None else block + w - 1
+    n_fft = _fft_length(w) if block is None else block + w - 1
     b = n_fft - (w - 1)
     if b < w - 1:
         raise ValueError(f"block {b} must be at least the halo {w - 1}")
@@ -112,6 +130,9 @@ def band_power_blocks(signal: DataFrame, bank: DataFrame, keys: Sequence[str], b
            T.StructField("frequency", T.IntegerType(), False),
            T.StructField("convolution", T.FloatType(), False)])
     fn = _block_kernel(keys, freqs, taps, b, n_fft, kernels_per_call, integral)
+    spark = signal.sparkSession
+    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(p, *keys, "_blk", "_band")
     return rows.groupBy(*keys, "_blk", "_band").applyInPandas(fn, out_schema)
 
 

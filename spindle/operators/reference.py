@@ -22,16 +22,19 @@ def average_by_time_frequency(power: DataFrame, within: Sequence[str] = (), valu
 
 
 def average_reference(power: DataFrame, within: Sequence[str] = (), value: str = "convolution") -> DataFrame:
-    """Aggregate-then-join plan.
+    """Aggregate-then-join plan, reading ``power`` once.
 
-    The mean is a partial (map-side) aggregate; the channel rows are reduced
-    to distinct keys before the join, so the distinct needs no pass after it
-    (the mean is a function of the join key). Skewed (time, frequency) keys
-    are split by AQE's skew join.
+    Power is first reduced to one row per (rat, dt, channel, time, frequency)
+    holding (sum, count) - a partial, map-side aggregate. Both the distinct
+    channel keys and the (time, frequency) means come from that one exchange
+    (Spark reuses it), so an expensive power plan runs once. The join is on
+    (time, frequency); a skewed key is split by AQE's skew join.
     """
     grp = ["time", "frequency", *within]
-    keys = power.select("rat", "dt", "channel", "time", "frequency").distinct()
-    means = average_by_time_frequency(power, within, value)
+    per_key = power.groupBy("rat", "dt", "channel", "time", "frequency").agg(
+        F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    means = per_key.groupBy(*grp).agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias(value))
+    keys = per_key.select("rat", "dt", "channel", "time", "frequency")
     return keys.join(means, grp).select(*OUT)
 
 

@@ -12,12 +12,33 @@ One lazy plan, one action by the caller; no collect on the data path.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
+from spindle.operators.convolution import band_power_blocks
 from spindle.operators.intervals import within_intervals_binned, within_intervals_broadcast
 from spindle.operators.phase import phase_buckets, phase_profile, select_result
 from spindle.operators.reference import average_reference, average_reference_window
 from spindle.operators.stats import zscore
+from spindle.session import scratch_path
+from spindle.sinks import write_power
+from spindle.sources.tables import read_power
+
+
+def power_table(signal: DataFrame, bank: DataFrame, keys: Sequence[str] = ("rat", "dt", "channel"),
+                path: str | None = None, **block_args) -> DataFrame:
+    """Band power written once as the partitioned power table and read back.
+
+    The statistics read power several times (means and channel keys, stats
+    and z rows); reading Parquet is cheaper than re-running the transforms,
+    and the written table survives executor loss. ``path`` defaults to a new
+    folder under the session's checkpoint directory.
+    """
+    spark = signal.sparkSession
+    out = path or scratch_path(spark, "power")
+    write_power(band_power_blocks(signal, bank, list(keys), **block_args), out, mode="errorifexists")
+    return read_power(spark, out)
 
 
 def referenced(power: DataFrame, method: str = "join") -> DataFrame:

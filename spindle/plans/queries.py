@@ -160,20 +160,32 @@ def phase_bucket_query(spark, sf):
     return phase_buckets(fx.phase(spark, sf))
 
 
+def _stored_power(spark, sf):
+    return flagship.power_table(fx.signal(spark, sf), fx.bank(spark, sf), fx.SERIES)
+
+
 def phase_profile_query(spark, sf):
-    return flagship.profile(_power(spark, sf), fx.passes(spark, sf), fx.phase(spark, sf))
+    return flagship.profile(_stored_power(spark, sf), fx.passes(spark, sf), fx.phase(spark, sf))
 
 
 def final_result(spark, sf):
-    return flagship.result(_power(spark, sf), fx.passes(spark, sf), fx.phase(spark, sf),
+    """The whole analysis; power is written to the power table and read back."""
+    return flagship.result(_stored_power(spark, sf), fx.passes(spark, sf), fx.phase(spark, sf),
                            fx.RESULT_RAT, fx.RESULT_DT)
 
 
 def final_result_window(spark, sf):
-    return flagship.result(_power(spark, sf), fx.passes(spark, sf), fx.phase(spark, sf),
+    """Same, with the window plans for the reference and the broadcast passes join."""
+    return flagship.result(_stored_power(spark, sf), fx.passes(spark, sf), fx.phase(spark, sf),
                            fx.RESULT_RAT, fx.RESULT_DT, reference="window", intervals="broadcast")
 
 
+def final_result_streamed(spark, sf):
+    """Same, without storing power: one lazy plan from the driver tables."""
+    return flagship.result(_power(spark, sf), fx.passes(spark, sf), fx.phase(spark, sf),
+                           fx.RESULT_RAT, fx.RESULT_DT)
+
+
 # --- sinks ------------------------------------------------------------------
 
 def parquet_roundtrip(spark, sf):
@@ -281,6 +293,7 @@ QUERIES: dict[str, Query] = {
     "phase_profile": phase_profile_query,
     "final_result": final_result,
     "final_result_window": final_result_window,
+    "final_result_streamed": final_result_streamed,
     "parquet_roundtrip": parquet_roundtrip,
     "text_result": text_result,
     "dft_complex_forward": dft_complex_forward,
@@ -358,6 +371,7 @@ FROM pw p JOIN (SELECT rat, dt, time, frequency, avg(convolution) AS convolution
     "phase_profile": with_ctes("prof", body="SELECT * FROM prof"),
     "final_result": with_ctes("prof", body=_FINAL),
     "final_result_window": with_ctes("prof", body=_FINAL),
+    "final_result_streamed": with_ctes("prof", body=_FINAL),
     "parquet_roundtrip": with_ctes("pw", body="SELECT * FROM pw"),
     "text_result": with_ctes("prof", body=f"""SELECT '[' || CAST(frequency AS VARCHAR) || ',' || CAST(phaserange AS VARCHAR) || ','
        || CAST(CAST(convolution AS DECIMAL(12, 4)) AS VARCHAR) || ']' AS value FROM ({_FINAL})"""),

@@ -53,23 +53,25 @@ def kernel_width(bank: DataFrame) -> int:
     return int(bank.agg(F.max("u")).first()[0]) + 1
 
 
-def bank_matrix(bank: DataFrame, max_cells: int = 1 << 24) -> tuple[np.ndarray, np.ndarray]:
+def bank_matrix(bank: DataFrame, max_kernels: int = 4096, max_width: int = 65536) -> tuple[np.ndarray, np.ndarray]:
     """(frequencies, taps[K, W]) of a long-form bank, for broadcast to tasks.
 
-    The size is checked before anything is collected: more than ``max_cells``
-    taps is refused (the relational form has no such bound).
+    One small job, size checked as it is collected: at most ``max_kernels``
+    rows of at most ``max_width`` taps each come to the driver; a larger bank
+    is refused (the relational form has no such bound).
     """
-    cells = bank.limit(max_cells + 1).count()
-    if cells > max_cells:
-        raise ValueError(f"kernel bank larger than {max_cells} taps; use the relational form")
-    rows = (bank.groupBy("frequency")
-            .agg(F.sort_array(F.collect_list(F.struct("u", "h"))).alias("taps"))
-            .orderBy("frequency").collect())
-    if not rows:
+    per = (bank.groupBy("frequency")
+           .agg(F.count(F.lit(1)).alias("n"), F.max("u").alias("w"),
+                F.sort_array(F.collect_list(F.when(F.col("u") < max_width, F.struct("u", "h")))).alias("taps"))
+           .limit(max_kernels + 1).collect())
+    if not per:
         raise ValueError("empty kernel bank")
-    w = max(t["u"] for r in rows for t in r["taps"]) + 1
-    taps = np.zeros((len(rows), w))
-    for k, r in enumerate(rows):
+    if len(per) > max_kernels or any(r["w"] >= max_width for r in per):
+        raise ValueError(f"kernel bank over {max_kernels} kernels or {max_width} taps; use the relational form")
+    per.sort(key=lambda r: r["frequency"])
+    w = max(r["w"] for r in per) + 1
+    taps = np.zeros((len(per), w))
+    for k, r in enumerate(per):
         for t in r["taps"]:
             taps[k, t["u"]] = float(t["h"])
-    return np.array([r["frequency"] for r in rows], dtype=np.int32), taps
+    return np.array([r["frequency"] for r in per], dtype=np.int32), taps
