@@ -73,7 +73,11 @@ def fir_relational(signal: DataFrame, bank: DataFrame, keys: Sequence[str], widt
 def band_power_relational(signal: DataFrame, bank: DataFrame, keys: Sequence[str], width: int | None = None,
                           index: str = "i", value: str = "v", time: str = "time") -> DataFrame:
     y = fir_relational(signal, bank, keys, width, index, value, time)
-    return y.select(*keys, "time", "frequency", (F.col("y") * F.col("y")).cast("float").alias("convolution"))
+    # "+ 0f" keeps the FLOAT rounding real: Catalyst would otherwise fold a
+    # later cast(cast(y*y AS FLOAT) AS DOUBLE) - e.g. inside AVG - into one
+    # BIGINT->DOUBLE cast and average unrounded squares.
+    power = (F.col("y") * F.col("y")).cast("float") + F.lit(0.0).cast("float")
+    return y.select(*keys, "time", "frequency", power.alias("convolution"))
 
 
 def _fft_length(width: int, floor: int = 1024) -> int:
