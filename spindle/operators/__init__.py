@@ -8,6 +8,7 @@ from spindle.operators.intervals import (
     interval_bins,
     within_intervals_binned,
     within_intervals_broadcast,
+    within_intervals_nested,
 )
 from spindle.operators.phase import phase_buckets, phase_profile, select_result
 from spindle.operators.reference import (
@@ -20,7 +21,7 @@ from spindle.operators.stats import group_stats, zscore
 __all__ = [
     "band_power_blocks", "band_power_relational", "fir_relational",
     "dense_index", "order_violations",
-    "interval_bins", "within_intervals_binned", "within_intervals_broadcast",
+    "interval_bins", "within_intervals_binned", "within_intervals_broadcast", "within_intervals_nested",
     "phase_buckets", "phase_profile", "select_result",
     "average_by_time_frequency", "average_reference", "average_reference_window",
     "group_stats", "zscore",

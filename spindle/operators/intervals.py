@@ -1,7 +1,17 @@
 """Keep rows whose time lies in any closed interval [lo, hi].
 
 A row inside several (overlapping) intervals is kept once: these are LEFT
-SEMI joins, never inner joins.
+SEMI joins, never inner joins. An empty interval list keeps nothing.
+
+* ``within_intervals_binned``    - intervals exploded to time bins; equi-join
+  on the bin plus the range test. Join strategy left to AQE (broadcast when
+  the measured bin table is small, else a shuffle join with skew splitting).
+* ``within_intervals_broadcast`` - the same bins, broadcast when an upper
+  bound of their count (one small aggregate) is below ``max_bins``.
+* ``within_intervals_nested``    - the literal OR of range tests as a
+  broadcast nested-loop semi join, for a short list (checked count).
+
+Cost of the binned forms grows with rows + interval bins, not rows x intervals.
 """
 
 from __future__ import annotations
@@ -10,20 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def within_intervals_broadcast(df: DataFrame, intervals: DataFrame, time: str = "time",
-                               max_intervals: int = 10_000) -> DataFrame:
-    """Broadcast nested-loop semi join; for short interval lists only.
-
-    The list size is checked first (bounded count); longer lists go to the
-    binned plan.
-    """
-    n = intervals.limit(max_intervals + 1).count()
-    if n > max_intervals:
-        return within_intervals_binned(df, intervals, time)
-    iv = intervals.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    return df.join(F.broadcast(iv), (F.col(time) >= F.col("_lo")) & (F.col(time) <= F.col("_hi")), "left_semi")
-
-
 def interval_bins(intervals: DataFrame, bin_width: int) -> DataFrame:
     """One row per (interval, bin of width ``bin_width`` it overlaps)."""
     lo_b = F.floor(F.col("lo") / F.lit(bin_width))
@@ -33,20 +29,49 @@ def interval_bins(intervals: DataFrame, bin_width: int) -> DataFrame:
                     F.col("lo").alias("_lo"), F.col("hi").alias("_hi")))
 
 
-def within_intervals_binned(df: DataFrame, intervals: DataFrame, time: str = "time",
-                            bin_width: int | None = None) -> DataFrame:
-    """Equi-join on a time bin plus the range test, as a left semi join.
+def _shape(intervals: DataFrame) -> tuple[int, int, int]:
+    """(count, total length, mean length) of the non-empty intervals."""
+    r = (intervals.filter(F.col("lo") <= F.col("hi"))
+         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hi") - F.col("lo") + 1).alias("s")).first())
+    n, s = int(r["n"] or 0), int(r["s"] or 0)
+    return n, s, max(1, s // n) if n else 1
 
-    Each row meets only the intervals overlapping its bin, so cost grows with
-    rows + interval bins instead of rows x intervals. The bin width defaults to
-    the mean interval length (one small aggregate), at least 1. The join
-    strategy is left to AQE: broadcast when the binned list is small, else a
-    shuffle join on the bin with skew splitting.
-    """
-    if bin_width is None:
-        m = intervals.agg(F.avg(F.col("hi") - F.col("lo") + 1)).first()[0]
-        bin_width = max(1, int(m or 1))
-    bins = interval_bins(intervals, bin_width)
+
+def _semi(df: DataFrame, bins: DataFrame, time: str, bin_width: int) -> DataFrame:
     keyed = df.withColumn("_bin", F.floor(F.col(time) / F.lit(bin_width)))
     cond = (keyed["_bin"] == bins["_bin"]) & (F.col(time) >= F.col("_lo")) & (F.col(time) <= F.col("_hi"))
     return keyed.join(bins, cond, "left_semi").drop("_bin")
+
+
+def within_intervals_binned(df: DataFrame, intervals: DataFrame, time: str = "time",
+                            bin_width: int | None = None) -> DataFrame:
+    """Binned semi join; the bin width defaults to the mean interval length."""
+    if bin_width is None:
+        bin_width = _shape(intervals)[2]
+    return _semi(df, interval_bins(intervals, bin_width), time, bin_width)
+
+
+def within_intervals_broadcast(df: DataFrame, intervals: DataFrame, time: str = "time",
+                               bin_width: int | None = None, max_bins: int = 4_000_000) -> DataFrame:
+    """Binned semi join with the bins broadcast, when provably small.
+
+    An interval of length L covers at most L / width + 2 bins, so
+    ``2 * count + total_length / width`` bounds the bin table; above
+    ``max_bins`` the shuffle form is used instead.
+    """
+    n, total, mean = _shape(intervals)
+    width = bin_width or mean
+    bins = interval_bins(intervals, width)
+    if 2 * n + total // width <= max_bins:
+        bins = F.broadcast(bins)
+    return _semi(df, bins, time, width)
+
+
+def within_intervals_nested(df: DataFrame, intervals: DataFrame, time: str = "time",
+                            max_intervals: int = 256) -> DataFrame:
+    """OR of range tests (broadcast nested loop); longer lists go binned."""
+    n = intervals.limit(max_intervals + 1).count()
+    if n > max_intervals:
+        return within_intervals_binned(df, intervals, time)
+    iv = intervals.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    return df.join(F.broadcast(iv), (F.col(time) >= F.col("_lo")) & (F.col(time) <= F.col("_hi")), "left_semi")

@@ -55,9 +55,16 @@ def _frame(pdf: pd.DataFrame, keys: Sequence[str], index: str, values: np.ndarra
 
 
 def _apply(df: DataFrame, keys: Sequence[str], in_cols: list[str], out_index: str, complex_out: bool, fn) -> DataFrame:
+    """Grouped map over hash-partitioned groups.
+
+    The explicit partitioning keeps the (cheap to move, costly to compute)
+    groups spread over ``spark.sql.shuffle.partitions`` tasks; AQE does not
+    coalesce a user-set partitioning, and the grouped map reuses it.
+    """
     keys = list(keys)
     schema = _out_schema(df, keys, out_index, complex_out)
-    return df.select(*keys, *in_cols).groupBy(*keys).applyInPandas(fn, schema)
+    p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*keys, *in_cols).repartition(p, *keys).groupBy(*keys).applyInPandas(fn, schema)
 
 
 def complex_forward(df: DataFrame, keys: Sequence[str], index: str = "j", re: str = "re", im: str = "im") -> DataFrame:

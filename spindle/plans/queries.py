@@ -27,6 +27,7 @@ from spindle.operators import (
     select_result,
     within_intervals_binned,
     within_intervals_broadcast,
+    within_intervals_nested,
     zscore,
 )
 from spindle.operators import spectral as X
@@ -156,6 +157,11 @@ def within_passes_binned(spark, sf):
     return within_intervals_binned(zscore(average_reference(_power(spark, sf))), fx.passes(spark, sf))
 
 
+def within_passes_nested(spark, sf):
+    """The OR-of-ranges form (nested loop) while the pass list is short."""
+    return within_intervals_nested(zscore(average_reference(_power(spark, sf))), fx.passes(spark, sf))
+
+
 def phase_bucket_query(spark, sf):
     return phase_buckets(fx.phase(spark, sf))
 
@@ -289,6 +295,7 @@ QUERIES: dict[str, Query] = {
     "zscore": zscore_query,
     "within_passes": within_passes,
     "within_passes_binned": within_passes_binned,
+    "within_passes_nested": within_passes_nested,
     "phase_bucket": phase_bucket_query,
     "phase_profile": phase_profile_query,
     "final_result": final_result,
@@ -367,6 +374,7 @@ FROM pw p JOIN (SELECT rat, dt, time, frequency, avg(convolution) AS convolution
     "zscore": with_ctes("z", body="SELECT * FROM z"),
     "within_passes": with_ctes("zp", body="SELECT * FROM zp"),
     "within_passes_binned": with_ctes("zp", body="SELECT * FROM zp"),
+    "within_passes_nested": with_ctes("zp", body="SELECT * FROM zp"),
     "phase_bucket": with_ctes("pb", body="SELECT * FROM pb"),
     "phase_profile": with_ctes("prof", body="SELECT * FROM prof"),
     "final_result": with_ctes("prof", body=_FINAL),

@@ -13,6 +13,7 @@ from spindle.operators import (
     select_result,
     within_intervals_binned,
     within_intervals_broadcast,
+    within_intervals_nested,
     zscore,
 )
 
@@ -76,7 +77,7 @@ def intervals(spark, pairs):
     return spark.createDataFrame(pairs, "lo bigint, hi bigint")
 
 
-@pytest.mark.parametrize("op", [within_intervals_broadcast, within_intervals_binned])
+@pytest.mark.parametrize("op", [within_intervals_broadcast, within_intervals_binned, within_intervals_nested])
 def test_overlapping_passes_keep_rows_once(spark, op):
     df = spark.createDataFrame([(t,) for t in range(20)], "time bigint")
     iv = intervals(spark, [(2, 5), (4, 8), (4, 8), (6, 6), (10, 10), (11, 10), (15, 16)])  # overlap, dup, nested, empty
@@ -84,7 +85,7 @@ def test_overlapping_passes_keep_rows_once(spark, op):
     assert got == [2, 3, 4, 5, 6, 7, 8, 10, 15, 16]
 
 
-@pytest.mark.parametrize("op", [within_intervals_broadcast, within_intervals_binned])
+@pytest.mark.parametrize("op", [within_intervals_broadcast, within_intervals_binned, within_intervals_nested])
 def test_empty_pass_list(spark, op):
     df = spark.createDataFrame([(t,) for t in range(5)], "time bigint")
     assert op(df, intervals(spark, [])).count() == 0
