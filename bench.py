@@ -23,6 +23,7 @@ HEADLINE = [
     "band_power",
     "band_power_blocks",
     "average_reference",
+    "average_reference_join",
     "average_reference_window",
     "within_passes",
     "within_passes_binned",

@@ -14,6 +14,7 @@ from spindle.operators.phase import phase_buckets, phase_profile, select_result
 from spindle.operators.reference import (
     average_by_time_frequency,
     average_reference,
+    average_reference_join,
     average_reference_window,
 )
 from spindle.operators.stats import group_stats, zscore
@@ -23,6 +24,6 @@ __all__ = [
     "dense_index", "order_violations",
     "interval_bins", "within_intervals_binned", "within_intervals_broadcast", "within_intervals_nested",
     "phase_buckets", "phase_profile", "select_result",
-    "average_by_time_frequency", "average_reference", "average_reference_window",
+    "average_by_time_frequency", "average_reference", "average_reference_join", "average_reference_window",
     "group_stats", "zscore",
 ]

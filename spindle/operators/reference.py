@@ -22,19 +22,29 @@ def average_by_time_frequency(power: DataFrame, within: Sequence[str] = (), valu
 
 
 def average_reference(power: DataFrame, within: Sequence[str] = (), value: str = "convolution") -> DataFrame:
-    """Aggregate-then-join plan, reading ``power`` once.
+    """Pre-aggregate, then a window mean; reads ``power`` once.
 
-    Power is first reduced to one row per (rat, dt, channel, time, frequency)
-    holding (sum, count) - a partial, map-side aggregate. Both the distinct
-    channel keys and the (time, frequency) means come from that one exchange
-    (Spark reuses it), so an expensive power plan runs once. The join is on
-    (time, frequency); a skewed key is split by AQE's skew join.
+    Power is reduced to one row per (rat, dt, channel, time, frequency)
+    holding (sum, count) - a partial, map-side aggregate - and the mean per
+    (time, frequency) is a window over those rows. A window group holds one
+    row per series recorded at that time, so its size is bounded by the
+    number of simultaneous channels, not by the series length.
     """
     grp = ["time", "frequency", *within]
     per_key = power.groupBy("rat", "dt", "channel", "time", "frequency").agg(
         F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    means = per_key.groupBy(*grp).agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias(value))
-    keys = per_key.select("rat", "dt", "channel", "time", "frequency")
+    w = Window.partitionBy(*grp)
+    mean = F.try_divide(F.sum("_s").over(w), F.sum("_c").over(w))
+    return per_key.select("rat", "frequency", "channel", "dt", mean.alias(value), "time")
+
+
+def average_reference_join(power: DataFrame, within: Sequence[str] = (), value: str = "convolution") -> DataFrame:
+    """Aggregate-then-join plan: means per (time, frequency) joined back to
+    the distinct channel rows. Both sides are partial aggregates; a skewed
+    key is split by AQE's skew join. Reads ``power`` twice."""
+    grp = ["time", "frequency", *within]
+    keys = power.select("rat", "dt", "channel", "time", "frequency").distinct()
+    means = power.groupBy(*grp).agg(F.avg(value).alias(value))
     return keys.join(means, grp).select(*OUT)
 
 

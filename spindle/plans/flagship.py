@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from spindle.operators.convolution import band_power_blocks
 from spindle.operators.intervals import within_intervals_binned, within_intervals_broadcast
 from spindle.operators.phase import phase_buckets, phase_profile, select_result
-from spindle.operators.reference import average_reference, average_reference_window
+from spindle.operators.reference import average_reference, average_reference_join, average_reference_window
 from spindle.operators.stats import zscore
 from spindle.session import scratch_path
 from spindle.sinks import write_power
@@ -41,9 +41,11 @@ def power_table(signal: DataFrame, bank: DataFrame, keys: Sequence[str] = ("rat"
     return read_power(spark, out)
 
 
-def referenced(power: DataFrame, method: str = "join") -> DataFrame:
+def referenced(power: DataFrame, method: str = "aggregate") -> DataFrame:
     if method == "window":
         return average_reference_window(power)
+    if method == "join":
+        return average_reference_join(power)
     return average_reference(power)
 
 
@@ -53,12 +55,12 @@ def in_passes(z: DataFrame, passes: DataFrame, method: str = "binned") -> DataFr
     return within_intervals_binned(z, passes)
 
 
-def profile(power: DataFrame, passes: DataFrame, phase: DataFrame, reference: str = "join",
+def profile(power: DataFrame, passes: DataFrame, phase: DataFrame, reference: str = "aggregate",
             intervals: str = "binned") -> DataFrame:
     z = zscore(referenced(power, reference))
     return phase_profile(in_passes(z, passes, intervals), phase_buckets(phase))
 
 
 def result(power: DataFrame, passes: DataFrame, phase: DataFrame, rat: str, dt: str,
-           reference: str = "join", intervals: str = "binned") -> DataFrame:
+           reference: str = "aggregate", intervals: str = "binned") -> DataFrame:
     return select_result(profile(power, passes, phase, reference, intervals), rat, dt)

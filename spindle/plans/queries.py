@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spindle.operators import (
     average_by_time_frequency,
     average_reference,
+    average_reference_join,
     average_reference_window,
     band_power_blocks,
     band_power_relational,
@@ -46,6 +47,12 @@ def _power(spark: SparkSession, sf: str) -> DataFrame:
     return band_power_blocks(fx.signal(spark, sf), fx.bank(spark, sf), fx.SERIES)
 
 
+def _stored_power(spark: SparkSession, sf: str) -> DataFrame:
+    """Power written to the power table and read back: the statistics read
+    it more than once, and Parquet is cheaper than re-running transforms."""
+    return flagship.power_table(fx.signal(spark, sf), fx.bank(spark, sf), fx.SERIES)
+
+
 def _f(c: str) -> Column:
     return F.col(c).cast("float").alias(c)
 
@@ -123,53 +130,53 @@ def band_power_blocks_query(spark, sf):
 # --- statistics -------------------------------------------------------------
 
 def avg_by_time_freq(spark, sf):
-    return average_by_time_frequency(_power(spark, sf)).select("time", "frequency", _f("convolution"))
+    return average_by_time_frequency(_stored_power(spark, sf)).select("time", "frequency", _f("convolution"))
 
 
 _RA = ["rat", "frequency", "channel", "dt", "time"]
 
 
 def average_reference_query(spark, sf):
-    return average_reference(_power(spark, sf)).select(*_RA, _f("convolution"))
+    return average_reference(_stored_power(spark, sf)).select(*_RA, _f("convolution"))
 
 
 def average_reference_window_query(spark, sf):
-    return average_reference_window(_power(spark, sf)).select(*_RA, _f("convolution"))
+    return average_reference_window(_stored_power(spark, sf)).select(*_RA, _f("convolution"))
+
+
+def average_reference_join_query(spark, sf):
+    return average_reference_join(_stored_power(spark, sf)).select(*_RA, _f("convolution"))
 
 
 def average_reference_within(spark, sf):
-    return average_reference(_power(spark, sf), within=["rat", "dt"]).select(*_RA, _f("convolution"))
+    return average_reference(_stored_power(spark, sf), within=["rat", "dt"]).select(*_RA, _f("convolution"))
 
 
 def group_stats_query(spark, sf):
-    return group_stats(average_reference(_power(spark, sf)))
+    return group_stats(average_reference(_stored_power(spark, sf)))
 
 
 def zscore_query(spark, sf):
-    return zscore(average_reference(_power(spark, sf)))
+    return zscore(average_reference(_stored_power(spark, sf)))
 
 
 def within_passes(spark, sf):
-    return within_intervals_broadcast(zscore(average_reference(_power(spark, sf))), fx.passes(spark, sf))
+    return within_intervals_broadcast(zscore(average_reference(_stored_power(spark, sf))), fx.passes(spark, sf))
 
 
 def within_passes_binned(spark, sf):
-    return within_intervals_binned(zscore(average_reference(_power(spark, sf))), fx.passes(spark, sf))
+    return within_intervals_binned(zscore(average_reference(_stored_power(spark, sf))), fx.passes(spark, sf))
 
 
 def within_passes_nested(spark, sf):
     """The OR-of-ranges form (nested loop) while the pass list is short."""
-    return within_intervals_nested(zscore(average_reference(_power(spark, sf))), fx.passes(spark, sf))
+    return within_intervals_nested(zscore(average_reference(_stored_power(spark, sf))), fx.passes(spark, sf))
 
 
 def phase_bucket_query(spark, sf):
     return phase_buckets(fx.phase(spark, sf))
 
 
-def _stored_power(spark, sf):
-    return flagship.power_table(fx.signal(spark, sf), fx.bank(spark, sf), fx.SERIES)
-
-
 def phase_profile_query(spark, sf):
     return flagship.profile(_stored_power(spark, sf), fx.passes(spark, sf), fx.phase(spark, sf))
 
@@ -290,6 +297,7 @@ QUERIES: dict[str, Query] = {
     "avg_by_time_freq": avg_by_time_freq,
     "average_reference": average_reference_query,
     "average_reference_window": average_reference_window_query,
+    "average_reference_join": average_reference_join_query,
     "average_reference_within": average_reference_within,
     "group_stats": group_stats_query,
     "zscore": zscore_query,
@@ -366,6 +374,7 @@ WHERE time < prev_time""",
     "avg_by_time_freq": with_ctes("av", body="SELECT time, frequency, CAST(convolution AS FLOAT) AS convolution FROM av"),
     "average_reference": with_ctes("ra", body=_RA_SQL),
     "average_reference_window": with_ctes("ra", body=_RA_SQL),
+    "average_reference_join": with_ctes("ra", body=_RA_SQL),
     "average_reference_within": with_ctes("pw", body="""SELECT DISTINCT p.rat, p.frequency, p.channel, p.dt, p.time,
        CAST(a.convolution AS FLOAT) AS convolution
 FROM pw p JOIN (SELECT rat, dt, time, frequency, avg(convolution) AS convolution FROM pw GROUP BY rat, dt, time, frequency) a

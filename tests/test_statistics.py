@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from spindle.functions import phase_bucket
 from spindle.operators import (
     average_reference,
+    average_reference_join,
     average_reference_window,
     group_stats,
     phase_buckets,
@@ -42,7 +43,8 @@ def test_average_reference_semantics(spark, power):
 def test_join_and_window_plans_agree(spark, power):
     a = sorted(tuple(r) for r in average_reference(power).collect())
     b = sorted(tuple(r) for r in average_reference_window(power).collect())
-    assert a == b
+    c = sorted(tuple(r) for r in average_reference_join(power).collect())
+    assert a == b == c
 
 
 def test_append_twice_changes_nothing(spark, power):
