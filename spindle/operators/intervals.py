@@ -29,7 +29,7 @@ def interval_bins(intervals: DataFrame, bin_width: int) -> DataFrame:
                     F.col("lo").alias("_lo"), F.col("hi").alias("_hi")))
 
 
-def _shape(intervals: DataFrame) -> tuple[int, int, int]:
+def interval_shape(intervals: DataFrame) -> tuple[int, int, int]:
     """(count, total length, mean length) of the non-empty intervals."""
     r = (intervals.filter(F.col("lo") <= F.col("hi"))
          .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hi") - F.col("lo") + 1).alias("s")).first())
@@ -47,7 +47,7 @@ def within_intervals_binned(df: DataFrame, intervals: DataFrame, time: str = "ti
                             bin_width: int | None = None) -> DataFrame:
     """Binned semi join; the bin width defaults to the mean interval length."""
     if bin_width is None:
-        bin_width = _shape(intervals)[2]
+        bin_width = interval_shape(intervals)[2]
     return _semi(df, interval_bins(intervals, bin_width), time, bin_width)
 
 
@@ -59,7 +59,7 @@ def within_intervals_broadcast(df: DataFrame, intervals: DataFrame, time: str =
     ``2 * count + total_length / width`` bounds the bin table; above
     ``max_bins`` the shuffle form is used instead.
     """
-    n, total, mean = _shape(intervals)
+    n, total, mean = interval_shape(intervals)
     width = bin_width or mean
     bins = interval_bins(intervals, width)
     if 2 * n + total // width <= max_bins:

@@ -34,10 +34,11 @@ from spindle.operators import (
 from spindle.operators import spectral as X
 from spindle.plans import fixtures as fx
 from spindle.plans import flagship
+from spindle.plans.sql_chain import sql_result
 from spindle.plans.oracle import SERIES64, USER_SEGMENTS, dft_sql, with_ctes
 from spindle.session import scratch_path
 from spindle.sinks import result_lines, write_power
-from spindle.sources import parse_signal, read_kernel_bank, read_power
+from spindle.sources import parse_records, parse_signal, read_kernel_bank, read_power
 from spindle.sources.recordings import filename_keys
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +96,16 @@ def signal_parse_csv(spark, sf):
     return parse_signal(_signal_lines(spark, sf)).select("time", "voltage")
 
 
+def signal_parse_records(spark, sf):
+    """Typed records (SMALLINT voltage) with NULL records for wrong arity."""
+    ev = fx.table(spark, sf, "events")
+    suffix = (F.when(F.col("event_type") == "click", F.lit(",")).when(F.col("event_type") == "error", F.lit(",1,2"))
+              .otherwise(F.lit("")))
+    lines = ev.select(F.concat(F.col("event_id").cast("string"), F.lit(", "),
+                               F.round("value").cast("bigint").cast("string"), suffix).alias("line"))
+    return parse_records(lines)
+
+
 def filename_keys_query(spark, sf):
     ev = fx.table(spark, sf, "events")
     name = F.concat(F.lit("R"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"),
@@ -199,6 +210,12 @@ def final_result_streamed(spark, sf):
                            fx.RESULT_RAT, fx.RESULT_DT)
 
 
+def final_result_sql(spark, sf):
+    """Same result through SQL text over temp views."""
+    return sql_result(spark, _stored_power(spark, sf), fx.passes(spark, sf), fx.phase(spark, sf),
+                      fx.RESULT_RAT, fx.RESULT_DT)
+
+
 # --- sinks ------------------------------------------------------------------
 
 def parquet_roundtrip(spark, sf):
@@ -288,6 +305,7 @@ QUERIES: dict[str, Query] = {
     "kernel_bank_long": kernel_bank_long,
     "kernel_bank_text": kernel_bank_text,
     "signal_parse_csv": signal_parse_csv,
+    "signal_parse_records": signal_parse_records,
     "filename_keys": filename_keys_query,
     "sortedness_violations": sortedness_violations,
     "dense_index": dense_index_query,
@@ -309,6 +327,7 @@ QUERIES: dict[str, Query] = {
     "final_result": final_result,
     "final_result_window": final_result_window,
     "final_result_streamed": final_result_streamed,
+    "final_result_sql": final_result_sql,
     "parquet_roundtrip": parquet_roundtrip,
     "text_result": text_result,
     "dft_complex_forward": dft_complex_forward,
@@ -358,6 +377,10 @@ SQL: dict[str, str] = {
     "kernel_bank_text": with_ctes("taps", body="SELECT frequency, u, h FROM taps"),
     "signal_parse_csv": f"""SELECT CAST(trim(p[1]) AS BIGINT) AS time, CAST(trim(p[2]) AS FLOAT) AS voltage
 FROM (SELECT string_split(rtrim(line, ','), ',') AS p FROM ({_LINES})) WHERE len(p) = 2""",
+    "signal_parse_records": """SELECT CASE WHEN len(p) = 2 THEN CAST(trim(p[1]) AS BIGINT) END AS time,
+       CASE WHEN len(p) = 2 THEN CAST(trim(p[2]) AS SMALLINT) END AS voltage
+FROM (SELECT string_split(rtrim(CAST(event_id AS VARCHAR) || ', ' || CAST(CAST(round(value) AS BIGINT) AS VARCHAR)
+      || CASE event_type WHEN 'click' THEN ',' WHEN 'error' THEN ',1,2' ELSE '' END, ','), ',') AS p FROM events)""",
     "filename_keys": """SELECT event_id, regexp_extract(name, '^([^-]*)-([^-]*-[^-]*-[^-]*)-...([^.]*)\\.', 1) AS rat,
        regexp_extract(name, '^([^-]*)-([^-]*-[^-]*-[^-]*)-...([^.]*)\\.', 2) AS dt,
        regexp_extract(name, '^([^-]*)-([^-]*-[^-]*-[^-]*)-...([^.]*)\\.', 3) AS channel
@@ -389,6 +412,7 @@ FROM pw p JOIN (SELECT rat, dt, time, frequency, avg(convolution) AS convolution
     "final_result": with_ctes("prof", body=_FINAL),
     "final_result_window": with_ctes("prof", body=_FINAL),
     "final_result_streamed": with_ctes("prof", body=_FINAL),
+    "final_result_sql": with_ctes("prof", body=_FINAL),
     "parquet_roundtrip": with_ctes("pw", body="SELECT * FROM pw"),
     "text_result": with_ctes("prof", body=f"""SELECT '[' || CAST(frequency AS VARCHAR) || ',' || CAST(phaserange AS VARCHAR) || ','
        || CAST(CAST(convolution AS DECIMAL(12, 4)) AS VARCHAR) || ']' AS value FROM ({_FINAL})"""),

@@ -2,8 +2,10 @@ from spindle.sources.kernels import bank_matrix, kernel_width, read_kernel_bank,
 from spindle.sources.recordings import (
     filename_keys,
     index_recordings,
+    parse_records,
     parse_signal,
     read_lines,
+    record_text,
     read_recordings,
     unsorted_samples,
 )
@@ -11,6 +13,6 @@ from spindle.sources.tables import read_passes, read_phase, read_power
 
 __all__ = [
     "bank_matrix", "kernel_width", "read_kernel_bank", "validate_bank",
-    "filename_keys", "index_recordings", "parse_signal", "read_lines", "read_recordings", "unsorted_samples",
+    "filename_keys", "index_recordings", "parse_records", "parse_signal", "record_text", "read_lines", "read_recordings", "unsorted_samples",
     "read_passes", "read_phase", "read_power",
 ]

@@ -7,7 +7,7 @@ the fourth dash are skipped).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.functions.columns import strip_trailing_commas
@@ -54,9 +54,35 @@ def parse_signal(lines: DataFrame, line: str = "line", strict: bool = True) -> D
     return out.drop("_parts")
 
 
-def read_recordings(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """All recording files under ``path`` as (rat, dt, channel, time, voltage, _block, _pos)."""
+def parse_records(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Typed record per line: ``time BIGINT, voltage SMALLINT``, both NULL
+    when the line does not have exactly two fields (kept as a NULL record,
+    not dropped). A field that is not a number of that type raises."""
+    parts = F.split(strip_trailing_commas(line), ",")
+    ok = F.size(parts) == 2
+    return lines.select(
+        F.when(ok, F.trim(parts[0]).cast("bigint")).alias("time"),
+        F.when(ok, F.trim(parts[1]).cast("smallint")).alias("voltage"))
+
+
+def record_text(time: Column | str = "time", voltage: Column | str = "voltage") -> Column:
+    """``time--voltage`` text of a record."""
+    return F.concat_ws("--", F.col(time) if isinstance(time, str) else time,
+                       F.col(voltage) if isinstance(voltage, str) else voltage)
+
+
+def read_recordings(spark: SparkSession, path: str, strict: bool = True,
+                    observation: Observation | None = None) -> DataFrame:
+    """All recording files under ``path`` as (rat, dt, channel, time, voltage, _block, _pos).
+
+    With ``observation``, the number of lines read and samples kept are
+    collected as metrics of the first action (no extra pass).
+    """
     lines = read_lines(spark, path)
+    if observation is not None:
+        lines = lines.observe(observation, F.count(F.lit(1)).alias("lines"),
+                              F.sum((F.size(F.split(strip_trailing_commas("line"), ",")) == 2).cast("int"))
+                              .alias("samples"))
     parsed = parse_signal(lines, strict=strict)
     return parsed.select(*filename_keys("file_name"), "time", "voltage", "file_name", "_block", "_pos")
 

@@ -125,3 +125,22 @@ def test_text_result_single_file(spark, tmp_path):
     parts = [f for f in os.listdir(out) if f.startswith("part-")]
     assert len(parts) == 1
     assert sorted(open(os.path.join(out, parts[0])).read().split()) == ["[5,1,0.5]", "[6,75,-1.25]"]
+
+
+def test_parse_records_and_observed_counts(spark, recordings_dir, tmp_path):
+    from pyspark.sql import Observation
+
+    from spindle.sources import parse_records, read_lines, record_text
+    p = str(tmp_path / "ints" / "R1-2024-01-01-CSCa.csv")
+    write(p, ["1,2", "3,-4,", "5,", "6,7,8", " 9 , 10 "])
+    recs = parse_records(read_lines(spark, p))
+    assert dict(recs.dtypes)["voltage"] == "smallint"
+    assert sorted(tuple(r) for r in recs.collect() if r["time"] is not None) == [(1, 2), (3, -4), (9, 10)]
+    assert recs.filter("time IS NULL AND voltage IS NULL").count() == 2
+    with pytest.raises(Exception):
+        parse_records(read_lines(spark, recordings_dir)).collect()  # '1.5' is not a SMALLINT
+    obs = Observation("load")
+    df = read_recordings(spark, recordings_dir, observation=obs)
+    n = df.count()
+    assert obs.get == {"lines": 14, "samples": n}
+    assert spark.range(1).select(record_text(F.lit(5), F.lit(7)).alias("t")).first()["t"] == "5--7"
