@@ -154,3 +154,56 @@ def product_conj(a: DataFrame, b: DataFrame, keys: Sequence[str], index: str = "
     return j.select(*keys, index,
                     (F.col("_ar") * F.col("_br") - F.col("_ai") * F.col("_bi")).alias("re"),
                     (-(F.col("_ar") * F.col("_bi") + F.col("_ai") * F.col("_br"))).alias("im"))
+
+
+def complex_forward_distributed(df: DataFrame, keys: Sequence[str], index: str = "j", re: str = "re",
+                                im: str = "im") -> DataFrame:
+    """Forward DFT of whole (long) series in two rounds of small groups.
+
+    Four-step Cooley-Tukey: with ``n = n1 * n2`` and ``j = j1 + n1 * j2``,
+    ``X[k2 + n2 * k1] = sum_j1 w_n1^(j1 k1) * w_n^(j1 k2) * sum_j2 x[j] w_n2^(j2 k2)``.
+    Round 1 groups by (keys, j1) - ``n1`` transforms of length ``n2`` and the
+    twiddle; round 2 groups by (keys, k2) - ``n2`` transforms of length
+    ``n1``. ``n1`` is the largest divisor of ``n`` not above sqrt(n), so
+    groups hold about sqrt(n) entries for smooth lengths (2^23 -> 2048 x 4096).
+    A prime length has no split and stays one group.
+    """
+    keys = list(keys)
+    p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = df.groupBy(*keys).agg((F.max(index) + 1).alias("_n"))
+    divisors = F.filter(F.sequence(F.lit(1).cast("bigint"), F.floor(F.sqrt("_n")).cast("bigint")),
+                        lambda d: F.col("_n") % d == 0)
+    sizes = sizes.withColumn("_n1", F.array_max(divisors))
+    x = (df.select(*keys, index, re, im).join(sizes, keys)
+         .withColumn("_j1", F.col(index) % F.col("_n1"))
+         .withColumn("_j2", F.floor(F.col(index) / F.col("_n1"))))
+
+    key_fields = [T.StructField(k, df.schema[k].dataType, True) for k in keys]
+    mid = T.StructType(key_fields + [T.StructField(c, T.LongType(), False) for c in ("_j1", "_k2", "_n", "_n1")]
+                       + [T.StructField("re", T.DoubleType(), False), T.StructField("im", T.DoubleType(), False)])
+
+    def round1(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, n1, j1 = int(pdf["_n"].iat[0]), int(pdf["_n1"].iat[0]), int(pdf["_j1"].iat[0])
+        n2 = n // n1
+        a = np.zeros(n2, dtype=complex)
+        j2 = pdf["_j2"].to_numpy(np.int64)
+        a[j2] = pdf[re].to_numpy(np.float64) + 1j * pdf[im].to_numpy(np.float64)
+        k2 = np.arange(n2, dtype=np.int64)
+        y = np.fft.fft(a) * np.exp(-2j * np.pi * ((j1 * k2) % n) / n)
+        out = {k: np.repeat(pdf[k].iat[0], n2) for k in keys}
+        out.update(_j1=np.full(n2, j1), _k2=k2, _n=np.full(n2, n), _n1=np.full(n2, n1), re=y.real, im=y.imag)
+        return pd.DataFrame(out)
+
+    def round2(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, n1, k2 = int(pdf["_n"].iat[0]), int(pdf["_n1"].iat[0]), int(pdf["_k2"].iat[0])
+        a = np.zeros(n1, dtype=complex)
+        a[pdf["_j1"].to_numpy(np.int64)] = pdf["re"].to_numpy(np.float64) + 1j * pdf["im"].to_numpy(np.float64)
+        y = np.fft.fft(a)
+        out = {k: np.repeat(pdf[k].iat[0], n1) for k in keys}
+        out.update(k=k2 + (n // n1) * np.arange(n1, dtype=np.int64), re=y.real, im=y.imag)
+        return pd.DataFrame(out)
+
+    step1 = (x.select(*keys, "_j1", "_j2", "_n", "_n1", re, im).repartition(p, *keys, "_j1")
+             .groupBy(*keys, "_j1").applyInPandas(round1, mid))
+    return (step1.repartition(p, *keys, "_k2").groupBy(*keys, "_k2")
+            .applyInPandas(round2, _out_schema(df, keys, "k", True)))

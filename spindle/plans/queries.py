@@ -294,6 +294,13 @@ def dft_prime_length(spark, sf):
     return _rounded(X.complex_forward(_user_segments(spark, sf), keys), keys, "k")
 
 
+def dft_distributed(spark, sf):
+    """Whole channel series transformed in two rounds of ~sqrt(n)-sized groups."""
+    s = fx.signal(spark, sf).select(*fx.SERIES, F.col("i").alias("j"), F.col("v").cast("double").alias("re"),
+                                    F.lit(0.0).alias("im"))
+    return _rounded(X.complex_forward_distributed(s, fx.SERIES), fx.SERIES, "k", 2)
+
+
 def spectral_product_conj(spark, sf):
     s = _series64(spark, sf)
     a = X.real_forward_full(s, ["vec_id"])
@@ -340,6 +347,7 @@ QUERIES: dict[str, Query] = {
     "dft_slice": dft_slice,
     "dft_prime_length": dft_prime_length,
     "spectral_product_conj": spectral_product_conj,
+    "dft_distributed": dft_distributed,
 }
 
 _LINES = """SELECT ' ' || CAST(event_id AS VARCHAR) || ' , ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)
@@ -427,4 +435,7 @@ FROM pw p JOIN (SELECT rat, dt, time, frequency, avg(convolution) AS convolution
                          .replace("SELECT vec_id, j,", "SELECT vec_id, j - 8 AS j,"), ["vec_id"], "k"),
     "dft_prime_length": dft_sql(USER_SEGMENTS, ["user_id", "segment"], "k"),
     "spectral_product_conj": _PRODUCT,
+    "dft_distributed": with_ctes("sig", body="") + dft_sql(
+        "SELECT rat, dt, channel, i AS j, CAST(v AS DOUBLE) AS x, 0.0 AS y FROM sig", ["rat", "dt", "channel"], "k",
+        digits=2).replace("WITH s AS (", ", s AS (", 1),
 }

@@ -92,3 +92,13 @@ def test_product_conj(spark, series):
 def test_scaled(spark):
     df = spark.createDataFrame([(1, 4.0, 2.0)], "g int, re double, im double")
     assert tuple(X.scaled(df, ["re", "im"], 4).first()) == (1, 1.0, 0.5)
+
+
+def test_distributed_forward_matches_direct(spark, series):
+    rng = np.random.default_rng(5)
+    more = dict(series)
+    more[6] = rng.normal(size=360) + 1j * rng.normal(size=360)   # 18 x 20
+    more[7] = rng.normal(size=64) + 1j * rng.normal(size=64)     # 8 x 8
+    got = as_arrays(X.complex_forward_distributed(long_df(spark, more), ["g"]), "k")
+    for g, x in more.items():
+        assert np.allclose(got[g], direct(x, -1), atol=1e-8), g
