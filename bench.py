@@ -30,6 +30,7 @@ HEADLINE = [
     "final_result",
     "final_result_window",
     "dft_prime_length",
+    "dft_distributed",
 ]
 
 

@@ -62,5 +62,9 @@ def profile(power: DataFrame, passes: DataFrame, phase: DataFrame, reference: st
 
 
 def result(power: DataFrame, passes: DataFrame, phase: DataFrame, rat: str, dt: str,
-           reference: str = "aggregate", intervals: str = "binned") -> DataFrame:
+           reference: str = "join", intervals: str = "binned") -> DataFrame:
+    """One rat and session. The join form of the reference is the default
+    here: the rat/dt filter then reaches the power scan as a partition
+    filter on the channel-key side, while the means still read every rat
+    (a window over (time, frequency) would block the filter)."""
     return select_result(profile(power, passes, phase, reference, intervals), rat, dt)

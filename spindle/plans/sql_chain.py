@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from spindle.config import DEFAULT
 from spindle.operators.intervals import interval_shape
 
+# Means over every rat, session and channel at (time, frequency), joined to
+# the distinct channel rows; a result filter on rat/dt prunes the channel side.
 RATSAVERAGE = """
-SELECT rat, frequency, channel, dt, try_divide(SUM(s) OVER w, SUM(c) OVER w) AS convolution, time
-FROM (SELECT rat, dt, channel, time, frequency, SUM(convolution) AS s, COUNT(convolution) AS c
-      FROM rats GROUP BY rat, dt, channel, time, frequency)
-WINDOW w AS (PARTITION BY time, frequency)"""
+SELECT k.rat, k.frequency, k.channel, k.dt, m.convolution, k.time
+FROM (SELECT DISTINCT rat, dt, channel, time, frequency FROM rats) k
+JOIN (SELECT time, frequency, AVG(convolution) AS convolution FROM rats GROUP BY time, frequency) m
+  ON k.time = m.time AND k.frequency = m.frequency"""
 
 RATSTATS = """
 SELECT rat, dt, channel, frequency,
