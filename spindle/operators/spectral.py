@@ -157,16 +157,18 @@ def product_conj(a: DataFrame, b: DataFrame, keys: Sequence[str], index: str = "
 
 
 def complex_forward_distributed(df: DataFrame, keys: Sequence[str], index: str = "j", re: str = "re",
-                                im: str = "im") -> DataFrame:
-    """Forward DFT of whole (long) series in two rounds of small groups.
+                                im: str = "im", entries_per_call: int = 1 << 16) -> DataFrame:
+    """Forward DFT of whole (long) series in two rounds of bounded groups.
 
     Four-step Cooley-Tukey: with ``n = n1 * n2`` and ``j = j1 + n1 * j2``,
     ``X[k2 + n2 * k1] = sum_j1 w_n1^(j1 k1) * w_n^(j1 k2) * sum_j2 x[j] w_n2^(j2 k2)``.
-    Round 1 groups by (keys, j1) - ``n1`` transforms of length ``n2`` and the
-    twiddle; round 2 groups by (keys, k2) - ``n2`` transforms of length
-    ``n1``. ``n1`` is the largest divisor of ``n`` not above sqrt(n), so
-    groups hold about sqrt(n) entries for smooth lengths (2^23 -> 2048 x 4096).
-    A prime length has no split and stays one group.
+    Round 1 transforms the ``n1`` rows j1 (length ``n2``) and applies the
+    twiddle; round 2 transforms the ``n2`` columns k2 (length ``n1``).
+    ``n1`` is the largest divisor of ``n`` not above sqrt(n) (2^23 splits
+    2048 x 4096). Each call takes a block of rows - about
+    ``entries_per_call`` entries, one 2-D NumPy FFT - so neither long rows
+    nor many short ones make a group large or a call tiny. A prime length
+    has no split: its single row of n entries stays in one call.
     """
     keys = list(keys)
     p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -174,36 +176,52 @@ def complex_forward_distributed(df: DataFrame, keys: Sequence[str], index: str =
     divisors = F.filter(F.sequence(F.lit(1).cast("bigint"), F.floor(F.sqrt("_n")).cast("bigint")),
                         lambda d: F.col("_n") % d == 0)
     sizes = sizes.withColumn("_n1", F.array_max(divisors))
+    sizes = (sizes.withColumn("_n2", (F.col("_n") / F.col("_n1")).cast("bigint"))
+             .withColumn("_c1", F.greatest(F.lit(1), F.floor(F.lit(entries_per_call) / F.col("_n2"))).cast("bigint"))
+             .withColumn("_c2", F.greatest(F.lit(1), F.floor(F.lit(entries_per_call) / F.col("_n1"))).cast("bigint")))
     x = (df.select(*keys, index, re, im).join(sizes, keys)
          .withColumn("_j1", F.col(index) % F.col("_n1"))
-         .withColumn("_j2", F.floor(F.col(index) / F.col("_n1"))))
+         .withColumn("_j2", F.floor(F.col(index) / F.col("_n1")))
+         .withColumn("_b", F.floor(F.col("_j1") / F.col("_c1"))))
 
     key_fields = [T.StructField(k, df.schema[k].dataType, True) for k in keys]
-    mid = T.StructType(key_fields + [T.StructField(c, T.LongType(), False) for c in ("_j1", "_k2", "_n", "_n1")]
+    mid = T.StructType(key_fields + [T.StructField(c, T.LongType(), False)
+                                     for c in ("_j1", "_k2", "_n", "_n1", "_c2")]
                        + [T.StructField("re", T.DoubleType(), False), T.StructField("im", T.DoubleType(), False)])
 
+    def head(pdf, c):
+        return int(pdf[c].iat[0])
+
     def round1(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, n1, j1 = int(pdf["_n"].iat[0]), int(pdf["_n1"].iat[0]), int(pdf["_j1"].iat[0])
+        n, n1, c1, b = head(pdf, "_n"), head(pdf, "_n1"), head(pdf, "_c1"), head(pdf, "_b")
         n2 = n // n1
-        a = np.zeros(n2, dtype=complex)
-        j2 = pdf["_j2"].to_numpy(np.int64)
-        a[j2] = pdf[re].to_numpy(np.float64) + 1j * pdf[im].to_numpy(np.float64)
+        j1s = np.arange(b * c1, min((b + 1) * c1, n1), dtype=np.int64)
+        a = np.zeros((len(j1s), n2), dtype=complex)
+        a[pdf["_j1"].to_numpy(np.int64) - b * c1, pdf["_j2"].to_numpy(np.int64)] = \
+            pdf[re].to_numpy(np.float64) + 1j * pdf[im].to_numpy(np.float64)
         k2 = np.arange(n2, dtype=np.int64)
-        y = np.fft.fft(a) * np.exp(-2j * np.pi * ((j1 * k2) % n) / n)
-        out = {k: np.repeat(pdf[k].iat[0], n2) for k in keys}
-        out.update(_j1=np.full(n2, j1), _k2=k2, _n=np.full(n2, n), _n1=np.full(n2, n1), re=y.real, im=y.imag)
+        y = np.fft.fft(a, axis=1) * np.exp(-2j * np.pi * (np.outer(j1s, k2) % n) / n)
+        m = y.size
+        out = {k: np.repeat(pdf[k].iat[0], m) for k in keys}
+        out.update(_j1=np.repeat(j1s, n2), _k2=np.tile(k2, len(j1s)), _n=np.full(m, n), _n1=np.full(m, n1),
+                   _c2=np.full(m, head(pdf, "_c2")), re=y.real.reshape(-1), im=y.imag.reshape(-1))
         return pd.DataFrame(out)
 
     def round2(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, n1, k2 = int(pdf["_n"].iat[0]), int(pdf["_n1"].iat[0]), int(pdf["_k2"].iat[0])
-        a = np.zeros(n1, dtype=complex)
-        a[pdf["_j1"].to_numpy(np.int64)] = pdf["re"].to_numpy(np.float64) + 1j * pdf["im"].to_numpy(np.float64)
-        y = np.fft.fft(a)
-        out = {k: np.repeat(pdf[k].iat[0], n1) for k in keys}
-        out.update(k=k2 + (n // n1) * np.arange(n1, dtype=np.int64), re=y.real, im=y.imag)
+        n, n1, c2, b = head(pdf, "_n"), head(pdf, "_n1"), head(pdf, "_c2"), head(pdf, "_b")
+        n2 = n // n1
+        k2s = np.arange(b * c2, min((b + 1) * c2, n2), dtype=np.int64)
+        a = np.zeros((len(k2s), n1), dtype=complex)
+        a[pdf["_k2"].to_numpy(np.int64) - b * c2, pdf["_j1"].to_numpy(np.int64)] = \
+            pdf["re"].to_numpy(np.float64) + 1j * pdf["im"].to_numpy(np.float64)
+        y = np.fft.fft(a, axis=1)  # [k2, k1]
+        out = {k: np.repeat(pdf[k].iat[0], y.size) for k in keys}
+        out.update(k=(k2s[:, None] + n2 * np.arange(n1, dtype=np.int64)[None, :]).reshape(-1),
+                   re=y.real.reshape(-1), im=y.imag.reshape(-1))
         return pd.DataFrame(out)
 
-    step1 = (x.select(*keys, "_j1", "_j2", "_n", "_n1", re, im).repartition(p, *keys, "_j1")
-             .groupBy(*keys, "_j1").applyInPandas(round1, mid))
-    return (step1.repartition(p, *keys, "_k2").groupBy(*keys, "_k2")
+    step1 = (x.select(*keys, "_b", "_j1", "_j2", "_n", "_n1", "_c1", "_c2", re, im)
+             .repartition(p, *keys, "_b").groupBy(*keys, "_b").applyInPandas(round1, mid))
+    step2 = step1.withColumn("_b", F.floor(F.col("_k2") / F.col("_c2")))
+    return (step2.repartition(p, *keys, "_b").groupBy(*keys, "_b")
             .applyInPandas(round2, _out_schema(df, keys, "k", True)))

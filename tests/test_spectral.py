@@ -99,6 +99,7 @@ def test_distributed_forward_matches_direct(spark, series):
     more = dict(series)
     more[6] = rng.normal(size=360) + 1j * rng.normal(size=360)   # 18 x 20
     more[7] = rng.normal(size=64) + 1j * rng.normal(size=64)     # 8 x 8
-    got = as_arrays(X.complex_forward_distributed(long_df(spark, more), ["g"]), "k")
-    for g, x in more.items():
-        assert np.allclose(got[g], direct(x, -1), atol=1e-8), g
+    for per_call in (1 << 16, 7, 1):
+        got = as_arrays(X.complex_forward_distributed(long_df(spark, more), ["g"], entries_per_call=per_call), "k")
+        for g, x in more.items():
+            assert np.allclose(got[g], direct(x, -1), atol=1e-8), (g, per_call)
