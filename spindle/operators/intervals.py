@@ -52,12 +52,13 @@ def within_intervals_binned(df: DataFrame, intervals: DataFrame, time: str = "ti
 
 
 def within_intervals_broadcast(df: DataFrame, intervals: DataFrame, time: str = "time",
-                               bin_width: int | None = None, max_bins: int = 4_000_000) -> DataFrame:
+                               bin_width: int | None = None, max_bins: int = 1_000_000) -> DataFrame:
     """Binned semi join with the bins broadcast, when provably small.
 
     An interval of length L covers at most L / width + 2 bins, so
     ``2 * count + total_length / width`` bounds the bin table; above
-    ``max_bins`` the shuffle form is used instead.
+    ``max_bins`` (1M rows of three longs, about 24 MB) the shuffle form is
+    used instead.
     """
     n, total, mean = interval_shape(intervals)
     width = bin_width or mean

@@ -53,12 +53,15 @@ def kernel_width(bank: DataFrame) -> int:
     return int(bank.agg(F.max("u")).first()[0]) + 1
 
 
-def bank_matrix(bank: DataFrame, max_kernels: int = 4096, max_width: int = 65536) -> tuple[np.ndarray, np.ndarray]:
+def bank_matrix(bank: DataFrame, max_kernels: int = 4096, max_width: int = 65536,
+                max_cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """(frequencies, taps[K, W]) of a long-form bank, for broadcast to tasks.
 
     One small job, size checked as it is collected: at most ``max_kernels``
-    rows of at most ``max_width`` taps each come to the driver; a larger bank
-    is refused (the relational form has no such bound).
+    rows of at most ``max_width`` taps come to the driver, and K * W must stay
+    within ``max_cells`` (4M taps = 32 MB as float64, ten times the original
+    196 x 2001 bank). A larger bank is refused; the relational form has no
+    such bound.
     """
     per = (bank.groupBy("frequency")
            .agg(F.count(F.lit(1)).alias("n"), F.max("u").alias("w"),
@@ -70,6 +73,8 @@ def bank_matrix(bank: DataFrame, max_kernels: int = 4096, max_width: int = 65536
         raise ValueError(f"kernel bank over {max_kernels} kernels or {max_width} taps; use the relational form")
     per.sort(key=lambda r: r["frequency"])
     w = max(r["w"] for r in per) + 1
+    if len(per) * w > max_cells:
+        raise ValueError(f"kernel bank of {len(per)} x {w} taps is over {max_cells} cells; use the relational form")
     taps = np.zeros((len(per), w))
     for k, r in enumerate(per):
         for t in r["taps"]:

@@ -115,3 +115,14 @@ def test_partition_count_independent(spark, case):
     a = collect(band_power_blocks(signal_df(spark, series).repartition(1), bank_df(spark, taps), KEYS, partitions=3))
     b = collect(band_power_blocks(signal_df(spark, series).repartition(7), bank_df(spark, taps), KEYS, partitions=11))
     assert a == b
+
+
+def test_bank_size_is_checked(spark):
+    from spindle.sources import bank_matrix
+    bank = spark.createDataFrame([(f, u, 1) for f in range(5, 9) for u in range(10)], "frequency int, u int, h smallint")
+    freqs, taps = bank_matrix(bank)
+    assert taps.shape == (4, 10) and list(freqs) == [5, 6, 7, 8]
+    with pytest.raises(ValueError):
+        bank_matrix(bank, max_cells=39)
+    with pytest.raises(ValueError):
+        bank_matrix(bank, max_kernels=3)
