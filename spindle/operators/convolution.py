@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,10 +137,14 @@ def band_power_blocks(signal: DataFrame, bank: DataFrame, keys: Sequence[str], b
     spark = signal.sparkSession
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(p, *keys, "_blk", "_band")
-    return rows.groupBy(*keys, "_blk", "_band").applyInPandas(fn, out_schema)
+    return rows.groupBy(*keys, "_blk", "_band").applyInArrow(fn, out_schema)
 
 
 def _block_kernel(keys, freqs, taps, b, n_fft, per_call, integral):
+    """Grouped map over Arrow tables: one FFT convolution of a block with a
+    band of kernels. Inputs are read as NumPy views and outputs built as
+    Arrow arrays (constant key columns by ``pa.repeat``), so no pandas
+    conversion sits on the hot path."""
     w = taps.shape[1]
     halo = w - 1
     spectra: dict[int, np.ndarray] = {}
@@ -150,33 +154,35 @@ def _block_kernel(keys, freqs, taps, b, n_fft, per_call, integral):
             spectra[band] = np.fft.rfft(taps[band * per_call:(band + 1) * per_call], n=n_fft, axis=1)
         return spectra[band]
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        blk = int(pdf["_blk"].iat[0])
-        band = int(pdf["_band"].iat[0])
+    def fn(tbl: pa.Table) -> pa.Table:
+        blk = tbl.column("_blk")[0].as_py()
+        band = tbl.column("_band")[0].as_py()
         base = blk * b - halo  # series index of array position 0
-        pos = pdf["_i"].to_numpy(np.int64) - base
+        pos = tbl.column("_i").to_numpy() - base
         x = np.zeros(n_fft)
-        x[pos] = pdf["_v"].to_numpy(np.float64)
+        x[pos] = tbl.column("_v").to_numpy()
         present = np.zeros(n_fft, dtype=bool)
         present[pos] = True
-        tms = np.empty(n_fft, dtype=object if pdf["_time"].dtype == object else pdf["_time"].dtype)
-        tms[pos] = pdf["_time"].to_numpy()
+        tcol = tbl.column("_time").combine_chunks()
+        slot = np.full(n_fft, -1, dtype=np.int64)
+        slot[pos] = np.arange(len(pos))
         owned = np.arange(halo, n_fft)
         owned = owned[present[owned] & (base + owned >= halo)]
         fr = freqs[band * per_call:(band + 1) * per_call]
-        if len(owned) == 0 or len(fr) == 0:
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in [*keys, "time", "frequency", "convolution"]})
-        y = np.fft.irfft(spectrum(band) * np.fft.rfft(x), n=n_fft, axis=1)[:, owned]
-        if integral and np.abs(y).max() < 3.0e9:
+        m, kk = len(owned), len(fr)
+        if m == 0 or kk == 0:
+            y = np.zeros((kk, 0))
+        else:
+            y = np.fft.irfft(spectrum(band) * np.fft.rfft(x), n=n_fft, axis=1)[:, owned]
+        if integral and (y.size == 0 or np.abs(y).max() < 3.0e9):
             yi = np.rint(y).astype(np.int64)  # exact sum; square exact in int64
             power = (yi * yi).astype(np.float32)
         else:
             power = (y * y).astype(np.float32)
-        m = len(owned)
-        out = {k: np.repeat(pdf[k].iat[0], m * len(fr)) for k in keys}
-        out["time"] = np.tile(tms[owned], len(fr))
-        out["frequency"] = np.repeat(np.asarray(fr, dtype=np.int32), m)
-        out["convolution"] = power.reshape(-1)
-        return pd.DataFrame(out)
+        cols = [pa.repeat(tbl.column(k)[0], m * kk) for k in keys]
+        cols.append(tcol.take(pa.array(np.tile(slot[owned], kk))))
+        cols.append(pa.array(np.repeat(np.asarray(fr, dtype=np.int32), m)))
+        cols.append(pa.array(power.reshape(-1)))
+        return pa.Table.from_arrays(cols, names=[*keys, "time", "frequency", "convolution"])
 
     return fn
