@@ -5,11 +5,11 @@ a series or of a fixed-length segment of one. The length of a group's series
 is ``max(index) + 1``; missing entries are zeros. Forward uses the exponent
 ``-2*pi*i*j*k/n``, inverse ``+``; a scaled inverse divides by ``n``.
 
-Each group is transformed by NumPy inside one task, so a group must be of
-bounded size: cut long series into segments first (``segments``) - the
-transforms of the original job were over one fixed buffer, our groups are
-segments of a series. ``slice_series`` takes an offset window (transform of
-``a[offa : offa + n]``).
+Each group is transformed by NumPy inside one task (a sorted, streaming
+map over Arrow batches), so a group must be of bounded size: cut long series
+into segments first (``segments``), or transform a whole long series with
+``complex_forward_distributed`` (two rounds of small groups).
+``slice_series`` takes an offset window (transform of ``a[offa : offa + n]``).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,71 +33,95 @@ def _out_schema(df: DataFrame, keys: Sequence[str], index: str, complex_out: boo
     return T.StructType(fields)
 
 
-def _dense(pdf: pd.DataFrame, index: str, col: str | None, n: int | None = None) -> np.ndarray:
-    idx = pdf[index].to_numpy(np.int64)
+def _dense(cols: dict, index: str, col: str | None, n: int | None = None) -> np.ndarray:
+    idx = cols[index]
     size = int(idx.max()) + 1 if n is None else n
     out = np.zeros(size)
     if col is not None:
         keep = idx < size
-        out[idx[keep]] = pdf[col].to_numpy(np.float64)[keep]
+        out[idx[keep]] = cols[col][keep]
     return out
 
 
-def _frame(pdf: pd.DataFrame, keys: Sequence[str], index: str, values: np.ndarray, complex_out: bool) -> pd.DataFrame:
-    m = len(values)
-    out = {k: np.repeat(pdf[k].iat[0], m) for k in keys}
-    out[index] = np.arange(m, dtype=np.int64)
-    if complex_out:
-        out["re"] = values.real.astype(np.float64)
-        out["im"] = values.imag.astype(np.float64)
-    else:
-        out["re"] = np.asarray(values, dtype=np.float64)
-    return pd.DataFrame(out)
+def _group_starts(tbl: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    change = np.zeros(max(tbl.num_rows - 1, 0), dtype=bool)
+    for k in keys:
+        a = tbl.column(k).to_numpy(zero_copy_only=False)
+        change |= a[1:] != a[:-1]
+    return np.concatenate([[0], np.nonzero(change)[0] + 1])
 
 
 def _apply(df: DataFrame, keys: Sequence[str], in_cols: list[str], out_index: str, complex_out: bool, fn) -> DataFrame:
-    """Grouped map over hash-partitioned groups.
+    """Per-group transform as a sorted, streaming map over Arrow batches.
 
-    The explicit partitioning keeps the (cheap to move, costly to compute)
-    groups spread over ``spark.sql.shuffle.partitions`` tasks; AQE does not
-    coalesce a user-set partitioning, and the grouped map reuses it.
+    Rows are hash-partitioned and sorted by the group keys; each task walks
+    its batches and transforms every complete group with NumPy, carrying only
+    the rows of the unfinished last group into the next batch. Memory is a
+    batch plus the largest group, and there is no per-group serialization -
+    many small groups cost what their rows cost.
     """
     keys = list(keys)
     schema = _out_schema(df, keys, out_index, complex_out)
+    names = [f.name for f in schema.fields]
     p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*keys, *in_cols).repartition(p, *keys).groupBy(*keys).applyInPandas(fn, schema)
+    src = df.select(*keys, *in_cols).repartition(p, *keys).sortWithinPartitions(*keys)
+
+    def transform(g: pa.Table) -> pa.RecordBatch:
+        cols = {c: g.column(c).to_numpy(zero_copy_only=False) for c in in_cols}
+        y = fn(cols)
+        m = len(y)
+        arrays = [pa.repeat(g.column(k)[0], m) for k in keys]
+        arrays.append(pa.array(np.arange(m, dtype=np.int64)))
+        if complex_out:
+            arrays += [pa.array(np.ascontiguousarray(y.real, dtype=np.float64)),
+                       pa.array(np.ascontiguousarray(y.imag, dtype=np.float64))]
+        else:
+            arrays.append(pa.array(np.asarray(y, dtype=np.float64)))
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def run(batches):
+        carry = None
+        for rb in batches:
+            t = pa.Table.from_batches([rb])
+            if carry is not None:
+                t = pa.concat_tables([carry, t])
+            if t.num_rows == 0:
+                continue
+            starts = _group_starts(t, keys)
+            for a, b in zip(starts[:-1], starts[1:]):
+                yield transform(t.slice(a, b - a))
+            carry = t.slice(starts[-1])
+        if carry is not None and carry.num_rows:
+            yield transform(carry)
+
+    return src.mapInArrow(run, schema)
 
 
 def complex_forward(df: DataFrame, keys: Sequence[str], index: str = "j", re: str = "re", im: str = "im") -> DataFrame:
     """X[k] = sum_j x[j] e^{-2 pi i j k / n}, k = 0..n-1."""
-    def fn(pdf):
-        x = _dense(pdf, index, re) + 1j * _dense(pdf, index, im)
-        return _frame(pdf, keys, "k", np.fft.fft(x), True)
+    def fn(c):
+        return np.fft.fft(_dense(c, index, re) + 1j * _dense(c, index, im))
     return _apply(df, keys, [index, re, im], "k", True, fn)
 
 
 def complex_inverse(df: DataFrame, keys: Sequence[str], index: str = "k", re: str = "re", im: str = "im",
                     scale: bool = True) -> DataFrame:
     """x[j] = (1/n if scale) * sum_k X[k] e^{+2 pi i j k / n}."""
-    def fn(pdf):
-        x = _dense(pdf, index, re) + 1j * _dense(pdf, index, im)
+    def fn(c):
+        x = _dense(c, index, re) + 1j * _dense(c, index, im)
         y = np.fft.ifft(x)
-        return _frame(pdf, keys, "j", y if scale else y * len(x), True)
+        return y if scale else y * len(x)
     return _apply(df, keys, [index, re, im], "j", True, fn)
 
 
 def real_forward(df: DataFrame, keys: Sequence[str], index: str = "j", re: str = "re") -> DataFrame:
     """Half spectrum of a real series: k = 0..n//2."""
-    def fn(pdf):
-        return _frame(pdf, keys, "k", np.fft.rfft(_dense(pdf, index, re)), True)
-    return _apply(df, keys, [index, re], "k", True, fn)
+    return _apply(df, keys, [index, re], "k", True, lambda c: np.fft.rfft(_dense(c, index, re)))
 
 
 def real_forward_full(df: DataFrame, keys: Sequence[str], index: str = "j", re: str = "re") -> DataFrame:
     """Full spectrum of a real series: k = 0..n-1 (upper half is the conjugate mirror)."""
-    def fn(pdf):
-        return _frame(pdf, keys, "k", np.fft.fft(_dense(pdf, index, re)), True)
-    return _apply(df, keys, [index, re], "k", True, fn)
+    return _apply(df, keys, [index, re], "k", True, lambda c: np.fft.fft(_dense(c, index, re)))
 
 
 def real_inverse(df: DataFrame, keys: Sequence[str], n: int | str, index: str = "k", re: str = "re",
@@ -108,22 +133,21 @@ def real_inverse(df: DataFrame, keys: Sequence[str], n: int | str, index: str =
     """
     n_col = [n] if isinstance(n, str) else []
 
-    def fn(pdf):
-        length = int(pdf[n].iat[0]) if isinstance(n, str) else int(n)
+    def fn(c):
+        length = int(c[n][0]) if isinstance(n, str) else int(n)
         half = length // 2 + 1
-        x = _dense(pdf, index, re, half) + 1j * _dense(pdf, index, im, half)
-        y = np.fft.irfft(x, n=length)
-        return _frame(pdf, keys, "j", y if scale else y * length, False)
+        y = np.fft.irfft(_dense(c, index, re, half) + 1j * _dense(c, index, im, half), n=length)
+        return y if scale else y * length
     return _apply(df, keys, [index, re, im, *n_col], "j", False, fn)
 
 
 def real_inverse_full(df: DataFrame, keys: Sequence[str], index: str = "k", re: str = "re",
                       scale: bool = True) -> DataFrame:
     """Complex inverse transform of a real sequence: all n outputs."""
-    def fn(pdf):
-        x = _dense(pdf, index, re)
+    def fn(c):
+        x = _dense(c, index, re)
         y = np.fft.ifft(x)
-        return _frame(pdf, keys, "j", y if scale else y * len(x), True)
+        return y if scale else y * len(x)
     return _apply(df, keys, [index, re], "j", True, fn)
 
 

@@ -103,3 +103,15 @@ def test_distributed_forward_matches_direct(spark, series):
         got = as_arrays(X.complex_forward_distributed(long_df(spark, more), ["g"], entries_per_call=per_call), "k")
         for g, x in more.items():
             assert np.allclose(got[g], direct(x, -1), atol=1e-8), (g, per_call)
+
+
+def test_groups_straddling_arrow_batches(spark, series):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = as_arrays(X.complex_forward(long_df(spark, series).repartition(3), ["g"]), "k")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(got) == sorted(series)
+    for g, x in series.items():
+        assert np.allclose(got[g], direct(x, -1), atol=1e-8), g
