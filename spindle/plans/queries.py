@@ -40,6 +40,7 @@ from spindle.session import scratch_path
 from spindle.sinks import result_lines, write_power
 from spindle.sources import parse_records, parse_signal, read_kernel_bank, read_power
 from spindle.sources.recordings import filename_keys
+from spindle.streaming import ingest_recordings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -216,6 +217,27 @@ def final_result_sql(spark, sf):
                       fx.RESULT_RAT, fx.RESULT_DT)
 
 
+def stream_ingest_power(spark, sf):
+    """Recordings written as time-ordered text files in rat=/dt=/channel=
+    folders, ingested by the streaming job (available now: every file in one
+    batch), read back from the power table it wrote."""
+    base = scratch_path(spark, "recordings")
+    sig = fx.samples(spark, sf)
+    # One file per (series, day) task: no task writes a whole series. Sorting by
+    # the partition columns first satisfies the writer's ordering, so no second
+    # sort can disturb the time order of the lines.
+    (sig.repartition(*fx.SERIES, F.floor(F.col("time") / 24))
+     .sortWithinPartitions(*fx.SERIES, "ts", "event_id")
+     .select(*fx.SERIES, F.concat_ws(",", F.col("time").cast("string"), F.col("v").cast("string")).alias("value"))
+     .write.partitionBy(*fx.SERIES).text(base + "/in"))
+    q = ingest_recordings(spark, base + "/in", base + "/power", fx.bank(spark, sf), bin_width=24,
+                          checkpoint=base + "/checkpoint", keys_from="path", integer_samples=True)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return read_power(spark, base + "/power").select(*fx.SERIES, "time", "frequency", "convolution")
+
+
 # --- sinks ------------------------------------------------------------------
 
 def parquet_roundtrip(spark, sf):
@@ -336,6 +358,7 @@ QUERIES: dict[str, Query] = {
     "final_result_streamed": final_result_streamed,
     "final_result_sql": final_result_sql,
     "parquet_roundtrip": parquet_roundtrip,
+    "stream_ingest_power": stream_ingest_power,
     "text_result": text_result,
     "dft_complex_forward": dft_complex_forward,
     "dft_complex_inverse": dft_complex_inverse,
@@ -422,6 +445,7 @@ FROM pw p JOIN (SELECT rat, dt, time, frequency, avg(convolution) AS convolution
     "final_result_streamed": with_ctes("prof", body=_FINAL),
     "final_result_sql": with_ctes("prof", body=_FINAL),
     "parquet_roundtrip": with_ctes("pw", body="SELECT * FROM pw"),
+    "stream_ingest_power": with_ctes("pw", body="SELECT * FROM pw"),
     "text_result": with_ctes("prof", body=f"""SELECT '[' || CAST(frequency AS VARCHAR) || ',' || CAST(phaserange AS VARCHAR) || ','
        || CAST(CAST(convolution AS DECIMAL(12, 4)) AS VARCHAR) || ']' AS value FROM ({_FINAL})"""),
     "dft_complex_forward": dft_sql(SERIES64, ["vec_id"], "k"),

@@ -22,6 +22,12 @@ def filename_keys(name: Column | str) -> list[Column]:
     return [F.regexp_extract(c, FILE_NAME_PATTERN, i).alias(k) for i, k in ((1, "rat"), (2, "dt"), (3, "channel"))]
 
 
+def path_keys(path: Column | str) -> list[Column]:
+    """rat/dt/channel from ``.../rat=R1/dt=2024-01-01/channel=a/...`` directories."""
+    c = F.col(path) if isinstance(path, str) else path
+    return [F.regexp_extract(c, f"/{k}=([^/]*)/", 1).alias(k) for k in ("rat", "dt", "channel")]
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with the file name and a file-order position.
 

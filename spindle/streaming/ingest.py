@@ -2,10 +2,13 @@
 rows of the power table.
 
 Each micro-batch holds whole files (the file source never splits a file
-across batches) and a file is one channel's recording, so each batch is
-indexed and filtered on its own. The power rows replace the batch's
+across batches); a series must arrive within one batch (one file per
+channel recording, or all its files together), so each batch is indexed and
+filtered on its own. ``mode="overwrite"`` (default) replaces the batch's
 rat/dt/channel partitions (dynamic partition overwrite): a batch replayed
 after a failure rewrites the same partitions, so the table ends up the same.
+``mode="append"`` adds rows; a replay then duplicates rows, which the average
+reference and its distinct make harmless.
 """
 
 from __future__ import annotations
@@ -17,24 +20,32 @@ from pyspark.sql.streaming import StreamingQuery
 from spindle.config import DEFAULT, SERIES_KEYS
 from spindle.operators.convolution import band_power_blocks
 from spindle.session import scratch_path
-from spindle.sources.recordings import filename_keys, index_recordings, parse_signal
+from spindle.sources.recordings import filename_keys, index_recordings, parse_signal, path_keys
 
 
 def recording_lines(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.format("text")
+    reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(source_dir).select(
         F.col("value").alias("line"),
         F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("_block"))
 
 
-def power_batch(lines: DataFrame, bank: DataFrame, bin_width: int, strict: bool = True, **block_args) -> DataFrame:
-    """Power rows of one batch of recording lines (batch DataFrame)."""
+def power_batch(lines: DataFrame, bank: DataFrame, bin_width: int, strict: bool = True,
+                keys_from: str = "name", integer_samples: bool = False, **block_args) -> DataFrame:
+    """Power rows of one batch of recording lines (batch DataFrame).
+
+    Series keys come from the file name (``R192-2009-11-19-CSC10a.csv``) or,
+    with ``keys_from="path"``, from ``rat=/dt=/channel=`` directories.
+    ``integer_samples`` treats the voltages as integer counts (exact sums).
+    """
     with_pos = lines.withColumn("_pos", F.monotonically_increasing_id())
-    rec = parse_signal(with_pos, strict=strict).select(
-        *filename_keys("file_name"), "time", F.col("voltage").cast("double").alias("v"), "_block", "_pos")
+    keys = filename_keys("file_name") if keys_from == "name" else path_keys("file_path")
+    v = F.col("voltage").cast("bigint" if integer_samples else "double")
+    rec = parse_signal(with_pos, strict=strict).select(*keys, "time", v.alias("v"), "_block", "_pos")
     sig = index_recordings(rec, bin_width)
     return band_power_blocks(sig, bank, list(SERIES_KEYS), **block_args)
 
@@ -42,15 +53,18 @@ def power_batch(lines: DataFrame, bank: DataFrame, bin_width: int, strict: bool
 def ingest_recordings(spark: SparkSession, source_dir: str, power_path: str, bank: DataFrame,
                       bin_width: int, checkpoint: str | None = None, available_now: bool = True,
                       max_files_per_trigger: int | None = None,
-                      records_per_file: int = DEFAULT.records_per_file) -> StreamingQuery:
+                      records_per_file: int = DEFAULT.records_per_file, keys_from: str = "name",
+                      integer_samples: bool = False, mode: str = "overwrite") -> StreamingQuery:
     """Start the ingest; ``available_now`` processes what is there and stops."""
     bank = bank.cache()  # small, validated bank; reused by every batch
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        power = power_batch(batch, bank, bin_width)
-        (power.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .option("maxRecordsPerFile", records_per_file)
-         .partitionBy(*SERIES_KEYS).parquet(power_path))
+        power = power_batch(batch, bank, bin_width, keys_from=keys_from, integer_samples=integer_samples)
+        w = power.write.option("maxRecordsPerFile", records_per_file).partitionBy(*SERIES_KEYS)
+        if mode == "append":
+            w.mode("append").parquet(power_path)
+        else:
+            w.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(power_path)
 
     writer = (recording_lines(spark, source_dir, max_files_per_trigger).writeStream
               .foreachBatch(write_batch)
