@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindle.sources.kernels import bank_matrix, kernel_width
+from spindle.sources.kernels import bank_matrix
 
 
 def fir_relational(signal: DataFrame, bank: DataFrame, keys: Sequence[str], width: int | None = None,

@@ -24,8 +24,6 @@ from spindle.operators import (
     group_stats,
     order_violations,
     phase_buckets,
-    phase_profile,
-    select_result,
     within_intervals_binned,
     within_intervals_broadcast,
     within_intervals_nested,

@@ -9,6 +9,9 @@ chain in ``flagship``.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from spindle.config import DEFAULT
@@ -51,15 +54,26 @@ GROUP BY r.rat, r.dt, r.channel, r.frequency, p.phaserange"""
 
 def sql_result(spark: SparkSession, power: DataFrame, passes: DataFrame, phase: DataFrame,
                rat: str = DEFAULT.result_rat, dt: str = DEFAULT.result_dt) -> DataFrame:
-    power.createOrReplaceTempView("rats")
-    passes.createOrReplaceTempView("passes")
-    phase.createOrReplaceTempView("phase")
-    spark.sql(RATSAVERAGE).createOrReplaceTempView("ratsaverage")
-    spark.sql(RATSTATS).createOrReplaceTempView("ratstats")
+    """The chain as SQL text. View names carry a per-call suffix so that
+    concurrent calls in one session do not replace each other's views."""
+    tag = uuid.uuid4().hex[:8]
+    names = ["rats", "passes", "phase", "ratsaverage", "ratstats", "passbins", "ratssubset", "phasebuckets"]
+    view = {n: f"{n}_{tag}" for n in names}
+
+    def sql(text: str, **args) -> DataFrame:
+        for n in names:  # table positions only: after FROM / JOIN
+            text = re.sub(rf"\b(FROM|JOIN)(\s+){n}\b", rf"\g<1>\g<2>{view[n]}", text)
+        return spark.sql(text, args=args or None)
+
+    power.createOrReplaceTempView(view["rats"])
+    passes.createOrReplaceTempView(view["passes"])
+    phase.createOrReplaceTempView(view["phase"])
+    sql(RATSAVERAGE).createOrReplaceTempView(view["ratsaverage"])
+    sql(RATSTATS).createOrReplaceTempView(view["ratstats"])
     w = interval_shape(passes)[2]
-    spark.sql(PASSBINS, args={"w": w}).createOrReplaceTempView("passbins")
-    spark.sql(RATSSUBSET, args={"w": w}).createOrReplaceTempView("ratssubset")
+    sql(PASSBINS, w=w).createOrReplaceTempView(view["passbins"])
+    sql(RATSSUBSET, w=w).createOrReplaceTempView(view["ratssubset"])
     lo, hi, n = DEFAULT.phase_min, DEFAULT.phase_max, DEFAULT.phase_buckets
-    spark.sql(PHASEBUCKETS.format(lo=lo, span=hi - lo, n=n)).createOrReplaceTempView("phasebuckets")
-    return spark.sql(f"SELECT frequency, phaserange, convolution FROM ({RESULTS}) WHERE rat = :rat AND dt = :dt",
-                     args={"rat": rat, "dt": dt})
+    sql(PHASEBUCKETS.format(lo=lo, span=hi - lo, n=n)).createOrReplaceTempView(view["phasebuckets"])
+    return sql(f"SELECT frequency, phaserange, convolution FROM ({RESULTS}) WHERE rat = :rat AND dt = :dt",
+               rat=rat, dt=dt)
