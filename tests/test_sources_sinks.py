@@ -144,3 +144,27 @@ def test_parse_records_and_observed_counts(spark, recordings_dir, tmp_path):
     n = df.count()
     assert obs.get == {"lines": 14, "samples": n}
     assert spark.range(1).select(record_text(F.lit(5), F.lit(7)).alias("t")).first()["t"] == "5--7"
+
+
+def test_csv_dump_and_avro_gate(spark, tmp_path):
+    from spindle.sinks import avro_available, write_avro, write_csv
+    df = spark.createDataFrame([(1, 5, 0.5)], "time bigint, frequency int, convolution float")
+    out = str(tmp_path / "ratrecordstext")
+    write_csv(df, out)
+    assert [tuple(r) for r in spark.read.csv(out, schema=df.schema).collect()] == [(1, 5, 0.5)]
+    if not avro_available(df):
+        with pytest.raises(RuntimeError, match="spark-avro"):
+            write_avro(df, str(tmp_path / "avro"))
+
+
+def test_scratch_paths_live_under_checkpoint_dir(spark):
+    from spindle.session import checkpoint_dir, materialize, scratch_path
+    base = checkpoint_dir(spark)
+    p = scratch_path(spark, "x")
+    assert p.startswith(base.rstrip("/")) and p != scratch_path(spark, "x")
+    df = spark.range(10).withColumnRenamed("id", "n")
+    m = materialize(df, "m")
+    assert sorted(r[0] for r in m.collect()) == list(range(10))
+    def norm(x):
+        return "/" + x.replace("file:", "").lstrip("/")
+    assert all(norm(f).startswith(norm(base).rstrip("/")) for f in m.inputFiles())
