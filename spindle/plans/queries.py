@@ -76,9 +76,9 @@ def kernel_bank_text(spark, sf):
              .orderBy("frequency"))
     path = scratch_path(spark, "bank")
     lines.select("value").coalesce(1).write.text(path)
-    n = lines.count()
-    first = lines.agg(F.min("frequency")).first()[0]
-    return read_kernel_bank(spark, path, first_frequency=first, last_frequency=first + n - 1, width=64)
+    shape = bank.agg(F.min("frequency").alias("f0"), F.max("frequency").alias("f1"), F.max("u").alias("u")).first()
+    return read_kernel_bank(spark, path, first_frequency=shape["f0"], last_frequency=shape["f1"],
+                            width=shape["u"] + 1)
 
 
 def _signal_lines(spark, sf):
