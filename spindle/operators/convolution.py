@@ -90,7 +90,8 @@ def _fft_length(width: int, floor: int = 1024) -> int:
 
 def band_power_blocks(signal: DataFrame, bank: DataFrame, keys: Sequence[str], block: int | None = None,
                       kernels_per_call: int = 16, index: str = "i", value: str = "v", time: str = "time",
-                      max_kernels: int = 4096, partitions: int | None = None) -> DataFrame:
+                      max_kernels: int = 4096, partitions: int | None = None,
+                      partitioning: str = "range") -> DataFrame:
     """Band power by overlap-save FFT blocks (same rows as the relational form).
 
     ``block`` is the number of output samples per group (default: a
@@ -99,10 +100,15 @@ def band_power_blocks(signal: DataFrame, bank: DataFrame, keys: Sequence[str], b
     integer before squaring, so the result equals the relational form bit for
     bit.
 
-    The groups are hash-partitioned explicitly into ``partitions`` (default
-    ``spark.sql.shuffle.partitions``): the shuffle is small in bytes but the
-    work per group is heavy, and a user-set partitioning is not coalesced by
-    AQE. The grouped map reuses that partitioning (no second exchange).
+    The groups are range-partitioned explicitly into ``partitions`` (default
+    ``spark.sql.shuffle.partitions``) on (keys, block, band): the shuffle is
+    small in bytes but the work per group is heavy, and a user-set
+    partitioning is not coalesced by AQE. A task holds a run of consecutive
+    blocks of about one series, so writing the partitioned power table makes
+    about one file per task (hashing would scatter every series over every
+    task: a file per series per task). The grouped map reuses that
+    partitioning (no second exchange); the range bounds are fixed once per
+    exchange, so a retried task sees the same ones.
     """
     keys = list(keys)
     freqs, taps = bank_matrix(bank, max_kernels=max_kernels)  # bounded, checked size
@@ -136,7 +142,10 @@ def band_power_blocks(signal: DataFrame, bank: DataFrame, keys: Sequence[str], b
     fn = _block_kernel(keys, freqs, taps, b, n_fft, kernels_per_call, integral)
     spark = signal.sparkSession
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(p, *keys, "_blk", "_band")
+    if partitioning == "hash":  # spreads groups evenly, but every task touches every series
+        rows = rows.repartition(p, *keys, "_blk", "_band")
+    else:
+        rows = rows.repartitionByRange(p, *keys, "_blk", "_band")
     return rows.groupBy(*keys, "_blk", "_band").applyInArrow(fn, out_schema)
 
 
