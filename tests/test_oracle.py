@@ -9,6 +9,10 @@ from tools.oracle_check import TABLES, digest
 from conftest import SMOKE
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "float": "FLOAT",
+                 "double": "DOUBLE", "string": "VARCHAR"}
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
@@ -24,5 +28,7 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.sql(entry.oracle_sql()[name])
     want = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert len(got) == len(want)
     assert digest(got, df.columns)[0] == digest(want, rel.columns)[0]
