@@ -47,6 +47,8 @@ def fir_relational(signal: DataFrame, bank: DataFrame, keys: Sequence[str], widt
     keys = list(keys)
     shape = bank.agg(F.sort_array(F.collect_set("frequency")).alias("f"), F.max("u").alias("w")).first()
     freqs = list(shape["f"])
+    if len(freqs) > 4096:  # one aggregate column per kernel
+        raise ValueError("more than 4096 kernels; split the bank by frequency")
     w = width if width is not None else int(shape["w"]) + 1
     integral = isinstance(signal.schema[value].dataType, T.IntegralType) and \
         isinstance(bank.schema["h"].dataType, T.IntegralType)

@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from spindle.operators.convolution import band_power_blocks
 from spindle.operators.intervals import within_intervals_binned, within_intervals_broadcast
@@ -27,7 +28,7 @@ from spindle.sources.tables import read_power
 
 
 def power_table(signal: DataFrame, bank: DataFrame, keys: Sequence[str] = ("rat", "dt", "channel"),
-                path: str | None = None, **block_args) -> DataFrame:
+                path: str | None = None, observation: Observation | None = None, **block_args) -> DataFrame:
     """Band power written once as the partitioned power table and read back.
 
     The statistics read power several times (means and channel keys, stats

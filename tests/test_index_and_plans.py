@@ -49,3 +49,11 @@ def test_entry_runs(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
     assert df.columns == ["frequency", "phaserange", "convolution"] and df.count() > 0
+
+
+def test_power_table_observes_rows(spark, tmp_path):
+    from pyspark.sql import Observation
+    obs = Observation("power")
+    t = flagship.power_table(fx.signal(spark, SMOKE), fx.bank(spark, SMOKE), fx.SERIES,
+                             path=str(tmp_path / "pt"), observation=obs)
+    assert obs.get == {"power_rows": t.count(), "series": 10}
