@@ -34,11 +34,15 @@ def power_table(signal: DataFrame, bank: DataFrame, keys: Sequence[str] = ("rat"
     The statistics read power several times (means and channel keys, stats
     and z rows); reading Parquet is cheaper than re-running the transforms,
     and the written table survives executor loss. ``path`` defaults to a new
-    folder under the session's checkpoint directory.
+    folder under the session's checkpoint directory. With ``observation``
+    the number of rows written is collected during the write (no extra pass).
     """
     spark = signal.sparkSession
     out = path or scratch_path(spark, "power")
-    write_power(band_power_blocks(signal, bank, list(keys), **block_args), out, mode="errorifexists")
+    power = band_power_blocks(signal, bank, list(keys), **block_args)
+    if observation is not None:
+        power = power.observe(observation, F.count(F.lit(1)).alias("power_rows"))
+    write_power(power, out, mode="errorifexists")
     return read_power(spark, out)
 
 
