@@ -1,15 +1,14 @@
-"""The statistics as SQL text over temp views (the SQL entry of the original
-job), with the pass list as a table instead of spliced text.
+"""The statistics as one SQL statement over temp views - the SQL entry point.
 
-Views: ``rats`` (power table), ``passes`` (lo, hi), ``phase`` (time, phase);
-the chain registers ``ratsaverage``, ``ratstats``, ``passbins``,
-``ratssubset`` and ``phasebuckets`` on the way, like the original. Same rows as the DataFrame
-chain in ``flagship``.
+Inputs are registered as views with a per-call suffix (power table, pass
+intervals, phase samples); the statement is a chain of CTEs equal to the
+DataFrame chain in ``flagship`` (join-form reference, binned pass semi join,
+z-score with NULL for sd = 0, phase buckets, mean per bucket). Passes are a
+table joined on time bins, never text spliced into the statement.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,63 +16,45 @@ from pyspark.sql import DataFrame, SparkSession
 from spindle.config import DEFAULT
 from spindle.operators.intervals import interval_shape
 
-# Means over every rat, session and channel at (time, frequency), joined to
-# the distinct channel rows; a result filter on rat/dt prunes the channel side.
-RATSAVERAGE = """
-SELECT k.rat, k.frequency, k.channel, k.dt, m.convolution, k.time
-FROM (SELECT DISTINCT rat, dt, channel, time, frequency FROM rats) k
-JOIN (SELECT time, frequency, AVG(convolution) AS convolution FROM rats GROUP BY time, frequency) m
-  ON k.time = m.time AND k.frequency = m.frequency"""
-
-RATSTATS = """
-SELECT rat, dt, channel, frequency,
-       CAST(AVG(convolution) AS FLOAT) AS mean, CAST(STDDEV_POP(convolution) AS FLOAT) AS sd
-FROM ratsaverage GROUP BY rat, dt, channel, frequency"""
-
-# Passes as time bins of width :w, so the semi join is an equi-join on the bin
-# plus the range test (not rows x passes comparisons).
-PASSBINS = """
-SELECT explode(sequence(CAST(FLOOR(lo / :w) AS BIGINT), CAST(FLOOR(hi / :w) AS BIGINT))) AS bin, lo, hi
-FROM passes WHERE lo <= hi"""
-
-RATSSUBSET = """
-SELECT r.rat, r.time, r.dt, r.channel, r.frequency,
-       CAST(try_divide(r.convolution - s.mean, s.sd) AS FLOAT) AS convolution
-FROM ratsaverage r JOIN ratstats s
-  ON r.rat = s.rat AND r.dt = s.dt AND r.channel = s.channel AND r.frequency = s.frequency
-LEFT SEMI JOIN passbins p ON CAST(FLOOR(r.time / :w) AS BIGINT) = p.bin AND r.time >= p.lo AND r.time <= p.hi"""
-
-PHASEBUCKETS = """
-SELECT time, CAST(FLOOR(((phase - ({lo})) / CAST({span} AS DOUBLE)) * {n}) + 1 AS INT) AS phaserange FROM phase"""
-
-RESULTS = """
-SELECT r.rat, r.dt, r.channel, r.frequency, p.phaserange, CAST(AVG(r.convolution) AS FLOAT) AS convolution
-FROM ratssubset r JOIN phasebuckets p ON r.time = p.time
-GROUP BY r.rat, r.dt, r.channel, r.frequency, p.phaserange"""
+STATEMENT = """
+WITH channel_keys AS (
+  SELECT DISTINCT rat, dt, channel, time, frequency FROM {power}
+), time_means AS (
+  SELECT time, frequency, AVG(convolution) AS m FROM {power} GROUP BY time, frequency
+), referenced AS (
+  SELECT k.rat, k.dt, k.channel, k.time, k.frequency, t.m AS value
+  FROM channel_keys k JOIN time_means t ON k.time = t.time AND k.frequency = t.frequency
+), moments AS (
+  SELECT rat, dt, channel, frequency,
+         CAST(AVG(value) AS FLOAT) AS mu, CAST(STDDEV_POP(value) AS FLOAT) AS sigma
+  FROM referenced GROUP BY rat, dt, channel, frequency
+), pass_bins AS (
+  SELECT explode(sequence(CAST(FLOOR(lo / :w) AS BIGINT), CAST(FLOOR(hi / :w) AS BIGINT))) AS b, lo, hi
+  FROM {passes} WHERE lo <= hi
+), scored AS (
+  SELECT r.rat, r.dt, r.channel, r.time, r.frequency,
+         CAST(try_divide(r.value - g.mu, g.sigma) AS FLOAT) AS z
+  FROM referenced r
+  JOIN moments g ON r.rat = g.rat AND r.dt = g.dt AND r.channel = g.channel AND r.frequency = g.frequency
+  LEFT SEMI JOIN pass_bins p ON CAST(FLOOR(r.time / :w) AS BIGINT) = p.b AND r.time BETWEEN p.lo AND p.hi
+), buckets AS (
+  SELECT time, CAST(FLOOR((phase - :lo) / CAST(:span AS DOUBLE) * :n) + 1 AS INT) AS phaserange FROM {phase}
+)
+SELECT s.frequency, b.phaserange, CAST(AVG(s.z) AS FLOAT) AS convolution
+FROM scored s JOIN buckets b ON s.time = b.time
+WHERE s.rat = :rat AND s.dt = :dt
+GROUP BY s.rat, s.dt, s.channel, s.frequency, b.phaserange
+"""
 
 
 def sql_result(spark: SparkSession, power: DataFrame, passes: DataFrame, phase: DataFrame,
                rat: str = DEFAULT.result_rat, dt: str = DEFAULT.result_dt) -> DataFrame:
-    """The chain as SQL text. View names carry a per-call suffix so that
-    concurrent calls in one session do not replace each other's views."""
+    """(frequency, phaserange, convolution) of one rat and session, via SQL."""
     tag = uuid.uuid4().hex[:8]
-    names = ["rats", "passes", "phase", "ratsaverage", "ratstats", "passbins", "ratssubset", "phasebuckets"]
-    view = {n: f"{n}_{tag}" for n in names}
-
-    def sql(text: str, **args) -> DataFrame:
-        for n in names:  # table positions only: after FROM / JOIN
-            text = re.sub(rf"\b(FROM|JOIN)(\s+){n}\b", rf"\g<1>\g<2>{view[n]}", text)
-        return spark.sql(text, args=args or None)
-
-    power.createOrReplaceTempView(view["rats"])
-    passes.createOrReplaceTempView(view["passes"])
-    phase.createOrReplaceTempView(view["phase"])
-    sql(RATSAVERAGE).createOrReplaceTempView(view["ratsaverage"])
-    sql(RATSTATS).createOrReplaceTempView(view["ratstats"])
-    w = interval_shape(passes)[2]
-    sql(PASSBINS, w=w).createOrReplaceTempView(view["passbins"])
-    sql(RATSSUBSET, w=w).createOrReplaceTempView(view["ratssubset"])
-    lo, hi, n = DEFAULT.phase_min, DEFAULT.phase_max, DEFAULT.phase_buckets
-    sql(PHASEBUCKETS.format(lo=lo, span=hi - lo, n=n)).createOrReplaceTempView(view["phasebuckets"])
-    return sql(f"SELECT frequency, phaserange, convolution FROM ({RESULTS}) WHERE rat = :rat AND dt = :dt",
-               rat=rat, dt=dt)
+    views = {"power": f"power_{tag}", "passes": f"passes_{tag}", "phase": f"phase_{tag}"}
+    power.createOrReplaceTempView(views["power"])
+    passes.createOrReplaceTempView(views["passes"])
+    phase.createOrReplaceTempView(views["phase"])
+    args = {"w": interval_shape(passes)[2], "lo": DEFAULT.phase_min, "span": DEFAULT.phase_max - DEFAULT.phase_min,
+            "n": DEFAULT.phase_buckets, "rat": rat, "dt": dt}
+    return spark.sql(STATEMENT.format(**views), args=args)
