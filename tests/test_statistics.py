@@ -118,3 +118,21 @@ def test_select_result_filters_rat_and_session(spark):
     prof = spark.createDataFrame([("R192", "2009-11-19", "c", 5, 1, 0.5), ("R1", "2009-11-19", "c", 5, 1, 0.7)],
                                  "rat string, dt string, channel string, frequency int, phaserange int, convolution float")
     assert [tuple(r) for r in select_result(prof).collect()] == [(5, 1, 0.5)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_interval_fallbacks_keep_results(spark):
+    df = spark.createDataFrame([(t,) for t in range(100)], "time bigint")
+    iv = intervals(spark, [(5, 9), (20, 20), (50, 75), (74, 80)])
+    want = sorted(list(range(5, 10)) + [20] + list(range(50, 81)))
+    big = within_intervals_broadcast(df, iv, max_bins=1)       # bound exceeded: no broadcast hint
+    assert sorted(r[0] for r in big.collect()) == want
+    small = within_intervals_broadcast(df, iv)
+    assert "BroadcastHashJoin" in _plan(small) and "LeftSemi" in _plan(small)
+    nested = within_intervals_nested(df, iv, max_intervals=2)  # too many: binned instead
+    assert sorted(r[0] for r in nested.collect()) == want
+    assert "BroadcastNestedLoopJoin" not in _plan(nested)
+    assert "BroadcastNestedLoopJoin" in _plan(within_intervals_nested(df, iv))
