@@ -249,3 +249,18 @@ def complex_forward_distributed(df: DataFrame, keys: Sequence[str], index: str =
     step2 = step1.withColumn("_b", F.floor(F.col("_k2") / F.col("_c2")))
     return (step2.repartition(p, *keys, "_b").groupBy(*keys, "_b")
             .applyInPandas(round2, _out_schema(df, keys, "k", True)))
+
+
+def complex_inverse_distributed(df: DataFrame, keys: Sequence[str], index: str = "k", re: str = "re",
+                                im: str = "im", scale: bool = True) -> DataFrame:
+    """Inverse DFT of whole long series: ``ifft(X) = conj(fft(conj(X))) / n``
+    on the two-round forward plan (column negations around it)."""
+    keys = list(keys)
+    conj = df.select(*keys, F.col(index).alias("_j"), F.col(re).alias("_re"), (-F.col(im)).alias("_im"))
+    fwd = complex_forward_distributed(conj, keys, "_j", "_re", "_im")
+    out = fwd.select(*keys, F.col("k").alias("j"), "re", (-F.col("im")).alias("im"))
+    if not scale:
+        return out
+    n = df.groupBy(*keys).agg((F.max(index) + 1).alias("_n"))
+    return (out.join(n, keys)
+            .select(*keys, "j", (F.col("re") / F.col("_n")).alias("re"), (F.col("im") / F.col("_n")).alias("im")))

@@ -321,6 +321,14 @@ def dft_distributed(spark, sf):
     return _rounded(X.complex_forward_distributed(s, fx.SERIES), fx.SERIES, "k", 2)
 
 
+def idft_distributed(spark, sf):
+    """Whole channel series forward and back, both in two rounds of small groups."""
+    s = fx.signal(spark, sf).select(*fx.SERIES, F.col("i").alias("j"), F.col("v").cast("double").alias("re"),
+                                    F.lit(0.0).alias("im"))
+    spec = X.complex_forward_distributed(s, fx.SERIES)
+    return _rounded(X.complex_inverse_distributed(spec, fx.SERIES), fx.SERIES, "j", 2)
+
+
 def spectral_product_conj(spark, sf):
     s = _series64(spark, sf)
     a = X.real_forward_full(s, ["vec_id"])
@@ -369,6 +377,7 @@ QUERIES: dict[str, Query] = {
     "dft_prime_length": dft_prime_length,
     "spectral_product_conj": spectral_product_conj,
     "dft_distributed": dft_distributed,
+    "idft_distributed": idft_distributed,
 }
 
 _LINES = """SELECT ' ' || CAST(event_id AS VARCHAR) || ' , ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)
@@ -460,4 +469,6 @@ FROM pw p JOIN (SELECT rat, dt, time, frequency, avg(convolution) AS convolution
     "dft_distributed": with_ctes("sig", body="") + dft_sql(
         "SELECT rat, dt, channel, i AS j, CAST(v AS DOUBLE) AS x, 0.0 AS y FROM sig", ["rat", "dt", "channel"], "k",
         digits=2).replace("WITH s AS (", ", s AS (", 1),
+    "idft_distributed": with_ctes("sig", body="""SELECT rat, dt, channel, i AS j, round(CAST(v AS DOUBLE), 2) + 0.0 AS re,
+       0.0 AS im FROM sig"""),
 }

@@ -115,3 +115,13 @@ def test_groups_straddling_arrow_batches(spark, series):
     assert sorted(got) == sorted(series)
     for g, x in series.items():
         assert np.allclose(got[g], direct(x, -1), atol=1e-8), g
+
+
+def test_distributed_inverse_round_trip(spark, series):
+    df = long_df(spark, series)
+    spec = X.complex_forward_distributed(df, ["g"], entries_per_call=50)
+    back = as_arrays(X.complex_inverse_distributed(spec, ["g"]), "j")
+    for g, x in series.items():
+        assert np.allclose(back[g], x, atol=1e-9), g
+    unscaled = as_arrays(X.complex_inverse_distributed(spec, ["g"], scale=False), "j")
+    assert np.allclose(unscaled[2], 16 * series[2], atol=1e-8)
