@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from spindle.config import DEFAULT, SERIES_KEYS, JobConfig
 from spindle.plans import flagship
+from spindle.session import materialize
 from spindle.sinks import write_text_result
 from spindle.sources import index_recordings, read_kernel_bank, read_passes, read_phase, read_recordings
 
@@ -32,7 +33,9 @@ def run_job(spark: SparkSession, recordings: str, bank: str, passes: str, phase:
     result text is written only when ``result`` is given.
     """
     kernels = read_kernel_bank(spark, bank, config.first_frequency, config.last_frequency, config.kernel_width)
-    rec = read_recordings(spark, recordings)
+    # Parsed samples are staged as Parquet in the shared folder: the index
+    # reads them twice (numbering and bin counts), and text is parsed once.
+    rec = materialize(read_recordings(spark, recordings), "samples")
     rec = rec.withColumn("v", F.col("voltage").cast("bigint" if integer_samples else "double"))
     signal = index_recordings(rec, bin_width, SERIES_KEYS)
     power = flagship.power_table(signal, kernels, SERIES_KEYS, path=power_table)
