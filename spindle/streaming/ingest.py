@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spindle.config import DEFAULT, SERIES_KEYS
 from spindle.operators.convolution import band_power_blocks
-from spindle.session import scratch_path
+from spindle.session import materialize, scratch_path
 from spindle.sources.recordings import filename_keys, index_recordings, parse_signal, path_keys
 
 
@@ -46,7 +46,8 @@ def power_batch(lines: DataFrame, bank: DataFrame, bin_width: int, strict: bool
     keys = filename_keys("file_name") if keys_from == "name" else path_keys("file_path")
     v = F.col("voltage").cast("bigint" if integer_samples else "double")
     rec = parse_signal(with_pos, strict=strict).select(*keys, "time", v.alias("v"), "_block", "_pos")
-    sig = index_recordings(rec, bin_width)
+    # staged as Parquet in the shared folder: the index reads it twice, the text is parsed once
+    sig = index_recordings(materialize(rec, "ingest-samples"), bin_width)
     return band_power_blocks(sig, bank, list(SERIES_KEYS), **block_args)
 
 
