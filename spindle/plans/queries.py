@@ -470,5 +470,5 @@ FROM pw p JOIN (SELECT rat, dt, time, frequency, avg(convolution) AS convolution
         "SELECT rat, dt, channel, i AS j, CAST(v AS DOUBLE) AS x, 0.0 AS y FROM sig", ["rat", "dt", "channel"], "k",
         digits=2).replace("WITH s AS (", ", s AS (", 1),
     "idft_distributed": with_ctes("sig", body="""SELECT rat, dt, channel, i AS j, round(CAST(v AS DOUBLE), 2) + 0.0 AS re,
-       0.0 AS im FROM sig"""),
+       CAST(0.0 AS DOUBLE) AS im FROM sig"""),
 }

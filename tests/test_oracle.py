@@ -4,15 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tools.oracle_check import TABLES, digest
+from tools.oracle_check import SPARK_TO_DUCK, TABLES, digest
 
 from conftest import SMOKE
 
 
-SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "float": "FLOAT",
-                 "double": "DOUBLE", "string": "VARCHAR"}
-
-
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()

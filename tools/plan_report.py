@@ -19,7 +19,7 @@ from spindle.session import local_session  # noqa: E402
 
 NODES = [("Exchange", "Exchange"), ("BroadcastX", "BroadcastExchange"), ("Reused", "ReusedExchange"),
          ("BHJ", "BroadcastHashJoin"), ("SMJ", "SortMergeJoin"), ("BNLJ", "BroadcastNestedLoopJoin"),
-         ("Window", "Window"), ("PyGroupMap", "FlatMapGroupsInPandas"), ("HashAgg", "HashAggregate")]
+         ("Window", "Window"), ("PyMap", "(?:FlatMapGroupsIn(?:Pandas|Arrow)|MapInArrow|MapInPandas)"), ("HashAgg", "HashAggregate")]
 
 
 def summary(df):
