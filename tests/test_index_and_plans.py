@@ -57,3 +57,22 @@ def test_power_table_observes_rows(spark, tmp_path):
     t = flagship.power_table(fx.signal(spark, SMOKE), fx.bank(spark, SMOKE), fx.SERIES,
                              path=str(tmp_path / "pt"), observation=obs)
     assert obs.get == {"power_rows": t.count()}
+
+
+def test_hours_independent_of_session_time_zone(spark):
+    from spindle.functions import hours_since
+    ev = fx.table(spark, SMOKE, "events")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = {}
+        for tz in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got[tz] = ev.select(F.sum(hours_since("ts"))).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert len(set(got.values())) == 1
+
+
+def test_entry_schema_is_stable(spark):
+    import __spark_entry__ as e
+    assert e.entry(spark).dtypes == [("frequency", "int"), ("phaserange", "int"), ("convolution", "float")]
