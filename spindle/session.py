@@ -58,8 +58,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage by writing Parquet to the shared folder and reading it back.
 
-    Unlike ``cache`` this survives executor loss; unlike ``localCheckpoint`` it
-    does not depend on executor-local blocks.
+    Unlike ``cache`` this survives executor loss, and unlike executor-local
+    checkpoints it does not depend on blocks held by one executor.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
