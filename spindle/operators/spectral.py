@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,42 +212,46 @@ def complex_forward_distributed(df: DataFrame, keys: Sequence[str], index: str =
                                      for c in ("_j1", "_k2", "_n", "_n1", "_c2")]
                        + [T.StructField("re", T.DoubleType(), False), T.StructField("im", T.DoubleType(), False)])
 
-    def head(pdf, c):
-        return int(pdf[c].iat[0])
+    def head(tbl, c):
+        return int(tbl.column(c)[0].as_py())
 
-    def round1(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, n1, c1, b = head(pdf, "_n"), head(pdf, "_n1"), head(pdf, "_c1"), head(pdf, "_b")
+    def col(tbl, c, dtype):
+        return tbl.column(c).to_numpy().astype(dtype, copy=False)
+
+    def round1(tbl: pa.Table) -> pa.Table:
+        n, n1, c1, b = head(tbl, "_n"), head(tbl, "_n1"), head(tbl, "_c1"), head(tbl, "_b")
         n2 = n // n1
         j1s = np.arange(b * c1, min((b + 1) * c1, n1), dtype=np.int64)
         a = np.zeros((len(j1s), n2), dtype=complex)
-        a[pdf["_j1"].to_numpy(np.int64) - b * c1, pdf["_j2"].to_numpy(np.int64)] = \
-            pdf[re].to_numpy(np.float64) + 1j * pdf[im].to_numpy(np.float64)
+        a[col(tbl, "_j1", np.int64) - b * c1, col(tbl, "_j2", np.int64)] = \
+            col(tbl, re, np.float64) + 1j * col(tbl, im, np.float64)
         k2 = np.arange(n2, dtype=np.int64)
         y = np.fft.fft(a, axis=1) * np.exp(-2j * np.pi * (np.outer(j1s, k2) % n) / n)
         m = y.size
-        out = {k: np.repeat(pdf[k].iat[0], m) for k in keys}
-        out.update(_j1=np.repeat(j1s, n2), _k2=np.tile(k2, len(j1s)), _n=np.full(m, n), _n1=np.full(m, n1),
-                   _c2=np.full(m, head(pdf, "_c2")), re=y.real.reshape(-1), im=y.imag.reshape(-1))
-        return pd.DataFrame(out)
-
-    def round2(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, n1, c2, b = head(pdf, "_n"), head(pdf, "_n1"), head(pdf, "_c2"), head(pdf, "_b")
+        arrays = [pa.repeat(tbl.column(k)[0], m) for k in keys]
+        arrays += [pa.array(np.repeat(j1s, n2)), pa.array(np.tile(k2, len(j1s))), pa.array(np.full(m, n, np.int64)),
+                   pa.array(np.full(m, n1, np.int64)), pa.array(np.full(m, head(tbl, "_c2"), np.int64)),
+                   pa.array(np.ascontiguousarray(y.real).reshape(-1)), pa.array(np.ascontiguousarray(y.imag).reshape(-1))]
+        return pa.Table.from_arrays(arrays, names=[f.name for f in mid.fields])
+
+    def round2(tbl: pa.Table) -> pa.Table:
+        n, n1, c2, b = head(tbl, "_n"), head(tbl, "_n1"), head(tbl, "_c2"), head(tbl, "_b")
         n2 = n // n1
         k2s = np.arange(b * c2, min((b + 1) * c2, n2), dtype=np.int64)
         a = np.zeros((len(k2s), n1), dtype=complex)
-        a[pdf["_k2"].to_numpy(np.int64) - b * c2, pdf["_j1"].to_numpy(np.int64)] = \
-            pdf["re"].to_numpy(np.float64) + 1j * pdf["im"].to_numpy(np.float64)
+        a[col(tbl, "_k2", np.int64) - b * c2, col(tbl, "_j1", np.int64)] = \
+            col(tbl, "re", np.float64) + 1j * col(tbl, "im", np.float64)
         y = np.fft.fft(a, axis=1)  # [k2, k1]
-        out = {k: np.repeat(pdf[k].iat[0], y.size) for k in keys}
-        out.update(k=(k2s[:, None] + n2 * np.arange(n1, dtype=np.int64)[None, :]).reshape(-1),
-                   re=y.real.reshape(-1), im=y.imag.reshape(-1))
-        return pd.DataFrame(out)
+        arrays = [pa.repeat(tbl.column(k)[0], y.size) for k in keys]
+        arrays += [pa.array((k2s[:, None] + n2 * np.arange(n1, dtype=np.int64)[None, :]).reshape(-1)),
+                   pa.array(np.ascontiguousarray(y.real).reshape(-1)), pa.array(np.ascontiguousarray(y.imag).reshape(-1))]
+        return pa.Table.from_arrays(arrays, names=[*keys, "k", "re", "im"])
 
     step1 = (x.select(*keys, "_b", "_j1", "_j2", "_n", "_n1", "_c1", "_c2", re, im)
-             .repartition(p, *keys, "_b").groupBy(*keys, "_b").applyInPandas(round1, mid))
+             .repartition(p, *keys, "_b").groupBy(*keys, "_b").applyInArrow(round1, mid))
     step2 = step1.withColumn("_b", F.floor(F.col("_k2") / F.col("_c2")))
     return (step2.repartition(p, *keys, "_b").groupBy(*keys, "_b")
-            .applyInPandas(round2, _out_schema(df, keys, "k", True)))
+            .applyInArrow(round2, _out_schema(df, keys, "k", True)))
 
 
 def complex_inverse_distributed(df: DataFrame, keys: Sequence[str], index: str = "k", re: str = "re",
