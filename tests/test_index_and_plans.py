@@ -76,3 +76,11 @@ def test_hours_independent_of_session_time_zone(spark):
 def test_entry_schema_is_stable(spark):
     import __spark_entry__ as e
     assert e.entry(spark).dtypes == [("frequency", "int"), ("phaserange", "int"), ("convolution", "float")]
+
+
+def test_flagship_ignores_appending_the_same_power_twice(spark, tmp_path):
+    power = flagship.power_table(fx.signal(spark, SMOKE), fx.bank(spark, SMOKE), fx.SERIES, path=str(tmp_path / "p1"))
+    passes, phase = fx.passes(spark, SMOKE), fx.phase(spark, SMOKE)
+    once = sorted(tuple(r) for r in flagship.result(power, passes, phase, "R0", "2024-01").collect())
+    twice = sorted(tuple(r) for r in flagship.result(power.unionAll(power), passes, phase, "R0", "2024-01").collect())
+    assert once == twice and len(once) > 0
