@@ -73,6 +73,8 @@ _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LF = np.zeros(256, bool)
+_LF[0x0A] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -91,11 +93,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return kept["up"][:n], kept["down"][:n]
 
 
-def _hash_piece(raw: np.ndarray, cuts: np.ndarray, lower: bool):
-    space = _SPACE[raw]
+def _hash_piece(raw: np.ndarray, cuts: np.ndarray, lower: bool, between: np.ndarray = _SPACE):
+    space = between[raw]
     word = ~space
     start = word.copy()
-    start[1:] &= space[:-1] | False
+    start[1:] &= space[:-1]
     first = cuts[cuts < len(raw)]
     start[first] = word[first]
     end = word.copy()
@@ -116,12 +118,27 @@ def _hash_piece(raw: np.ndarray, cuts: np.ndarray, lower: bool):
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs of bytes other than space and TAB to CR) of each row, and the number
     of words per row. Works through the bytes in steps of BLOCK_BYTES, cut at white space."""
-    out, starts = [], []
+    h, s, _ = run_hashes(raw, offsets, lower, _SPACE)
+    return h, np.diff(np.searchsorted(s, offsets))
+
+
+def line_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lines with a word (cut at LF only) of each row, and their number per row."""
+    h, s, e = run_hashes(raw, offsets, False, _LF)
+    inked = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(~_SPACE[raw], out=inked[1:])
+    ok = inked[e] > inked[s]
+    return h[ok], np.diff(np.searchsorted(s[ok], offsets))
+
+
+def run_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool, between: np.ndarray):
+    """Hashes, starts and ends of the runs of bytes without a separator; no run crosses a row."""
+    out, starts, ends = [], [], []
     size, a = len(raw), 0
     while a < size:
         b = min(size, a + BLOCK_BYTES)
         while b < size:  # move the cut to white space or a row boundary, so that no word is cut
-            gap = np.flatnonzero(_SPACE[raw[b:b + 4096]])
+            gap = np.flatnonzero(between[raw[b:b + 4096]])
             nxt = offsets[np.searchsorted(offsets, b)]
             if nxt - b <= (gap[0] if len(gap) else 4096):
                 b = int(nxt)
@@ -132,13 +149,14 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.n
             b += 4096
         b = min(b, size)
         lo, hi = np.searchsorted(offsets, a), np.searchsorted(offsets, b, side="right")
-        h, s, _ = _hash_piece(raw[a:b], np.unique(offsets[lo:hi] - a), lower)
+        h, s, e = _hash_piece(raw[a:b], np.unique(offsets[lo:hi] - a), lower, between)
         out.append(h)
         starts.append(s + a)
+        ends.append(e + a)
         a = b
-    h = np.concatenate(out) if out else np.empty(0, np.uint64)
-    s = np.concatenate(starts) if starts else np.empty(0, np.int64)
-    return h, np.diff(np.searchsorted(s, offsets))
+    if not out:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(out), np.concatenate(starts), np.concatenate(ends)
 
 
 def windows(h: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from spindle.llm import bpe
+from spindle.llm import bpe, langid, quality, token_count, toxicity, warc
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op3_warc": warc.op3_warc,
+    "op4_quality": quality.op4_quality,
+    "op5_language_id": langid.op5_language_id,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_token_counts": token_count.op9_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_warc": warc.OP3_SQL,
+}
