@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from spindle.llm import bpe, langid, quality, token_count, toxicity, warc
+from spindle.llm import bpe, decontaminate, langid, licenses, quality, token_count, toxicity, warc
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_bpe": bpe.op2_bpe,
     "op3_warc": warc.op3_warc,
     "op4_quality": quality.op4_quality,
     "op5_language_id": langid.op5_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_token_counts": token_count.op9_token_counts,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 SQL: dict[str, str] = {
+    "op1_licenses": licenses.OP1_SQL,
     "op3_warc": warc.OP3_SQL,
+    "op10_decontamination": decontaminate.OP10_SQL,
 }
