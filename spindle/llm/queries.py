@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindle.llm import bpe, decontaminate, langid, licenses, quality, token_count, toxicity, warc
+from spindle.llm import bpe, decontaminate, jaccard, langid, licenses, quality, token_count, toxicity, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_quality": quality.op4_quality,
     "op5_language_id": langid.op5_language_id,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_decontamination": decontaminate.op10_decontamination,
@@ -18,5 +19,6 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_licenses": licenses.OP1_SQL,
     "op3_warc": warc.OP3_SQL,
+    "op6_jaccard_join": jaccard.OP6_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
 }
