@@ -4,7 +4,7 @@ Transducer. The last token of the encoding of every prefix of a piece follows fr
 ``s`` ends the prefix that ends with it if the pair (last token before ``s``, ``s``) is one the merges
 leave alone, and exactly one ``s`` is. A state therefore holds the longest suffix that can still become
 part of a longer token, and for each position in it the last token and the token count relative to the
-present one. A transition on a byte is annotated with the change of the count; the annotations along a piece
+present one, where a longer token could begin. A transition on a byte is annotated with the change of the count; the annotations along a piece
 add up to its number of tokens. States are compiled from the merge list when first reached and kept in a
 table of bounded size (started anew when full).
 
@@ -26,15 +26,31 @@ from spindle.llm.bpe import PATTERN, Merges, default_path, read_vocabulary
 from spindle.llm.common import per_worker, table
 
 CHUNK = 32_768  # characters
-STATES = 200_000  # compiled states kept per worker
-MEMO = 300_000  # pieces whose count is remembered per worker
+STATES = 400_000  # compiled states kept per worker
+MEMO = 400_000  # pieces whose count is remembered per worker
 
 ChunkMap = tuple[str, int | None, str]  # head, tokens between, tail; None: no certain boundary inside
 
 
+class Counts(dict):
+    """Counts of whole pieces met before; emptied when full."""
+
+    def __init__(self, machine: CountTransducer, most: int):
+        super().__init__()
+        self.machine, self.most = machine, most
+
+    def __missing__(self, piece: str) -> int:
+        n = self.machine.piece(piece.encode())
+        if len(piece) < 100:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = n
+        return n
+
+
 class CountTransducer:
     def __init__(self, merges: Merges, most_states: int = STATES, most_pieces: int = MEMO):
-        self.merges, self.most_states, self.most_pieces = merges, most_states, most_pieces
+        self.merges, self.most_states = merges, most_states
         self.token = {b: i for i, b in merges.bytes.items() if i not in merges.special.values()}
         self.prefixes = {b[:k] for b in self.token for k in range(1, len(b))} | {b""}
         self.single: dict[int, bool] = {}
@@ -43,10 +59,11 @@ class CountTransducer:
         self.special = regex.compile("|".join(map(regex.escape, merges.special)) or r"(?!)")
         self.inner = regex.compile(r"\P{White_Space}\p{White_Space}")
         self.inner_last = regex.compile(r"(?r)\P{White_Space}\p{White_Space}")
-        self.memo: dict[str, int] = {}
+        self.memo = Counts(self, most_pieces)
         self._start_over()
 
     def _start_over(self) -> None:
+        self.cells: dict[tuple[int, int], tuple[int, int]] = {}  # equal (token, count) pairs are kept once
         self.states: dict[tuple, int] = {}
         self.of: list[tuple] = []
         self.go: dict[int, tuple[int, int]] = {}  # state * 256 + byte -> (state, change of the count)
@@ -84,7 +101,10 @@ class CountTransducer:
         count = tails[k][1] + 1
         tails = (*tails, (t, count))
         k = next(k for k in range(len(read) + 1) if read[k:] in self.prefixes)
-        to = self._state((read[k:], tuple((t, c - count) for t, c in tails[k:])))
+        keep, prefixes = self.cells.setdefault, self.prefixes
+        to = self._state((read[k:], tuple(
+            keep((x := (v[0], v[1] - count)), x) if v and read[j:] in prefixes else None
+            for j, v in enumerate(tails[k:], k))))
         self.go[state << 8 | byte] = to, count
         return to, count
 
@@ -100,23 +120,7 @@ class CountTransducer:
         return n
 
     def _pieces(self, text: str) -> int:
-        pieces = self.pattern.findall(text)
-        memo = self.memo
-        try:
-            return sum(map(memo.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(memo) > self.most_pieces:
-            memo.clear()
-        n = 0
-        for p in pieces:
-            c = memo.get(p)
-            if c is None:
-                c = self.piece(p.encode())
-                if len(p) < 100:
-                    memo[p] = c
-            n += c
-        return n
+        return sum(map(self.memo.__getitem__, self.pattern.findall(text)))
 
     def count(self, text: str) -> int:
         """Tokens of a whole text, special strings as the library takes them (one token each)."""
@@ -164,7 +168,9 @@ def count_tokens(df: DataFrame, path: str | None = None, text: str = "text", chu
     """
     if clash := {"n_bytes", "n_tokens", "__row", "__part", "__mid", "__head", "__tail"} & set(df.columns):
         raise ValueError(f"the input already has {sorted(clash)}")
-    raw = df.sparkSession.sparkContext.broadcast(read_vocabulary(path or default_path()))
+    vocabulary = read_vocabulary(path or default_path())
+    raw = df.sparkSession.sparkContext.broadcast(vocabulary)
+    name = f"counts-{hashlib.md5(vocabulary).hexdigest()}"
     keep = [c for c in df.columns if c != text]
     numbered = df.withColumns({"__row": F.monotonically_increasing_id(),
                                "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
@@ -173,7 +179,7 @@ def count_tokens(df: DataFrame, path: str | None = None, text: str = "text", chu
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), inner])
 
     def machine() -> CountTransducer:
-        return per_worker(f"counts-{hashlib.md5(raw.value).hexdigest()}", lambda: CountTransducer(Merges(raw.value)))
+        return per_worker(name, lambda: CountTransducer(Merges(raw.value)))
 
     def maps(batches):
         import pyarrow as pa
