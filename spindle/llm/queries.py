@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindle.llm import bpe, decontaminate, jaccard, langid, licenses, quality, token_count, toxicity, warc
+from spindle.llm import bpe, decontaminate, jaccard, langid, licenses, quality, substring_dedup, token_count, toxicity, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
