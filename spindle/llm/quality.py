@@ -165,3 +165,49 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     out = filter_quality(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle() -> str:
+    """The same rows by DuckDB: measures over unnested words and lines, fences from order statistics of each group."""
+    word = r"[^\x20\x09-\x0D]+"
+    cells = " UNION ALL ".join(
+        f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, least(({steps} * {num}) // greatest({den}, 1), {TOP}) AS step FROM m"
+        for m, (num, den, steps, _) in MEASURES.items())
+    least = "CASE measure " + " ".join(f"WHEN '{m}' THEN {v[3]}" for m, v in MEASURES.items()) + " END"
+    low = "CASE WHEN measure IN (" + ", ".join(f"'{m}'" for m in sorted(LOWER)) + f") THEN least(q1 - {SPREAD} * (q3 - q1), q2 - {least}) END"
+
+    def level(name: str, by: list[str]) -> str:
+        key = ", ".join([*by, "measure"])
+        return f"""{name} AS (SELECT {key}, total, {low} AS low, greatest(q3 + {SPREAD} * (q3 - q1), q2 + {least}) AS high FROM (
+  SELECT {key}, total, min(step) FILTER (rn * 4 >= total) AS q1, min(step) FILTER (rn * 4 >= total * 2) AS q2, min(step) FILTER (rn * 4 >= total * 3) AS q3
+  FROM (SELECT {key}, step, row_number() OVER (PARTITION BY {key} ORDER BY step) AS rn, count(*) OVER (PARTITION BY {key}) AS total
+        FROM c WHERE NOT base_failed) GROUP BY {key}, total))"""
+
+    pick = lambda x: f"coalesce(CASE WHEN s.total >= {LEAST_DOCS} THEN s.{x} END, CASE WHEN l.total >= {LEAST_DOCS} THEN l.{x} END, a.{x})"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lang, source FROM documents),
+w AS (SELECT doc_id, lang, source, t, regexp_extract_all(t, '{word}') AS w FROM d),
+wc AS (SELECT doc_id, sum(length(x)) AS word_chars FROM (SELECT doc_id, unnest(w) AS x FROM w) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+       FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{word}') GROUP BY doc_id),
+win AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + {WINDOW - 1}), ' ') AS s FROM w, unnest(range(1, len(w) - {WINDOW - 2})) AS g(p) WHERE len(w) >= {WINDOW}),
+rep AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT p + k) AS n_repeat_words FROM rep, unnest(range({WINDOW})) AS g(k) GROUP BY doc_id),
+m0 AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+             CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM w LEFT JOIN wc USING (doc_id) LEFT JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m0),
+c AS ({cells}),
+{level("s", ["lang", "source"])},
+{level("l", ["lang"])},
+{level("a", [])},
+v AS (SELECT c.doc_id, bool_and(coalesce(c.step <= {pick("high")}, true) AND coalesce(c.step >= {pick("low")}, true)) AS fits
+      FROM c LEFT JOIN s ON s.lang IS NOT DISTINCT FROM c.lang AND s.source IS NOT DISTINCT FROM c.source AND s.measure = c.measure
+      LEFT JOIN l ON l.lang IS NOT DISTINCT FROM c.lang AND l.measure = c.measure LEFT JOIN a ON a.measure = c.measure GROUP BY c.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fits AS kept
+FROM m JOIN v USING (doc_id)
+"""
+
+
+OP4_SQL = oracle()

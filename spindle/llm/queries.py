@@ -20,6 +20,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_licenses": licenses.OP1_SQL,
     "op3_warc": warc.OP3_SQL,
+    "op4_quality": quality.OP4_SQL,
     "op6_jaccard_join": jaccard.OP6_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
 }
