@@ -138,8 +138,8 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
     levels = [(fences(own, group), group, "s"), (fences(by_lang, [lang]), [lang], "l"), (fences(merge(by_lang, []), []), [], "a")]
     out = ok
     for f, by, tag in levels:  # one row per group with the fences of all measures
-        wide = f.groupBy(*by).agg(F.max("total").alias(f"total_{tag}"), *(
-            F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}_{tag}") for m in MEASURES for side in ("low", "high")))
+        wide = f.groupBy(*by).agg(F.max("total").alias(f"__total_{tag}"), *(
+            F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"__{m}_{side}_{tag}") for m in MEASURES for side in ("low", "high")))
         if by:
             right = wide.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in wide.columns if c not in by))
             out = out.join(right, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left").drop(*(f"__{c}" for c in by))
@@ -147,7 +147,7 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
             out = out.join(F.broadcast(wide.withColumn("__one", F.lit(1))), F.lit(1) == F.col("__one"), "left").drop("__one")
     fits = F.lit(True)
     for m in MEASURES:
-        pick = lambda side: F.coalesce(*(F.when(F.col(f"total_{t}") >= (LEAST_DOCS if t != "a" else 1), F.col(f"{m}_{side}_{t}")) for t in "sla"))  # noqa: E731, B023
+        pick = lambda side: F.coalesce(*(F.when(F.col(f"__total_{t}") >= (LEAST_DOCS if t != "a" else 1), F.col(f"__{m}_{side}_{t}")) for t in "sla"))  # noqa: E731, B023
         fits = fits & F.coalesce(_step(m) <= pick("high"), F.lit(True))
         if m in LOWER:
             fits = fits & F.coalesce(_step(m) >= pick("low"), F.lit(True))
@@ -158,6 +158,8 @@ def filter_quality(df: DataFrame, text: str = "text", lang: str = "lang", source
     """Measures, base rule and verdict of every row: the columns of ``df`` except ``text``, the base measures,
     ``base_failed`` and ``kept``. NULL and empty texts fail the base rule. Repeated rows are judged alike, and
     each counts in the sketches. An empty table stays empty. The measures are written once and read twice."""
+    if clash := {"base_failed", "kept"} & set(df.columns):
+        raise ValueError(f"the input already has {sorted(clash)}")
     return judge(materialize(base_measures(df, text), "quality"), lang, source)
 
 
