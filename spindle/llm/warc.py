@@ -78,7 +78,10 @@ def parse_plain(data: bytes, at: int) -> tuple[Record, int]:
         k, sep, v = x.partition(b":")
         if not sep:
             raise ValueError("header line without colon")
-        headers[k.decode("utf-8", "replace").strip().lower()] = v.decode("utf-8", "replace").strip()
+        name = k.decode("utf-8", "replace").strip().lower()
+        if name in headers and name != "warc-concurrent-to":  # two headers run into each other
+            raise ValueError("header repeats")
+        headers[name] = v.decode("utf-8", "replace").strip()
     if not headers.get("content-length", "").isdecimal() or "warc-type" not in headers:
         raise ValueError("missing header")
     size = int(headers["content-length"])
