@@ -21,6 +21,7 @@ from spindle.llm.common import per_worker, table
 
 DICT_PIECES = 300  # sample bound: training rows per language
 PIECE = 1500  # sample bound: characters of each
+SALTS = 64  # parts in which a language's rows are ranked first, so that a large language is no single task
 MAX_LANGUAGES = 200  # dictionaries are fixed-size, so the model is bounded by this; more labels are an error
 UNIT = 512  # bytes encoded at a time
 LEVEL = 6
@@ -42,8 +43,10 @@ def sample(train: DataFrame, text: str = "text", lang: str = "lang") -> list[tup
     Rows without text or language are no training rows; repeated texts count once."""
     rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(text, 1, PIECE).alias("piece"))
-    pick = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(
-        F.col("k") <= 2 * DICT_PIECES)
+    pick = rows.withColumn("salt", F.pmod("h", F.lit(SALTS)))  # the first of each part, then of the language
+    for part in (["lang", "salt"], ["lang"]):
+        pick = pick.withColumn("k", F.row_number().over(Window.partitionBy(*part).orderBy("h", "piece"))).where(
+            F.col("k") <= 2 * DICT_PIECES)
     found = sorted({(r.lang, r.h, r.piece) for r in pick.collect()})
     kept: dict[str, list[str]] = {}
     for la, _, piece in found:
