@@ -24,6 +24,7 @@ from spindle.session import materialize
 
 PRIOR = 0.1  # pseudo-counts of the prior in each class, as a share of all counts
 LEAST_Z = 3.0  # significance of a lexicon token
+TRAIN_ROWS = 200_000  # sample bound: labelled rows trained on, about (by a hash of the id where there are more)
 LEXICON = 50_000  # model size bound: the most significant tokens
 DRIFT = -0.15  # score of a token outside the lexicon
 MOST = 6.0  # largest score of a token
@@ -109,24 +110,30 @@ def token_counts(rows: DataFrame, text: str, label: str) -> DataFrame:
                                        F.sum((1 - F.col(label)).cast("long")).alias("clean"))
 
 
-def fit_lexicon(counts: DataFrame) -> dict[str, float]:
-    """Log-odds with the Dirichlet prior of the tokens that are significantly toxic, at most LEXICON of them."""
+def fit_lexicon(counts: DataFrame) -> tuple[dict[str, float], dict[float, float]]:
+    """Log-odds with the Dirichlet prior of the tokens that are significantly toxic, at most LEXICON of them, and
+    how often each score occurs in the clean rows (share by score)."""
     total = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     toxic, clean = float(total[0] or 0), float(total[1] or 0)
     if not toxic or not clean:
-        return {}
+        return {}, {}
     prior = (F.col("toxic") + F.col("clean")) * PRIOR
     weight = (toxic + clean) * PRIOR
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (toxic + weight - a)) - F.log(b / (clean + weight - b))
     z = odds / F.sqrt(1 / a + 1 / b)
     # equal significance is cut off by the token itself
-    top = counts.select("token", odds.alias("odds"), z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(
+    top = counts.select("token", "clean", odds.alias("odds"), z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(
         F.desc("z"), "token").limit(LEXICON)
-    return {r.token: min(MOST, r.odds) for r in top.collect()}
+    lexicon, rates = {}, {DRIFT: 1.0}
+    for r in top.collect():
+        value = lexicon[r.token] = min(MOST, r.odds)
+        rates[value] = rates.get(value, 0.0) + r.clean / clean
+        rates[DRIFT] -= r.clean / clean
+    return lexicon, rates
 
 
-def _calibrate(lexicon: dict[str, float], rates: dict[float, float]) -> float:
+def _calibrate(rates: dict[float, float]) -> float:
     """Root lambda > 0 of sum p(s) exp(lambda s) = 1 over the scores of clean text."""
     def f(x: float) -> float:
         return sum(p * math.exp(x * s) for s, p in rates.items()) - 1.0
@@ -146,21 +153,11 @@ def fit(rows: DataFrame, text: str = "text", label: str = "toxic") -> Model:
 
     Without both classes the model knows no toxic token and scores every text the same, below 0.5. The driver gets the
     lexicon (LEXICON tokens at most) and histograms of bounded size; all labelled rows are counted."""
-    spark = rows.sparkSession
     counts = materialize(token_counts(rows, text, label), "tox-counts")
-    lexicon = fit_lexicon(counts)
+    lexicon, rates = fit_lexicon(counts)
     if not lexicon:
         return Model({}, DRIFT, 1.0, 1.0, 1.0, 1.0)
-    shipped = spark.sparkContext.broadcast(lexicon)
-
-    @F.udf("double")
-    def value(token):
-        return shipped.value.get(token)
-
-    totals = counts.withColumn("s", F.round(F.coalesce(value("token"), F.lit(DRIFT)), 2)).groupBy("s").agg(
-        F.sum("clean").alias("n")).collect()
-    n = float(sum(r.n for r in totals)) or 1.0
-    lam = _calibrate(lexicon, {r.s: r.n / n for r in totals})
+    lam = _calibrate(rates)
     raw = Model(lexicon, DRIFT, lam, 1.0, 1.0, 0.0)
 
     def tops(batches):
@@ -214,6 +211,16 @@ def _logistic(x: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[float, flo
     return a, float(-b / a)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """The documents with their labels, about TRAIN_ROWS of them where there are more: so few that the labels are
+    broadcast and no text is shuffled. ``labels`` has one row per id; NULL ids have no label."""
+    known = labels.where(F.col(id_col).isNotNull())
+    n = known.count()
+    if n > TRAIN_ROWS:
+        known = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * TRAIN_ROWS / n))
+    return docs.join(F.broadcast(known), id_col)
+
+
 def score_rows(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of ``df`` except ``text``, with ``score`` (0 to 1), ``predicted`` (score >= 0.7), ``n_segments`` and ``segments``
     (start token, end token, score of each significant passage).
@@ -250,6 +257,6 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
         "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = materialize(docs.where("NOT held_out").join(labels, "doc_id").select("text", "toxic"), "tox-train")
+    train = materialize(labelled_sample(docs.where("NOT held_out"), labels, "doc_id").select("text", "toxic"), "tox-train")
     out = score_rows(docs, fit(train))
     return out.select("doc_id", "held_out", "score", "predicted", F.size("segments").cast("long").alias("n_segments"))
