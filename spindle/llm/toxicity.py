@@ -2,7 +2,7 @@
 
 Training counts the tokens of the labelled training rows, each once a row (partial sums, all rows), and takes the log-odds of
 the two classes with an informative Dirichlet prior, the pooled counts scaled to a share of themselves. Tokens whose log-odds are
-significantly positive form the lexicon; every other token scores a negative drift, solved so that the mean score of
+significantly positive form the lexicon (with stems of tokens, which stand for forms not seen); every other token scores a negative drift, solved so that the mean score of
 clean text is negative. One linear scan finds all maximal-scoring segments. Under
 clean text the best of n tokens scores above s with probability 1 - exp(-K n exp(-lambda s)); lambda solves
 E[exp(lambda score)] = 1 on clean training text and K is fitted there. A document's evidence is the
@@ -26,6 +26,7 @@ PRIOR = 0.1  # pseudo-counts of the prior in each class, as a share of all count
 LEAST_Z = 3.0  # significance of a lexicon token
 TRAIN_ROWS = 200_000  # sample bound: labelled rows trained on, about (by a hash of the id where there are more)
 LEXICON = 50_000  # model size bound: the most significant tokens
+STEMS = (4, 6)  # letters of the stems that longer tokens are also counted under, so inflected forms share evidence
 DRIFT = -0.15  # score of a token outside the lexicon
 MOST = 6.0  # largest score of a token
 PREDICT = 0.7  # fixed value: score from which a text is predicted toxic
@@ -64,6 +65,22 @@ def maximal_segments(at: list[int], score: list[float], drift: float) -> list[Se
     return [Segment(a, b, r - le) for a, b, le, r, _ in stack]
 
 
+class Values(dict):
+    """Scores of tokens met before (None: outside the lexicon); emptied when full."""
+
+    def __init__(self, lexicon: dict[str, float], most: int = 300_000):
+        super().__init__()
+        self.lexicon, self.most = lexicon, most
+
+    def __missing__(self, token: str) -> float | None:
+        get = self.lexicon.get
+        found = [v for k in (0, *STEMS) if (k == 0 or len(token) > k) and (v := get(token[:k] + "-" if k else token)) is not None]
+        if len(self) >= self.most:
+            self.clear()
+        value = self[token] = max(found, default=None)
+        return value
+
+
 @dataclass
 class Model:
     lexicon: dict[str, float]
@@ -75,8 +92,9 @@ class Model:
 
     def segments(self, text: str | None) -> tuple[int, list[Segment]]:
         tokens = _TOKEN.findall((text or "").lower())
-        get = self.lexicon.get
-        hits = [(i, v) for i, t in enumerate(tokens) if (v := get(t)) is not None]
+        if not hasattr(self, "values"):
+            self.values = Values(self.lexicon)
+        hits = [(i, v) for i, v in enumerate(map(self.values.__getitem__, tokens)) if v is not None]
         return len(tokens), maximal_segments([i for i, _ in hits], [v for _, v in hits], self.drift)
 
     def evidence(self, n: int, segments: list[Segment]) -> float:
@@ -102,10 +120,21 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * (evidence - self.middle)))))
 
 
+def _longer(k: int):
+    return lambda t: F.length(t) > k
+
+
+def _stem(k: int):
+    return lambda t: F.concat(F.substring(t, 1, k), F.lit("-"))
+
+
 def token_counts(rows: DataFrame, text: str, label: str) -> DataFrame:
     """Rows (token, toxic, clean): numbers of labelled rows with the token, over all of them."""
-    tokens = rows.where(F.col(label).isin(0, 1)).select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_JAVA), F.lit(0)))).alias("token"), label)
+    words = rows.where(F.col(label).isin(0, 1)).select(
+        F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_JAVA), F.lit(0))).alias("w"), label)
+    stems = (F.array_distinct(F.transform(F.filter("w", _longer(k)), _stem(k)))
+             for k in STEMS)
+    tokens = words.select(F.explode(F.concat("w", *stems)).alias("token"), label)
     return tokens.groupBy("token").agg(F.sum(F.col(label).cast("long")).alias("toxic"),
                                        F.sum((1 - F.col(label)).cast("long")).alias("clean"))
 
