@@ -36,8 +36,9 @@ def strip_trailing_commas(line: Column | str) -> Column:
 
 
 def bracket_row(*cols: Column | str) -> Column:
-    """Text form ``[a,b,c]`` of a row."""
-    return F.concat(F.lit("["), F.concat_ws(",", *[_col(c).cast("string") for c in cols]), F.lit("]"))
+    """Text form ``[a,b,c]`` of a row; a NULL field is written ``null``, so every row keeps its fields."""
+    fields = [F.coalesce(_col(c).cast("string"), F.lit("null")) for c in cols]
+    return F.concat(F.lit("["), F.concat_ws(",", *fields), F.lit("]"))
 
 
 def hours_since(ts: Column | str, origin_date: str = "2024-01-01") -> Column:

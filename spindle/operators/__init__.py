@@ -1,15 +1,11 @@
 from spindle.operators.convolution import (
     band_power_blocks,
     band_power_relational,
+    fir_blocks,
     fir_relational,
 )
-from spindle.operators.index import dense_index, order_violations
-from spindle.operators.intervals import (
-    interval_bins,
-    within_intervals_binned,
-    within_intervals_broadcast,
-    within_intervals_nested,
-)
+from spindle.operators.index import count_bins, dense_index, order_violations
+from spindle.operators.intervals import merged_bins, within_intervals
 from spindle.operators.phase import phase_buckets, phase_profile, select_result
 from spindle.operators.reference import (
     average_by_time_frequency,
@@ -20,9 +16,9 @@ from spindle.operators.reference import (
 from spindle.operators.stats import group_stats, zscore
 
 __all__ = [
-    "band_power_blocks", "band_power_relational", "fir_relational",
-    "dense_index", "order_violations",
-    "interval_bins", "within_intervals_binned", "within_intervals_broadcast", "within_intervals_nested",
+    "band_power_blocks", "band_power_relational", "fir_blocks", "fir_relational",
+    "count_bins", "dense_index", "order_violations",
+    "merged_bins", "within_intervals",
     "phase_buckets", "phase_profile", "select_result",
     "average_by_time_frequency", "average_reference", "average_reference_join", "average_reference_window",
     "group_stats", "zscore",

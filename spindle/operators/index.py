@@ -18,6 +18,15 @@ def _cols(xs: Sequence[Column | str]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def count_bins(df: DataFrame, series: Sequence[str], position: Column, target: int = 10_000) -> Column:
+    """A bin column for ``dense_index`` from counts: ``floor(position / width)`` with the width at which the densest
+    series has about ``target`` rows a bin. One small aggregate (a row per series) is read on the way."""
+    per = df.select(*series, position.cast("bigint").alias("_p")).groupBy(*series).agg(
+        F.min("_p").alias("lo"), F.max("_p").alias("hi"), F.count("_p").alias("n"))
+    width = per.agg(F.min((F.col("hi").cast("double") - F.col("lo") + 1) * target / F.col("n"))).first()[0]
+    return F.floor(position / F.lit(max(1, int(width or 1))))
+
+
 def dense_index(df: DataFrame, series: Sequence[str], order: Sequence[Column | str],
                 bin_col: Column, index_col: str = "i") -> DataFrame:
     """Add ``index_col`` = 0-based position of the row inside its series.

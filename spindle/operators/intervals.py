@@ -1,78 +1,66 @@
 """Keep rows whose time lies in any closed interval [lo, hi].
 
-A row inside several (overlapping) intervals is kept once: these are LEFT
-SEMI joins, never inner joins. An empty interval list keeps nothing.
+A row inside several (overlapping) intervals is kept once: this is a LEFT
+SEMI join, never an inner join. An empty interval list keeps nothing.
 
-* ``within_intervals_binned``    - intervals exploded to time bins; equi-join
-  on the bin plus the range test. Join strategy left to AQE (broadcast when
-  the measured bin table is small, else a shuffle join with skew splitting).
-* ``within_intervals_broadcast`` - the same bins, broadcast when an upper
-  bound of their count (one small aggregate) is below ``max_bins``.
-* ``within_intervals_nested``    - the literal OR of range tests as a
-  broadcast nested-loop semi join, for a short list (checked count).
-
-Cost of the binned forms grows with rows + interval bins, not rows x intervals.
+Intervals are clipped to the time range of the data (so an open-ended one costs no more than the data's
+own range), cut at the edges of time bins, and merged inside each bin: overlapping, touching and repeated
+ones become one. The rows then meet the few merged pieces of their bin in an equi-join plus the range test; the
+join strategy is left to AQE. Cost grows with rows + bins covered, not rows x intervals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def interval_bins(intervals: DataFrame, bin_width: int) -> DataFrame:
-    """One row per (interval, bin of width ``bin_width`` it overlaps)."""
-    lo_b = F.floor(F.col("lo") / F.lit(bin_width))
-    hi_b = F.floor(F.col("hi") / F.lit(bin_width))
-    return (intervals.filter(F.col("lo") <= F.col("hi"))
-            .select(F.explode(F.sequence(lo_b, hi_b)).alias("_bin"),
-                    F.col("lo").alias("_lo"), F.col("hi").alias("_hi")))
-
-
-def interval_shape(intervals: DataFrame) -> tuple[int, int, int]:
-    """(count, total length, mean length) of the non-empty intervals."""
-    r = (intervals.filter(F.col("lo") <= F.col("hi"))
-         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hi") - F.col("lo") + 1).alias("s")).first())
-    n, s = int(r["n"] or 0), int(r["s"] or 0)
-    return n, s, max(1, s // n) if n else 1
-
-
-def _semi(df: DataFrame, bins: DataFrame, time: str, bin_width: int) -> DataFrame:
-    keyed = df.withColumn("_bin", F.floor(F.col(time) / F.lit(bin_width)))
+def time_range(df: DataFrame, time: str = "time") -> tuple[int, int] | None:
+    """(smallest, largest) time of the rows, None if there is none."""
+    r = df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+    return None if r["lo"] is None else (int(r["lo"]), int(r["hi"]))
+
+
+def clip_intervals(intervals: DataFrame, bounds: tuple[int, int]) -> DataFrame:
+    """The non-empty intervals that meet the bounds, cut to them."""
+    lo, hi = (F.lit(x).cast("bigint") for x in bounds)
+    return (intervals.filter((F.col("lo") <= F.col("hi")) & (F.col("hi") >= lo) & (F.col("lo") <= hi))
+            .select(F.greatest(F.col("lo"), lo).alias("lo"), F.least(F.col("hi"), hi).alias("hi")))
+
+
+def mean_length(intervals: DataFrame) -> int:
+    """Mean length of clipped intervals, 1 at least (summed in DOUBLE: lengths may not fit a BIGINT sum)."""
+    r = intervals.agg(F.avg(F.col("hi").cast("double") - F.col("lo").cast("double") + 1).alias("m")).first()
+    return max(1, int(r["m"])) if r["m"] is not None else 1
+
+
+def merged_bins(intervals: DataFrame, bin_width: int) -> DataFrame:
+    """Rows (_bin, _lo, _hi): the clipped intervals cut at bin edges and merged inside each bin.
+
+    Pieces that begin alike are reduced to the longest first (a partial aggregate), so a bin never holds more
+    than ``bin_width`` of them, however many intervals there are."""
+    w = F.lit(bin_width).cast("bigint")
+    cut = intervals.select("lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / w), F.floor(F.col("hi") / w))).alias("_bin"))
+    first = F.col("_bin") * w
+    pieces = (cut.select("_bin", F.greatest("lo", first).alias("_lo"), F.least("hi", first + (w - 1)).alias("_hi"))
+              .groupBy("_bin", "_lo").agg(F.max("_hi").alias("_hi")))
+    order = Window.partitionBy("_bin").orderBy("_lo")
+    reach = F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = pieces.withColumn("_new", F.when(reach.isNull() | (F.col("_lo") - 1 > reach), 1).otherwise(0))
+    runs = marked.withColumn("_run", F.sum("_new").over(order))
+    return runs.groupBy("_bin", "_run").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).drop("_run")
+
+
+def within_intervals(df: DataFrame, intervals: DataFrame, time: str = "time", bin_width: int | None = None,
+                     bounds: tuple[int, int] | None = None) -> DataFrame:
+    """Rows of ``df`` inside any interval. ``bounds`` (default: from the rows, one small aggregate) is the time
+    range of the data; ``bin_width`` defaults to the mean length of the clipped intervals. NULL times are in no interval."""
+    bounds = bounds or time_range(df, time)
+    if bounds is None:
+        return df.filter(F.lit(False))
+    clipped = clip_intervals(intervals, bounds)
+    width = bin_width or mean_length(clipped)
+    bins = merged_bins(clipped, width)
+    keyed = df.withColumn("_bin", F.floor(F.col(time) / F.lit(width)))
     cond = (keyed["_bin"] == bins["_bin"]) & (F.col(time) >= F.col("_lo")) & (F.col(time) <= F.col("_hi"))
     return keyed.join(bins, cond, "left_semi").drop("_bin")
-
-
-def within_intervals_binned(df: DataFrame, intervals: DataFrame, time: str = "time",
-                            bin_width: int | None = None) -> DataFrame:
-    """Binned semi join; the bin width defaults to the mean interval length."""
-    if bin_width is None:
-        bin_width = interval_shape(intervals)[2]
-    return _semi(df, interval_bins(intervals, bin_width), time, bin_width)
-
-
-def within_intervals_broadcast(df: DataFrame, intervals: DataFrame, time: str = "time",
-                               bin_width: int | None = None, max_bins: int = 1_000_000) -> DataFrame:
-    """Binned semi join with the bins broadcast, when provably small.
-
-    An interval of length L covers at most L / width + 2 bins, so
-    ``2 * count + total_length / width`` bounds the bin table; above
-    ``max_bins`` (1M rows of three longs, about 24 MB) the shuffle form is
-    used instead.
-    """
-    n, total, mean = interval_shape(intervals)
-    width = bin_width or mean
-    bins = interval_bins(intervals, width)
-    if 2 * n + total // width <= max_bins:
-        bins = F.broadcast(bins)
-    return _semi(df, bins, time, width)
-
-
-def within_intervals_nested(df: DataFrame, intervals: DataFrame, time: str = "time",
-                            max_intervals: int = 256) -> DataFrame:
-    """OR of range tests (broadcast nested loop); longer lists go binned."""
-    n = intervals.limit(max_intervals + 1).count()
-    if n > max_intervals:
-        return within_intervals_binned(df, intervals, time)
-    iv = intervals.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    return df.join(F.broadcast(iv), (F.col(time) >= F.col("_lo")) & (F.col(time) <= F.col("_hi")), "left_semi")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OUT = ("rat", "frequency", "channel", "dt", "convolution", "time")
@@ -38,19 +38,18 @@ def average_reference(power: DataFrame, within: Sequence[str] = (), value: str =
     return per_key.select("rat", "frequency", "channel", "dt", mean.alias(value), "time")
 
 
-def average_reference_join(power: DataFrame, within: Sequence[str] = (), value: str = "convolution") -> DataFrame:
+def average_reference_join(power: DataFrame, within: Sequence[str] = (), value: str = "convolution",
+                           only: Column | None = None) -> DataFrame:
     """Aggregate-then-join plan: means per (time, frequency) joined back to
     the distinct channel rows. Both sides are partial aggregates; a skewed
-    key is split by AQE's skew join. Reads ``power`` twice."""
+    key is split by AQE's skew join. Reads ``power`` twice. ``only`` restricts the channel rows (not the means)."""
     grp = ["time", "frequency", *within]
-    keys = power.select("rat", "dt", "channel", "time", "frequency").distinct()
+    rows = power if only is None else power.where(only)
+    keys = rows.select("rat", "dt", "channel", "time", "frequency").distinct()
     means = power.groupBy(*grp).agg(F.avg(value).alias(value))
     return keys.join(means, grp).select(*OUT)
 
 
 def average_reference_window(power: DataFrame, within: Sequence[str] = (), value: str = "convolution") -> DataFrame:
-    """Window plan: one shuffle on (time, frequency); the distinct reuses it."""
-    grp = ["time", "frequency", *within]
-    w = Window.partitionBy(*grp)
-    return (power.select("rat", "dt", "channel", "time", "frequency", F.avg(value).over(w).alias(value))
-            .select(*OUT).distinct())
+    """The window plan under its own name: as ``average_reference``, which reduces the rows before the window."""
+    return average_reference(power, within, value)

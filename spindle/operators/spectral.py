@@ -1,15 +1,18 @@
 """Discrete Fourier transforms over long tables, one transform per key group.
 
 Input is a long table ``(keys..., index, re[, im])`` - one row per entry of
-a series or of a fixed-length segment of one. The length of a group's series
+a series or of a segment of one. The length of a group's series
 is ``max(index) + 1``; missing entries are zeros. Forward uses the exponent
-``-2*pi*i*j*k/n``, inverse ``+``; a scaled inverse divides by ``n``.
-
-Each group is transformed by NumPy inside one task (a sorted, streaming
-map over Arrow batches), so a group must be of bounded size: cut long series
-into segments first (``segments``), or transform a whole long series with
-``complex_forward_distributed`` (two rounds of small groups).
-``slice_series`` takes an offset window (transform of ``a[offa : offa + n]``).
+``-2*pi*i*j*k/n``, inverse ``+``; a scaled inverse divides by ``n``. NULL keys are a group like any other.
+
+All transforms run on one plan of bounded calls. With ``n = n1 * n2`` and ``j = j1 + n1 * j2``,
+``X[k2 + n2 * k1] = sum_j1 w_n1^(j1 k1) * w_n^(j1 k2) * sum_j2 x[j] w_n2^(j2 k2)``:
+round 1 transforms the ``n1`` rows j1 (length ``n2``) and applies the
+twiddle; round 2 transforms the ``n2`` columns k2 (length ``n1``).
+``n1`` is the largest divisor of ``n`` not above sqrt(n) (2^23 splits
+2048 x 4096). Where that leaves rows longer than a call may be (a large prime factor), the transform is
+a chirp product around a convolution whose length is a power of two, made of the same two rounds. Real, half, inverse
+and sliced transforms are column operations around it.
 """
 
 from __future__ import annotations
@@ -22,105 +25,161 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+ENTRIES = 1 << 16  # entries of one call, about
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys where NULL equals NULL; the keys of ``left`` stay."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(r, cond).drop(*[f"_r_{k}" for k in keys])
+
 
-def _out_schema(df: DataFrame, keys: Sequence[str], index: str, complex_out: bool) -> T.StructType:
-    fields = [T.StructField(k, df.schema[k].dataType, True) for k in keys]
-    fields.append(T.StructField(index, T.LongType(), False))
-    fields.append(T.StructField("re", T.DoubleType(), False))
-    if complex_out:
-        fields.append(T.StructField("im", T.DoubleType(), False))
-    return T.StructType(fields)
+def _sizes(df: DataFrame, keys: Sequence[str], index: str, n: str | None) -> DataFrame:
+    """(keys, _n, _n1): length of each series and the row count of its split."""
+    length = F.max(n) if n else F.max(index) + 1
+    sizes = df.groupBy(*keys).agg(length.cast("bigint").alias("_n"))
+    divisors = F.filter(F.sequence(F.lit(1).cast("bigint"), F.floor(F.sqrt("_n")).cast("bigint")),
+                        lambda d: F.col("_n") % d == 0)
+    return sizes.withColumn("_n1", F.array_max(divisors))
 
 
-def _dense(cols: dict, index: str, col: str | None, n: int | None = None) -> np.ndarray:
-    idx = cols[index]
-    size = int(idx.max()) + 1 if n is None else n
-    out = np.zeros(size)
-    if col is not None:
-        keep = idx < size
-        out[idx[keep]] = cols[col][keep]
+def _dft(df: DataFrame, keys: Sequence[str], index: str, re: Column, im: Column, entries: int = ENTRIES,
+         n: str | None = None) -> DataFrame:
+    """Forward transform: rows (keys, k, re, im, _n). ``n`` names a column with the length (default: max index + 1)."""
+    keys = list(keys)
+    x = df.select(*keys, F.col(index).cast("bigint").alias("_j"), re.cast("double").alias("re"), im.cast("double").alias("im"))
+    sizes = _sizes(df, keys, index, n)
+    long = F.col("_n") > F.col("_n1") * entries
+    rows = _null_safe(x, sizes, keys)
+    out = _four_step(rows.where(~long), keys, entries)
+    if not sizes.where(long).isEmpty():  # one row per series is looked at
+        out = out.unionByName(_chirp(rows.where(long), sizes.where(long), keys, entries))
     return out
 
 
-def _group_starts(tbl: pa.Table, keys: Sequence[str]) -> np.ndarray:
-    change = np.zeros(max(tbl.num_rows - 1, 0), dtype=bool)
-    for k in keys:
-        a = tbl.column(k).to_numpy(zero_copy_only=False)
-        change |= a[1:] != a[:-1]
-    return np.concatenate([[0], np.nonzero(change)[0] + 1])
+def _four_step(rows: DataFrame, keys: list[str], entries: int) -> DataFrame:
+    """The two rounds over rows (keys, _j, re, im, _n, _n1). Each call takes a block of rows - about
+    ``entries`` entries, one 2-D NumPy transform - so neither long rows
+    nor many short ones make a group large or a call tiny."""
+    p = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n2 = (F.col("_n") / F.col("_n1")).cast("bigint")
+    x = (rows.withColumn("_c1", F.greatest(F.lit(1), F.floor(F.lit(entries) / n2)).cast("bigint"))
+         .withColumn("_c2", F.greatest(F.lit(1), F.floor(F.lit(entries) / F.col("_n1"))).cast("bigint"))
+         .withColumn("_j1", F.col("_j") % F.col("_n1"))
+         .withColumn("_j2", F.floor(F.col("_j") / F.col("_n1")))
+         .withColumn("_b", F.floor(F.col("_j1") / F.col("_c1"))))
 
+    key_fields = [T.StructField(k, rows.schema[k].dataType, True) for k in keys]
+    values = [T.StructField("re", T.DoubleType(), False), T.StructField("im", T.DoubleType(), False)]
+    mid = T.StructType(key_fields + [T.StructField(c, T.LongType(), False) for c in ("_j1", "_k2", "_n", "_n1", "_c2")] + values)
+    final = T.StructType(key_fields + [T.StructField("k", T.LongType(), False)] + values + [T.StructField("_n", T.LongType(), False)])
 
-def _apply(df: DataFrame, keys: Sequence[str], in_cols: list[str], out_index: str, complex_out: bool, fn) -> DataFrame:
-    """Per-group transform as a sorted, streaming map over Arrow batches.
+    def head(tbl, c):
+        return int(tbl.column(c)[0].as_py())
 
-    Rows are hash-partitioned and sorted by the group keys; each task walks
-    its batches and transforms every complete group with NumPy, carrying only
-    the rows of the unfinished last group into the next batch. Memory is a
-    batch plus the largest group, and there is no per-group serialization -
-    many small groups cost what their rows cost.
-    """
-    keys = list(keys)
-    schema = _out_schema(df, keys, out_index, complex_out)
-    names = [f.name for f in schema.fields]
-    p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    src = df.select(*keys, *in_cols).repartition(p, *keys).sortWithinPartitions(*keys)
-
-    def transform(g: pa.Table) -> pa.RecordBatch:
-        cols = {c: g.column(c).to_numpy(zero_copy_only=False) for c in in_cols}
-        y = fn(cols)
-        m = len(y)
-        arrays = [pa.repeat(g.column(k)[0], m) for k in keys]
-        arrays.append(pa.array(np.arange(m, dtype=np.int64)))
-        if complex_out:
-            arrays += [pa.array(np.ascontiguousarray(y.real, dtype=np.float64)),
-                       pa.array(np.ascontiguousarray(y.imag, dtype=np.float64))]
-        else:
-            arrays.append(pa.array(np.asarray(y, dtype=np.float64)))
-        return pa.RecordBatch.from_arrays(arrays, names=names)
-
-    def run(batches):
-        carry = None
-        for rb in batches:
-            t = pa.Table.from_batches([rb])
-            if carry is not None:
-                t = pa.concat_tables([carry, t])
-            if t.num_rows == 0:
-                continue
-            starts = _group_starts(t, keys)
-            for a, b in zip(starts[:-1], starts[1:]):
-                yield transform(t.slice(a, b - a))
-            carry = t.slice(starts[-1])
-        if carry is not None and carry.num_rows:
-            yield transform(carry)
-
-    return src.mapInArrow(run, schema)
-
-
-def complex_forward(df: DataFrame, keys: Sequence[str], index: str = "j", re: str = "re", im: str = "im") -> DataFrame:
+    def col(tbl, c, dtype):
+        return tbl.column(c).to_numpy().astype(dtype, copy=False)
+
+    def round1(tbl: pa.Table) -> pa.Table:
+        n, n1, c1, b = head(tbl, "_n"), head(tbl, "_n1"), head(tbl, "_c1"), head(tbl, "_b")
+        n2 = n // n1
+        j1s = np.arange(b * c1, min((b + 1) * c1, n1), dtype=np.int64)
+        a = np.zeros((len(j1s), n2), dtype=complex)
+        a[col(tbl, "_j1", np.int64) - b * c1, col(tbl, "_j2", np.int64)] = \
+            col(tbl, "re", np.float64) + 1j * col(tbl, "im", np.float64)
+        k2 = np.arange(n2, dtype=np.int64)
+        y = np.fft.fft(a, axis=1) * np.exp(-2j * np.pi * (np.outer(j1s, k2) % n) / n)
+        m = y.size
+        arrays = [pa.repeat(tbl.column(k)[0], m) for k in keys]
+        arrays += [pa.array(np.repeat(j1s, n2)), pa.array(np.tile(k2, len(j1s))), pa.array(np.full(m, n, np.int64)),
+                   pa.array(np.full(m, n1, np.int64)), pa.array(np.full(m, head(tbl, "_c2"), np.int64)),
+                   pa.array(np.ascontiguousarray(y.real).reshape(-1)), pa.array(np.ascontiguousarray(y.imag).reshape(-1))]
+        return pa.Table.from_arrays(arrays, names=[f.name for f in mid.fields])
+
+    def round2(tbl: pa.Table) -> pa.Table:
+        n, n1, c2, b = head(tbl, "_n"), head(tbl, "_n1"), head(tbl, "_c2"), head(tbl, "_b")
+        n2 = n // n1
+        k2s = np.arange(b * c2, min((b + 1) * c2, n2), dtype=np.int64)
+        a = np.zeros((len(k2s), n1), dtype=complex)
+        a[col(tbl, "_k2", np.int64) - b * c2, col(tbl, "_j1", np.int64)] = \
+            col(tbl, "re", np.float64) + 1j * col(tbl, "im", np.float64)
+        y = np.fft.fft(a, axis=1)  # [k2, k1]
+        arrays = [pa.repeat(tbl.column(k)[0], y.size) for k in keys]
+        arrays += [pa.array((k2s[:, None] + n2 * np.arange(n1, dtype=np.int64)[None, :]).reshape(-1)),
+                   pa.array(np.ascontiguousarray(y.real).reshape(-1)), pa.array(np.ascontiguousarray(y.imag).reshape(-1)),
+                   pa.array(np.full(y.size, n, np.int64))]
+        return pa.Table.from_arrays(arrays, names=[f.name for f in final.fields])
+
+    step1 = (x.select(*keys, "_b", "_j1", "_j2", "_n", "_n1", "_c1", "_c2", "re", "im")
+             .repartition(p, *keys, "_b").groupBy(*keys, "_b").applyInArrow(round1, mid))
+    step2 = step1.withColumn("_b", F.floor(F.col("_k2") / F.col("_c2")))
+    return step2.repartition(p, *keys, "_b").groupBy(*keys, "_b").applyInArrow(round2, final)
+
+
+def _times(ar: Column, ai: Column, br: Column, bi: Column) -> tuple[Column, Column]:
+    return ar * br - ai * bi, ar * bi + ai * br
+
+
+def _wave(j: Column, n: Column, sign: int) -> tuple[Column, Column]:
+    """cos and sin of sign * pi * j^2 / n, the square reduced modulo 2n first."""
+    angle = F.lit(float(np.pi)) * ((j * j) % (n * 2)).cast("double") / n.cast("double")
+    return F.cos(angle), (F.sin(angle) if sign > 0 else -F.sin(angle))
+
+
+def _chirp(rows: DataFrame, sizes: DataFrame, keys: list[str], entries: int) -> DataFrame:
+    """Transform of any length: with ``jk = (j^2 + k^2 - (k-j)^2) / 2``, ``X[k] = w[k] * sum_j (x[j] w[j]) conj(w[k-j])``,
+    ``w[j] = exp(-i pi j^2 / n)``. The sum is a cyclic convolution of length m, the power of two from 2n - 1 on; the spectrum of
+    the chirp is made once for each length that occurs."""
+    m = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_n") * 2 - 1))).cast("bigint")
+    c, s = _wave(F.col("_j"), F.col("_n"), -1)
+    re, im = _times(F.col("re"), F.col("im"), c, s)
+    a = rows.select(*keys, "_j", re.alias("re"), im.alias("im"), F.col("_n").alias("_len"), m.alias("_m"))
+    fa = _dft(a, [*keys, "_len"], "_j", F.col("re"), F.col("im"), entries, "_m")
+    lengths = sizes.select(F.col("_n").alias("_len"), m.alias("_m")).distinct()
+    j = lengths.select("_len", "_m", F.explode(F.sequence(F.lit(1).cast("bigint") - F.col("_len"), F.col("_len") - 1)).alias("_d"))
+    c, s = _wave(F.col("_d"), F.col("_len"), +1)
+    b = j.select("_len", "_m", F.pmod(F.col("_d"), F.col("_m")).alias("_j"), c.alias("re"), s.alias("im"))
+    fb = _dft(b, ["_len"], "_j", F.col("re"), F.col("im"), entries, "_m").select(
+        "_len", "k", F.col("re").alias("_br"), F.col("im").alias("_bi"))
+    re, im = _times(F.col("re"), F.col("im"), F.col("_br"), F.col("_bi"))
+    prod = fa.join(fb, ["_len", "k"]).select(*keys, "_len", F.col("k").alias("_j"), re.alias("re"), (-im).alias("im"), F.col("_n").alias("_m"))
+    conv = _dft(prod, [*keys, "_len"], "_j", F.col("re"), F.col("im"), entries, "_m").where(F.col("k") < F.col("_len"))
+    c, s = _wave(F.col("k"), F.col("_len"), -1)
+    re, im = _times(F.col("re") / F.col("_n"), -F.col("im") / F.col("_n"), c, s)
+    return conv.select(*keys, "k", re.alias("re"), im.alias("im"), F.col("_len").alias("_n"))
+
+
+def complex_forward(df: DataFrame, keys: Sequence[str], index: str = "j", re: str = "re", im: str = "im",
+                    entries_per_call: int = ENTRIES) -> DataFrame:
     """X[k] = sum_j x[j] e^{-2 pi i j k / n}, k = 0..n-1."""
-    def fn(c):
-        return np.fft.fft(_dense(c, index, re) + 1j * _dense(c, index, im))
-    return _apply(df, keys, [index, re, im], "k", True, fn)
+    return _dft(df, keys, index, F.col(re), F.col(im), entries_per_call).drop("_n")
+
+
+def _inverse(df: DataFrame, keys: Sequence[str], index: str, re: Column, im: Column, scale: bool, n: str | None = None,
+             entries: int = ENTRIES) -> DataFrame:
+    """``ifft(X) = conj(fft(conj(X))) / n``: rows (keys, j, re, im)."""
+    out = _dft(df, keys, index, re, -im, entries, n)
+    by = F.col("_n") if scale else F.lit(1)
+    return out.select(*keys, F.col("k").alias("j"), (F.col("re") / by).alias("re"), (-F.col("im") / by).alias("im"))
 
 
 def complex_inverse(df: DataFrame, keys: Sequence[str], index: str = "k", re: str = "re", im: str = "im",
-                    scale: bool = True) -> DataFrame:
+                    scale: bool = True, entries_per_call: int = ENTRIES) -> DataFrame:
     """x[j] = (1/n if scale) * sum_k X[k] e^{+2 pi i j k / n}."""
-    def fn(c):
-        x = _dense(c, index, re) + 1j * _dense(c, index, im)
-        y = np.fft.ifft(x)
-        return y if scale else y * len(x)
-    return _apply(df, keys, [index, re, im], "j", True, fn)
+    return _inverse(df, keys, index, F.col(re), F.col(im), scale, entries=entries_per_call)
 
 
 def real_forward(df: DataFrame, keys: Sequence[str], index: str = "j", re: str = "re") -> DataFrame:
     """Half spectrum of a real series: k = 0..n//2."""
-    return _apply(df, keys, [index, re], "k", True, lambda c: np.fft.rfft(_dense(c, index, re)))
+    return _dft(df, keys, index, F.col(re), F.lit(0.0)).where(F.col("k") * 2 <= F.col("_n")).drop("_n")
 
 
 def real_forward_full(df: DataFrame, keys: Sequence[str], index: str = "j", re: str = "re") -> DataFrame:
     """Full spectrum of a real series: k = 0..n-1 (upper half is the conjugate mirror)."""
-    return _apply(df, keys, [index, re], "k", True, lambda c: np.fft.fft(_dense(c, index, re)))
+    return _dft(df, keys, index, F.col(re), F.lit(0.0)).drop("_n")
 
 
 def real_inverse(df: DataFrame, keys: Sequence[str], n: int | str, index: str = "k", re: str = "re",
@@ -128,26 +187,21 @@ def real_inverse(df: DataFrame, keys: Sequence[str], n: int | str, index: str =
     """Real series of length ``n`` from its half spectrum (k = 0..n//2).
 
     The imaginary parts of the k = 0 bin (and of k = n/2 for even n) are
-    ignored. ``n`` is a length or the name of a column holding it.
+    ignored. ``n`` is a length or the name of a column holding it. The other half is the conjugate mirror.
     """
-    n_col = [n] if isinstance(n, str) else []
-
-    def fn(c):
-        length = int(c[n][0]) if isinstance(n, str) else int(n)
-        half = length // 2 + 1
-        y = np.fft.irfft(_dense(c, index, re, half) + 1j * _dense(c, index, im, half), n=length)
-        return y if scale else y * length
-    return _apply(df, keys, [index, re, im, *n_col], "j", False, fn)
+    k, length = F.col(index).cast("bigint"), (F.col(n) if isinstance(n, str) else F.lit(n)).cast("bigint")
+    edge = (k == 0) | (k * 2 == length)
+    half = df.select(*keys, k.alias("_k"), F.col(re).alias("_re"), F.when(edge, 0.0).otherwise(F.col(im)).alias("_im"),
+                     length.alias("_len"), edge.alias("_edge")).where(F.col("_k") * 2 <= F.col("_len"))
+    mirror = half.where(~F.col("_edge")).withColumns({"_k": F.col("_len") - F.col("_k"), "_im": -F.col("_im")})
+    out = _inverse(half.unionByName(mirror), keys, "_k", F.col("_re"), F.col("_im"), scale, "_len")
+    return out.drop("im")
 
 
 def real_inverse_full(df: DataFrame, keys: Sequence[str], index: str = "k", re: str = "re",
                       scale: bool = True) -> DataFrame:
     """Complex inverse transform of a real sequence: all n outputs."""
-    def fn(c):
-        x = _dense(c, index, re)
-        y = np.fft.ifft(x)
-        return y if scale else y * len(x)
-    return _apply(df, keys, [index, re], "j", True, fn)
+    return _inverse(df, keys, index, F.col(re), F.lit(0.0), scale)
 
 
 def slice_series(df: DataFrame, index: str, offset: int, length: int) -> DataFrame:
@@ -180,90 +234,12 @@ def product_conj(a: DataFrame, b: DataFrame, keys: Sequence[str], index: str = "
 
 
 def complex_forward_distributed(df: DataFrame, keys: Sequence[str], index: str = "j", re: str = "re",
-                                im: str = "im", entries_per_call: int = 1 << 16) -> DataFrame:
-    """Forward DFT of whole (long) series in two rounds of bounded groups.
-
-    Four-step Cooley-Tukey: with ``n = n1 * n2`` and ``j = j1 + n1 * j2``,
-    ``X[k2 + n2 * k1] = sum_j1 w_n1^(j1 k1) * w_n^(j1 k2) * sum_j2 x[j] w_n2^(j2 k2)``.
-    Round 1 transforms the ``n1`` rows j1 (length ``n2``) and applies the
-    twiddle; round 2 transforms the ``n2`` columns k2 (length ``n1``).
-    ``n1`` is the largest divisor of ``n`` not above sqrt(n) (2^23 splits
-    2048 x 4096). Each call takes a block of rows - about
-    ``entries_per_call`` entries, one 2-D NumPy FFT - so neither long rows
-    nor many short ones make a group large or a call tiny. A prime length
-    has no split: its single row of n entries stays in one call.
-    """
-    keys = list(keys)
-    p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = df.groupBy(*keys).agg((F.max(index) + 1).alias("_n"))
-    divisors = F.filter(F.sequence(F.lit(1).cast("bigint"), F.floor(F.sqrt("_n")).cast("bigint")),
-                        lambda d: F.col("_n") % d == 0)
-    sizes = sizes.withColumn("_n1", F.array_max(divisors))
-    sizes = (sizes.withColumn("_n2", (F.col("_n") / F.col("_n1")).cast("bigint"))
-             .withColumn("_c1", F.greatest(F.lit(1), F.floor(F.lit(entries_per_call) / F.col("_n2"))).cast("bigint"))
-             .withColumn("_c2", F.greatest(F.lit(1), F.floor(F.lit(entries_per_call) / F.col("_n1"))).cast("bigint")))
-    x = (df.select(*keys, index, re, im).join(sizes, keys)
-         .withColumn("_j1", F.col(index) % F.col("_n1"))
-         .withColumn("_j2", F.floor(F.col(index) / F.col("_n1")))
-         .withColumn("_b", F.floor(F.col("_j1") / F.col("_c1"))))
-
-    key_fields = [T.StructField(k, df.schema[k].dataType, True) for k in keys]
-    mid = T.StructType(key_fields + [T.StructField(c, T.LongType(), False)
-                                     for c in ("_j1", "_k2", "_n", "_n1", "_c2")]
-                       + [T.StructField("re", T.DoubleType(), False), T.StructField("im", T.DoubleType(), False)])
-
-    def head(tbl, c):
-        return int(tbl.column(c)[0].as_py())
-
-    def col(tbl, c, dtype):
-        return tbl.column(c).to_numpy().astype(dtype, copy=False)
-
-    def round1(tbl: pa.Table) -> pa.Table:
-        n, n1, c1, b = head(tbl, "_n"), head(tbl, "_n1"), head(tbl, "_c1"), head(tbl, "_b")
-        n2 = n // n1
-        j1s = np.arange(b * c1, min((b + 1) * c1, n1), dtype=np.int64)
-        a = np.zeros((len(j1s), n2), dtype=complex)
-        a[col(tbl, "_j1", np.int64) - b * c1, col(tbl, "_j2", np.int64)] = \
-            col(tbl, re, np.float64) + 1j * col(tbl, im, np.float64)
-        k2 = np.arange(n2, dtype=np.int64)
-        y = np.fft.fft(a, axis=1) * np.exp(-2j * np.pi * (np.outer(j1s, k2) % n) / n)
-        m = y.size
-        arrays = [pa.repeat(tbl.column(k)[0], m) for k in keys]
-        arrays += [pa.array(np.repeat(j1s, n2)), pa.array(np.tile(k2, len(j1s))), pa.array(np.full(m, n, np.int64)),
-                   pa.array(np.full(m, n1, np.int64)), pa.array(np.full(m, head(tbl, "_c2"), np.int64)),
-                   pa.array(np.ascontiguousarray(y.real).reshape(-1)), pa.array(np.ascontiguousarray(y.imag).reshape(-1))]
-        return pa.Table.from_arrays(arrays, names=[f.name for f in mid.fields])
-
-    def round2(tbl: pa.Table) -> pa.Table:
-        n, n1, c2, b = head(tbl, "_n"), head(tbl, "_n1"), head(tbl, "_c2"), head(tbl, "_b")
-        n2 = n // n1
-        k2s = np.arange(b * c2, min((b + 1) * c2, n2), dtype=np.int64)
-        a = np.zeros((len(k2s), n1), dtype=complex)
-        a[col(tbl, "_k2", np.int64) - b * c2, col(tbl, "_j1", np.int64)] = \
-            col(tbl, "re", np.float64) + 1j * col(tbl, "im", np.float64)
-        y = np.fft.fft(a, axis=1)  # [k2, k1]
-        arrays = [pa.repeat(tbl.column(k)[0], y.size) for k in keys]
-        arrays += [pa.array((k2s[:, None] + n2 * np.arange(n1, dtype=np.int64)[None, :]).reshape(-1)),
-                   pa.array(np.ascontiguousarray(y.real).reshape(-1)), pa.array(np.ascontiguousarray(y.imag).reshape(-1))]
-        return pa.Table.from_arrays(arrays, names=[*keys, "k", "re", "im"])
-
-    step1 = (x.select(*keys, "_b", "_j1", "_j2", "_n", "_n1", "_c1", "_c2", re, im)
-             .repartition(p, *keys, "_b").groupBy(*keys, "_b").applyInArrow(round1, mid))
-    step2 = step1.withColumn("_b", F.floor(F.col("_k2") / F.col("_c2")))
-    return (step2.repartition(p, *keys, "_b").groupBy(*keys, "_b")
-            .applyInArrow(round2, _out_schema(df, keys, "k", True)))
+                                im: str = "im", entries_per_call: int = ENTRIES) -> DataFrame:
+    """``complex_forward`` under the name it has for whole long series."""
+    return complex_forward(df, keys, index, re, im, entries_per_call)
 
 
 def complex_inverse_distributed(df: DataFrame, keys: Sequence[str], index: str = "k", re: str = "re",
                                 im: str = "im", scale: bool = True) -> DataFrame:
-    """Inverse DFT of whole long series: ``ifft(X) = conj(fft(conj(X))) / n``
-    on the two-round forward plan (column negations around it)."""
-    keys = list(keys)
-    conj = df.select(*keys, F.col(index).alias("_j"), F.col(re).alias("_re"), (-F.col(im)).alias("_im"))
-    fwd = complex_forward_distributed(conj, keys, "_j", "_re", "_im")
-    out = fwd.select(*keys, F.col("k").alias("j"), "re", (-F.col("im")).alias("im"))
-    if not scale:
-        return out
-    n = df.groupBy(*keys).agg((F.max(index) + 1).alias("_n"))
-    return (out.join(n, keys)
-            .select(*keys, "j", (F.col("re") / F.col("_n")).alias("re"), (F.col("im") / F.col("_n")).alias("im")))
+    """``complex_inverse`` under the name it has for whole long series."""
+    return complex_inverse(df, keys, index, re, im, scale)

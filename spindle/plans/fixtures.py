@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.functions.columns import hours_since
-from spindle.operators.index import dense_index
+from spindle.operators.index import count_bins, dense_index
 
 SERIES = ["rat", "dt", "channel"]
 RESULT_RAT = "R0"
@@ -43,9 +43,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rat, dt, channel, time, i, v, event_id) - day bins for the index."""
+    """(rat, dt, channel, time, i, v, event_id) - bins of about 10,000 samples for the index."""
     s = samples(spark, sf_dir)
-    idx = dense_index(s, SERIES, ["ts", "event_id"], F.floor(F.col("time") / 24), "i")
+    second = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+    idx = dense_index(s, SERIES, ["ts", "event_id"], count_bins(s, SERIES, second), "i")
     return idx.select(*SERIES, "time", "i", "v", "event_id")
 
 

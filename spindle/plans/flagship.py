@@ -18,58 +18,57 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spindle.operators.convolution import band_power_blocks
-from spindle.operators.intervals import within_intervals_binned, within_intervals_broadcast
+from spindle.operators.intervals import time_range, within_intervals
 from spindle.operators.phase import phase_buckets, phase_profile, select_result
-from spindle.operators.reference import average_reference, average_reference_join, average_reference_window
+from spindle.operators.reference import average_reference, average_reference_join
 from spindle.operators.stats import zscore
-from spindle.session import scratch_path
+from spindle.session import materialize, scratch_path
 from spindle.sinks import write_power
 from spindle.sources.tables import read_power
 
 
 def power_table(signal: DataFrame, bank: DataFrame, keys: Sequence[str] = ("rat", "dt", "channel"),
-                path: str | None = None, observation: Observation | None = None, **block_args) -> DataFrame:
+                path: str | None = None, observation: Observation | None = None, mode: str = "errorifexists",
+                **block_args) -> DataFrame:
     """Band power written once as the partitioned power table and read back.
 
     The statistics read power several times (means and channel keys, stats
     and z rows); reading Parquet is cheaper than re-running the transforms,
     and the written table survives executor loss. ``path`` defaults to a new
     folder under the session's checkpoint directory. With ``observation``
-    the number of rows written is collected during the write (no extra pass).
+    the number of rows written is collected during the write (no extra pass). ``mode="add"`` adds the
+    series to an existing table or replaces them there; the whole table is read back.
     """
     spark = signal.sparkSession
     out = path or scratch_path(spark, "power")
     power = band_power_blocks(signal, bank, list(keys), **block_args)
     if observation is not None:
         power = power.observe(observation, F.count(F.lit(1)).alias("power_rows"))
-    write_power(power, out, mode="errorifexists")
+    write_power(power, out, mode=mode)
     return read_power(spark, out)
 
 
-def referenced(power: DataFrame, method: str = "aggregate") -> DataFrame:
-    if method == "window":
-        return average_reference_window(power)
-    if method == "join":
-        return average_reference_join(power)
-    return average_reference(power)
-
-
-def in_passes(z: DataFrame, passes: DataFrame, method: str = "binned") -> DataFrame:
-    if method == "broadcast":
-        return within_intervals_broadcast(z, passes)
-    return within_intervals_binned(z, passes)
+def _profile(rows: DataFrame, passes: DataFrame, phase: DataFrame, bin_width: int | None) -> DataFrame:
+    """Profile of average-referenced rows. They are written once: the statistics per group and the rows these are
+    joined to both read them."""
+    ref = materialize(rows, "referenced")
+    bounds = time_range(ref)
+    z = zscore(ref)
+    kept = within_intervals(z, passes, bin_width=bin_width, bounds=bounds) if bounds else z.where("false")
+    return phase_profile(kept, phase_buckets(phase))
 
 
 def profile(power: DataFrame, passes: DataFrame, phase: DataFrame, reference: str = "aggregate",
-            intervals: str = "binned") -> DataFrame:
-    z = zscore(referenced(power, reference))
-    return phase_profile(in_passes(z, passes, intervals), phase_buckets(phase))
+            bin_width: int | None = None) -> DataFrame:
+    rows = average_reference_join(power) if reference == "join" else average_reference(power)
+    return _profile(rows, passes, phase, bin_width)
 
 
 def result(power: DataFrame, passes: DataFrame, phase: DataFrame, rat: str, dt: str,
-           reference: str = "join", intervals: str = "binned") -> DataFrame:
-    """One rat and session. The join form of the reference is the default
-    here: the rat/dt filter then reaches the power scan as a partition
-    filter on the channel-key side, while the means still read every rat
-    (a window over (time, frequency) would block the filter)."""
-    return select_result(profile(power, passes, phase, reference, intervals), rat, dt)
+           reference: str = "join", bin_width: int | None = None) -> DataFrame:
+    """One rat and session. The means read every rat and session, but only the rows of this one are
+    referenced and kept: the join form lets the filter prune the channel-key side to its partition folders."""
+    if reference == "join":
+        rows = average_reference_join(power, only=(F.col("rat") == rat) & (F.col("dt") == dt))
+        return select_result(_profile(rows, passes, phase, bin_width), rat, dt)
+    return select_result(profile(power, passes, phase, reference, bin_width), rat, dt)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.operators import (
@@ -19,24 +19,38 @@ from spindle.operators import (
     average_reference_window,
     band_power_blocks,
     band_power_relational,
+    count_bins,
     dense_index,
+    fir_blocks,
     fir_relational,
     group_stats,
     order_violations,
     phase_buckets,
-    within_intervals_binned,
-    within_intervals_broadcast,
-    within_intervals_nested,
+    within_intervals,
     zscore,
 )
+from spindle.config import JobConfig
 from spindle.operators import spectral as X
+from spindle.operators.intervals import time_range
 from spindle.plans import fixtures as fx
 from spindle.plans import flagship
+from spindle.plans.job import load_recordings, run_job, run_statistics
 from spindle.plans.sql_chain import sql_result
 from spindle.plans.oracle import SERIES64, USER_SEGMENTS, dft_sql, with_ctes
-from spindle.session import scratch_path
-from spindle.sinks import result_lines, write_power
-from spindle.sources import parse_records, parse_signal, read_kernel_bank, read_power
+from spindle.session import materialize, scratch_path
+from spindle.sinks import result_lines, write_csv, write_power
+from spindle.sources import (
+    bank_frequencies,
+    index_recordings,
+    kernel_width,
+    parse_records,
+    parse_signal,
+    read_kernel_bank,
+    read_passes,
+    read_phase,
+    read_power,
+    read_recordings,
+)
 from spindle.sources.recordings import filename_keys
 from spindle.streaming import ingest_recordings
 
@@ -75,7 +89,7 @@ def kernel_bank_text(spark, sf):
                                            lambda s: s["h"].cast("string")), ",").alias("value"))
              .orderBy("frequency"))
     path = scratch_path(spark, "bank")
-    lines.select("value").coalesce(1).write.text(path)
+    lines.repartition(1).sortWithinPartitions("frequency").select("value").write.text(path)
     shape = bank.agg(F.min("frequency").alias("f0"), F.max("frequency").alias("f1"), F.max("u").alias("u")).first()
     return read_kernel_bank(spark, path, first_frequency=shape["f0"], last_frequency=shape["f1"],
                             width=shape["u"] + 1)
@@ -129,6 +143,23 @@ def fir_valid(spark, sf):
     return fir_relational(fx.signal(spark, sf), fx.bank(spark, sf), fx.SERIES)
 
 
+def fir_blocks_query(spark, sf):
+    return fir_blocks(fx.signal(spark, sf), fx.bank(spark, sf), fx.SERIES)
+
+
+def _with_missing(spark, sf):
+    """The signal with the samples of the largest values missing."""
+    return fx.signal(spark, sf).withColumn("v", F.when(F.col("v") < 25_000, F.col("v")))
+
+
+def fir_missing(spark, sf):
+    return fir_relational(_with_missing(spark, sf), fx.bank(spark, sf), fx.SERIES)
+
+
+def fir_missing_blocks(spark, sf):
+    return fir_blocks(_with_missing(spark, sf), fx.bank(spark, sf), fx.SERIES)
+
+
 def band_power(spark, sf):
     return band_power_relational(fx.signal(spark, sf), fx.bank(spark, sf), fx.SERIES)
 
@@ -162,25 +193,36 @@ def average_reference_within(spark, sf):
     return average_reference(_stored_power(spark, sf), within=["rat", "dt"]).select(*_RA, _f("convolution"))
 
 
+def _referenced(spark, sf):
+    """Average-referenced rows, written once: the statistics and the rows they are joined to read them."""
+    return materialize(average_reference(_stored_power(spark, sf)), "referenced")
+
+
 def group_stats_query(spark, sf):
     return group_stats(average_reference(_stored_power(spark, sf)))
 
 
 def zscore_query(spark, sf):
-    return zscore(average_reference(_stored_power(spark, sf)))
+    return zscore(_referenced(spark, sf))
+
+
+def _within(spark, sf, bin_width=None):
+    ref = _referenced(spark, sf)
+    return within_intervals(zscore(ref), fx.passes(spark, sf), bin_width=bin_width, bounds=time_range(ref))
 
 
 def within_passes(spark, sf):
-    return within_intervals_broadcast(zscore(average_reference(_stored_power(spark, sf))), fx.passes(spark, sf))
+    return _within(spark, sf)
 
 
 def within_passes_binned(spark, sf):
-    return within_intervals_binned(zscore(average_reference(_stored_power(spark, sf))), fx.passes(spark, sf))
+    """Day bins: many passes to a bin, merged there."""
+    return _within(spark, sf, 24)
 
 
 def within_passes_nested(spark, sf):
-    """The OR-of-ranges form (nested loop) while the pass list is short."""
-    return within_intervals_nested(zscore(average_reference(_stored_power(spark, sf))), fx.passes(spark, sf))
+    """Hour bins: every pass is cut at the bin edges."""
+    return _within(spark, sf, 1)
 
 
 def phase_bucket_query(spark, sf):
@@ -198,14 +240,14 @@ def final_result(spark, sf):
 
 
 def final_result_window(spark, sf):
-    """Same, with the window plans for the reference and the broadcast passes join."""
+    """Same, with the aggregate-and-window plan for the reference and day bins for the passes."""
     return flagship.result(_stored_power(spark, sf), fx.passes(spark, sf), fx.phase(spark, sf),
-                           fx.RESULT_RAT, fx.RESULT_DT, reference="window", intervals="broadcast")
+                           fx.RESULT_RAT, fx.RESULT_DT, reference="aggregate", bin_width=24)
 
 
 def final_result_streamed(spark, sf):
-    """Same, without storing power: one lazy plan from the driver tables."""
-    return flagship.result(_power(spark, sf), fx.passes(spark, sf), fx.phase(spark, sf),
+    """Same, with power as a plain staged table instead of the partitioned power table."""
+    return flagship.result(materialize(_power(spark, sf), "power-rows"), fx.passes(spark, sf), fx.phase(spark, sf),
                            fx.RESULT_RAT, fx.RESULT_DT)
 
 
@@ -215,27 +257,124 @@ def final_result_sql(spark, sf):
                       fx.RESULT_RAT, fx.RESULT_DT)
 
 
+STREAM_SLICES = 2  # arrivals of each series
+
+
 def stream_ingest_power(spark, sf):
-    """Recordings written as time-ordered text files in rat=/dt=/channel=
-    folders, ingested by the streaming job (available now: every file in one
-    batch), read back from the power table it wrote."""
+    """Recordings arriving as text files in rat=/dt=/channel= folders, each series in time slices, ingested by the
+    streaming job a few files a batch, read back from the power table it wrote."""
     base = scratch_path(spark, "recordings")
     sig = fx.samples(spark, sf)
-    # One file per (series, day) task: no task writes a whole series. Sorting by
-    # the partition columns first satisfies the writer's ordering, so no second
-    # sort can disturb the time order of the lines.
-    (sig.repartition(*fx.SERIES, F.floor(F.col("time") / 24))
-     .sortWithinPartitions(*fx.SERIES, "ts", "event_id")
-     .select(*fx.SERIES, F.concat_ws(",", F.col("time").cast("string"), F.col("v").cast("string")).alias("value"))
-     .write.partitionBy(*fx.SERIES).text(base + "/in"))
-    q = ingest_recordings(spark, base + "/in", base + "/power", fx.bank(spark, sf), bin_width=24,
-                          checkpoint=base + "/checkpoint", keys_from="path", integer_samples=True)
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+    lo, hi = time_range(sig)
+    width = (hi - lo) // STREAM_SLICES + 1
+    bank = fx.bank(spark, sf)
+    for k in range(STREAM_SLICES):
+        # Sorting by the partition columns first satisfies the writer's ordering, so no second
+        # sort can disturb the time order of the lines.
+        (sig.where(F.floor((F.col("time") - lo) / width) == k).repartition(*fx.SERIES)
+         .sortWithinPartitions(*fx.SERIES, "ts", "event_id")
+         .select(*fx.SERIES, F.concat_ws(",", F.col("time").cast("string"), F.col("v").cast("string")).alias("value"))
+         .write.mode("append").partitionBy(*fx.SERIES).text(base + "/in"))
+        q = ingest_recordings(spark, base + "/in", base + "/power", bank, keys_from="path", integer_samples=True,
+                              max_files_per_trigger=8)
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
     return read_power(spark, base + "/power").select(*fx.SERIES, "time", "frequency", "convolution")
 
 
+# --- the job from text ------------------------------------------------------
+
+JOB_DT = "2024-01-01"  # session part of the file names, which need year, month and day
+
+
+def _text_inputs(spark, sf) -> tuple[str, JobConfig]:
+    """The driver tables written as the job's text inputs: named recording files (each series over several folders), bank,
+    passes and phase. Returns the folder and the bank's shape."""
+    base = scratch_path(spark, "job")
+    name = F.concat(F.col("rat"), F.lit(f"-{JOB_DT}-CSC"), F.col("channel"), F.lit(".csv"))
+    (fx.samples(spark, sf).select(F.floor(F.col("time") / 240).alias("part"), name.alias("name"), "ts", "event_id",
+                                  F.concat_ws(",", F.col("time").cast("string"), F.col("v").cast("string")).alias("value"))
+     .repartition("part", "name").sortWithinPartitions("part", "name", "ts", "event_id")
+     .select("part", "name", "value").write.partitionBy("part", "name").text(base + "/staged"))
+    # Spark names its files itself; the recordings are moved to the names the keys are read from
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(conf)
+    for f in fs.globStatus(path(base + "/staged/part=*/name=*/part-*")):
+        folder = f.getPath().getParent()
+        to = path(f"{base}/rec/{folder.getParent().getName()}")
+        fs.mkdirs(to)
+        if not fs.rename(f.getPath(), path(to, folder.getName()[len("name="):])):
+            raise RuntimeError(f"could not move {f.getPath()}")
+    bank = fx.bank(spark, sf)
+    (bank.groupBy("frequency").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("u", "h"))),
+                                                            lambda s: s["h"].cast("string")), ",").alias("value"))
+     .repartition(1).sortWithinPartitions("frequency").select("value").write.text(base + "/bank"))
+    fx.passes(spark, sf).select(F.concat_ws(",", "lo", "hi", F.lit("pass")).alias("value")).write.text(base + "/passes")
+    fx.phase(spark, sf).select(F.concat_ws(", ", "time", "phase").alias("value")).write.text(base + "/phase")
+    f = bank_frequencies(bank)
+    return base, JobConfig(first_frequency=f[0], last_frequency=f[-1], kernel_width=kernel_width(bank))
+
+
+def _read_result(spark, path):
+    """The result text back as columns; ``null`` is NULL."""
+    parts = F.split(F.regexp_extract("value", r"^\[(.*)\]$", 1), ",")
+    field = lambda k, kind: F.nullif(parts[k], F.lit("null")).cast(kind)
+    return spark.read.text(path).select(field(0, "int").alias("frequency"), field(1, "int").alias("phaserange"),
+                                        field(2, "float").alias("convolution"))
+
+
+def job_from_text(spark, sf):
+    """The whole job: text inputs, power table, statistics, result text."""
+    base, config = _text_inputs(spark, sf)
+    run_job(spark, base + "/rec/*", base + "/bank", base + "/passes", base + "/phase", base + "/power", base + "/result",
+            fx.RESULT_RAT, JOB_DT, config=config, integer_samples=True)
+    return _read_result(spark, base + "/result")
+
+
+def job_append(spark, sf):
+    """Recordings added to the power table in two calls (one of them twice), then the statistics over all of it."""
+    base, config = _text_inputs(spark, sf)
+    for files in ("R0-*", "R1-*", "R0-*"):
+        load_recordings(spark, f"{base}/rec/*/{files}", base + "/bank", base + "/power", config=config, integer_samples=True, mode="add")
+    run_statistics(spark, base + "/power", base + "/passes", base + "/phase", fx.RESULT_RAT, JOB_DT, base + "/result")
+    return _read_result(spark, base + "/result")
+
+
+def passes_phase_text(spark, sf):
+    """Passes and phase scanned from text, joined: each pass with the phase at its begin."""
+    base, _ = _text_inputs(spark, sf)
+    passes, phase = read_passes(spark, base + "/passes"), read_phase(spark, base + "/phase")
+    return passes.join(phase, passes.lo == phase.time).select("lo", "hi", "phase")
+
+
+def recordings_scan(spark, sf):
+    """Recording files scanned in batch: samples with the keys of their file names."""
+    base, _ = _text_inputs(spark, sf)
+    return read_recordings(spark, base + "/rec/*").select("rat", "dt", "channel", "time", "voltage")
+
+
+def load_counts(spark, sf):
+    """Lines read, samples kept and power rows written, counted on the way."""
+    base, config = _text_inputs(spark, sf)
+    seen, power = Observation("load"), Observation("power")
+    rec = materialize(read_recordings(spark, base + "/rec/*", observation=seen), "samples")
+    sig = index_recordings(rec.withColumn("v", F.col("voltage").cast("bigint")), None, fx.SERIES)
+    bank = read_kernel_bank(spark, base + "/bank", config.first_frequency, config.last_frequency, config.kernel_width)
+    flagship.power_table(sig, bank, fx.SERIES, observation=power)
+    got = {**seen.get, **power.get}
+    return spark.range(1).select(*(F.lit(got[c]).cast("bigint").alias(c) for c in ("lines", "samples", "power_rows")))
+
+
+def csv_dump(spark, sf):
+    """Filtered values dumped as CSV text and read back."""
+    path = scratch_path(spark, "csv")
+    df = fir_blocks(fx.signal(spark, sf), fx.bank(spark, sf), fx.SERIES)
+    write_csv(df, path)
+    return spark.read.schema(df.schema).csv(path)
+
+
 # --- sinks ------------------------------------------------------------------
 
 def parquet_roundtrip(spark, sf):
@@ -261,7 +400,7 @@ def _series64(spark, sf):
 
 def _user_segments(spark, sf):
     ev = fx.table(spark, sf, "events").select("user_id", "event_id", "value")
-    idx = dense_index(ev, ["user_id"], ["event_id"], F.floor(F.col("event_id") / 4096), "jj")
+    idx = dense_index(ev, ["user_id"], ["event_id"], count_bins(ev, ["user_id"], F.col("event_id")), "jj")
     seg = X.segments(idx.withColumnRenamed("jj", "j"), "j", 128)
     return seg.select("user_id", "segment", "j", F.col("value").alias("re"), F.lit(0.0).alias("im"))
 
@@ -322,11 +461,17 @@ def dft_distributed(spark, sf):
 
 
 def idft_distributed(spark, sf):
-    """Whole channel series forward and back, both in two rounds of small groups."""
+    """Whole channel series taken as spectra and transformed back, alone (no forward transform before)."""
+    s = fx.signal(spark, sf).select(*fx.SERIES, F.col("i").alias("k"), F.col("v").cast("double").alias("re"),
+                                    F.lit(0.0).alias("im"))
+    return _rounded(X.complex_inverse_distributed(s, fx.SERIES, scale=False), fx.SERIES, "j", 2)
+
+
+def dft_chirp(spark, sf):
+    """Whole channel series with calls so small that those of a large prime factor take the chirp plan."""
     s = fx.signal(spark, sf).select(*fx.SERIES, F.col("i").alias("j"), F.col("v").cast("double").alias("re"),
                                     F.lit(0.0).alias("im"))
-    spec = X.complex_forward_distributed(s, fx.SERIES)
-    return _rounded(X.complex_inverse_distributed(spec, fx.SERIES), fx.SERIES, "j", 2)
+    return _rounded(X.complex_forward_distributed(s, fx.SERIES, entries_per_call=128), fx.SERIES, "k", 2)
 
 
 def spectral_product_conj(spark, sf):
@@ -378,8 +523,24 @@ QUERIES: dict[str, Query] = {
     "spectral_product_conj": spectral_product_conj,
     "dft_distributed": dft_distributed,
     "idft_distributed": idft_distributed,
+    "dft_chirp": dft_chirp,
+    "fir_blocks": fir_blocks_query,
+    "fir_missing": fir_missing,
+    "fir_missing_blocks": fir_missing_blocks,
+    "job_from_text": job_from_text,
+    "job_append": job_append,
+    "passes_phase_text": passes_phase_text,
+    "recordings_scan": recordings_scan,
+    "load_counts": load_counts,
+    "csv_dump": csv_dump,
 }
 
+def _series_dft(inverse: bool = False, scale: bool = False, index: str = "k") -> str:
+    return with_ctes("sig", body="") + dft_sql(
+        "SELECT rat, dt, channel, i AS j, CAST(v AS DOUBLE) AS x, 0.0 AS y FROM sig", ["rat", "dt", "channel"], index,
+        inverse=inverse, scale=scale, digits=2).replace("WITH s AS (", ", s AS (", 1)
+
+
 _LINES = """SELECT ' ' || CAST(event_id AS VARCHAR) || ' , ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)
        || CASE event_type WHEN 'click' THEN ',' WHEN 'signup' THEN ',,' WHEN 'error' THEN ',7' ELSE '' END AS line
 FROM events"""
@@ -410,6 +571,18 @@ SELECT jj.vec_id, jj.j,
 FROM jj JOIN hs ON jj.vec_id = hs.vec_id
 GROUP BY jj.vec_id, jj.j, jj.n"""
 
+
+
+# an output is NULL if its window holds a missing sample
+_MISSING = with_ctes("sig", "taps", body="") + """, w AS (SELECT max(u) + 1 AS w FROM taps)
+SELECT t.rat, t.dt, t.channel, t.time, k.frequency, t.i,
+       CAST(CASE WHEN count(CASE WHEN s.v < 25000 THEN 1 END) = (SELECT w FROM w)
+            THEN sum(CASE WHEN s.v < 25000 THEN CAST(k.h AS BIGINT) * s.v END) END AS BIGINT) AS y
+FROM sig t JOIN sig s ON s.rat = t.rat AND s.dt = t.dt AND s.channel = t.channel AND s.i BETWEEN t.i - (SELECT max(u) FROM taps) AND t.i
+JOIN taps k ON k.u = t.i - s.i
+WHERE t.i >= (SELECT max(u) FROM taps)
+GROUP BY t.rat, t.dt, t.channel, t.time, t.i, k.frequency"""
+
 SQL: dict[str, str] = {
     "kernel_bank_long": with_ctes("taps", body="SELECT frequency, u, h FROM taps"),
     "kernel_bank_text": with_ctes("taps", body="SELECT frequency, u, h FROM taps"),
@@ -469,6 +642,16 @@ FROM pw p JOIN (SELECT rat, dt, time, frequency, avg(convolution) AS convolution
     "dft_distributed": with_ctes("sig", body="") + dft_sql(
         "SELECT rat, dt, channel, i AS j, CAST(v AS DOUBLE) AS x, 0.0 AS y FROM sig", ["rat", "dt", "channel"], "k",
         digits=2).replace("WITH s AS (", ", s AS (", 1),
-    "idft_distributed": with_ctes("sig", body="""SELECT rat, dt, channel, i AS j, round(CAST(v AS DOUBLE), 2) + 0.0 AS re,
-       CAST(0.0 AS DOUBLE) AS im FROM sig"""),
+    "idft_distributed": _series_dft(inverse=True, index="j"),
+    "dft_chirp": _series_dft(index="k"),
+    "fir_blocks": with_ctes("conv", body="SELECT rat, dt, channel, time, frequency, i, y FROM conv"),
+    "fir_missing": _MISSING,
+    "fir_missing_blocks": _MISSING,
+    "job_from_text": with_ctes("prof", body=_FINAL),
+    "job_append": with_ctes("prof", body=_FINAL),
+    "passes_phase_text": with_ctes("passes", "phase", body="SELECT lo, hi, phase FROM passes JOIN phase ON lo = time"),
+    "recordings_scan": with_ctes("sig", body="""SELECT rat, '2024-01-01' AS dt, channel, time, CAST(v AS FLOAT) AS voltage FROM sig"""),
+    "load_counts": with_ctes("pw", body="""SELECT (SELECT count(*) FROM sig) AS lines, (SELECT count(*) FROM sig) AS samples,
+       (SELECT count(*) FROM pw) AS power_rows"""),
+    "csv_dump": with_ctes("conv", body="SELECT rat, dt, channel, time, frequency, i, y FROM conv"),
 }

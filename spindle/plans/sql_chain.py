@@ -4,7 +4,7 @@ Inputs are registered as views with a per-call suffix (power table, pass
 intervals, phase samples); the statement is a chain of CTEs equal to the
 DataFrame chain in ``flagship`` (join-form reference, binned pass semi join,
 z-score with NULL for sd = 0, phase buckets, mean per bucket). Passes are a
-table joined on time bins, never text spliced into the statement.
+table of merged pieces joined on time bins, never text spliced into the statement.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from spindle.config import DEFAULT
-from spindle.operators.intervals import interval_shape
+from spindle.operators.intervals import clip_intervals, mean_length, merged_bins, time_range
 
 STATEMENT = """
 WITH channel_keys AS (
@@ -28,15 +28,12 @@ WITH channel_keys AS (
   SELECT rat, dt, channel, frequency,
          CAST(AVG(value) AS FLOAT) AS mu, CAST(STDDEV_POP(value) AS FLOAT) AS sigma
   FROM referenced GROUP BY rat, dt, channel, frequency
-), pass_bins AS (
-  SELECT explode(sequence(CAST(FLOOR(lo / :w) AS BIGINT), CAST(FLOOR(hi / :w) AS BIGINT))) AS b, lo, hi
-  FROM {passes} WHERE lo <= hi
 ), scored AS (
   SELECT r.rat, r.dt, r.channel, r.time, r.frequency,
          CAST(try_divide(r.value - g.mu, g.sigma) AS FLOAT) AS z
   FROM referenced r
   JOIN moments g ON r.rat = g.rat AND r.dt = g.dt AND r.channel = g.channel AND r.frequency = g.frequency
-  LEFT SEMI JOIN pass_bins p ON CAST(FLOOR(r.time / :w) AS BIGINT) = p.b AND r.time BETWEEN p.lo AND p.hi
+  LEFT SEMI JOIN {passes} p ON CAST(FLOOR(r.time / :w) AS BIGINT) = p._bin AND r.time BETWEEN p._lo AND p._hi
 ), buckets AS (
   SELECT time, CAST(FLOOR((phase - :lo) / CAST(:span AS DOUBLE) * :n) + 1 AS INT) AS phaserange FROM {phase}
 )
@@ -53,8 +50,10 @@ def sql_result(spark: SparkSession, power: DataFrame, passes: DataFrame, phase:
     tag = uuid.uuid4().hex[:8]
     views = {"power": f"power_{tag}", "passes": f"passes_{tag}", "phase": f"phase_{tag}"}
     power.createOrReplaceTempView(views["power"])
-    passes.createOrReplaceTempView(views["passes"])
+    clipped = clip_intervals(passes, time_range(power) or (0, 0))
+    width = mean_length(clipped)
+    merged_bins(clipped, width).createOrReplaceTempView(views["passes"])
     phase.createOrReplaceTempView(views["phase"])
-    args = {"w": interval_shape(passes)[2], "lo": DEFAULT.phase_min, "span": DEFAULT.phase_max - DEFAULT.phase_min,
+    args = {"w": width, "lo": DEFAULT.phase_min, "span": DEFAULT.phase_max - DEFAULT.phase_min,
             "n": DEFAULT.phase_buckets, "rat": rat, "dt": dt}
     return spark.sql(STATEMENT.format(**views), args=args)

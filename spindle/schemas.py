@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 POWER_RECORD = T.StructType([
     T.StructField("time", T.LongType(), False),
     T.StructField("frequency", T.IntegerType(), False),
-    T.StructField("convolution", T.FloatType(), False),
+    T.StructField("convolution", T.FloatType(), True),  # NULL where samples are missing
 ])
 
 PARTITION_KEYS = T.StructType([

@@ -36,23 +36,43 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (local runs, tests) a folder under the
-    system temp directory is created and registered.
+    Where the session has none, a local session (one machine) gets a new folder under the system's
+    temp directory; on a cluster that folder would be the driver's own disk, so it is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not is_local(sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="spindle-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local-cluster`` is not)."""
+    return master == "local" or master.startswith("local[")
+
+
+_made: list[str] = []  # scratch paths handed out by this process
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process has made (call when their results have been used). Returns their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -13,9 +13,16 @@ def write_power(df: DataFrame, path: str, mode: str = "append",
                 records_per_file: int = DEFAULT.records_per_file) -> None:
     """Power rows into Parquet partitioned rat=/dt=/channel=, at most
     ``records_per_file`` rows per file. Each writing task holds one series
-    block, so no repartition is needed before the write."""
-    (df.write.mode(mode).partitionBy(*SERIES_KEYS)
-     .option("maxRecordsPerFile", records_per_file).parquet(path))
+    block, so no repartition is needed before the write.
+
+    ``mode="add"`` adds the series of ``df`` to an existing table and replaces
+    those it already has (dynamic partition overwrite), so adding the same
+    recording twice changes nothing."""
+    w = df.write.partitionBy(*SERIES_KEYS).option("maxRecordsPerFile", records_per_file)
+    if mode == "add":
+        w.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        w.mode(mode).parquet(path)
 
 
 def result_lines(df: DataFrame, cols=("frequency", "phaserange", "convolution")) -> DataFrame:
@@ -26,7 +33,7 @@ def result_lines(df: DataFrame, cols=("frequency", "phaserange", "convolution"))
 def write_text_result(df: DataFrame, path: str, cols=("frequency", "phaserange", "convolution")) -> None:
     """Single text file of ``[a,b,c]`` lines. Only for the small final result
     (one row per frequency and phase bucket): it is written by one task."""
-    result_lines(df, cols).coalesce(1).write.mode("errorifexists").text(path)
+    result_lines(df, cols).repartition(1).write.mode("errorifexists").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

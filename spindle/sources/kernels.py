@@ -53,30 +53,32 @@ def kernel_width(bank: DataFrame) -> int:
     return int(bank.agg(F.max("u")).first()[0]) + 1
 
 
-def bank_matrix(bank: DataFrame, max_kernels: int = 4096, max_width: int = 65536,
-                max_cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """(frequencies, taps[K, W]) of a long-form bank, for broadcast to tasks.
-
-    One small job, size checked as it is collected: at most ``max_kernels``
-    rows of at most ``max_width`` taps come to the driver, and K * W must stay
-    within ``max_cells`` (4M taps = 32 MB as float64, ten times the original
-    196 x 2001 bank). A larger bank is refused; the relational form has no
-    such bound.
-    """
-    per = (bank.groupBy("frequency")
-           .agg(F.count(F.lit(1)).alias("n"), F.max("u").alias("w"),
-                F.sort_array(F.collect_list(F.when(F.col("u") < max_width, F.struct("u", "h")))).alias("taps"))
-           .limit(max_kernels + 1).collect())
+def bank_frequencies(bank: DataFrame) -> list[int]:
+    """Frequencies of a bank in order (one integer per kernel); a (frequency, u) that occurs twice is an error."""
+    per = bank.groupBy("frequency").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("d")).collect()
     if not per:
         raise ValueError("empty kernel bank")
-    if len(per) > max_kernels or any(r["w"] >= max_width for r in per):
-        raise ValueError(f"kernel bank over {max_kernels} kernels or {max_width} taps; use the relational form")
-    per.sort(key=lambda r: r["frequency"])
-    w = max(r["w"] for r in per) + 1
-    if len(per) * w > max_cells:
-        raise ValueError(f"kernel bank of {len(per)} x {w} taps is over {max_cells} cells; use the relational form")
-    taps = np.zeros((len(per), w))
-    for k, r in enumerate(per):
-        for t in r["taps"]:
-            taps[k, t["u"]] = float(t["h"])
-    return np.array([r["frequency"] for r in per], dtype=np.int32), taps
+    twice = sorted(r["frequency"] for r in per if r["n"] != r["d"])
+    if twice:
+        raise ValueError(f"kernels with a tap given twice: frequencies {twice[:5]}")
+    return sorted(r["frequency"] for r in per)
+
+
+def bank_slices(bank: DataFrame, max_cells: int = 1 << 22, max_kernels: int | None = None) -> list[list[int]]:
+    """The frequencies of a bank cut into slices of at most ``max_cells`` taps (one kernel at least): a bank of any
+    size is processed slice by slice. 4M taps are 32 MB, ten times the original 196 x 2001 bank."""
+    freqs = bank_frequencies(bank)
+    per = max(1, min(max_cells // kernel_width(bank), max_kernels or len(freqs)))
+    return [freqs[k:k + per] for k in range(0, len(freqs), per)]
+
+
+def bank_matrix(bank: DataFrame, frequencies: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(frequencies, taps[K, W]) of a slice of a long-form bank, for shipping to tasks; W is the width of the whole bank."""
+    freqs = bank_frequencies(bank) if frequencies is None else frequencies
+    w = kernel_width(bank)
+    rows = bank.where(F.col("frequency").between(freqs[0], freqs[-1])).select("frequency", "u", "h").collect()
+    taps = np.zeros((len(freqs), w))
+    at = {f: k for k, f in enumerate(freqs)}
+    for r in rows:
+        taps[at[r["frequency"]], r["u"]] = float(r["h"] or 0)
+    return np.array(freqs, dtype=np.int32), taps

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.functions.columns import strip_trailing_commas
-from spindle.operators.index import dense_index, order_violations
+from spindle.operators.index import count_bins, dense_index, order_violations
 
 # Fixed value: file-name layout <rat>-<yyyy>-<mm>-<dd>-<3 chars><channel>.<ext>
 FILE_NAME_PATTERN = r"^([^-]*)-([^-]*-[^-]*-[^-]*)-...([^.]*)\."
@@ -19,7 +19,9 @@ FILE_NAME_PATTERN = r"^([^-]*)-([^-]*-[^-]*-[^-]*)-...([^.]*)\."
 
 def filename_keys(name: Column | str) -> list[Column]:
     c = F.col(name) if isinstance(name, str) else name
-    return [F.regexp_extract(c, FILE_NAME_PATTERN, i).alias(k) for i, k in ((1, "rat"), (2, "dt"), (3, "channel"))]
+    known = F.when(c.rlike(FILE_NAME_PATTERN), c).otherwise(
+        F.raise_error(F.concat(F.lit("no rat-yyyy-mm-dd-xxxchannel in the file name: "), F.coalesce(c, F.lit("NULL")))))
+    return [F.regexp_extract(known, FILE_NAME_PATTERN, i).alias(k) for i, k in ((1, "rat"), (2, "dt"), (3, "channel"))]
 
 
 def path_keys(path: Column | str) -> list[Column]:
@@ -37,6 +39,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(
         F.col("value").alias("line"),
         F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_pos"))
 
@@ -79,7 +82,7 @@ def record_text(time: Column | str = "time", voltage: Column | str = "voltage")
 
 def read_recordings(spark: SparkSession, path: str, strict: bool = True,
                     observation: Observation | None = None) -> DataFrame:
-    """All recording files under ``path`` as (rat, dt, channel, time, voltage, _block, _pos).
+    """All recording files under ``path`` as (rat, dt, channel, time, voltage, file_path, _block, _pos).
 
     With ``observation``, the number of lines read and samples kept are
     collected as metrics of the first action (no extra pass).
@@ -90,7 +93,7 @@ def read_recordings(spark: SparkSession, path: str, strict: bool = True,
                               F.sum((F.size(F.split(strip_trailing_commas("line"), ",")) == 2).cast("int"))
                               .alias("samples"))
     parsed = parse_signal(lines, strict=strict)
-    return parsed.select(*filename_keys("file_name"), "time", "voltage", "file_name", "_block", "_pos")
+    return parsed.select(*filename_keys("file_name"), "time", "voltage", "file_path", "_block", "_pos")
 
 
 def unsorted_samples(recordings: DataFrame) -> DataFrame:
@@ -98,10 +101,11 @@ def unsorted_samples(recordings: DataFrame) -> DataFrame:
 
     Checked per file split (bounded) plus one boundary row per split.
     """
-    return order_violations(recordings, ["file_name"], ["_block", "_pos"], "time", F.col("_block"))
+    return order_violations(recordings, ["file_path"], ["_block", "_pos"], "time", F.col("_block"))
 
 
-def index_recordings(recordings: DataFrame, bin_width: int, keys=("rat", "dt", "channel")) -> DataFrame:
-    """Dense 0-based sample index ``i`` per series in (time, file position) order."""
-    return dense_index(recordings, list(keys), ["time", "_block", "_pos"],
-                       F.floor(F.col("time") / F.lit(bin_width)), "i")
+def index_recordings(recordings: DataFrame, bin_width: int | None = None, keys=("rat", "dt", "channel")) -> DataFrame:
+    """Dense 0-based sample index ``i`` per series in (time, file, file position) order. ``bin_width`` (in time) defaults
+    to bins of about 10,000 samples, from counts."""
+    bins = count_bins(recordings, list(keys), F.col("time")) if bin_width is None else F.floor(F.col("time") / F.lit(bin_width))
+    return dense_index(recordings, list(keys), ["time", "file_path", "_block", "_pos"], bins, "i")

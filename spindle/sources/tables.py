@@ -10,8 +10,8 @@ from spindle.schemas import POWER_TABLE
 
 
 def read_power(spark: SparkSession, path: str) -> DataFrame:
-    """Power table with rat/dt/channel discovered from directories, all STRING."""
-    return spark.read.schema(POWER_TABLE).parquet(path)
+    """Power table with rat/dt/channel discovered from directories, all STRING; further partition folders (a stream's batches) are read through."""
+    return spark.read.schema(POWER_TABLE).parquet(path).select(*POWER_TABLE.fieldNames())
 
 
 def _two_fields(spark: SparkSession, path: str, first: str, second: str, kind: str, strict: bool) -> DataFrame:

@@ -1,3 +1,3 @@
-from spindle.streaming.ingest import ingest_recordings, power_batch, recording_lines
+from spindle.streaming.ingest import ingest_recordings, parse_batch, recording_lines
 
-__all__ = ["ingest_recordings", "power_batch", "recording_lines"]
+__all__ = ["ingest_recordings", "parse_batch", "recording_lines"]

@@ -1,27 +1,29 @@
 """Structured Streaming ingest: recording files arriving in a folder become
 rows of the power table.
 
-Each micro-batch holds whole files (the file source never splits a file
-across batches); a series must arrive within one batch (one file per
-channel recording, or all its files together), so each batch is indexed and
-filtered on its own. ``mode="overwrite"`` (default) replaces the batch's
-rat/dt/channel partitions (dynamic partition overwrite): a batch replayed
-after a failure rewrites the same partitions, so the table ends up the same.
-``mode="append"`` adds rows; a replay then duplicates rows, which the average
-reference and its distinct make harmless.
+A series may arrive over many batches, in time order. Between batches the last samples of each series (as many
+as a filter window reaches back) and their index are kept as a small Parquet table beside the power table, so the
+outputs at the seam are made and the index goes on. Each batch writes folders of its own
+(``rat=/dt=/channel=/batch=``, and ``batch=`` of the state): a batch replayed
+after a failure reads the state from before it and replaces just what it wrote. Samples older than what their
+series already has stop the query with an error.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spindle.config import DEFAULT, SERIES_KEYS
 from spindle.operators.convolution import band_power_blocks
-from spindle.session import materialize, scratch_path
+from spindle.session import materialize
+from spindle.sources.kernels import kernel_width
 from spindle.sources.recordings import filename_keys, index_recordings, parse_signal, path_keys
 
+KEYS = list(SERIES_KEYS)
+
 
 def recording_lines(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
@@ -34,9 +36,8 @@ def recording_lines(spark: SparkSession, source_dir: str, max_files_per_trigger:
         F.col("_metadata.file_block_start").alias("_block"))
 
 
-def power_batch(lines: DataFrame, bank: DataFrame, bin_width: int, strict: bool = True,
-                keys_from: str = "name", integer_samples: bool = False, **block_args) -> DataFrame:
-    """Power rows of one batch of recording lines (batch DataFrame).
+def parse_batch(lines: DataFrame, strict: bool = True, keys_from: str = "name", integer_samples: bool = False) -> DataFrame:
+    """Samples (keys, time, v, file_path, _block, _pos) of one batch of recording lines.
 
     Series keys come from the file name (``R192-2009-11-19-CSC10a.csv``) or,
     with ``keys_from="path"``, from ``rat=/dt=/channel=`` directories.
@@ -45,30 +46,67 @@ def power_batch(lines: DataFrame, bank: DataFrame, bin_width: int, strict: bool
     with_pos = lines.withColumn("_pos", F.monotonically_increasing_id())
     keys = filename_keys("file_name") if keys_from == "name" else path_keys("file_path")
     v = F.col("voltage").cast("bigint" if integer_samples else "double")
-    rec = parse_signal(with_pos, strict=strict).select(*keys, "time", v.alias("v"), "_block", "_pos")
-    # staged as Parquet in the shared folder: the index reads it twice, the text is parsed once
-    sig = index_recordings(materialize(rec, "ingest-samples"), bin_width)
-    return band_power_blocks(sig, bank, list(SERIES_KEYS), **block_args)
+    return parse_signal(with_pos, strict=strict).select(*keys, "time", v.alias("v"), "file_path", "_block", "_pos")
+
+
+def state_schema(integer_samples: bool) -> T.StructType:
+    return T.StructType([T.StructField(k, T.StringType()) for k in KEYS] + [
+        T.StructField("time", T.LongType()), T.StructField("i", T.LongType()),
+        T.StructField("v", T.LongType() if integer_samples else T.DoubleType()), T.StructField("batch", T.LongType())])
+
+
+def last_state(spark: SparkSession, path: str, before: int, integer_samples: bool) -> DataFrame:
+    """The samples kept for each series by the latest batch before ``before`` that had it."""
+    rows = spark.read.schema(state_schema(integer_samples)).parquet(path).where(F.col("batch") < before)
+    latest = rows.groupBy(*KEYS).agg(F.max("batch").alias("batch"))
+    return rows.join(latest, [*KEYS, "batch"]).select(*KEYS, "time", "i", "v")
+
+
+def continue_series(rec: DataFrame, old: DataFrame, bin_width: int | None) -> DataFrame:
+    """Old samples (``emit`` false) and the batch's, indexed on from them: (keys, time, i, v, emit)."""
+    start = old.groupBy(*KEYS).agg((F.max("i") + 1).alias("_next"))
+    new = index_recordings(rec, bin_width).join(start, KEYS, "left").select(
+        *KEYS, "time", (F.col("i") + F.coalesce("_next", F.lit(0))).alias("i"), "v", F.lit(True).alias("emit"))
+    seen = rec.select(*KEYS).distinct()
+    return old.join(seen, KEYS, "left_semi").withColumn("emit", F.lit(False)).unionByName(new)
 
 
 def ingest_recordings(spark: SparkSession, source_dir: str, power_path: str, bank: DataFrame,
-                      bin_width: int, checkpoint: str | None = None, available_now: bool = True,
+                      bin_width: int | None = None, checkpoint: str | None = None, available_now: bool = True,
                       max_files_per_trigger: int | None = None,
                       records_per_file: int = DEFAULT.records_per_file, keys_from: str = "name",
-                      integer_samples: bool = False, mode: str = "overwrite") -> StreamingQuery:
-    """Start the ingest; ``available_now`` processes what is there and stops."""
-    bank = bank.cache()  # small, validated bank; reused by every batch
+                      integer_samples: bool = False, strict: bool = True) -> StreamingQuery:
+    """Start the ingest; ``available_now`` processes what is there and stops. The checkpoint defaults to a fixed
+    folder beside the power table, so a restart goes on where the last run stopped."""
+    power_path = power_path.rstrip("/")
+    state_path = f"{power_path}_state"
+    bank = materialize(bank, "ingest-bank")  # small; read by every batch
+    reach = max(1, kernel_width(bank) - 1)
+    spark.createDataFrame([], state_schema(integer_samples)).write.mode("append").partitionBy("batch").parquet(state_path)
+
+    def replace(df: DataFrame, path: str, *folders: str) -> None:
+        (df.write.option("maxRecordsPerFile", records_per_file).partitionBy(*folders)
+         .mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        power = power_batch(batch, bank, bin_width, keys_from=keys_from, integer_samples=integer_samples)
-        w = power.write.option("maxRecordsPerFile", records_per_file).partitionBy(*SERIES_KEYS)
-        if mode == "append":
-            w.mode("append").parquet(power_path)
-        else:
-            w.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(power_path)
+        # staged as Parquet in the shared folder: the index reads it twice, the text is parsed once
+        rec = materialize(parse_batch(batch, strict, keys_from, integer_samples), "ingest-samples")
+        if rec.isEmpty():
+            return
+        old = last_state(spark, state_path, epoch_id, integer_samples)
+        late = (rec.groupBy(*KEYS).agg(F.min("time").alias("first"))
+                .join(old.groupBy(*KEYS).agg(F.max("time").alias("last")), KEYS).where("first < last").first())
+        if late is not None:
+            raise ValueError(f"series {tuple(late[k] for k in KEYS)}: time {late['first']} arrived after {late['last']}")
+        sig = materialize(continue_series(rec, old, bin_width), "ingest-signal")
+        power = band_power_blocks(sig, bank, KEYS, emit="emit")
+        replace(power.withColumn("batch", F.lit(epoch_id).cast("bigint")), power_path, *KEYS, "batch")
+        end = sig.groupBy(*KEYS).agg(F.max("i").alias("_end"))
+        keep = sig.join(end, KEYS).where(F.col("i") > F.col("_end") - reach).select(*KEYS, "time", "i", "v")
+        replace(keep.withColumn("batch", F.lit(epoch_id).cast("bigint")), state_path, "batch")
 
     writer = (recording_lines(spark, source_dir, max_files_per_trigger).writeStream
               .foreachBatch(write_batch)
-              .option("checkpointLocation", checkpoint or scratch_path(spark, "ingest-checkpoint")))
+              .option("checkpointLocation", checkpoint or f"{power_path}_checkpoint"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

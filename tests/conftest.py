@@ -14,7 +14,7 @@ SMOKE = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     s = local_session(4, shuffle_partitions=8, app="spindle-tests")
     if not s.sparkContext.getCheckpointDir():  # tests only: no cluster folder configured
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("ckpt")))
+        s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("ckpt")))
     checkpoint_dir(s)
     yield s
     s.stop()

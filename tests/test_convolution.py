@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindle.operators import band_power_blocks, band_power_relational, fir_relational
+from spindle.operators import band_power_blocks, band_power_relational, fir_blocks, fir_relational
 
 KEYS = ["rat", "dt", "channel"]
 
@@ -117,12 +117,48 @@ def test_partition_count_independent(spark, case):
     assert a == b
 
 
-def test_bank_size_is_checked(spark):
-    from spindle.sources import bank_matrix
+def test_bank_is_taken_in_slices(spark, case, monkeypatch):
+    from spindle.operators import convolution
+    from spindle.sources import bank_matrix, bank_slices
+
     bank = spark.createDataFrame([(f, u, 1) for f in range(5, 9) for u in range(10)], "frequency int, u int, h smallint")
     freqs, taps = bank_matrix(bank)
     assert taps.shape == (4, 10) and list(freqs) == [5, 6, 7, 8]
-    with pytest.raises(ValueError):
-        bank_matrix(bank, max_cells=39)
-    with pytest.raises(ValueError):
-        bank_matrix(bank, max_kernels=3)
+    assert bank_slices(bank, max_cells=39) == [[5, 6, 7], [8]] and bank_slices(bank, max_cells=3) == [[5], [6], [7], [8]]
+    with pytest.raises(ValueError, match="given twice"):
+        bank_slices(bank.union(bank.limit(1)))
+    series, taps = case
+    want = expected(series, taps)
+    assert collect(band_power_blocks(signal_df(spark, series), bank_df(spark, taps), KEYS, max_cells=10)) == want
+    monkeypatch.setattr(convolution, "PIVOT", 2)
+    monkeypatch.setattr(convolution, "CELLS", 10)
+    assert collect(band_power_relational(signal_df(spark, series), bank_df(spark, taps), KEYS)) == want
+
+
+@pytest.mark.parametrize("block", [40, 97, None])
+def test_full_int16_samples_and_taps_agree(spark, block):
+    """|y| far beyond 3e9, where a BIGINT square overflows."""
+    rng = np.random.default_rng(8)
+    series = {("R", "d", "c"): rng.choice([-32768, 32767, -32767, 30000], 300).tolist()}
+    taps = {5: rng.choice([-32768, 32767], 40).tolist(), 6: [32767] * 40}
+    rel = fir_relational(signal_df(spark, series), bank_df(spark, taps), KEYS)
+    blk = fir_blocks(signal_df(spark, series), bank_df(spark, taps), KEYS, block=block)
+    cols = ["rat", "dt", "channel", "time", "frequency", "i", "y"]
+    a, b = (sorted(tuple(r) for r in d.select(*cols).collect()) for d in (rel, blk))
+    assert a == b and max(abs(r[-1]) for r in a) > 4e9 and blk.schema["y"].dataType == rel.schema["y"].dataType
+    p, q = (collect(f(signal_df(spark, series), bank_df(spark, taps), KEYS)) for f in (band_power_relational, band_power_blocks))
+    assert p == q
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_missing_sample_spoils_its_window_only(spark, bad):
+    rng = np.random.default_rng(2)
+    x = [float(v) for v in rng.integers(-9, 9, 120)]
+    x[50] = bad
+    rows = [("R", "d", "c", 10 * i, i, v) for i, v in enumerate(x) if i != 90]  # 90: not there at all
+    sig = spark.createDataFrame(rows, "rat string, dt string, channel string, time bigint, i bigint, v double")
+    bank = bank_df(spark, {5: [1, 2, -1, 3]})
+    a, b = ({r["i"]: r["y"] for r in f(sig, bank, KEYS).collect()} for f in (fir_relational, lambda *x: fir_blocks(*x, block=40)))
+    assert a.keys() == b.keys() == set(range(3, 120)) - {90}
+    assert {i for i, y in a.items() if y is None} == {i for i, y in b.items() if y is None} == {50, 51, 52, 53, 91, 92, 93}
+    assert all(y is None or abs(y - b[i]) < 1e-9 for i, y in a.items())

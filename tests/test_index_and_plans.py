@@ -30,21 +30,38 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_statistics_plan_stays_in_jvm(spark):
-    power = spark.createDataFrame([], POWER_TABLE)
-    z = flagship.in_passes(flagship.zscore(flagship.referenced(power)), fx.passes(spark, SMOKE))
-    plan = _plan(z)
-    assert "LeftSemi" in plan
-    assert "Python" not in plan and "ArrowEval" not in plan
+def _final(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_statistics_plans_read_the_referenced_rows_once_written(spark):
+    from spindle.plans import queries
+
+    for name in ("within_passes", "phase_profile", "zscore", "final_result_window"):
+        plan = _final(queries.QUERIES[name](spark, SMOKE))
+        assert "Python" not in plan and "InArrow" not in plan, name
+        assert "/power-" not in plan and "referenced-" in plan, name
+        # no window over the power rows: only the small one that merges passes in their bins
+        assert all("_bin" in x for x in plan.split("\n") if "Window [" in x), name
 
 
 def test_result_filter_reaches_power_scan(spark, tmp_path):
+    from spindle.operators import average_reference_join
+
     power = flagship.power_table(fx.signal(spark, SMOKE), fx.bank(spark, SMOKE), fx.SERIES, path=str(tmp_path / "p"))
-    res = flagship.result(power, fx.passes(spark, SMOKE), fx.phase(spark, SMOKE), "R0", "2024-01")
-    plan = _plan(res)
+    plan = _plan(average_reference_join(power, only=(F.col("rat") == "R0") & (F.col("dt") == "2024-01")))
     assert "PartitionFilters: [isnotnull(rat" in plan and "(rat#" in plan
 
 
+def test_bins_follow_counts(spark):
+    from spindle.operators import count_bins
+
+    df = spark.range(100_000).select(F.lit("a").alias("s"), (F.col("id") * 7).alias("t"))
+    per = df.groupBy(count_bins(df, ["s"], F.col("t"), target=1000).alias("b")).count()
+    assert 900 <= per.agg(F.max("count")).first()[0] <= 1100
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as e
     df = e.entry(spark)

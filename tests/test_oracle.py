@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from spindle.plans import queries
 from tools.oracle_check import SPARK_TO_DUCK, TABLES, digest
 
 from conftest import SMOKE
@@ -17,11 +17,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_oracle(spark, con, name):
-    df = entry.queries()[name](spark, SMOKE)
+    df = queries.QUERIES[name](spark, SMOKE)
     got = [tuple(r) for r in df.collect()]
-    rel = con.sql(entry.oracle_sql()[name])
+    rel = con.sql(queries.SQL[name])
     want = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
     spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes}

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from spindle.operators import (
     band_power_blocks,
     band_power_relational,
-    within_intervals_binned,
-    within_intervals_broadcast,
-    within_intervals_nested,
+    within_intervals,
 )
 
 SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -25,9 +23,8 @@ def test_semi_joins_equal_brute_force(spark, ivs, width):
     df = spark.createDataFrame([(t,) for t in times], "time bigint")
     iv = spark.createDataFrame(ivs, "lo bigint, hi bigint")
     want = sorted(t for t in times if any(lo <= t <= hi for lo, hi in ivs))
-    assert sorted(r[0] for r in within_intervals_binned(df, iv, bin_width=width).collect()) == want
-    assert sorted(r[0] for r in within_intervals_broadcast(df, iv, bin_width=width).collect()) == want
-    assert sorted(r[0] for r in within_intervals_nested(df, iv).collect()) == want
+    assert sorted(r[0] for r in within_intervals(df, iv, bin_width=width).collect()) == want
+    assert sorted(r[0] for r in within_intervals(df, iv, bounds=(-100, 300)).collect()) == want
 
 
 @SETTINGS

@@ -125,3 +125,24 @@ def test_distributed_inverse_round_trip(spark, series):
         assert np.allclose(back[g], x, atol=1e-9), g
     unscaled = as_arrays(X.complex_inverse_distributed(spec, ["g"], scale=False), "j")
     assert np.allclose(unscaled[2], 16 * series[2], atol=1e-8)
+
+
+def test_large_prime_factors_take_the_chirp_plan(spark):
+    rng = np.random.default_rng(9)
+    more = {g: rng.normal(size=n) + 1j * rng.normal(size=n) for g, n in [(1, 61), (2, 2 * 53), (3, 97), (4, 64), (5, 3)]}
+    df = X.complex_forward(long_df(spark, more), ["g"], entries_per_call=20)
+    got = as_arrays(df, "k")
+    for g, x in more.items():
+        assert np.allclose(got[g], direct(x, -1), atol=1e-7), g
+    back = as_arrays(X.complex_inverse(df, ["g"], entries_per_call=20), "j")
+    assert all(np.allclose(back[g], x, atol=1e-7) for g, x in more.items())
+    # lengths whose own split would leave rows of more than 20 entries
+    sizes = X._sizes(long_df(spark, more), ["g"], "j", None).collect()
+    assert {r["g"] for r in sizes if r["_n"] > 20 * r["_n1"]} == {1, 2, 3}
+
+
+def test_null_and_large_keys_are_groups(spark):
+    rows = [(None, j, float(j), 0.0) for j in range(4)] + [(2**53, j, 1.0, 0.0) for j in range(3)] + [(2**53 + 1, j, 2.0, 0.0) for j in range(3)]
+    got = X.complex_forward(spark.createDataFrame(rows, "g bigint, j bigint, re double, im double"), ["g"]).collect()
+    assert sorted((str(r["g"]), round(r["re"], 6)) for r in got if r["k"] == 0) == [(str(2**53), 3.0), (str(2**53 + 1), 6.0), ("None", 6.0)]
+    assert len(got) == 10

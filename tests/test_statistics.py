@@ -12,9 +12,7 @@ from spindle.operators import (
     phase_buckets,
     phase_profile,
     select_result,
-    within_intervals_binned,
-    within_intervals_broadcast,
-    within_intervals_nested,
+    within_intervals,
     zscore,
 )
 
@@ -79,18 +77,19 @@ def intervals(spark, pairs):
     return spark.createDataFrame(pairs, "lo bigint, hi bigint")
 
 
-@pytest.mark.parametrize("op", [within_intervals_broadcast, within_intervals_binned, within_intervals_nested])
-def test_overlapping_passes_keep_rows_once(spark, op):
+@pytest.mark.parametrize("width", [None, 1, 24])
+def test_overlapping_passes_keep_rows_once(spark, width):
     df = spark.createDataFrame([(t,) for t in range(20)], "time bigint")
     iv = intervals(spark, [(2, 5), (4, 8), (4, 8), (6, 6), (10, 10), (11, 10), (15, 16)])  # overlap, dup, nested, empty
-    got = sorted(r[0] for r in op(df, iv).collect())
+    got = sorted(r[0] for r in within_intervals(df, iv, bin_width=width).collect())
     assert got == [2, 3, 4, 5, 6, 7, 8, 10, 15, 16]
 
 
-@pytest.mark.parametrize("op", [within_intervals_broadcast, within_intervals_binned, within_intervals_nested])
-def test_empty_pass_list(spark, op):
+@pytest.mark.parametrize("width", [None, 1, 24])
+def test_empty_pass_list(spark, width):
     df = spark.createDataFrame([(t,) for t in range(5)], "time bigint")
-    assert op(df, intervals(spark, [])).count() == 0
+    assert within_intervals(df, intervals(spark, []), bin_width=width).count() == 0
+    assert within_intervals(df.where('time < 0'), intervals(spark, [(0, 9)]), bin_width=width).count() == 0
 
 
 def test_binned_any_width(spark):
@@ -98,7 +97,7 @@ def test_binned_any_width(spark):
     iv = intervals(spark, [(-7, 3), (20, 41), (45, 45)])
     want = sorted(list(range(-7, 4)) + list(range(20, 42)) + [45])
     for w in (1, 2, 7, 100):
-        assert sorted(r[0] for r in within_intervals_binned(df, iv, bin_width=w).collect()) == want
+        assert sorted(r[0] for r in within_intervals(df, iv, bin_width=w).collect()) == want
 
 
 def test_phase_bucket_edges(spark):
@@ -124,15 +123,18 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_interval_fallbacks_keep_results(spark):
-    df = spark.createDataFrame([(t,) for t in range(100)], "time bigint")
-    iv = intervals(spark, [(5, 9), (20, 20), (50, 75), (74, 80)])
-    want = sorted(list(range(5, 10)) + [20] + list(range(50, 81)))
-    big = within_intervals_broadcast(df, iv, max_bins=1)       # bound exceeded: no broadcast hint
-    assert sorted(r[0] for r in big.collect()) == want
-    small = within_intervals_broadcast(df, iv)
-    assert "BroadcastHashJoin" in _plan(small) and "LeftSemi" in _plan(small)
-    nested = within_intervals_nested(df, iv, max_intervals=2)  # too many: binned instead
-    assert sorted(r[0] for r in nested.collect()) == want
-    assert "BroadcastNestedLoopJoin" not in _plan(nested)
-    assert "BroadcastNestedLoopJoin" in _plan(within_intervals_nested(df, iv))
+def test_open_ended_passes(spark):
+    df = spark.createDataFrame([(t,) for t in range(100)] + [(None,)], "time bigint")
+    for iv, want in (([(90, 2**63 - 1)], range(90, 100)), ([(-(2**63), 4)], range(5)), ([(-(2**63), 2**63 - 1)] * 3, range(100)),
+                     ([(2**62, 2**63 - 1)], [])):
+        got = within_intervals(df, intervals(spark, iv))
+        assert sorted(r[0] for r in got.collect()) == list(want)
+        assert "BroadcastNestedLoopJoin" not in _plan(got) and "LeftSemi" in _plan(got)
+
+
+def test_passes_are_merged_inside_bins(spark):
+    from spindle.operators import merged_bins
+
+    iv = intervals(spark, [(1, 4), (3, 6), (7, 7), (9, 12), (9, 11)] * 5)
+    got = sorted((r["_bin"], r["_lo"], r["_hi"]) for r in merged_bins(iv, 10).collect())
+    assert got == [(0, 1, 7), (0, 9, 9), (1, 10, 12)]
