@@ -41,7 +41,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
         for size in range(1, k):  # rows of so many words, all at once
             at = np.flatnonzero(counts[short] == size)
             start = first[short[at]]
-            acc = mix64(h[start] ^ _TAG * np.uint64(size))
+            acc = mix64(h[start] ^ np.uint64(int(_TAG) * size % 2**64))
             for j in range(1, size):
                 acc = mix64(acc * _TAG + h[start + j])
             extra[at] = acc
