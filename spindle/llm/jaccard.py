@@ -4,12 +4,12 @@
 2. The order of the n-grams (by hash) is cut into fragments. The first fragments are counted by themselves: per fragment,
    n-grams that only one class has, and these partial counts are summed per class. A class with more of them than
    the threshold leaves can have no link and goes; the rest of its order is never made.
-3. For the others all fragments are written. N-grams are ranked by the number of classes that have them; the rarest of
+3. For the others all fragments are written, counted likewise, and the classes that now go leave again. N-grams are ranked by the number of classes that have them; the rarest of
    each class, as many as the threshold cannot do without, are its keys, and a link shares a key.
 4. Candidates are verified fragment by fragment: partial overlaps are counted separately and summed per pair.
    In a key's group every member is first compared with a few pivots, so members of one
    component need not be compared with each other; then members of different components are, all that the
-   length and shared-count bounds leave. No link between components is lost, and no group is expanded into all its pairs.
+   length and shared-count bounds and the triangle inequality (over the distances to the first pivot) leave. No link between components is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from spindle.llm.common import blocks, mix64, string_buffers, table, windows, wo
 from spindle.llm.graph import components
 from spindle.session import materialize
 
-FRAGMENT = 1_500_000  # n-grams of a fragment, about; the number of fragments follows from the data
+FRAGMENT = 750_000  # n-grams of a fragment, about; the number of fragments follows from the data
+BUCKET = 50_000  # classes whose partial counts are summed in one call, about
+HELD = 300_000  # n-grams gathered before they are cut into fragments
 PARTS = 4  # fragments in which the overlap of a pair is counted
 
 _TAG = np.uint64(0x632BE59BD9B4E019)
@@ -87,25 +89,29 @@ def features(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     return df.select(id_col, text).mapInArrow(run, f"id {kind}, n long, sa long, sb long")
 
 
-def _alone(df: DataFrame, text: str, k: int, share: float, fragments: int) -> DataFrame:
-    """Rows (sa, alone): how many n-grams of the first ``share`` of the order only this class has."""
-    cuts = np.array([min(int(share * i / fragments * 2**64), 2**64 - 1) for i in range(fragments + 1)], dtype=np.uint64)
+def _cut(win: np.ndarray, key: np.ndarray, cuts: np.ndarray):
+    """One Arrow batch (frag, h, key): hashes and keys below the last cut, a row for each fragment that has some."""
+    import pyarrow as pa
 
-    def emit(batches):
-        import pyarrow as pa
+    keep = win < cuts[-1]
+    h, key = win[keep], key[keep]
+    frag = np.searchsorted(cuts, h, side="right") - 1
+    order = np.argsort(frag, kind="stable")
+    h, key, at = h[order], key[order], np.searchsorted(frag[order], np.arange(len(cuts)))
+    full = np.flatnonzero(np.diff(at))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full, pa.int32()), pa.array([h[at[f]:at[f + 1]].tobytes() for f in full], pa.binary()),
+         pa.array([key[at[f]:at[f + 1]].tobytes() for f in full], pa.binary())], names=["frag", "h", "key"])
 
-        for _, win, row, counts, sa, _ in _batches(batches, text, k):
-            first = np.zeros(len(counts), bool)  # one row of each class and block is enough
-            first[np.unique(sa, return_index=True)[1]] = True
-            keep = first[row] & (win < cuts[-1])
-            h, key = win[keep], sa[row[keep]]
-            frag = np.searchsorted(cuts, h, side="right") - 1
-            order = np.argsort(frag, kind="stable")
-            h, key, at = h[order], key[order], np.searchsorted(frag[order], np.arange(fragments + 1))
-            full = np.flatnonzero(np.diff(at))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([h[at[f]:at[f + 1]].tobytes() for f in full], pa.binary()),
-                 pa.array([key[at[f]:at[f + 1]].tobytes() for f in full], pa.binary())], names=["frag", "h", "key"])
+
+def _cuts(share: float, fragments: int) -> np.ndarray:
+    return np.array([min(int(share * i / fragments * 2**64), 2**64 - 1) for i in range(fragments + 1)], dtype=np.uint64)
+
+
+def _partial_counts(rows: DataFrame, classes: int) -> DataFrame:
+    """Rows (sa, alone) from fragment rows: in each fragment the n-grams that only one class has are counted per class, and
+    these partial counts travel as blobs, a row for each fragment and bucket of classes, to be summed per bucket."""
+    buckets = np.uint64(1 + classes // BUCKET)
 
     def count(keys, tab):
         import pyarrow as pa
@@ -120,14 +126,64 @@ def _alone(df: DataFrame, text: str, k: int, share: float, fragments: int) -> Da
         edge = np.ones(len(h) + 1, bool)
         edge[1:-1] = h[1:] != h[:-1]
         own, n = np.unique(key[edge[1:] & edge[:-1]], return_counts=True)
-        return pa.table({"sa": own, "alone": n.astype(np.int64)})
+        bucket = (mix64(own.view(np.uint64)) % buckets).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, n, at = own[order], n[order].astype(np.int32), np.searchsorted(bucket[order], np.arange(int(buckets) + 1))
+        full = np.flatnonzero(np.diff(at))
+        return pa.table({"bucket": full.astype(np.int32), "own": [own[at[f]:at[f + 1]].tobytes() for f in full],
+                         "n": [n[at[f]:at[f + 1]].tobytes() for f in full]},
+                        schema=pa.schema([("bucket", pa.int32()), ("own", pa.binary()), ("n", pa.binary())]))
+
+    def total(keys, tab):
+        import pyarrow as pa
+
+        own = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in tab.column("own")])
+        n = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in tab.column("n")])
+        sa, at = np.unique(own, return_inverse=True)
+        return pa.table({"sa": sa, "alone": np.bincount(at, n, len(sa)).astype(np.int64)})
+
+    parts = rows.groupBy("frag").applyInArrow(count, "bucket int, own binary, n binary")
+    return parts.groupBy("bucket").applyInArrow(total, "sa long, alone long")
+
+
+def _alone_in_texts(df: DataFrame, text: str, k: int, share: float, fragments: int, classes: int) -> DataFrame:
+    """Rows (sa, alone): how many n-grams of the first ``share`` of the order only this class has."""
+    cuts = _cuts(share, fragments)
+
+    def emit(batches):
+        held, size = [], 0
+        for _, win, row, counts, sa, _ in _batches(batches, text, k):
+            first = np.zeros(len(counts), bool)  # one row of each class and block is enough
+            first[np.unique(sa, return_index=True)[1]] = True
+            keep = first[row] & (win < cuts[-1])
+            held.append((win[keep], sa[row[keep]]))
+            size += int(keep.sum())
+            if size > HELD:
+                yield _cut(*map(np.concatenate, zip(*held, strict=True)), cuts)
+                held, size = [], 0
+        if held:
+            yield _cut(*map(np.concatenate, zip(*held, strict=True)), cuts)
+
+    return _partial_counts(df.select(text).mapInArrow(emit, "frag int, h binary, key binary"), classes)
+
+
+def _alone_in_sets(frags: DataFrame, fragments: int, classes: int) -> DataFrame:
+    """The same over the whole order, from the sets that are left."""
+    cuts = _cuts(1.0, fragments)
+
+    def emit(batches):
+        for b in batches:
+            sizes = b.column("part").value_lengths().to_numpy()
+            win = b.column("part").flatten().to_numpy().view(np.uint64)
+            key = np.repeat(b.column("sa").to_numpy(), sizes)
+            for a in range(0, len(win), HELD):
+                yield _cut(win[a:a + HELD], key[a:a + HELD], cuts)
 
-    rows = df.select(text).mapInArrow(emit, "frag int, h binary, key binary")
-    return rows.groupBy("frag").applyInArrow(count, "sa long, alone long").groupBy("sa").agg(F.sum("alone").alias("alone"))
+    return _partial_counts(frags.select("sa", "part").mapInArrow(emit, "frag int, h binary, key binary"), classes)
 
 
 def _fragments(df: DataFrame, reps: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """Rows (id, frag, part): the sets of the classes, each cut into PARTS fragments of the order (empty ones left out)."""
+    """Rows (id, sa, frag, part): the sets of the classes, each cut into PARTS fragments of the order (empty ones left out)."""
     def run(batches):
         import pyarrow as pa
 
@@ -143,21 +199,22 @@ def _fragments(df: DataFrame, reps: DataFrame, id_col: str, text: str, k: int) -
             values = np.concatenate([win[at[c]:at[c + 1]] for c in full]).view(np.int64)
             sizes = np.concatenate([[0], np.cumsum(at[full + 1] - at[full])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(pa.array(full // PARTS)), pa.array((full % PARTS).astype(np.int32)),
-                 pa.ListArray.from_arrays(pa.array(sizes), pa.array(values)).cast(kind)], names=["id", "frag", "part"])
+                [b.column("id").take(pa.array(full // PARTS)), pa.array(sa[full // PARTS]), pa.array((full % PARTS).astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(sizes), pa.array(values)).cast(kind)], names=["id", "sa", "frag", "part"])
 
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(reps.select("id", "sa"), "id")
-    return docs.mapInArrow(run, f"id {kind}, frag int, part array<long>")
+    return docs.mapInArrow(run, f"id {kind}, sa long, frag int, part array<long>")
 
 
 def _verify(pairs: DataFrame, frags: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, na, b, nb) whose partial overlaps sum to enough: rows (a, b)."""
+    """The partial overlaps of the pairs (a, na, b, nb), summed: rows (a, b, d, link) with the distance 1 - |a & b| / |a | b|."""
     a = frags.select(F.col("id").alias("a"), "frag", F.col("part").alias("pa"))
     b = frags.select(F.col("id").alias("b"), "frag", F.col("part").alias("pb"))
     partial = pairs.join(a, "a").join(b, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o"))
     both = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return both.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b")
+    union = F.col("na") + F.col("nb") - F.col("o")
+    return both.select("a", "b", (1 - F.col("o") / union).alias("d"), (F.col("o") * den >= union * num).alias("link"))
 
 
 def class_links(df: DataFrame, feats: DataFrame, id_col: str, text: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -172,50 +229,64 @@ def class_links(df: DataFrame, feats: DataFrame, id_col: str, text: str, k: int,
         return classes, none
     spare = F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}")  # n-grams a class may have alone
     share = min(1.0, 2.5 * (den - num) / den)
-    alone = _alone(df, text, k, share, max(1, int(total * share / FRAGMENT) + 1))
-    alive = classes.join(alone, "sa", "left").where(F.coalesce("alone", F.lit(0)) <= spare).select("id", "sa", "n")
-    alive = materialize(alive, "jac-alive")
+    n = classes.count()
+    alone = _alone_in_texts(df, text, k, share, 1 + int(total * share / FRAGMENT), n)
+    few = lambda left: left.where(F.coalesce("alone", F.lit(0)) <= spare).select("id", "sa", "n")
+    alive = materialize(few(classes.join(alone, "sa", "left")), "jac-alive")
     frags = materialize(_fragments(df, alive, id_col, text, k).dropDuplicates(["id", "frag"]), "jac-fragments")
+    rest = alive.agg(F.sum("n"), F.count("*")).first()
+    alive = materialize(few(alive.join(_alone_in_sets(frags, 1 + (rest[0] or 0) // FRAGMENT, rest[1]), "sa", "left")), "jac-alive")
+    frags = materialize(frags.join(alive.select("id"), "id", "left_semi").select("id", "frag", "part"), "jac-fragments")
     grams = frags.select("id", F.explode("part").alias("h"))
     common = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     ranked = grams.join(common, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("r"))
     keyed = ranked.join(alive.select("id", "n"), "id").withColumn("s", F.size("r").cast("long"))
     keep = F.greatest(F.lit(0), spare + 1 - (F.col("n") - F.col("s"))).cast("int")
-    index = keyed.select("id", "n", "s", F.explode(F.slice("r", F.lit(1), keep)).alias("g")).select("id", "n", "s", F.col("g.h").alias("h"))
+    index = keyed.select("id", "n", "s", F.explode(F.slice("r", F.lit(1), keep)).alias("g")).select(
+        "id", "n", "s", F.col("g.h").alias("h"), F.lit(None).cast("double").alias("d"))
     index = materialize(index, "jac-index")
     links, seen, comp = none, None, None
     # members against pivots: the one that shares most, a hashed choice, the longest; then members of different components
-    of = lambda *order: F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), "id", "n", "s", "comp")
+    of = lambda *order: F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), "id", "n", "s", "comp", "d")
     central = of(F.col("s") - F.col("n"), F.col("n"), F.xxhash64("id"))
     hashed = of(F.xxhash64("id"))
     longest = of(F.col("s"), F.col("n"), F.xxhash64("id"))
+    far = 1 - num / den + 1e-9
     for step, pivot in enumerate([central, hashed, longest, None]):
         here = index.withColumn("comp", F.col("id")) if comp is None else index.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed = here.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
         here = here.join(mixed, "h")
         if pivot is not None:
-            side = here.groupBy("h").agg(F.max(pivot).alias("p")).select("h", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"),
-                                                                        F.col("p.s").alias("ps"), F.col("p.comp").alias("pc"))
+            side = here.groupBy("h").agg(F.max(pivot).alias("p")).select(
+                "h", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.comp").alias("pc"), F.col("p.d").alias("pd"))
         else:  # all but the largest component of each key against every member
             sizes = here.groupBy("h", "comp").agg(F.count("*").alias("c"))
             main = sizes.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("m")).select("h", F.col("m.comp").alias("main"))
             side = here.join(main, "h").where("comp <> main").select("h", F.col("id").alias("pid"), F.col("n").alias("pn"),
-                                                                    F.col("s").alias("ps"), F.col("comp").alias("pc"))
+                                                                    F.col("s").alias("ps"), F.col("comp").alias("pc"), F.col("d").alias("pd"))
         least = F.expr(f"({num} * (n + pn) + {num + den - 1}) div {num + den}")
-        cand = here.join(side, "h").where("comp <> pc").where(
-            (F.least("n", "pn") * den >= F.greatest("n", "pn") * num) & (F.least("s", "ps") >= least))
+        met = here.join(side, "h").where("comp <> pc").where(
+            (F.least("n", "pn") * den >= F.greatest("n", "pn") * num) & (F.least("s", "ps") >= least)
+            & F.coalesce(F.abs(F.col("d") - F.col("pd")) <= far, F.lit(True)))
         first = F.col("id") < F.col("pid")
-        cand = cand.select(F.when(first, F.col("id")).otherwise(F.col("pid")).alias("a"), F.when(first, F.col("n")).otherwise(F.col("pn")).alias("na"),
-                           F.when(first, F.col("pid")).otherwise(F.col("id")).alias("b"), F.when(first, F.col("pn")).otherwise(F.col("n")).alias("nb")).distinct()
+        met = met.select("h", "id", "pid", F.when(first, F.col("id")).otherwise(F.col("pid")).alias("a"), F.when(first, F.col("n")).otherwise(F.col("pn")).alias("na"),
+                         F.when(first, F.col("pid")).otherwise(F.col("id")).alias("b"), F.when(first, F.col("pn")).otherwise(F.col("n")).alias("nb"))
+        met = materialize(met, f"jac-met{step}") if step == 0 else met
+        cand = met.select("a", "na", "b", "nb").distinct()
         if seen is not None:
             cand = cand.join(seen, ["a", "b"], "left_anti")
         cand = materialize(cand, f"jac-pairs{step}")
         if cand.isEmpty():
             continue
         seen = cand.select("a", "b") if seen is None else seen.unionByName(cand.select("a", "b"))
-        links = materialize(links.unionByName(_verify(cand, frags, num, den)), f"jac-links{step}")
+        verified = materialize(_verify(cand, frags, num, den), f"jac-verified{step}")
+        links = links.unionByName(verified.where("link").select("a", "b"))
         if step < 3:
             comp = components(links)
+        if step == 0:  # distances to the key's pivot: two members whose distances differ by more than a link's are no link
+            dist = met.join(verified.select("a", "b", "d"), ["a", "b"]).select("h", "id", "d", "pid")
+            known = dist.select("h", "id", "d").unionByName(dist.select("h", F.col("pid").alias("id"), F.lit(0.0).alias("d")).distinct())
+            index = materialize(index.drop("d").join(known, ["h", "id"], "left"), "jac-index")
     return classes, links
 
 
