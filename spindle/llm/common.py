@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled by one NumPy step; larger documents are cut at white space.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: the word pattern of the result contracts
 
@@ -85,7 +85,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
     kept = per_worker("powers", grow)
     if kept["n"] < n:
-        size = max(n, 1 << 16)
+        size = max(n, BLOCK_BYTES + (1 << 16))
         up = np.full(size, _P, np.uint64)
         down = np.full(size, _P_INV, np.uint64)
         up[0] = down[0] = 1

@@ -22,10 +22,10 @@ from spindle.session import materialize
 
 LENGTH = 100
 GRAM = 32
-SHARD_BYTES = 2 << 20  # bytes sorted at a time
-HOT = 8_000  # distinct segments of a gram from which its windows are split over all shards
+SHARD_BYTES = 1 << 20  # bytes sorted at a time
+HOT = 4_000  # distinct segments of a gram from which its windows are split over all shards
 BUCKETS = 1 << 20  # document buckets of the filters before text is shuffled: a broadcast of that many numbers at most
-PIECE = 2 << 20  # windows of a long text handled at a time
+PIECE = 1 << 19  # windows of a long text handled at a time
 
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -243,7 +243,7 @@ def _shards(found: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                         for x, v in zip(rows, (a[j], ids[i], start[j], n[j], 0, data.tobytes()), strict=True):
                             x.append(v)
                     size += len(data)
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield batch(*rows)
                     rows, size = ([], [], [], [], [], []), 0
             yield batch(*rows)

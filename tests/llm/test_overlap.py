@@ -101,7 +101,7 @@ def repeats(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("hot", [8000, 1])
+@pytest.mark.parametrize("hot", [4000, 1])
 def test_removed_bytes_equal_brute_force(spark, hot, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     monkeypatch.setattr(substring_dedup, "PIECE", 300)
