@@ -33,7 +33,7 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 LONG = 1024  # characters of a piece from which it is streamed
 CHUNK = 1 << 16  # characters read at a time
-MEMO = 400_000  # pieces remembered per worker
+MEMO = 250_000  # pieces remembered per worker
 
 
 def byte_alphabet() -> dict[str, int]:
