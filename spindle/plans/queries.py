@@ -471,7 +471,7 @@ def dft_chirp(spark, sf):
     """Whole channel series with calls so small that those of a large prime factor take the chirp plan."""
     s = fx.signal(spark, sf).select(*fx.SERIES, F.col("i").alias("j"), F.col("v").cast("double").alias("re"),
                                     F.lit(0.0).alias("im"))
-    return _rounded(X.complex_forward_distributed(s, fx.SERIES, entries_per_call=128), fx.SERIES, "k", 2)
+    return _rounded(X.complex_forward_distributed(s, fx.SERIES, entries_per_call=512), fx.SERIES, "k", 2)
 
 
 def spectral_product_conj(spark, sf):
