@@ -9,10 +9,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled by one NumPy step; larger documents are cut at white space.
 BLOCK_BYTES = 1 << 19
 
+BUCKETS = 1 << 20
+
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: the word pattern of the result contracts
 
 
@@ -20,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_buckets(df: DataFrame, hits: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key's bucket has a hit (or none: left_anti): a filter before a shuffle join that keeps every match.
+    At most BUCKETS numbers are broadcast, however many hits there are."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    return df.join(F.broadcast(hits.select(bucket.alias("__b")).distinct()), bucket == F.col("__b"), how)
+
+
 def per_worker(key: str, make: Callable):
     """One object per Python process, also when the calling function was pickled by value."""
     store = sys.modules.setdefault("_spindle_worker_state", types.ModuleType("_spindle_worker_state")).__dict__

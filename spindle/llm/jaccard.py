@@ -8,8 +8,9 @@
    each class, as many as the threshold cannot do without, are its keys, and a link shares a key.
 4. Candidates are verified fragment by fragment: partial overlaps are counted separately and summed per pair.
    In a key's group every member is first compared with a few pivots, so members of one
-   component need not be compared with each other; then members of different components are, all that the
-   length and shared-count bounds and the triangle inequality (over the distances to the first pivot) leave. No link between components is lost, and no group is expanded into all its pairs.
+   component need not be compared with each other; then members of different components are, all that
+   their lengths, the places of the key in their orders (a pair must overlap by m n-grams, so it shares one among the first
+   n - m + 1 of each) and the triangle inequality (over the distances to the first pivot) leave. No link between components is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import blocks, mix64, string_buffers, table, windows, word_hashes
+from spindle.llm.common import blocks, in_buckets, mix64, string_buffers, table, windows, word_hashes
 from spindle.llm.graph import components
 from spindle.session import materialize
 
@@ -203,7 +204,8 @@ def _fragments(df: DataFrame, reps: DataFrame, id_col: str, text: str, k: int) -
                  pa.ListArray.from_arrays(pa.array(sizes), pa.array(values)).cast(kind)], names=["id", "sa", "frag", "part"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(reps.select("id", "sa"), "id")
+    docs = in_buckets(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), reps, "id")
+    docs = docs.join(reps.select("id", "sa"), "id").dropDuplicates(["id"])  # repeated rows
     return docs.mapInArrow(run, f"id {kind}, sa long, frag int, part array<long>")
 
 
@@ -233,21 +235,22 @@ def class_links(df: DataFrame, feats: DataFrame, id_col: str, text: str, k: int,
     alone = _alone_in_texts(df, text, k, share, 1 + int(total * share / FRAGMENT), n)
     few = lambda left: left.where(F.coalesce("alone", F.lit(0)) <= spare).select("id", "sa", "n")
     alive = materialize(few(classes.join(alone, "sa", "left")), "jac-alive")
-    frags = materialize(_fragments(df, alive, id_col, text, k).dropDuplicates(["id", "frag"]), "jac-fragments")
+    frags = materialize(_fragments(df, alive, id_col, text, k), "jac-fragments")
     rest = alive.agg(F.sum("n"), F.count("*")).first()
     alive = materialize(few(alive.join(_alone_in_sets(frags, 1 + (rest[0] or 0) // FRAGMENT, rest[1]), "sa", "left")), "jac-alive")
-    frags = materialize(frags.join(alive.select("id"), "id", "left_semi").select("id", "frag", "part"), "jac-fragments")
+    frags = materialize(in_buckets(frags, alive, "id").join(alive.select("id"), "id", "left_semi").select("id", "frag", "part"), "jac-fragments")
     grams = frags.select("id", F.explode("part").alias("h"))
     common = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     ranked = grams.join(common, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("r"))
     keyed = ranked.join(alive.select("id", "n"), "id").withColumn("s", F.size("r").cast("long"))
     keep = F.greatest(F.lit(0), spare + 1 - (F.col("n") - F.col("s"))).cast("int")
-    index = keyed.select("id", "n", "s", F.explode(F.slice("r", F.lit(1), keep)).alias("g")).select(
-        "id", "n", "s", F.col("g.h").alias("h"), F.lit(None).cast("double").alias("d"))
+    # at: place of the key in the class's order, lone n-grams first
+    index = keyed.select("id", "n", "s", F.posexplode(F.slice("r", F.lit(1), keep)).alias("p", "g")).select(
+        "id", "n", "s", F.col("g.h").alias("h"), (F.col("n") - F.col("s") + F.col("p")).alias("at"), F.lit(None).cast("double").alias("d"))
     index = materialize(index, "jac-index")
     links, seen, comp = none, None, None
     # members against pivots: the one that shares most, a hashed choice, the longest; then members of different components
-    of = lambda *order: F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), "id", "n", "s", "comp", "d")
+    of = lambda *order: F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), "id", "n", "s", "at", "comp", "d")
     central = of(F.col("s") - F.col("n"), F.col("n"), F.xxhash64("id"))
     hashed = of(F.xxhash64("id"))
     longest = of(F.col("s"), F.col("n"), F.xxhash64("id"))
@@ -258,15 +261,15 @@ def class_links(df: DataFrame, feats: DataFrame, id_col: str, text: str, k: int,
         here = here.join(mixed, "h")
         if pivot is not None:
             side = here.groupBy("h").agg(F.max(pivot).alias("p")).select(
-                "h", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.comp").alias("pc"), F.col("p.d").alias("pd"))
+                "h", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"), F.col("p.comp").alias("pc"), F.col("p.d").alias("pd"))
         else:  # all but the largest component of each key against every member
             sizes = here.groupBy("h", "comp").agg(F.count("*").alias("c"))
             main = sizes.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("m")).select("h", F.col("m.comp").alias("main"))
             side = here.join(main, "h").where("comp <> main").select("h", F.col("id").alias("pid"), F.col("n").alias("pn"),
-                                                                    F.col("s").alias("ps"), F.col("comp").alias("pc"), F.col("d").alias("pd"))
+                                                                    F.col("at").alias("pat"), F.col("comp").alias("pc"), F.col("d").alias("pd"))
         least = F.expr(f"({num} * (n + pn) + {num + den - 1}) div {num + den}")
         met = here.join(side, "h").where("comp <> pc").where(
-            (F.least("n", "pn") * den >= F.greatest("n", "pn") * num) & (F.least("s", "ps") >= least)
+            (F.least("n", "pn") * den >= F.greatest("n", "pn") * num) & (F.col("at") <= F.col("n") - least) & (F.col("pat") <= F.col("pn") - least)
             & F.coalesce(F.abs(F.col("d") - F.col("pd")) <= far, F.lit(True)))
         first = F.col("id") < F.col("pid")
         met = met.select("h", "id", "pid", F.when(first, F.col("id")).otherwise(F.col("pid")).alias("a"), F.when(first, F.col("n")).otherwise(F.col("pn")).alias("na"),
