@@ -30,12 +30,23 @@ def in_buckets(df: DataFrame, hits: DataFrame, key: str, how: str = "left_semi")
     return df.join(F.broadcast(hits.select(bucket.alias("__b")).distinct()), bucket == F.col("__b"), how)
 
 
+def _store() -> dict:
+    return sys.modules.setdefault("_spindle_worker_state", types.ModuleType("_spindle_worker_state")).__dict__
+
+
 def per_worker(key: str, make: Callable):
-    """One object per Python process, also when the calling function was pickled by value."""
-    store = sys.modules.setdefault("_spindle_worker_state", types.ModuleType("_spindle_worker_state")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    """A model kept in the Python process between tasks, also when the calling function was pickled by value. A process
+    holds one model: making another lets go of the one before."""
+    store = _store()
+    if store.get("model", (None,))[0] != key:
+        store.pop("model", None)
+        store["model"] = (key, make())
+    return store["model"][1]
+
+
+def drop_model() -> None:
+    """Let go of the model of an earlier stage before a stage that needs the memory for its data."""
+    _store().pop("model", None)
 
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,10 +101,8 @@ _LOWER[65:91] += 32
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def grow():
-        return {"n": 0}
-
-    kept = per_worker("powers", grow)
+    """Powers of the hash's base and of its inverse, kept between tasks."""
+    kept = _store().setdefault("powers", {"n": 0})
     if kept["n"] < n:
         size = max(n, BLOCK_BYTES + (1 << 16))
         up = np.full(size, _P, np.uint64)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import blocks, in_buckets, mix64, string_buffers, table, windows, word_hashes
+from spindle.llm.common import blocks, drop_model, in_buckets, mix64, string_buffers, table, windows, word_hashes
 from spindle.llm.graph import components
 from spindle.session import materialize
 
@@ -71,6 +71,7 @@ def signatures(win: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _batches(batches, text: str, k: int):
     """Blocks of an Arrow stream: (rows of the batch, hashes, row of each, counts, signatures)."""
+    drop_model()
     for b in batches:
         raw, off = string_buffers(b.column(text))
         for lo, hi in blocks(off):

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import _BYTE, _powers, blocks, mix64, string_buffers, table
+from spindle.llm.common import _BYTE, _powers, blocks, drop_model, in_buckets, mix64, string_buffers, table
 from spindle.llm.suffix_array import permuted_common_prefixes, suffix_array
 from spindle.session import materialize
 
@@ -24,7 +24,6 @@ LENGTH = 100
 GRAM = 32
 SHARD_BYTES = 1 << 20  # bytes sorted at a time
 HOT = 4_000  # distinct segments of a gram from which its windows are split over all shards
-BUCKETS = 1 << 20  # document buckets of the filters before text is shuffled: a broadcast of that many numbers at most
 PIECE = 1 << 19  # windows of a long text handled at a time
 
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
@@ -137,6 +136,7 @@ def _segment_rows(df: DataFrame, length: int) -> DataFrame:
                  pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
                 names=["kind", "k", "a", "z", "doc", "start", "n"])
 
+        drop_model()
         for b in batches:
             ids = b.column("doc").to_numpy(zero_copy_only=False)
             raw, off = string_buffers(b.column("text"))
@@ -199,19 +199,13 @@ def _merge_rows(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "role int, a long, doc long, start int, n int")
 
 
-def _of_documents(docs: DataFrame, hits: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The documents whose bucket has a hit (or none: left_anti); at most BUCKETS numbers are broadcast."""
-    bucket = F.pmod(F.xxhash64("doc"), F.lit(BUCKETS)).cast("int")
-    return docs.join(F.broadcast(hits.select(bucket.alias("b")).distinct()), bucket == F.col("b"), how)
-
-
 def _shards(found: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Rows (doc, start, n): repeated windows among the distinct segments of each gram."""
     segs = found.where("role = 1").drop("role")
     hot = segs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("a", F.lit(True).alias("hot"))
     listed = segs.join(hot, "a", "left").groupBy("doc").agg(
         F.collect_list(F.struct("a", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("segs"))
-    texts = _of_documents(docs, segs).join(listed, "doc")
+    texts = in_buckets(docs, segs, "doc").join(listed, "doc")
 
     def cut(batches):
         import pyarrow as pa
@@ -261,6 +255,7 @@ def _shards(found: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))],
                                               names=["doc", "start", "n"])
 
+        drop_model()
         docs_, starts, counts, texts_, size, last = [], [], [], [], 0, None
         for b in batches:
             for k, d, s, n, t in zip(*(b.column(c).to_pylist() for c in ("k", "doc", "start", "n", "data")), strict=True):
@@ -310,8 +305,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     docs = df.withColumn("doc", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
     spans = windows.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
     kind = "array<struct<start:int,n:int>>"
-    hit = _of_documents(docs, windows).join(spans, "doc", "left").select(*df.columns, F.col("__spans").cast(kind).alias("__spans"))
-    free = _of_documents(docs, windows, "left_anti").select(*df.columns, F.lit(None).cast(kind).alias("__spans"))
+    hit = in_buckets(docs, windows, "doc").join(spans, "doc", "left").select(*df.columns, F.col("__spans").cast(kind).alias("__spans"))
+    free = in_buckets(docs, windows, "doc", "left_anti").select(*df.columns, F.lit(None).cast(kind).alias("__spans"))
 
     def run(batches):
         import pyarrow as pa
