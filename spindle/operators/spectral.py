@@ -52,7 +52,8 @@ def _dft(df: DataFrame, keys: Sequence[str], index: str, re: Column, im: Column,
     keys = list(keys)
     x = df.select(*keys, F.col(index).cast("bigint").alias("_j"), re.cast("double").alias("re"), im.cast("double").alias("im"))
     sizes = _sizes(df, keys, index, n)
-    long = F.col("_n") > F.col("_n1") * entries
+    # rows too long for a call and much longer than they are many; a power of two always splits evenly
+    long = (F.col("_n") > F.col("_n1") * entries) & (F.col("_n") > F.col("_n1") * F.col("_n1") * 2)
     rows = _null_safe(x, sizes, keys)
     out = _four_step(rows.where(~long), keys, entries)
     if not sizes.where(long).isEmpty():  # one row per series is looked at
