@@ -4,7 +4,7 @@ A text is brought to lower case, runs of other characters than letters become on
 language's dictionary, in units that cover it whole (short ones, so that the dictionary and not the text's own repeats
 decides). The language with the smallest total wins. The margin to the runner-up, relative to the runner-up's size, is the confidence; narrow
 margins are rejected. Dictionaries are built from a bounded sample of the labelled training rows: per
-language, DICT_PIECES pieces of PIECE characters (the ``DICT_PIECES`` rows with the smallest hash of their text).
+language, DICT_PIECES pieces of PIECE characters (distinct texts of a hash range, those with the smallest hash).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from spindle.llm.common import per_worker, table
 
 DICT_PIECES = 300  # sample bound: training rows per language
 PIECE = 1500  # sample bound: characters of each
-SALTS = 64  # parts in which a language's rows are ranked first, so that a large language is no single task
+RANGE = 1 << 30
 MAX_LANGUAGES = 200  # dictionaries are fixed-size, so the model is bounded by this; more labels are an error
 UNIT = 512  # bytes encoded at a time
 LEVEL = 6
@@ -41,20 +41,20 @@ def sample(train: DataFrame, text: str = "text", lang: str = "lang") -> list[tup
     """(language, piece) rows of the bounded sample, at most DICT_PIECES of PIECE characters per language.
 
     Rows without text or language are no training rows; repeated texts count once."""
-    rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
-        F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(text, 1, PIECE).alias("piece"))
-    pick = rows.withColumn("salt", F.pmod("h", F.lit(SALTS)))  # the first of each part, then of the language
-    for part in (["lang", "salt"], ["lang"]):
-        pick = pick.withColumn("k", F.row_number().over(Window.partitionBy(*part).orderBy("h", "piece"))).where(
-            F.col("k") <= 2 * DICT_PIECES)
-    found = sorted({(r.lang, r.h, r.piece) for r in pick.collect()})
-    kept: dict[str, list[str]] = {}
-    for la, _, piece in found:
-        if len(kept.setdefault(la, [])) < DICT_PIECES:
-            kept[la].append(piece)
-    if len(kept) > MAX_LANGUAGES:
-        raise ValueError(f"{len(kept)} languages; the bound is {MAX_LANGUAGES}")
-    return [(la, p) for la, ps in sorted(kept.items()) for p in ps]
+    known = train.where(F.col(lang).isNotNull())
+    counts = known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return []
+    # a hash range that holds a few times as many rows as are needed, then the first of these
+    share = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(min(RANGE, RANGE * 4 * DICT_PIECES // r.n)))))
+    h = F.xxhash64(text)
+    rows = known.where((F.pmod(h, F.lit(RANGE)) < share[F.col(lang)]) & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), h.alias("h"), F.substring(text, 1, PIECE).alias("piece"))
+    pick = rows.groupBy("lang", "h").agg(F.min("piece").alias("piece")).withColumn(
+        "k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= DICT_PIECES)
+    return sorted((r.lang, r.piece) for r in pick.collect())
 
 
 def dictionaries(pieces: list[tuple[str, str]]) -> dict[str, bytes]:
