@@ -40,21 +40,29 @@ def normal(text: str) -> bytes:
 def sample(train: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """(language, piece) rows of the bounded sample, at most DICT_PIECES of PIECE characters per language.
 
-    Rows without text or language are no training rows; repeated texts count once."""
-    known = train.where(F.col(lang).isNotNull())
-    counts = known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    Rows without text, letters or language are no training rows; repeated texts count once, also in the size of the hash range, so a
+    language with DICT_PIECES distinct texts has so many pieces however often any is copied. ``ValueError`` above MAX_LANGUAGES labels."""
+    lettered = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(text, 1, PIECE).alias("piece"))
+    counts = lettered.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return []
-    # a hash range that holds a few times as many rows as are needed, then the first of these
-    share = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(min(RANGE, RANGE * 4 * DICT_PIECES // r.n)))))
-    h = F.xxhash64(text)
-    rows = known.where((F.pmod(h, F.lit(RANGE)) < share[F.col(lang)]) & F.col(text).rlike(r"\p{L}")).select(
-        F.col(lang).alias("lang"), h.alias("h"), F.substring(text, 1, PIECE).alias("piece"))
-    pick = rows.groupBy("lang", "h").agg(F.min("piece").alias("piece")).withColumn(
-        "k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= DICT_PIECES)
-    return sorted((r.lang, r.piece) for r in pick.collect())
+    # a hash range that holds a few times as many distinct texts as are needed, then the first of these
+    share = {r.lang: min(RANGE, RANGE * 4 * DICT_PIECES // max(r.n, 1)) for r in counts}
+    out: list[tuple[str, str]] = []
+    while share:
+        ranges = F.create_map(*(F.lit(x) for kv in sorted(share.items()) for x in kv))
+        rows = lettered.where(F.pmod("h", F.lit(RANGE)) < ranges[F.col("lang")])
+        pick = rows.groupBy("lang", "h").agg(F.min("piece").alias("piece")).withColumn(
+            "k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= DICT_PIECES)
+        found: dict[str, list[str]] = {}
+        for r in pick.collect():
+            found.setdefault(r.lang, []).append(r.piece)
+        # a language that came out short although its range is not the whole one is read again with a wider one
+        short = {la: v for la, v in share.items() if v < RANGE and len(found.get(la, [])) < DICT_PIECES}
+        out += [(la, p) for la, v in found.items() if la not in short for p in v]
+        share = {la: min(RANGE, max(v, 1) * 16) for la, v in short.items()}
+    return sorted(out)
 
 
 def dictionaries(pieces: list[tuple[str, str]]) -> dict[str, bytes]:

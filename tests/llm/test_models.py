@@ -38,6 +38,21 @@ def test_language_odd_rows(spark):
         langid.identify(docs.withColumnRenamed("n", "score"), dicts)
 
 
+def test_language_sample_is_not_thinned_by_copies(spark):
+    text = """CASE WHEN id < 400 THEN concat('distinct text number ', id) WHEN id < 8000 THEN 'one text copied many times'
+              WHEN id < 8400 THEN concat('texto distinto ', id) WHEN id < 12000 THEN NULL ELSE concat('0 ', id) END"""
+    docs = spark.range(16000).selectExpr(f"{text} AS text", "IF(id < 8000, 'en', 'es') AS lang")
+    pieces = langid.sample(docs)
+    assert len(set(pieces)) == len(pieces) == 2 * langid.DICT_PIECES
+    assert all(sum(la == x for la, _ in pieces) == langid.DICT_PIECES for x in ("en", "es"))
+
+
+def test_language_sample_widens_a_short_range(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("concat('text number ', id) AS text", "'en' AS lang")
+    monkeypatch.setattr(langid.F, "approx_count_distinct", lambda c: langid.F.count(c) * 1000)
+    assert len(langid.sample(docs)) == langid.DICT_PIECES
+
+
 def brute_segments(s):
     """All maximal-scoring segments by their recursive definition."""
     best = max(((sum(s[i:j]), i - j, -i) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0, 0, 0))
