@@ -1,9 +1,9 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences, each is normalised (A-Z lowered, everything but a-z and 0-9 to one space) and looked up
-among known licence sentences; a sentence over several lines is looked up joined, else line by line. The
-sequence of identifiers found is matched against ordered rules: a rule that occurs in it names a licence and consumes its
-identifiers, so an earlier, longer rule wins over a later one. No shuffle: a row is scanned on its own.
+among known licence sentences; a sentence over several lines is looked up joined, as are runs of lines within longer text,
+else line by line. The sequence of identifiers found is matched against ordered rules: a rule that occurs in it names a licence and
+consumes its identifiers, so an earlier, longer rule wins over a later one. No shuffle: a row is scanned on its own.
 """
 
 from __future__ import annotations
@@ -106,6 +106,12 @@ def known_sentences() -> dict[str, str]:
     return {normal(s): name for name, group in SENTENCES.items() for s in group}
 
 
+def _runs() -> str:
+    """Pattern of runs of whole lines that make a known sentence, the longest first; lines without a letter or digit do not matter."""
+    longest = sorted(known_sentences(), key=lambda s: (-len(s), s))
+    return rf"(?<![^\n{BREAK}])( *(?:" + "|".join(s.replace(" ", r"[ \n]+") for s in longest) + rf") *)(?![^\n{BREAK}])"
+
+
 def _literal_map(d: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in sorted(d.items()) for x in kv))
 
@@ -115,7 +121,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     rule consumed) and ``n_unknown_mentions`` (sentences with "license" or "licence" that are not known).
 
     NULL and empty texts give 0 and empty arrays. Rows are independent, so repeated rows repeat. ``ValueError`` if a result column is
-    there already. A wrapped sentence must not share its paragraph with unfinished text before it."""
+    there already. A wrapped sentence may stand among other lines (a copyright line, comment marks), but begins and ends with a line or
+    sentence."""
     names = ["n_sentences", "n_known", "sentence_ids", "licences", "unmatched", "n_unknown_mentions"]
     if clash := {*names, "__units", "__ids", "__state"} & set(df.columns):
         raise ValueError(f"the input already has {sorted(clash)}")
@@ -124,6 +131,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.regexp_replace(t, F.lit(_ENDS), F.lit(BREAK))
     t = F.regexp_replace(t, F.lit(_BLANK), F.lit(BREAK))
     t = F.regexp_replace(t, F.lit(_OTHER), F.lit(" "))
+    t = F.regexp_replace(t, F.lit(_runs()), F.lit(f"{BREAK}$1{BREAK}"))
 
     def units(s: Column) -> Column:
         whole = F.trim(F.regexp_replace(s, F.lit("[ \n]+"), F.lit(" ")))

@@ -149,6 +149,23 @@ def test_licences(spark):
         licenses.scan(odd(spark).withColumnRenamed("n", "n_known"))
 
 
+def test_licences_wrapped_among_other_lines(spark):
+    def header(mark):
+        body = [x.removeprefix(" * ").strip() for x in MIT.split("\n")]
+        return "\n".join(f"{mark} {x}".rstrip() for x in ["Copyright (c) 2020 X", "", *body])
+
+    gpl = ("This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published"
+           " by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n\nThis program is")
+    rows = [(i, header(m)) for i, m in enumerate((" *", "#", "//"))]
+    rows += [(3, "Copyright (C) 2020 X\n" + gpl.format(":", ",", 3)), (4, "prog.c - a thing\nCopyright (C) 2020 X\n" + gpl.format(";", ";", 2)),
+             (5, "Copyright X\nMIT License\nmore words\nfollow"), (6, "words before permission is hereby granted,\n" + MIT[35:])]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].sentence_ids == ["mit_grant", "mit_notice", "mit_asis"] and got[i].licences == ["MIT"] for i in range(3))
+    assert all(got[i].n_sentences == 4 for i in range(3))
+    assert [got[i].licences for i in (3, 4, 5)] == [["GPL-3.0-or-later"], ["GPL-2.0-or-later"], ["MIT"]]
+    assert got[5].n_sentences == 4 and "mit_grant" not in got[6].sentence_ids
+
+
 def test_decontamination(spark, monkeypatch):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
