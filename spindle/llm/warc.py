@@ -28,6 +28,7 @@ BROADCAST_ROWS = 100_000  # response digests shared by several pages, above whic
 SALT = 16
 
 _VERSION = b"WARC/1."
+_FIRST_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC = b"\x1f\x8b\x08"
 
 
@@ -67,12 +68,12 @@ def parse_plain(data: bytes, at: int) -> tuple[Record, int]:
     """The record that begins at ``at`` and the offset behind it; ``ValueError`` if it fails a check."""
     if data[at:at + len(_VERSION)] != _VERSION:
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0 or end - at > 65_536:
+    if not _FIRST_LINE.match(data, at):
+        raise ValueError("unknown version")
+    end = data.find(b"\r\n\r\n", at)  # a header may be as long as its record, as addresses have no bound
+    if end < 0:
         raise ValueError("header does not end")
     lines = data[at:end].split(b"\r\n")
-    if not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
-        raise ValueError("unknown version")
     headers = {}
     for x in lines[1:]:
         k, sep, v = x.partition(b":")

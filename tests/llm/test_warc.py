@@ -38,6 +38,16 @@ def test_damage_is_skipped_and_logged(gz):
     assert len(names(truncated)) == 5 and isinstance(truncated[-1], warc.Gap)
 
 
+@pytest.mark.parametrize("gz", [True, False])
+def test_records_with_long_addresses_are_read_back(gz):
+    uri = "data:text/html," + "x" * 300_000
+    r = warc.record_bytes("response", uri, "urn:page:7", b"page", hashlib.sha1(b"page").hexdigest(), None, 4)
+    parts = archive(2, gz)
+    out = list(warc.salvage(parts[0] + (warc.gzip_member(r) if gz else r) + parts[1]))
+    assert all(isinstance(x, warc.Record) for x in out) and len(out) == 3
+    assert out[1].headers["warc-target-uri"] == uri and out[1].payload == b"page"
+
+
 def test_odd_pages(spark):
     big = "é" * 700
     rows = [(1, "u", big, "x"), (2, None, big, "x"), (3, "a\r\nb", big, "x"), (4, "u", None, "x"), (5, "u", "", "x"), (6, "u", "small", "x"),
