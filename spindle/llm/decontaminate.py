@@ -4,7 +4,8 @@ Texts become sequences of 64-bit word hashes. Fixed masks over SPAN words ignore
 of the kept words of every benchmark window are joined with those of every document window. Positions that all masks
 keep are probed first, so the masks are applied to windows that pass (none is lost by that). Around a hit, the diagonal of the
 document against the whole item is scored (+1 a word that agrees, -2 one that does not) and the best segment
-decides, so substitutions are tolerated.
+decides, so substitutions are tolerated. Items of SPAN to SMALL words are also met by every six words in a row, which any segment that
+counts has. Shorter items are looked up whole, as words and, in scripts without spaces, characters.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from spindle.llm.common import table
 
 SPAN = 13
-#: Positions kept by each mask. Any single ignored or kept position is ignored by another mask or another window.
+#: Positions kept by each mask. Any position of an item of more than SMALL words is ignored by a mask or outside in some window.
 MASKS = ["1101100110111", "1110010111011", "1011101001111"]
 KEPT = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
 COMMON = sorted(set.intersection(*map(set, KEPT)))  # 0, 11, 12
@@ -25,16 +26,23 @@ MISS = -2
 LEAST = 10  # score of the best segment from which an overlap counts
 SLICE_WORDS = 200_000  # benchmark words broadcast at a time (about 60 bytes of seeds each); larger sets take several passes
 
+SMALL = 15  # a segment of so few words that scores LEAST has one miss at most, so RUN words in a row agree
+RUN = 6
+PREFIXES = [8, 4, 2, 1]  # words that begin a short item and are looked up, as many as it has
+
 WORDS = r"[\p{L}\p{N}]+"
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Words, but every character of a script without spaces is one.
+UNITS = rf"[{_UNSPACED}&&[\p{{L}}\p{{N}}\p{{M}}]]|[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+"
 
 
-def words(text: str) -> Column:
+def words(text: str, pattern: str = WORDS) -> Column:
     lowered = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lowered, F.lit(WORDS), F.lit(0))
+    return F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0))
 
 
-def hashed(text: str) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+def hashed(text: str, pattern: str = WORDS) -> Column:
+    return F.transform(words(text, pattern), lambda w: F.xxhash64(w))
 
 
 def _window(h: str, pos: str, kept: list[int]) -> Column:
@@ -71,20 +79,29 @@ def segment(doc: Column, item: Column, diagonal: Column) -> Column:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-             item_text: str = "text") -> DataFrame:
+             item_text: str = "text", short: bool = False) -> DataFrame:
     """Rows (doc_id, item_id, n_matched, n_overlap, score, doc_start), one for each document and item that overlap: its best segment.
 
-    NULL and empty texts and texts of fewer than SPAN words overlap with nothing. Ids that repeat are one document or item (the best of
+    NULL and empty texts and texts of fewer than SPAN words overlap with nothing; with ``short``, items of fewer than SPAN words overlap
+    with texts of any length that hold their whole sequence of UNITS (case and punctuation aside). Ids that repeat are one document or item (the best of
     their segments counts). Empty tables give no rows. Items that do not fit one broadcast are taken in slices, a pass each."""
     items = benchmark.select(F.col(item_id).alias("__item"), hashed(item_text).alias("__ih")).where(F.size("__ih") >= SPAN)
-    total = items.agg(F.sum(F.size("__ih"))).first()[0] or 0
-    slices = 1 + total // SLICE_WORDS
+    small = items.where(F.size("__ih") <= SMALL)
+    total, n_small = items.agg(F.sum(F.size("__ih")), F.count_if(F.size("__ih") <= SMALL)).first()
+    slices = 1 + (total or 0) // SLICE_WORDS
     left = docs.select(F.col(doc_id).alias("__doc"), hashed(text).alias("__h")).where(F.size("__h") >= SPAN)
     found = None
     for k in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("__item"), F.lit(slices)) == k)
         one = _pass(left, part)
         found = one if found is None else found.unionByName(one)
+    few = -(-n_small * SMALL // SLICE_WORDS)  # slices of the small items, none if there are none
+    for k in range(few):
+        part = small if few == 1 else small.where(F.pmod(F.xxhash64("__item"), F.lit(few)) == k)
+        found = found.unionByName(_small(left, part))
+    if short:
+        found = _short(found, docs.select(F.col(doc_id).alias("__doc"), hashed(text, UNITS).alias("__h")), benchmark.select(
+            F.col(item_id).alias("__item"), hashed(item_text, UNITS).alias("__ih"), F.size(words(item_text)).alias("__n")))
     best = F.max(F.struct("s.score", "s.n_matched", F.negative("s.doc_start").alias("back"), "s.n_overlap")).alias("b")
     out = found.groupBy("__doc", "__item").agg(best)
     return out.select(F.col("__doc").alias(doc_id), F.col("__item").alias(item_id), F.col("b.n_matched").cast("long").alias("n_matched"),
@@ -111,8 +128,44 @@ def _pass(left: DataFrame, items: DataFrame) -> DataFrame:
         F.col("s.score") >= LEAST)
 
 
+def _in_a_row(left: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+    """Places __p of the texts where the ``n`` words of a seed (hash __seed) stand in a row, with the columns of the seed."""
+    shift = [F.slice("__h", F.lit(k + 1), F.size("__h")).alias(f"w{k}") for k in range(n)]
+    windows = left.select("__doc", "__h", F.posexplode(F.arrays_zip(*shift)).alias("__p", "w")).where(
+        F.col(f"w.w{n - 1}").isNotNull()).select("__doc", "__h", "__p", F.xxhash64(*(F.col(f"w.w{k}") for k in range(n))).alias("__seed"))
+    # the probe has no condition, so it is compiled with the windows and only hits are copied out with their whole text
+    near = windows.join(F.broadcast(seeds.select("__seed").distinct()), "__seed", "left_semi")
+    return near.join(F.broadcast(seeds), "__seed")
+
+
+def _small(left: DataFrame, items: DataFrame) -> DataFrame:
+    at = items.withColumn("__q", F.explode(F.sequence(F.lit(0), F.size("__ih") - RUN)))
+    seeds = at.select("__item", "__ih", "__q", _window("__ih", "__q", list(range(RUN))).alias("__seed"))
+    diagonals = _in_a_row(left, seeds, RUN).select("__doc", "__item", "__h", "__ih", (F.col("__p") - F.col("__q")).alias("__d"))
+    return diagonals.select("__doc", "__item", segment(F.col("__h"), F.col("__ih"), F.col("__d")).alias("s")).where(F.col("s.score") >= LEAST)
+
+
+def _short(found: DataFrame, left: DataFrame, items: DataFrame) -> DataFrame:
+    """``found`` with the places of whole items of fewer than SPAN words: their first words are met, then all are compared."""
+    n = F.size("__ih")
+    items = items.where((F.col("__n") < SPAN) & (n > 0)).drop("__n").withColumn(
+        "__k", F.coalesce(*(F.when(n >= k, F.lit(k)) for k in PREFIXES)))
+    total, lengths = items.agg(F.sum(n), F.sort_array(F.collect_set("__k"))).first()
+    if not lengths:
+        return found
+    slices = 1 + total // SLICE_WORDS
+    for i in range(slices):
+        part = items if slices == 1 else items.where(F.pmod(F.xxhash64("__item"), F.lit(slices)) == i)
+        for k in lengths:
+            seeds = part.where(F.col("__k") == k).select("__item", "__ih", F.xxhash64(*(F.get("__ih", F.lit(j)) for j in range(k))).alias("__seed"))
+            hits = _in_a_row(left, seeds, k).where(F.slice("__h", F.col("__p") + 1, n) == F.col("__ih"))
+            found = found.unionByName(hits.select("__doc", "__item", F.struct(
+                n.alias("score"), n.alias("n_overlap"), n.alias("n_matched"), F.col("__p").cast("long").alias("doc_start")).alias("s")))
+    return found
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
 
 
 def oracle(docs: str = "documents", items: str = "benchmark") -> str:

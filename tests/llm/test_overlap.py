@@ -188,6 +188,35 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.overlaps(empty(spark), b).count() == 0
 
 
+def test_decontamination_of_short_items(spark, monkeypatch):
+    cjk, thai = "中国的首都是哪里？请回答。", "ประเทศไทยมีกี่จังหวัด"
+    items = [(0, "What is the capital of France?"), (1, "Why?"), (2, cjk), (3, " ".join(f"w{i}" for i in range(12))), (4, "..."), (5, None), (6, thai)]
+    docs = [(1, "quiz: what IS the capital, of france and more"), (2, "what is the capital of spain"), (3, f"以下问题{cjk}谢谢"), (4, "because; why not"),
+            (5, " ".join(f"w{i}" for i in range(12))), (6, "中国的首都是北京。"), (7, None), (8, f"x{thai}y"), (9, " ".join(f"w{i}" for i in range(11)))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = lambda: sorted((r.doc_id, r.item_id, r.doc_start) for r in decontaminate.overlaps(d, b, short=True).collect())
+    want = got()
+    assert want == [(1, 0, 1), (3, 2, 4), (4, 1, 1), (5, 3, 0), (8, 6, 1)]
+    monkeypatch.setattr(decontaminate, "SLICE_WORDS", 10)
+    assert got() == want
+
+
+def test_decontamination_tolerates_changes_in_items_of_13_to_15_words(spark):
+    items = {n: [f"a{n}x{i}" for i in range(n)] for n in (13, 14, 15)}
+    b = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    docs, want = [], set()
+    for n, w in items.items():
+        for i in range(n):
+            for j in range(i, n):
+                same = [0 if k in (i, j) else 1 for k in range(n)]
+                best = max(sum(1 if x else -2 for x in same[s:e]) for s in range(n) for e in range(s + 1, n + 1))
+                docs.append((len(docs), "f1 f2 " + " ".join(x if ok else "changed" for x, ok in zip(w, same, strict=True)) + " f3"))
+                if best >= decontaminate.LEAST:
+                    want.add((docs[-1][0], n, best))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.score) for r in decontaminate.overlaps(d, b).collect()} == want
+
+
 def test_pipeline_equals_brute_force(spark):
     """Each stage again in plain Python (decontamination in DuckDB), on the smallest tables."""
     docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
