@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindle.llm import bpe, decontaminate, jaccard, langid, licenses, quality, substring_dedup, token_count, toxicity, warc
+from spindle.llm import bpe, collocations, decontaminate, jaccard, langid, licenses, quality, substring_dedup, token_count, toxicity, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -23,4 +24,5 @@ SQL: dict[str, str] = {
     "op4_quality": quality.OP4_SQL,
     "op6_jaccard_join": jaccard.OP6_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
+    "op12_phrase_collocations": collocations.OP12_SQL,
 }
