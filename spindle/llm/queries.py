@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindle.llm import bpe, collocations, decontaminate, jaccard, langid, licenses, quality, substring_dedup, token_count, toxicity, warc
+from spindle.llm import alignment, bpe, collocations, decontaminate, jaccard, langid, licenses, quality, substring_dedup, token_count, toxicity, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_alignment": alignment.op11_alignment,
     "op12_phrase_collocations": collocations.op12_phrase_collocations,
 }
 
