@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindle.llm import alignment, bpe, collocations, decontaminate, jaccard, langid, licenses, quality, substring_dedup, token_count, toxicity, warc
+from spindle.llm import alignment, bpe, collocations, decontaminate, html_text, jaccard, langid, licenses, quality, substring_dedup, token_count, toxicity, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_alignment": alignment.op11_alignment,
     "op12_phrase_collocations": collocations.op12_phrase_collocations,
+    "op13_html_extraction": html_text.op13_html_extraction,
 }
 
 SQL: dict[str, str] = {
