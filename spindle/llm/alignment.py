@@ -14,6 +14,7 @@ with their totals in a cogroup, so no task depends on the size of a group of cop
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.bpe import byte_alphabet
+from spindle.llm.bpe import PATTERN, byte_alphabet
 from spindle.llm.common import per_worker, table
 from spindle.session import materialize
 
@@ -34,6 +35,7 @@ SHARD = 8 << 20  # bytes of text of a shard, about; one document at least
 BLOCK = 1 << 20  # bytes of text aligned in one step; one document at least
 MEMO = 300_000  # words remembered per worker, and at most CHARS characters; then the memory is started anew
 CHARS = 8_000_000
+WORD = 200  # characters of a word up to which the plainer of two equal encoders takes it
 
 _WORDS = re.compile(r" *[^ ]+(?:(?<=[^\S ])(?: *[^ ]+| +))*| +")
 
@@ -74,6 +76,7 @@ class Side:
 
 def byte_side(raw: bytes) -> Side:
     """A byte-level vocabulary of the tokenizers library; words are given with their spaces."""
+    import tiktoken
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,7 +89,23 @@ def byte_side(raw: bytes) -> Side:
     spelled = [b""] * (max(vocab.values()) + 1)
     for t, i in vocab.items():
         spelled[i] = bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
-    return Side(lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)], spelled)
+    specials = set(json.loads(raw)["model"]["vocab"]) ^ set(vocab)
+    ranks = {spelled[i]: i for t, i in vocab.items() if t not in specials}
+    merged = [vocab[m.replace(" ", "") if isinstance(m, str) else "".join(m)] for m in json.loads(raw)["model"]["merges"]]
+    fast = None
+    if merged == sorted(merged) and len(ranks) == len(vocab) - len(specials):  # ids in merge order are ranks
+        fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(words: list[str]) -> list[list[int]]:
+        if fast is None:
+            return [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+        out = [fast(w) if len(w) <= WORD else None for w in words]  # its time grows with the square of a run's length
+        long = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(long, tok.encode_batch_fast([words[i] for i in long], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    return Side(encode, spelled)
 
 
 def piece_side(raw: bytes) -> Side:
@@ -168,8 +187,11 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     a, b = (x.assign(pos=np.arange(len(x))) for x in (a, b))
     down = pd.merge_asof(a, b, on="start", by="doc", suffixes=("", "_o"))  # the b token that covers each a start
     up = pd.merge_asof(b, a, on="start", by="doc", suffixes=("", "_o"))
-    pairs = pd.concat([pd.DataFrame({"a": down["pos"], "b": down["pos_o"]}), pd.DataFrame({"a": up["pos_o"], "b": up["pos"]})])
-    return pairs.dropna().astype("int64").drop_duplicates(ignore_index=True)
+    down = down[["pos", "pos_o"]].set_axis(["a", "b"], axis=1).dropna().astype("int64")
+    up = up[["pos_o", "pos"]].set_axis(["a", "b"], axis=1).dropna().astype("int64")
+    # tokens that begin together meet in both directions
+    begins = a["start"].to_numpy()[up["a"]] == b["start"].to_numpy()[up["b"]]
+    return pd.concat([down, up[~begins]], ignore_index=True)
 
 
 class Aligned:
@@ -201,20 +223,24 @@ def align(pair: Pair, texts: list[str]) -> Aligned:
     out_ids, out_doc, frames = [], [], []
     for side, (ids, counts) in zip(pair.sides, sides):
         doc = np.repeat(np.arange(n), counts)
-        keep = good[doc]
-        ids, doc = ids[keep], doc[keep]
+        if not good.all():
+            keep = good[doc]
+            ids, doc = ids[keep], doc[keep]
         length = side.length[ids]
-        before = np.cumsum(length) - length
-        first = np.searchsorted(doc, doc)  # the document's first token
-        start = before - before[first] + base[doc] if len(doc) else before
+        # the bytes of left-out documents count too, so that starts grow from document to document
+        start = np.cumsum(length) - length + (base - np.cumsum(size * good) + size * good)[doc]
         out_ids.append(ids)
         out_doc.append(doc)
         frames.append(pd.DataFrame({"doc": doc, "start": start, "end": start + length}))
     met = overlaps(*frames)
     end_a, end_b = frames[0]["end"].to_numpy(), frames[1]["end"].to_numpy()
     a, b = met["a"].to_numpy(), met["b"].to_numpy()
-    cuts = np.sort(end_a[a[end_a[a] == end_b[b]]])
-    group = [np.searchsorted(cuts, f["end"].to_numpy(), side="left") for f in frames]
+    together = end_a[a] == end_b[b]
+    group = []
+    for end, last in ((end_a, a[together]), (end_b, b[together])):
+        closes = np.zeros(len(end), np.int64)
+        closes[last] = 1
+        group.append(np.cumsum(closes) - closes)
     return Aligned(out_ids, out_doc, group, n)
 
 
@@ -235,7 +261,7 @@ def links(al: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc_of = np.zeros(int(al.group[0][-1]) + 1 if len(al.group[0]) else 0, np.int64)
     doc_of[al.group[0]] = al.doc[0]
     doc, pair, times = doc_of[ga[left]], a[left] << 20 | b[right], na[left] * nb[right]
-    order = np.lexsort((pair, doc))
+    order = np.argsort(doc << 40 | pair)  # a block has fewer than 2^23 documents
     doc, pair, times = doc[order], pair[order], times[order]
     head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1]))) if len(doc) else np.empty(0, np.int64)
     return doc[head], pair[head], np.add.reduceat(times, head) if len(head) else times
