@@ -1,7 +1,8 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches per language and source.
 
 Base measures and a fixed base rule come first. Then each measure's ratio is counted in integer steps per
-(language, source): a histogram sketch of bounded size whose merge is the sum of the counts, so partial
+(language, source): a histogram sketch whose cells are exact below 2048 steps and then grow with the value (11 leading bits, so
+an octave has 1024 cells, and quantiles are off by less than 0.1 percent), whose merge is the sum of the counts, so partial
 sums do the work and a hot source is no single task. The sketches of a language's sources merge into that of
 the language, and those into one for all, which stand in for groups of too few documents. Quartiles read off
 the sketches give upper and lower fences, which are joined to the documents and decide.
@@ -23,11 +24,11 @@ MEASURES = {
     "word_length": ("word_chars", "n_words", 20, 50),
     "symbols": ("n_symbols", "n_words", 100, 20),
     "dup_lines": ("n_dup_lines", "n_lines", 100, 50),
-    "repeats": ("n_repeat_words", "n_words", 100, 21),
+    "repeats": ("n_repeat_words", "n_words", 100, 15),  # below the base rule's 20, so that a group's quartiles can decide
 }
 LOWER = {"word_length"}  # measures with a lower fence as well
 SPREAD = 6  # quartile distances between quartile and fence
-TOP = 2000  # last step of a sketch; larger ratios are counted there
+BITS = 11  # leading bits of a step that a sketch keeps
 LEAST_DOCS = 50  # documents a group needs for fences of its own
 WINDOW = 5
 
@@ -101,13 +102,20 @@ def base_measures(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _step(name: str):
+    """The ratio in whole steps, of any size: what is compared with the fences."""
     num, den, steps, _ = MEASURES[name]
-    return F.least(F.expr(f"({steps} * {num}) div greatest({den}, 1)"), F.lit(TOP)).cast("long")
+    return F.expr(f"({steps} * {num}) div greatest({den}, 1)").cast("long")
+
+
+def _cell(step):
+    """The lower edge of a step's cell: its BITS leading bits."""
+    cut = F.greatest(F.length(F.bin(step)) - BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", step, cut), cut).cast("long")
 
 
 def sketches(measured: DataFrame, by: list[str]) -> DataFrame:
-    """Histogram sketches: rows (by, measure, step, n), one per step that occurs, at most TOP + 1 per measure."""
-    cells = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), _step(m).alias("step")) for m in MEASURES)))
+    """Histogram sketches: rows (by, measure, step, n), one per cell that occurs."""
+    cells = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), _cell(_step(m)).alias("step")) for m in MEASURES)))
     return (measured.select(*by, cells.alias("c")).groupBy(*by, "c.measure", "c.step").agg(F.count("*").alias("n")))
 
 
@@ -173,17 +181,19 @@ def oracle() -> str:
     """The same rows by DuckDB: measures over unnested words and lines, fences from order statistics of each group."""
     word = r"[^\x20\x09-\x0D]+"
     cells = " UNION ALL ".join(
-        f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, least(({steps} * {num}) // greatest({den}, 1), {TOP}) AS step FROM m"
+        f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, ({steps} * {num}) // greatest({den}, 1) AS step FROM m"
         for m, (num, den, steps, _) in MEASURES.items())
     least = "CASE measure " + " ".join(f"WHEN '{m}' THEN {v[3]}" for m, v in MEASURES.items()) + " END"
     low = "CASE WHEN measure IN (" + ", ".join(f"'{m}'" for m in sorted(LOWER)) + f") THEN least(q1 - {SPREAD} * (q3 - q1), q2 - {least}) END"
 
+    cell = f"(step >> greatest(length(bin(step)) - {BITS}, 0)) << greatest(length(bin(step)) - {BITS}, 0)"
+
     def level(name: str, by: list[str]) -> str:
         key = ", ".join([*by, "measure"])
         return f"""{name} AS (SELECT {key}, total, {low} AS low, greatest(q3 + {SPREAD} * (q3 - q1), q2 + {least}) AS high FROM (
   SELECT {key}, total, min(step) FILTER (rn * 4 >= total) AS q1, min(step) FILTER (rn * 4 >= total * 2) AS q2, min(step) FILTER (rn * 4 >= total * 3) AS q3
   FROM (SELECT {key}, step, row_number() OVER (PARTITION BY {key} ORDER BY step) AS rn, count(*) OVER (PARTITION BY {key}) AS total
-        FROM c WHERE NOT base_failed) GROUP BY {key}, total))"""
+        FROM (SELECT * REPLACE ({cell} AS step) FROM c WHERE NOT base_failed)) GROUP BY {key}, total))"""
 
     pick = lambda x: f"coalesce(CASE WHEN s.total >= {LEAST_DOCS} THEN s.{x} END, CASE WHEN l.total >= {LEAST_DOCS} THEN l.{x} END, a.{x})"
     return f"""
