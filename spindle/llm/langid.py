@@ -4,7 +4,8 @@ A text is brought to lower case, runs of other characters than letters become on
 language's dictionary, in units that cover it whole (short ones, so that the dictionary and not the text's own repeats
 decides). The language with the smallest total wins. The margin to the runner-up, relative to the runner-up's size, is the confidence; narrow
 margins are rejected. Dictionaries are built from a bounded sample of the labelled training rows: per
-language, DICT_PIECES pieces of PIECE characters (distinct texts of a hash range, those with the smallest hash).
+language, DICT_PIECES pieces (distinct texts of a hash range, those with the smallest hash). A piece is the text's letters, or where
+these are longer than PIECE characters, windows spread evenly over all of them.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ import hashlib
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindle.llm.common import per_worker, table
 
 DICT_PIECES = 300  # sample bound: training rows per language
-PIECE = 1500  # sample bound: characters of each
+PIECE = 1500  # sample bound: characters of each, in WINDOWS parts
+WINDOWS = 4
 RANGE = 1 << 30
 MAX_LANGUAGES = 200  # dictionaries are fixed-size, so the model is bounded by this; more labels are an error
 UNIT = 512  # bytes encoded at a time
@@ -37,13 +39,22 @@ def normal(text: str) -> bytes:
     return _NOT_LETTERS.sub(" ", text.lower()).encode()
 
 
+def _piece(text: str) -> Column:
+    """The letters of a text, runs of others one space; of long ones WINDOWS windows from the first letters to the last."""
+    letters = F.trim(F.regexp_replace(F.col(text), r"[^\p{L}\p{M}]+", " "))
+    size = PIECE // WINDOWS
+    start = lambda i: (1 + F.floor((F.length(letters) - size) * i / (WINDOWS - 1))).cast("int")
+    return F.when(F.length(letters) <= PIECE, letters).otherwise(
+        F.concat_ws(" ", *(F.substring(letters, start(i), F.lit(size)) for i in range(WINDOWS))))
+
+
 def sample(train: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """(language, piece) rows of the bounded sample, at most DICT_PIECES of PIECE characters per language.
+    """(language, piece) rows of the bounded sample, at most DICT_PIECES of about PIECE characters per language.
 
     Rows without text, letters or language are no training rows; repeated texts count once, also in the size of the hash range, so a
     language with DICT_PIECES distinct texts has so many pieces however often any is copied. ``ValueError`` above MAX_LANGUAGES labels."""
     lettered = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
-        F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(text, 1, PIECE).alias("piece"))
+        F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), _piece(text).alias("piece"))
     counts = lettered.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
