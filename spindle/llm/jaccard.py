@@ -299,8 +299,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     texts link if ``den * |intersection| >= num * |union|``.
 
     NULL, empty and wordless texts have no shingles and are components of their own. Repeated rows and equal sets are linked.
-    NULL ids are never the smallest. An empty table has no rows. Other columns of ``df`` are not read."""
+    NULL ids are never the smallest. ``ValueError`` if one id has texts with different sets. An empty table has no rows. Other columns of ``df`` are not read."""
     feats = materialize(features(df, id_col, text, k), "jac-features")
+    whole = F.xxhash64("sa", "sb", "n")
+    twice = feats.where("id IS NOT NULL").groupBy("id").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("lo <> hi").first()
+    if twice is not None:
+        raise ValueError(f"{id_col} {twice['id']} has two different texts")
     classes, links = class_links(df, feats, id_col, text, k, num, den)
     comp = components(links)
     named = classes.join(comp, "id", "left").where("copies > 1 OR comp IS NOT NULL").select(
