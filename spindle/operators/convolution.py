@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindle.operators import exact
 from spindle.sources.kernels import bank_matrix, bank_slices, kernel_width
 
 PIVOT = 256  # kernels summed side by side in the relational form
@@ -127,9 +128,9 @@ def fir_blocks(signal: DataFrame, bank: DataFrame, keys: Sequence[str], **block_
 
     ``block`` is the number of output samples per group (default: a
     power-of-two FFT length, at least 1024 and 8 halos, minus the halo). With
-    integral samples and taps the filtered value is rounded to the integer it is (exact
-    while |y| stays below about 2^49), so the result equals the relational form whatever the
-    block size. ``emit`` names a boolean column: only its rows get outputs (the others feed them).
+    integral samples and taps the filtered value is the exact integer - each block is cut into as many limbs as
+    its magnitudes need (:mod:`spindle.operators.exact`); what does not fit a BIGINT raises -, so the result equals the relational form
+    whatever the block size. ``emit`` names a boolean column: only its rows get outputs (the others feed them).
 
     The groups are range-partitioned explicitly into ``partitions`` (default
     ``spark.sql.shuffle.partitions``) on (keys, block): the shuffle is
@@ -158,7 +159,7 @@ def _blocks(signal: DataFrame, bank: DataFrame, keys: list[str], power: bool, bl
     blk = F.floor(F.col("_i") / F.lit(b))
     in_halo = (F.col("_i") - blk * F.lit(b)) >= F.lit(b - halo)
     rows = signal.select(*keys, F.col(index).cast("bigint").alias("_i"), F.col(time).alias("_time"),
-                         _sample(signal, value, "double").alias("_v"),
+                         _sample(signal, value, "bigint" if integral else "double").alias("_v"),
                          (F.col(emit) if emit else F.lit(True)).alias("_emit"))
     rows = rows.withColumn(
         "_blk", F.explode(F.when(in_halo & F.lit(halo > 0), F.array(blk, blk + 1)).otherwise(F.array(blk))))
@@ -191,12 +192,17 @@ def _block_kernel(keys, freqs, taps, b, n_fft, per_call, integral, power, index)
     conversion sits on the hot path, and memory stays at one band."""
     w = taps.shape[1]
     halo = w - 1
-    spectra: dict[int, np.ndarray] = {}
-
-    def spectrum(band: int) -> np.ndarray:
-        if band not in spectra:
-            spectra[band] = np.fft.rfft(taps[band * per_call:(band + 1) * per_call], n=n_fft, axis=1)
-        return spectra[band]
+    spectra: dict[tuple, np.ndarray] = {}
+    tap_max = int(np.abs(taps).max()) if integral and taps.size else 0
+
+    def spectrum(band: int, limbs: exact.Limbs | None = None, limb: int = 0) -> np.ndarray:
+        key = (band, limbs and (limbs.h_bits, limbs.h_count), limb)
+        if key not in spectra:
+            part = taps[band * per_call:(band + 1) * per_call]
+            if limbs is not None:
+                part = exact.split(part.astype(np.int64), limbs.h_bits, limbs.h_count)[limb]
+            spectra[key] = np.fft.rfft(part, n=n_fft, axis=1)
+        return spectra[key]
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tbl = pa.Table.from_batches(list(batches)).combine_chunks()  # one block and its halo
@@ -204,8 +210,15 @@ def _block_kernel(keys, freqs, taps, b, n_fft, per_call, integral, power, index)
         pos = tbl.column("_i").to_numpy() - base
         v = tbl.column("_v")
         known = v.is_valid().to_numpy()
-        x = np.zeros(n_fft)
-        x[pos] = np.nan_to_num(v.to_numpy(zero_copy_only=False).astype(np.float64))
+        if integral:
+            x = np.zeros(n_fft, np.int64)
+            x[pos] = v.fill_null(0).to_numpy(zero_copy_only=False)
+            limbs = exact.plan(int(np.abs(x).max()), tap_max, n_fft, w)
+            fx = [np.fft.rfft(part) for part in exact.split(x, limbs.x_bits, limbs.x_count)]
+        else:
+            x = np.zeros(n_fft)
+            x[pos] = np.nan_to_num(v.to_numpy(zero_copy_only=False).astype(np.float64))
+            fx = np.fft.rfft(x)
         missing = np.ones(n_fft, dtype=bool)
         missing[pos[known]] = False
         behind = np.cumsum(missing)
@@ -219,14 +232,18 @@ def _block_kernel(keys, freqs, taps, b, n_fft, per_call, integral, power, index)
         if not len(owned):
             return
         spoilt = behind[owned] - np.where(owned >= w, behind[owned - w], 0) > 0
-        fx = np.fft.rfft(x)
         times = tcol.take(pa.array(slot[owned]))
         consts = [tbl.column(k)[0] for k in keys]
         for band in range(-(-len(freqs) // per_call)):
             fr = freqs[band * per_call:(band + 1) * per_call]
-            y = np.fft.irfft(spectrum(band) * fx, n=n_fft, axis=1)[:, owned]
             if integral:
-                y = np.rint(y)
+                total = exact.Sum((len(fr), len(owned)))
+                for i, part in enumerate(fx):
+                    for j in range(limbs.h_count):
+                        total.add(np.fft.irfft(spectrum(band, limbs, j) * part, n=n_fft, axis=1)[:, owned], limbs.shift(i, j))
+                y = total.values()
+            else:
+                y = np.fft.irfft(spectrum(band) * fx, n=n_fft, axis=1)[:, owned]
             m, kk = len(owned), len(fr)
             nulls = np.tile(spoilt, kk)
             flat = y.reshape(-1)
@@ -235,11 +252,12 @@ def _block_kernel(keys, freqs, taps, b, n_fft, per_call, integral, power, index)
             cols.append(pa.array(np.repeat(np.asarray(fr, dtype=np.int32), m)))
             names = [*keys, "time", "frequency"]
             if power:
-                cols.append(pa.array((flat * flat).astype(np.float32), mask=nulls))
+                d = flat.astype(np.float64)
+                cols.append(pa.array((d * d).astype(np.float32), mask=nulls))
                 names.append("convolution")
             else:
                 cols.append(pa.array(np.tile(base + owned, kk)))
-                cols.append(pa.array(flat.astype(np.int64) if integral else flat, mask=nulls))
+                cols.append(pa.array(flat, mask=nulls))
                 names += [index, "y"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

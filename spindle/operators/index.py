@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindle.session import materialize
+
 
 def _cols(xs: Sequence[Column | str]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -54,6 +56,30 @@ def dense_index(df: DataFrame, series: Sequence[str], order: Sequence[Column | s
             .drop("_bin", "_r", "_off"))
 
 
+def split_index(df: DataFrame, series: Sequence[str], order: Sequence[str], index_col: str = "i", partitions: int | None = None) -> DataFrame:
+    """``dense_index`` over ranges of the whole order: rows with equal times, in any number, are spread like others.
+
+    The rows are dealt to ``partitions`` (default: the shuffle partitions) ranges of (series, order), sorted there and written once
+    with their place. A series' rows of one range lie side by side, so the index is the place in the range plus the
+    exact counts of the series' earlier ranges, a table of at most one row per range and series in it. ``order`` names columns that are a
+    total order inside a series. NULLs come first, a NULL series is a series.
+    """
+    series, order = list(series), list(order)
+    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(p, *series, *order).sortWithinPartitions(*series, *order)
+    placed = materialize(ranges.withColumn("_place", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_place", 33).alias("_part")  # the id holds the partition above its lower 33 bits
+    heads = placed.groupBy(*series, part).agg(F.min("_place").alias("_head"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*series).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*[F.col(s).alias(f"_s{k}") for k, s in enumerate(series)], F.col("_part").alias("_p"), "_head",
+                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    same = F.col("_part") == F.col("_p")
+    for k, s in enumerate(series):
+        same = same & F.col(s).eqNullSafe(F.col(f"_s{k}"))
+    return (placed.withColumn("_part", part).join(heads, same)
+            .withColumn(index_col, (F.col("_off") + F.col("_place") - F.col("_head")).cast("bigint")).select(*df.columns, index_col))
+
+
 def order_violations(df: DataFrame, series: Sequence[str], position: Sequence[Column | str],
                      time: str, bin_col: Column) -> DataFrame:
     """Rows whose ``time`` is smaller than the previous row's ``time`` in

@@ -7,11 +7,15 @@ Intervals are clipped to the time range of the data (so an open-ended one costs
 own range), cut at the edges of time bins, and merged inside each bin: overlapping, touching and repeated
 ones become one. The rows then meet the few merged pieces of their bin in an equi-join plus the range test; the
 join strategy is left to AQE. Cost grows with rows + bins covered, not rows x intervals.
+
+Before the join the rows are filtered by a short list of coarse ranges that cover all intervals (:func:`coarse_ranges`). As plain
+comparisons on the time column they reach the scan of a table: row groups and pages whose times lie outside are not read. This
+pays where rows are stored in time order (``average_reference`` leaves them so, and the power table's files hold runs of blocks).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +38,35 @@ def mean_length(intervals: DataFrame) -> int:
     return max(1, int(r["m"])) if r["m"] is not None else 1
 
 
+RANGES = 64  # coarse ranges that filter a scan
+
+
+def coarse_ranges(intervals: DataFrame, bounds: tuple[int, int], most: int = RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` disjoint ranges, in order, that cover the clipped intervals: the data's range is cut into ``most`` equal
+    cells, and each range runs from the first to the last covered time of neighbouring cells. One row per cell reaches the driver."""
+    base, width = bounds[0], -(-(bounds[1] - bounds[0] + 1) // most)
+    cell = lambda c: F.floor((F.col(c) - F.lit(base).cast("bigint")) / F.lit(width).cast("bigint"))
+    first = F.lit(base).cast("bigint") + F.col("_cell") * width
+    cells = (intervals.select("lo", "hi", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("_cell")).groupBy("_cell")
+             .agg(F.min(F.greatest("lo", first)).alias("lo"), F.max(F.least("hi", first + (width - 1))).alias("hi")))
+    out: list[tuple[int, int]] = []
+    for r in sorted(cells.select("lo", "hi").collect()):
+        if out and r["lo"] <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], r["hi"])
+        else:
+            out.append((r["lo"], r["hi"]))
+    return out
+
+
+def in_ranges(time: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a time lies in one of the ranges, as comparisons that a scan can use."""
+    cond = F.lit(False)
+    for k, (lo, hi) in enumerate(ranges):
+        one = (time >= F.lit(lo).cast("bigint")) & (time <= F.lit(hi).cast("bigint"))
+        cond = one if k == 0 else cond | one
+    return cond
+
+
 def merged_bins(intervals: DataFrame, bin_width: int) -> DataFrame:
     """Rows (_bin, _lo, _hi): the clipped intervals cut at bin edges and merged inside each bin.
 
@@ -52,13 +85,15 @@ def merged_bins(intervals: DataFrame, bin_width: int) -> DataFrame:
 
 
 def within_intervals(df: DataFrame, intervals: DataFrame, time: str = "time", bin_width: int | None = None,
-                     bounds: tuple[int, int] | None = None) -> DataFrame:
-    """Rows of ``df`` inside any interval. ``bounds`` (default: from the rows, one small aggregate) is the time
+                     bounds: tuple[int, int] | None = None, ranges: int = RANGES) -> DataFrame:
+    """Rows of ``df`` inside any interval. ``ranges``: coarse ranges that filter the scan (0: none). ``bounds`` (default: from the rows, one small aggregate) is the time
     range of the data; ``bin_width`` defaults to the mean length of the clipped intervals. NULL times are in no interval."""
     bounds = bounds or time_range(df, time)
     if bounds is None:
         return df.filter(F.lit(False))
     clipped = clip_intervals(intervals, bounds)
+    if ranges:
+        df = df.where(in_ranges(F.col(time), coarse_ranges(clipped, bounds, ranges)))
     width = bin_width or mean_length(clipped)
     bins = merged_bins(clipped, width)
     keyed = df.withColumn("_bin", F.floor(F.col(time) / F.lit(width)))

@@ -28,11 +28,12 @@ def average_reference(power: DataFrame, within: Sequence[str] = (), value: str =
     holding (sum, count) - a partial, map-side aggregate - and the mean per
     (time, frequency) is a window over those rows. A window group holds one
     row per series recorded at that time, so its size is bounded by the
-    number of simultaneous channels, not by the series length.
+    number of simultaneous channels, not by the series length. The rows are dealt to the window by ranges of time,
+    so those written from it are in time order and a filter on time skips most of them.
     """
     grp = ["time", "frequency", *within]
     per_key = power.groupBy("rat", "dt", "channel", "time", "frequency").agg(
-        F.sum(value).alias("_s"), F.count(value).alias("_c"))
+        F.sum(value).alias("_s"), F.count(value).alias("_c")).repartitionByRange("time")
     w = Window.partitionBy(*grp)
     mean = F.try_divide(F.sum("_s").over(w), F.sum("_c").over(w))
     return per_key.select("rat", "frequency", "channel", "dt", mean.alias(value), "time")

@@ -59,6 +59,22 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round(F.col("m") * 1000).cast("smallint").alias("h")))
 
 
+def long_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernels four times as long: tap 64 g + u of a label is ``round(1000 * mean of embedding[u])`` over its vectors with
+    ``vec_id % 4 = g``."""
+    emb = table(spark, sf_dir, "embeddings")
+    taps = emb.select("label", (F.col("vec_id") % 4).alias("g"), F.posexplode("embedding").alias("u", "e"))
+    return (taps.groupBy("label", "g", "u").agg(F.avg("e").alias("m"))
+            .select((F.col("label") + 5).cast("int").alias("frequency"), (F.col("g") * 64 + F.col("u")).cast("int").alias("u"),
+                    F.round(F.col("m") * 1000).cast("smallint").alias("h")))
+
+
+def wide(signal: DataFrame, bank: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples of about 31 bits and taps of about 16, whose filtered values pass 2^53."""
+    return (signal.withColumn("v", (F.col("v") * 30011 + F.col("event_id") % 30011).cast("bigint")),
+            bank.withColumn("h", (F.col("h").cast("int") * 61 + F.col("u") % 61).cast("int")))
+
+
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     h = hours_since("ts")

@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spindle.operators.convolution import band_power_blocks
-from spindle.operators.intervals import time_range, within_intervals
+from spindle.operators.intervals import clip_intervals, coarse_ranges, in_ranges, time_range, within_intervals
 from spindle.operators.phase import phase_buckets, phase_profile, select_result
 from spindle.operators.reference import average_reference, average_reference_join
 from spindle.operators.stats import zscore
 from spindle.session import materialize, scratch_path
 from spindle.sinks import write_power
 from spindle.sources.tables import read_power
+from spindle.store import Snapshot
 
 
 def power_table(signal: DataFrame, bank: DataFrame, keys: Sequence[str] = ("rat", "dt", "channel"),
@@ -51,7 +52,7 @@ def power_table(signal: DataFrame, bank: DataFrame, keys: Sequence[str] = ("rat"
 def _profile(rows: DataFrame, passes: DataFrame, phase: DataFrame, bin_width: int | None) -> DataFrame:
     """Profile of average-referenced rows. They are written once: the statistics per group and the rows these are
     joined to both read them."""
-    ref = materialize(rows, "referenced")
+    ref = materialize(rows, "referenced", sort=["time"])
     bounds = time_range(ref)
     z = zscore(ref)
     kept = within_intervals(z, passes, bin_width=bin_width, bounds=bounds) if bounds else z.where("false")
@@ -72,3 +73,17 @@ def result(power: DataFrame, passes: DataFrame, phase: DataFrame, rat: str, dt:
         rows = average_reference_join(power, only=(F.col("rat") == rat) & (F.col("dt") == dt))
         return select_result(_profile(rows, passes, phase, bin_width), rat, dt)
     return select_result(profile(power, passes, phase, reference, bin_width), rat, dt)
+
+
+def result_from_store(snapshot: Snapshot, passes: DataFrame, phase: DataFrame, rat: str, dt: str, bin_width: int | None = None) -> DataFrame:
+    """One rat and session from a store's kept-up reference and statistics: of the power only the rows of this session inside the passes
+    are read, of the sums only those times."""
+    only = (F.col("rat") == rat) & (F.col("dt") == dt)
+    bounds = snapshot.bounds()
+    if bounds is None:
+        rows = snapshot.referenced(only)
+    else:
+        rows = snapshot.referenced(only, in_ranges(F.col("time"), coarse_ranges(clip_intervals(passes, bounds), bounds)))
+    z = zscore(rows, stats=snapshot.group_stats().where(only))
+    kept = within_intervals(z, passes, bin_width=bin_width, bounds=bounds, ranges=0) if bounds else z
+    return select_result(phase_profile(kept, phase_buckets(phase)), rat, dt)

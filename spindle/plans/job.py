@@ -25,6 +25,8 @@ from spindle.session import materialize
 from spindle.sinks import write_text_result
 from spindle.sources import index_recordings, read_kernel_bank, read_passes, read_phase, read_power, read_recordings
 from spindle.sources.recordings import unsorted_samples
+from spindle.store import PowerStore
+from spindle.streaming.ingest import add_recordings
 
 
 def load_recordings(spark: SparkSession, recordings: str, bank: str, power_table: str, bin_width: int | None = None,
@@ -50,6 +52,18 @@ def load_recordings(spark: SparkSession, recordings: str, bank: str, power_table
     return flagship.power_table(signal, kernels, SERIES_KEYS, path=power_table, mode=mode)
 
 
+def load_into_store(spark: SparkSession, recordings: str | list[str], kernels: DataFrame, store: PowerStore, how: str = "replace",
+                    integer_samples: bool = False, bin_width: int | None = None) -> int:
+    """Filter the recordings and add their power to a store, as one version: series that it has are replaced, or with
+    ``how="extend"`` continued by these later parts. Returns the version."""
+    rec = materialize(read_recordings(spark, recordings), "samples")
+    bad = unsorted_samples(rec).first()
+    if bad is not None:
+        raise ValueError(f"{bad['file_path']}: time {bad['time']} follows {bad['prev_time']}")
+    rec = rec.withColumn("v", F.col("voltage").cast("bigint" if integer_samples else "double"))
+    return add_recordings(store, rec, materialize(kernels, "kernels"), how, integer_samples, bin_width)
+
+
 def run_statistics(spark: SparkSession, power_table: str, passes: str, phase: str, rat: str, dt: str,
                    result: str | None = None) -> DataFrame:
     """The statistics over an existing power table, of all the recordings it has accumulated; the result text is

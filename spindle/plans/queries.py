@@ -22,10 +22,12 @@ from spindle.operators import (
     count_bins,
     dense_index,
     fir_blocks,
+    fir_partitioned,
     fir_relational,
     group_stats,
     order_violations,
     phase_buckets,
+    split_index,
     within_intervals,
     zscore,
 )
@@ -34,7 +36,7 @@ from spindle.operators import spectral as X
 from spindle.operators.intervals import time_range
 from spindle.plans import fixtures as fx
 from spindle.plans import flagship
-from spindle.plans.job import load_recordings, run_job, run_statistics
+from spindle.plans.job import load_into_store, load_recordings, run_job, run_statistics
 from spindle.plans.sql_chain import sql_result
 from spindle.plans.oracle import SERIES64, USER_SEGMENTS, dft_sql, with_ctes
 from spindle.session import materialize, scratch_path
@@ -52,6 +54,7 @@ from spindle.sources import (
     read_recordings,
 )
 from spindle.sources.recordings import filename_keys
+from spindle.store import PowerStore
 from spindle.streaming import ingest_recordings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,6 +142,12 @@ def dense_index_query(spark, sf):
     return fx.signal(spark, sf).select(*fx.SERIES, "event_id", "i")
 
 
+def tied_index(spark, sf):
+    """Index over months: thousands of samples of a series share a time and are ordered by their ids."""
+    s = fx.samples(spark, sf).select(*fx.SERIES, F.floor(F.col("time") / 720).alias("month"), "event_id")
+    return split_index(s, fx.SERIES, ["month", "event_id"])
+
+
 def fir_valid(spark, sf):
     return fir_relational(fx.signal(spark, sf), fx.bank(spark, sf), fx.SERIES)
 
@@ -160,6 +169,21 @@ def fir_missing_blocks(spark, sf):
     return fir_blocks(_with_missing(spark, sf), fx.bank(spark, sf), fx.SERIES)
 
 
+def fir_long(spark, sf):
+    """Kernels of 256 taps by transforms of 128 entries: four parts in two tiles, summed in the frequency domain."""
+    return fir_partitioned(fx.signal(spark, sf), fx.long_bank(spark, sf), fx.SERIES, entries=128, run=4, tile=2, band=4)
+
+
+def fir_exact(spark, sf):
+    """31-bit samples and 16-bit taps by transforms, in limbs."""
+    return fir_blocks(*fx.wide(fx.signal(spark, sf), fx.bank(spark, sf)), fx.SERIES)
+
+
+def fir_exact_long(spark, sf):
+    """The same by partitioned kernels."""
+    return fir_partitioned(*fx.wide(fx.signal(spark, sf), fx.long_bank(spark, sf)), fx.SERIES, entries=256)
+
+
 def band_power(spark, sf):
     return band_power_relational(fx.signal(spark, sf), fx.bank(spark, sf), fx.SERIES)
 
@@ -195,7 +219,7 @@ def average_reference_within(spark, sf):
 
 def _referenced(spark, sf):
     """Average-referenced rows, written once: the statistics and the rows they are joined to read them."""
-    return materialize(average_reference(_stored_power(spark, sf)), "referenced")
+    return materialize(average_reference(_stored_power(spark, sf)), "referenced", sort=["time"])
 
 
 def group_stats_query(spark, sf):
@@ -283,6 +307,37 @@ def stream_ingest_power(spark, sf):
     return read_power(spark, base + "/power").select(*fx.SERIES, "time", "frequency", "convolution")
 
 
+def _store(spark, sf) -> PowerStore:
+    """A store after three adds of whole series: R0's, R1's, and R0's again in place of the first."""
+    store = PowerStore(spark, scratch_path(spark, "store"), bin_width=240)
+    power = _stored_power(spark, sf)
+    for rat in ("R0", "R1", "R0"):
+        store.add(power.where(F.col("rat") == rat))
+    return store
+
+
+def store_means(spark, sf):
+    """The reference per (time, frequency) from the store's sums."""
+    return _store(spark, sf).snapshot().means().select("time", "frequency", _f("convolution"))
+
+
+def store_group_stats(spark, sf):
+    """Mean and standard deviation per series and frequency from the store's moments."""
+    return _store(spark, sf).snapshot().group_stats()
+
+
+def store_result(spark, sf):
+    """The whole analysis of one session from the kept-up reference and statistics."""
+    return flagship.result_from_store(_store(spark, sf).snapshot(), fx.passes(spark, sf), fx.phase(spark, sf), fx.RESULT_RAT, fx.RESULT_DT)
+
+
+def store_compacted(spark, sf):
+    """The power rows of a store after its adds were put together."""
+    store = _store(spark, sf)
+    store.compact()
+    return store.snapshot().power().select(*fx.SERIES, "time", "frequency", "convolution")
+
+
 # --- the job from text ------------------------------------------------------
 
 JOB_DT = "2024-01-01"  # session part of the file names, which need year, month and day
@@ -342,6 +397,23 @@ def job_append(spark, sf):
     return _read_result(spark, base + "/result")
 
 
+def store_job_and_stream(spark, sf):
+    """One store fed by both: the job adds the first files of each series, a stream goes on with the later ones; then the statistics."""
+    base, config = _text_inputs(spark, sf)
+    bank = read_kernel_bank(spark, base + "/bank", config.first_frequency, config.last_frequency, config.kernel_width)
+    store = PowerStore(spark, base + "/store", bin_width=240)
+    names = sorted((n for n, _ in store.files.names(base + "/rec")), key=lambda n: int(n.split("=")[1]))
+    first = names[:len(names) // 2]
+    load_into_store(spark, [f"{base}/rec/{n}" for n in first], bank, store, integer_samples=True)
+    for n in names[len(first):]:  # one folder of arrivals after the other, in time order
+        q = ingest_recordings(spark, f"{base}/rec/{n}", store.path, bank, checkpoint=f"{base}/checkpoint-{n}", integer_samples=True, store=True)
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    passes, phase = read_passes(spark, base + "/passes"), read_phase(spark, base + "/phase")
+    return flagship.result_from_store(store.snapshot(), passes, phase, fx.RESULT_RAT, JOB_DT)
+
+
 def passes_phase_text(spark, sf):
     """Passes and phase scanned from text, joined: each pass with the phase at its begin."""
     base, _ = _text_inputs(spark, sf)
@@ -489,6 +561,7 @@ QUERIES: dict[str, Query] = {
     "filename_keys": filename_keys_query,
     "sortedness_violations": sortedness_violations,
     "dense_index": dense_index_query,
+    "tied_index": tied_index,
     "fir_valid": fir_valid,
     "band_power": band_power,
     "band_power_blocks": band_power_blocks_query,
@@ -527,12 +600,20 @@ QUERIES: dict[str, Query] = {
     "fir_blocks": fir_blocks_query,
     "fir_missing": fir_missing,
     "fir_missing_blocks": fir_missing_blocks,
+    "fir_long": fir_long,
+    "fir_exact": fir_exact,
+    "fir_exact_long": fir_exact_long,
     "job_from_text": job_from_text,
     "job_append": job_append,
     "passes_phase_text": passes_phase_text,
     "recordings_scan": recordings_scan,
     "load_counts": load_counts,
     "csv_dump": csv_dump,
+    "store_means": store_means,
+    "store_group_stats": store_group_stats,
+    "store_result": store_result,
+    "store_compacted": store_compacted,
+    "store_job_and_stream": store_job_and_stream,
 }
 
 def _series_dft(inverse: bool = False, scale: bool = False, index: str = "k") -> str:
@@ -583,7 +664,26 @@ JOIN taps k ON k.u = t.i - s.i
 WHERE t.i >= (SELECT max(u) FROM taps)
 GROUP BY t.rat, t.dt, t.channel, t.time, t.i, k.frequency"""
 
+_LONG_TAPS = """ltaps AS (
+  SELECT CAST(label + 5 AS INTEGER) AS frequency, CAST(g * 64 + u AS INTEGER) AS u, CAST(round(avg(e) * 1000) AS SMALLINT) AS h
+  FROM (SELECT label, vec_id % 4 AS g, unnest(range(len(embedding))) AS u, unnest(embedding) AS e FROM embeddings)
+  GROUP BY label, g, u)"""
+
+
+def _fir_sql(taps: str, ctes: str, wide: bool = False) -> str:
+    v, h = ("(s.v * 30011 + s.event_id % 30011)", "(CAST(k.h AS BIGINT) * 61 + k.u % 61)") if wide else ("s.v", "CAST(k.h AS BIGINT)")
+    return ctes + f"""
+SELECT t.rat, t.dt, t.channel, t.time, k.frequency, t.i, CAST(sum(CAST({h} AS HUGEINT) * {v}) AS BIGINT) AS y
+FROM sig t JOIN sig s ON s.rat = t.rat AND s.dt = t.dt AND s.channel = t.channel AND s.i BETWEEN t.i - (SELECT max(u) FROM {taps}) AND t.i
+JOIN {taps} k ON k.u = t.i - s.i
+WHERE t.i >= (SELECT max(u) FROM {taps})
+GROUP BY t.rat, t.dt, t.channel, t.time, t.i, k.frequency"""
+
+
 SQL: dict[str, str] = {
+    "fir_long": _fir_sql("ltaps", with_ctes("sig", body=", " + _LONG_TAPS)),
+    "fir_exact": _fir_sql("taps", with_ctes("sig", "taps", body=""), wide=True),
+    "fir_exact_long": _fir_sql("ltaps", with_ctes("sig", body=", " + _LONG_TAPS), wide=True),
     "kernel_bank_long": with_ctes("taps", body="SELECT frequency, u, h FROM taps"),
     "kernel_bank_text": with_ctes("taps", body="SELECT frequency, u, h FROM taps"),
     "signal_parse_csv": f"""SELECT CAST(trim(p[1]) AS BIGINT) AS time, CAST(trim(p[2]) AS FLOAT) AS voltage
@@ -602,6 +702,8 @@ FROM (SELECT event_id, 'R' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%
          lag({_H}) OVER (PARTITION BY user_id ORDER BY -event_id) AS prev_time FROM events)
 WHERE time < prev_time""",
     "dense_index": with_ctes("sig", body="SELECT rat, dt, channel, event_id, i FROM sig"),
+    "tied_index": with_ctes("sig", body="""SELECT rat, dt, channel, time // 720 AS month, event_id,
+       row_number() OVER (PARTITION BY rat, dt, channel ORDER BY time // 720, event_id) - 1 AS i FROM sig"""),
     "fir_valid": with_ctes("conv", body="SELECT rat, dt, channel, time, frequency, i, y FROM conv"),
     "band_power": with_ctes("pw", body="SELECT * FROM pw"),
     "band_power_blocks": with_ctes("pw", body="SELECT * FROM pw"),
@@ -653,5 +755,10 @@ FROM pw p JOIN (SELECT rat, dt, time, frequency, avg(convolution) AS convolution
     "recordings_scan": with_ctes("sig", body="""SELECT rat, '2024-01-01' AS dt, channel, time, CAST(v AS FLOAT) AS voltage FROM sig"""),
     "load_counts": with_ctes("pw", body="""SELECT (SELECT count(*) FROM sig) AS lines, (SELECT count(*) FROM sig) AS samples,
        (SELECT count(*) FROM pw) AS power_rows"""),
+    "store_means": with_ctes("av", body="SELECT time, frequency, CAST(convolution AS FLOAT) AS convolution FROM av"),
+    "store_group_stats": with_ctes("st", body="SELECT * FROM st"),
+    "store_result": with_ctes("prof", body=_FINAL),
+    "store_compacted": with_ctes("pw", body="SELECT * FROM pw"),
+    "store_job_and_stream": with_ctes("prof", body=_FINAL),
     "csv_dump": with_ctes("conv", body="SELECT rat, dt, channel, time, frequency, i, y FROM conv"),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,13 +76,14 @@ def remove_scratch(spark: SparkSession) -> int:
     return n
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Cut lineage by writing Parquet to the shared folder and reading it back.
+def materialize(df: DataFrame, name: str = "stage", sort: Sequence[str] = ()) -> DataFrame:
+    """Cut lineage by writing Parquet to the shared folder and reading it back. ``sort`` orders each file, so that
+    filters on those columns skip its row groups and pages.
 
     Unlike ``cache`` this survives executor loss, and unlike executor-local
     checkpoints it does not depend on blocks held by one executor.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
+    (df.sortWithinPartitions(*sort) if sort else df).write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.functions.columns import strip_trailing_commas
-from spindle.operators.index import count_bins, dense_index, order_violations
+from spindle.operators.index import dense_index, order_violations, split_index
 
 # Fixed value: file-name layout <rat>-<yyyy>-<mm>-<dd>-<3 chars><channel>.<ext>
 FILE_NAME_PATTERN = r"^([^-]*)-([^-]*-[^-]*-[^-]*)-...([^.]*)\."
@@ -105,7 +105,9 @@ def unsorted_samples(recordings: DataFrame) -> DataFrame:
 
 
 def index_recordings(recordings: DataFrame, bin_width: int | None = None, keys=("rat", "dt", "channel")) -> DataFrame:
-    """Dense 0-based sample index ``i`` per series in (time, file, file position) order. ``bin_width`` (in time) defaults
-    to bins of about 10,000 samples, from counts."""
-    bins = count_bins(recordings, list(keys), F.col("time")) if bin_width is None else F.floor(F.col("time") / F.lit(bin_width))
-    return dense_index(recordings, list(keys), ["time", "file_path", "_block", "_pos"], bins, "i")
+    """Dense 0-based sample index ``i`` per series in (time, file, file position) order, over ranges of the whole order, so that
+    equal times are spread too. With ``bin_width`` (in time) bins of that width are numbered instead, without writing the rows."""
+    order = ["time", "file_path", "_block", "_pos"]
+    if bin_width is None:
+        return split_index(recordings, list(keys), order)
+    return dense_index(recordings, list(keys), order, F.floor(F.col("time") / F.lit(bin_width)), "i")

@@ -7,6 +7,9 @@ outputs at the seam are made and the index goes on. Each batch writes folders of
 (``rat=/dt=/channel=/batch=``, and ``batch=`` of the state): a batch replayed
 after a failure reads the state from before it and replaces just what it wrote. Samples older than what their
 series already has stop the query with an error.
+
+With ``store`` the batches go to a :class:`~spindle.store.PowerStore`, the same table that the job adds to: one version a batch, with the
+series' last samples in it, so no batch reads what earlier ones left and a replayed batch adds nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from spindle.operators.convolution import band_power_blocks
 from spindle.session import materialize
 from spindle.sources.kernels import kernel_width
 from spindle.sources.recordings import filename_keys, index_recordings, parse_signal, path_keys
+from spindle.store import PowerStore, Snapshot
 
 KEYS = list(SERIES_KEYS)
 
@@ -55,6 +59,10 @@ def state_schema(integer_samples: bool) -> T.StructType:
         T.StructField("v", T.LongType() if integer_samples else T.DoubleType()), T.StructField("batch", T.LongType())])
 
 
+def sample_schema(integer_samples: bool) -> T.StructType:
+    return T.StructType([f for f in state_schema(integer_samples).fields if f.name != "batch"])
+
+
 def last_state(spark: SparkSession, path: str, before: int, integer_samples: bool) -> DataFrame:
     """The samples kept for each series by the latest batch before ``before`` that had it."""
     rows = spark.read.schema(state_schema(integer_samples)).parquet(path).where(F.col("batch") < before)
@@ -71,16 +79,65 @@ def continue_series(rec: DataFrame, old: DataFrame, bin_width: int | None) -> Da
     return old.join(seen, KEYS, "left_semi").withColumn("emit", F.lit(False)).unionByName(new)
 
 
+def add_recordings(store: PowerStore, rec: DataFrame, bank: DataFrame, how: str, integer_samples: bool, bin_width: int | None = None,
+                   token: tuple[str, int] | None = None) -> int:
+    """Filter samples (keys, time, v, file_path, _block, _pos) and add their power to the store, whose state keeps the last samples of
+    each series: ``"extend"`` goes on where a series stands (late samples raise), ``"replace"`` begins it anew."""
+    snap = store.snapshot()
+    if how == "extend":
+        # the state is small - a filter window for each series - but is read by several jobs
+        old = materialize(snap.state(sample_schema(integer_samples)), "store-state")
+        _refuse_late(rec, old)
+        sig = continue_series(rec, old, bin_width)
+    else:
+        sig = index_recordings(rec, bin_width).select(*KEYS, "time", "i", "v", F.lit(True).alias("emit"))
+    sig = materialize(sig, "store-signal")
+    keep = last_samples(sig, max(1, kernel_width(bank) - 1))
+    seen = sig.select(*KEYS).distinct()
+
+    def state(before: Snapshot) -> DataFrame:
+        return before.state(sample_schema(integer_samples)).join(seen, KEYS, "left_anti").unionByName(keep)
+
+    return store.add(band_power_blocks(sig, bank, KEYS, emit="emit"), how, token, state, based_on=snap)
+
+
+def _refuse_late(rec: DataFrame, old: DataFrame) -> None:
+    late = (rec.groupBy(*KEYS).agg(F.min("time").alias("first"))
+            .join(old.groupBy(*KEYS).agg(F.max("time").alias("last")), KEYS).where("first < last").first())
+    if late is not None:
+        raise ValueError(f"series {tuple(late[k] for k in KEYS)}: time {late['first']} arrived after {late['last']}")
+
+
+def last_samples(sig: DataFrame, reach: int) -> DataFrame:
+    """The samples of each series that a filter window reaches back to."""
+    end = sig.groupBy(*KEYS).agg(F.max("i").alias("_end"))
+    return sig.join(end, KEYS).where(F.col("i") > F.col("_end") - reach).select(*KEYS, "time", "i", "v")
+
+
 def ingest_recordings(spark: SparkSession, source_dir: str, power_path: str, bank: DataFrame,
                       bin_width: int | None = None, checkpoint: str | None = None, available_now: bool = True,
                       max_files_per_trigger: int | None = None,
                       records_per_file: int = DEFAULT.records_per_file, keys_from: str = "name",
-                      integer_samples: bool = False, strict: bool = True) -> StreamingQuery:
+                      integer_samples: bool = False, strict: bool = True, store: bool = False) -> StreamingQuery:
     """Start the ingest; ``available_now`` processes what is there and stops. The checkpoint defaults to a fixed
-    folder beside the power table, so a restart goes on where the last run stopped."""
+    folder beside the power table, so a restart goes on where the last run stopped. ``store``: ``power_path`` is a
+    :class:`~spindle.store.PowerStore`."""
     power_path = power_path.rstrip("/")
     state_path = f"{power_path}_state"
+    checkpoint = checkpoint or f"{power_path}_checkpoint"
     bank = materialize(bank, "ingest-bank")  # small; read by every batch
+    if store:
+        table = PowerStore(spark, power_path, records_per_file=records_per_file)
+
+        def add_batch(batch: DataFrame, epoch_id: int) -> None:
+            token = (checkpoint, epoch_id)
+            if table.snapshot().has(token):
+                return
+            rec = materialize(parse_batch(batch, strict, keys_from, integer_samples), "ingest-samples")
+            if not rec.isEmpty():
+                add_recordings(table, rec, bank, "extend", integer_samples, bin_width, token)
+
+        return _start(recording_lines(spark, source_dir, max_files_per_trigger), add_batch, checkpoint, available_now)
     reach = max(1, kernel_width(bank) - 1)
     spark.createDataFrame([], state_schema(integer_samples)).write.mode("append").partitionBy("batch").parquet(state_path)
 
@@ -94,19 +151,17 @@ def ingest_recordings(spark: SparkSession, source_dir: str, power_path: str, ban
         if rec.isEmpty():
             return
         old = last_state(spark, state_path, epoch_id, integer_samples)
-        late = (rec.groupBy(*KEYS).agg(F.min("time").alias("first"))
-                .join(old.groupBy(*KEYS).agg(F.max("time").alias("last")), KEYS).where("first < last").first())
-        if late is not None:
-            raise ValueError(f"series {tuple(late[k] for k in KEYS)}: time {late['first']} arrived after {late['last']}")
+        _refuse_late(rec, old)
         sig = materialize(continue_series(rec, old, bin_width), "ingest-signal")
         power = band_power_blocks(sig, bank, KEYS, emit="emit")
         replace(power.withColumn("batch", F.lit(epoch_id).cast("bigint")), power_path, *KEYS, "batch")
-        end = sig.groupBy(*KEYS).agg(F.max("i").alias("_end"))
-        keep = sig.join(end, KEYS).where(F.col("i") > F.col("_end") - reach).select(*KEYS, "time", "i", "v")
+        keep = last_samples(sig, reach)
         replace(keep.withColumn("batch", F.lit(epoch_id).cast("bigint")), state_path, "batch")
 
-    writer = (recording_lines(spark, source_dir, max_files_per_trigger).writeStream
-              .foreachBatch(write_batch)
-              .option("checkpointLocation", checkpoint or f"{power_path}_checkpoint"))
+    return _start(recording_lines(spark, source_dir, max_files_per_trigger), write_batch, checkpoint, available_now)
+
+
+def _start(lines: DataFrame, write_batch, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = lines.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

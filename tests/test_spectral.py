@@ -146,3 +146,90 @@ def test_null_and_large_keys_are_groups(spark):
     got = X.complex_forward(spark.createDataFrame(rows, "g bigint, j bigint, re double, im double"), ["g"]).collect()
     assert sorted((str(r["g"]), round(r["re"], 6)) for r in got if r["k"] == 0) == [(str(2**53), 3.0), (str(2**53 + 1), 6.0), ("None", 6.0)]
     assert len(got) == 10
+
+
+REAL_LENGTHS = [(1, 1), (2, 2), (3, 3), (4, 64), (5, 61), (6, 210), (7, 225), (8, 360), (9, 5 * 53), (10, 2 * 97)]
+
+
+@pytest.mark.parametrize("entries", [1 << 16, 50, 7])
+def test_real_kinds_by_one_call_two_rounds_and_chirp(spark, entries):
+    rng = np.random.default_rng(3)
+    real = {g: rng.normal(size=n) for g, n in REAL_LENGTHS}
+    df = long_df(spark, real)
+    half = X.real_forward(df, ["g"], entries_per_call=entries)
+    got, full = as_arrays(half, "k"), as_arrays(X.real_forward_full(df, ["g"], entries_per_call=entries), "k")
+    n = df.groupBy("g").agg((F.max("j") + 1).alias("n"))
+    # the imaginary parts of the two edge bins do not count
+    odd = half.join(n, "g").withColumn("im", F.when((F.col("k") == 0) | (F.col("k") * 2 == F.col("n")), 7.0).otherwise(F.col("im")))
+    back = as_arrays(X.real_inverse(odd, ["g"], "n", entries_per_call=entries), "j", cols=("re",))
+    raw = as_arrays(X.real_inverse(odd, ["g"], "n", scale=False, entries_per_call=entries), "j", cols=("re",))
+    inverse = as_arrays(X.real_inverse_full(df.withColumnRenamed("j", "k"), ["g"], entries_per_call=entries), "j")
+    for g, x in real.items():
+        want = direct(x, -1)
+        assert len(got[g]) == len(x) // 2 + 1 and np.allclose(got[g], want[:len(x) // 2 + 1], atol=1e-8), g
+        assert len(full[g]) == len(x) and np.allclose(full[g], want, atol=1e-8), g
+        assert np.allclose(back[g], x, atol=1e-9) and np.allclose(raw[g], x * len(x), atol=1e-7), g
+        assert np.allclose(inverse[g], direct(x, +1) / len(x), atol=1e-9), g
+
+
+def test_missing_bins_and_entries_count_as_zero(spark):
+    x = np.zeros(60)
+    x[[3, 59]] = [2.0, 1.0]
+    df = spark.createDataFrame([(1, 3, 2.0, 0.0), (1, 59, 1.0, 0.0)], "g bigint, j bigint, re double, im double")
+    bins = spark.createDataFrame([(1, 7, 1.0, -2.0, 60)], "g bigint, k bigint, re double, im double, n bigint")
+    for entries in (1 << 16, 30):
+        got = as_arrays(X.real_forward(df, ["g"], entries_per_call=entries), "k")[1]
+        assert np.allclose(got, np.fft.rfft(x))
+        spec = np.zeros(31, complex)
+        spec[7] = 1 - 2j
+        back = as_arrays(X.real_inverse(bins, ["g"], "n", entries_per_call=entries), "j", cols=("re",))[1]
+        assert np.allclose(back, np.fft.irfft(spec, 60))
+
+
+def test_half_of_the_entries_cross_to_round_two(spark, monkeypatch):
+    """Of a real series round 1 has no imaginary column and hands half of a spectrum on; of a half spectrum only its own
+    bins enter round 1 and half of the rows leave it."""
+    rng = np.random.default_rng(4)
+    n = 4096
+    df = long_df(spark, {1: rng.normal(size=n)})
+    seen = {}
+    plan = X._four_step
+
+    def spy(rows, keys, entries, kind=X.COMPLEX):
+        mid = {}
+        group = type(rows.groupBy("_n"))
+        real = group.applyInArrow
+
+        def apply(self, fn, schema):
+            out = real(self, fn, schema)
+            if "_row" in [f.name for f in schema.fields]:
+                mid["df"] = out
+            return out
+
+        monkeypatch.setattr(group, "applyInArrow", apply)
+        out = plan(rows, keys, entries, kind)
+        monkeypatch.setattr(group, "applyInArrow", real)
+        seen[kind] = (rows.count(), [c for c in rows.columns if c in ("re", "im")],
+                      mid["df"].agg(F.sum(F.size("re"))).first()[0], mid["df"].count())
+        return out
+
+    monkeypatch.setattr(X, "_four_step", spy)
+    X.complex_forward(df, ["g"], entries_per_call=512)
+    X.real_forward(df, ["g"], entries_per_call=512)
+    X.real_inverse(df.where(f"j <= {n // 2}").withColumnRenamed("j", "k"), ["g"], n, entries_per_call=512)
+    assert seen[X.COMPLEX][:3] == (n, ["re", "im"], n)
+    assert seen[X.REAL][:3] == (n, ["re"], n // 2 + 64)
+    assert seen[X.HALF][:3] == (n // 2 + 1, ["re", "im"], n // 2 + 64)
+    assert all(pieces <= 64 for *_, pieces in seen.values())  # not a row per entry
+
+
+def test_chirp_is_made_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(X, "PIECE", 100)
+    lengths = spark.createDataFrame([(1031, 4096), (7, 16)], "_len bigint, _m bigint")
+    got = X._chirp_numbers(lengths)
+    assert sorted(r["_d"] for r in got.where("_len = 1031").collect()) == list(range(-1030, 1031))
+    assert sorted(r["_d"] for r in got.where("_len = 7").collect()) == list(range(-6, 7))
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=1031) + 1j * rng.normal(size=1031)
+    out = as_arrays(X.complex_forward(long_df(spark, {1: x}), ["g"], entries_per_call=128), "k")
+    assert np.allclose(out[1], direct(x, -1), atol=1e-7)
