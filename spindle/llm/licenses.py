@@ -55,8 +55,22 @@ SENTENCES: dict[str, list[str]] = {
     "ccbync4": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc0": ["Licensed under CC0 1.0", "This work is dedicated to the public domain under CC0 1.0"],
     "reserved": ["All rights reserved"],
+    "bsd_asis": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
+    "bsd_liability": ["IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"],
+    "lgpl21_free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3_free": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl3_free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "zlib_asis": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib_grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "epl2": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"],
 }
 
+# Identifiers of the public licence list that stand alone in a "SPDX-License-Identifier:" line.
+LISTED = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0",
+          "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only",
+          "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
+SENTENCES |= {"listed_" + re.sub("[^a-z0-9]", "_", x.lower()): [f"SPDX-License-Identifier: {x}"] for x in LISTED}
+
 # Ordered rules: identifiers in a row -> licence. Earlier rules consume their identifiers first.
 RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["apache2_grant", "apache2_use", "apache2_copy", "apache2_asis", "apache2_see"]),
@@ -88,8 +102,20 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-NC-4.0", ["ccbync4"]),
     ("CC-BY-4.0", ["ccby4"]),
     ("CC0-1.0", ["cc0"]),
+    ("LGPL-2.1-or-later", ["lgpl21_free"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free"]),
+    ("AGPL-3.0-or-later", ["agpl3_free"]),
+    ("Zlib", ["zlib_asis", "zlib_grant"]),
+    ("Zlib", ["zlib_grant"]),
+    ("EPL-2.0", ["epl2"]),
+    *((x, ["listed_" + re.sub("[^a-z0-9]", "_", x.lower())]) for x in LISTED),
 ]
 
+# The endorsement sentence with any holder's name (which may hold full stops) is brought to the known one.
+_GAP = r"[^a-z0-9]+"
+_HOLDER = _GAP.join(["neither", "the", "names?", "of"]) + r"[\s\S]{1,300}?" + _GAP.join(["nor", "the", "names", "of", f"(?:(?:its|their|any|the|other){_GAP})*contributors"])
+_ANY_HOLDER = "neither the name of the copyright holder nor the names of its contributors"
+
 BREAK = "\x01"  # stands for a sentence end
 _ENDS = r"[.!?]+[ \t\r\n\f\x0B]"
 _BLANK = r"\n[ \t\r]*\n"
@@ -128,6 +154,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         raise ValueError(f"the input already has {sorted(clash)}")
     known = _literal_map(known_sentences())
     t = F.translate(F.concat(F.coalesce(F.col(text), F.lit("")), F.lit(" ")), string.ascii_uppercase, string.ascii_lowercase)
+    t = F.when(F.contains(t, F.lit("neither")), F.regexp_replace(t, F.lit(_HOLDER), F.lit(_ANY_HOLDER))).otherwise(t)
     t = F.regexp_replace(t, F.lit(_ENDS), F.lit(BREAK))
     t = F.regexp_replace(t, F.lit(_BLANK), F.lit(BREAK))
     t = F.regexp_replace(t, F.lit(_OTHER), F.lit(" "))
@@ -173,9 +200,9 @@ def oracle() -> str:
         last = f"r{k}"
     return f"""
 WITH known(s, id) AS (VALUES {values}),
-t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(
+t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
         translate(coalesce(text, '') || ' ', '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
-        '{_ENDS}', chr(1), 'g'), '{_BLANK}', chr(1), 'g'), '{_OTHER}', ' ', 'g'), chr(1)) AS ss FROM documents),
+        '{_HOLDER}', '{_ANY_HOLDER}', 'g'), '{_ENDS}', chr(1), 'g'), '{_BLANK}', chr(1), 'g'), '{_OTHER}', ' ', 'g'), chr(1)) AS ss FROM documents),
 s AS (SELECT doc_id, generate_subscripts(ss, 1) AS i, unnest(ss) AS s FROM t),
 w AS (SELECT doc_id, i, s, trim(regexp_replace(s, '[ \\n]+', ' ', 'g')) AS whole FROM s),
 k AS (SELECT w.*, known.id FROM w LEFT JOIN known ON known.s = w.whole),

@@ -271,3 +271,41 @@ def test_pipeline_stages_take_odd_rows(spark):
                 assert docs.columns == corpus_pipeline.COLUMNS, name
         ids = [r.doc_id for r in docs.collect()]
         assert len(ids) == len(set(ids)) >= least and not {1, 2, 3, 9, None} & set(ids)
+
+
+def test_one_id_with_two_texts_is_refused(spark):
+    from spindle.llm import jaccard
+
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words), (2, "another text of its own kind here"), (2, words + " more")]
+    with pytest.raises(ValueError, match="doc_id 2 has two different texts"):
+        jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    same = [(1, words), (2, words), (2, words), (None, "x y"), (None, "z")]
+    assert jaccard.jaccard_components(spark.createDataFrame(same, "doc_id long, text string")).count() == 5
+
+
+BSD3 = """Copyright (c) 2012, {holder}
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+    * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{endorse}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+"""
+
+
+def test_licences_of_named_holders_and_listed_identifiers(spark):
+    endorse = ("    * Neither the name of {holder} nor the names of its\n      contributors may be used to endorse or promote products derived from\n"
+               "      this software without specific prior written permission.\n")
+    texts = [(BSD3.format(holder=h, endorse=endorse.format(holder=h)), "BSD-3-Clause")
+             for h in ("Google Inc.", "the copyright holder", "The Regents of the University, Ltd. and others", "<organization>")]
+    texts += [(BSD3.format(holder="x", endorse=""), "BSD-2-Clause"), ("// SPDX-License-Identifier: MIT", "MIT"),
+              ("# SPDX-License-Identifier: GPL-2.0-or-later\nimport os", "GPL-2.0-or-later"),
+              ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+               "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+              ("Neither the name of the game nor its rules are known.", "")]
+    rows = [(i, t) for i, (t, _) in enumerate(texts)]
+    got = {r.doc_id: ",".join(r.licences) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(texts)}
