@@ -68,26 +68,29 @@ def parse_plain(data: bytes, at: int) -> tuple[Record, int]:
     """The record that begins at ``at`` and the offset behind it; ``ValueError`` if it fails a check."""
     if data[at:at + len(_VERSION)] != _VERSION:
         raise ValueError("no version line")
-    if not _FIRST_LINE.match(data, at):
+    first = _FIRST_LINE.match(data, at)
+    if not first:
         raise ValueError("unknown version")
-    end = data.find(b"\r\n\r\n", at)  # a header may be as long as its record, as addresses have no bound
-    if end < 0:
-        raise ValueError("header does not end")
-    lines = data[at:end].split(b"\r\n")
-    headers = {}
-    for x in lines[1:]:
-        k, sep, v = x.partition(b":")
-        if not sep:
-            raise ValueError("header line without colon")
+    headers, start = {}, first.end()
+    while True:  # line by line: a header may be as long as its record, but the first line that is none ends the search
+        end = data.find(b"\r\n", start)
+        if end < 0:
+            raise ValueError("header does not end")
+        if end == start:
+            break
+        k, sep, v = data[start:end].partition(b":")
+        if not sep or _MAGIC in v:
+            raise ValueError("header line without colon" if not sep else "header runs into a member")
         name = k.decode("utf-8", "replace").strip().lower()
         if name in headers and name != "warc-concurrent-to":  # two headers run into each other
             raise ValueError("header repeats")
         headers[name] = v.decode("utf-8", "replace").strip()
+        start = end + 2
     if not headers.get("content-length", "").isdecimal() or "warc-type" not in headers:
         raise ValueError("missing header")
     size = int(headers["content-length"])
-    payload = data[end + 4:end + 4 + size]
-    stop = end + 4 + size
+    payload = data[end + 2:end + 2 + size]
+    stop = end + 2 + size
     if len(payload) < size or data[stop:stop + 4] != b"\r\n\r\n":
         raise ValueError("length does not hold")
     kind, _, digest = headers.get("warc-payload-digest", "").partition(":")
@@ -100,6 +103,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Valid records of an archive, plain or gzip by record, and the gaps between them, in file order."""
     at, gap, why = 0, None, ""
     size = len(data)
+    ahead = {_MAGIC: -1, _VERSION: -1}  # the next place of each mark behind ``at``, looked for once it has been passed
     while at < size:
         try:
             if data[at:at + 3] == _MAGIC:
@@ -110,8 +114,11 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
-            ahead = [p for p in (data.find(_MAGIC, at + 1), data.find(_VERSION, at + 1)) if p >= 0]
-            at = min(ahead, default=size)
+            for mark, p in ahead.items():
+                if p <= at:
+                    p = data.find(mark, at + 1)
+                    ahead[mark] = p if p >= 0 else size
+            at = min(ahead.values())
             continue
         if gap is not None:
             yield Gap(gap, at - gap, why)
@@ -125,11 +132,11 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
 def _read_member(data: bytes, at: int) -> tuple[list[Record], int]:
     """All records of the gzip member at ``at``; its bytes are fed in steps, so only the member is inflated."""
     d = zlib.decompressobj(31)
-    out, p = [], at
+    out, p, step = [], at, 512  # most bytes that only look like a member fail at once
     try:
         while not d.eof and p < len(data):
-            out.append(d.decompress(data[p:p + 65_536]))
-            p += 65_536
+            out.append(d.decompress(data[p:p + step]))
+            p, step = p + step, min(2 * step, 65_536)
     except zlib.error as e:
         raise ValueError(f"gzip: {e}") from None
     if not d.eof:

@@ -76,3 +76,28 @@ def test_shared_digests_beyond_the_broadcast_bound(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
     assert rows() == want and (1, 39) in want
+
+
+@pytest.mark.parametrize("junk", [b"WARC/1.1\r\n", b"WARC/1.1\r\nA: b\r\n", b"\x1f\x8b\x08WARC/1.1\r\n", b"WARC/1.1 ", b"-WARC/1.1\r\nA: b"])
+def test_salvage_takes_linear_time(junk):
+    import time
+
+    took = []
+    good = archive(2, gz=False)
+    for n in (1 << 19, 1 << 21):
+        t = time.perf_counter()
+        out = list(warc.salvage(good[0] + junk * (n // len(junk)) + b"\r\n" + good[1]))
+        took.append(time.perf_counter() - t)
+        assert [x.headers["warc-record-id"] for x in out if isinstance(x, warc.Record)] == ["<urn:page:0>", "<urn:page:1>"]
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_header_end_is_found_far_away_and_not_behind_a_version_line():
+    url = "http://h/" + "u" * 300_000
+    p = b"x" * 10
+    r = warc.record_bytes("response", url, "urn:page:1", p, hashlib.sha1(p).hexdigest(), None, len(p))
+    (got,) = warc.salvage(r)
+    assert got.payload == p
+    inner = warc.record_bytes("response", "http://h/2", "urn:page:2", r, hashlib.sha1(r).hexdigest(), None, len(r))
+    (got,) = warc.salvage(inner)  # a record as payload
+    assert got.payload == r
