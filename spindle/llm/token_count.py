@@ -154,6 +154,13 @@ class CountTransducer:
             out.append(up[i // 2] if i % 2 else self.compose(up[i // 2 - 1], maps[i]))
         return out
 
+    def total(self, maps: list[ChunkMap]) -> ChunkMap:
+        """The map of all chunks together, the last of :meth:`scan`: neighbours are composed, then their neighbours. A count needs only
+        this one; where chunks are one unresolved run, the other prefixes would hold its text a number of times that grows with it."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i:i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
     def apply(self, m: ChunkMap) -> int:
         """Count of a text whose map is ``m``: entry at the start of the text, nothing after it."""
         return self.count(m[0]) + (0 if m[1] is None else m[1] + self.count(m[2]))
@@ -212,7 +219,7 @@ def count_tokens(df: DataFrame, path: str | None = None, text: str = "text", chu
 
         def close():
             tr = machine()
-            n = tr.apply(tr.scan(open_rows)[-1])
+            n = tr.apply(tr.total(open_rows))
             return pa.RecordBatch.from_arrays([*last.columns, pa.array([n], pa.int64())],
                                               names=[*last.schema.names, "n_tokens"])
 
@@ -236,7 +243,7 @@ def count_tokens(df: DataFrame, path: str | None = None, text: str = "text", chu
                     if j < len(rows):
                         tr = machine()
                         firsts.append(i)
-                        counts.append(tr.apply(tr.scan(trio[i:j])[-1]) if j - i > 1 or trio[i][1] is None or trio[i][0]
+                        counts.append(tr.apply(tr.total(trio[i:j])) if j - i > 1 or trio[i][1] is None or trio[i][0]
                                       or trio[i][2] else trio[i][1])
                     else:
                         last, open_rows = plain.slice(i, 1), trio[i:j]

@@ -129,3 +129,21 @@ def test_count_query(spark, library):
     for d in docs:
         n = len(ids(library, d.text or ""))
         assert (rows[d.doc_id].n_bytes, rows[d.doc_id].n_tokens, rows[d.doc_id].over_limit) == (len((d.text or "").encode()), n, n > 512)
+
+
+def test_total_is_the_last_of_the_scan_and_keeps_little(merges):
+    """A text without white space stays unresolved to its end: composing it holds its text a few times, whatever its length."""
+    import tracemalloc
+
+    tr = token_count.CountTransducer(merges)
+    for text in random_texts(30, 8) + ["x y " * 500, "ab" * 700]:
+        maps = [tr.chunk_map(text[a:a + 50]) for a in range(0, len(text), 50)] or [("", 0, "")]
+        assert tr.total(maps) == tr.scan(maps)[-1]
+    peaks = []
+    for n in (200_000, 800_000):
+        maps = [tr.chunk_map(("Zq7#" * (n // 4))[a:a + 1000]) for a in range(0, n, 1000)]
+        tracemalloc.start()
+        tr.total(maps)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0]
