@@ -135,3 +135,42 @@ def test_smoke_queries_return_every_document(spark):
     n = spark.read.parquet(f"{SMOKE}/documents.parquet").count()
     for q in (langid.op5_language_id, toxicity.op7_toxicity, quality.op4_quality):
         assert q(spark, SMOKE).count() == n
+
+
+def test_long_words_are_judged_by_their_own_spread(spark):
+    """Texts without spaces: mean word lengths from 125 to 1175 code points are their group's ordinary spread; one of 60,000 is not."""
+    rows = [(i, " ".join(chr(0x4E00 + (i * 7 + k) % 500) * (125 + i * 1050 // 200) for k in range(12)), "zh", "web") for i in range(200)]
+    rows += [(1000 + i, " ".join(chr(0x4E00 + k) * (55 + i) for k in range(12)), "zh", "web") for i in range(10)]
+    rows.append((2000, " ".join("x" * 60_000 for _ in range(1)) + " a b c d e f g h i", "zh", "web"))
+    rows.append((2001, " ".join(chr(0x5E00 + k) * 60_000 for k in range(12)), "zh", "web"))
+    out = {r.doc_id: r for r in quality.filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert all(out[i].kept for i in range(200)) and all(out[1000 + i].kept for i in range(10))
+    assert not out[2001].kept
+
+
+def test_sketch_cells_hold_eleven_bits(spark):
+    from pyspark.sql import functions as F
+
+    steps = [0, 1, 2047, 2048, 2049, 4095, 4099, 123_456_789, (1 << 62) + 12345]
+    got = [r.c for r in spark.createDataFrame([(i, s) for i, s in enumerate(steps)], "i int, s long").orderBy("i").select(quality._cell(F.col("s")).alias("c")).collect()]
+    assert got == [s >> max(s.bit_length() - 11, 0) << max(s.bit_length() - 11, 0) for s in steps]
+    assert all(s - c <= s / 1024 for s, c in zip(steps, got))
+
+
+def test_repeats_below_the_base_rule_can_be_rejected(spark):
+    r = random.Random(3)
+    text = lambda again: " ".join([*(f"w{r.randint(0, 10**9)}" for _ in range(200 - again)), *(["five words said once more"] * (again // 5))])
+    rows = [(i, text(0), "en", "web") for i in range(100)] + [(1000, text(35), "en", "web")]
+    out = {x.doc_id: x for x in quality.filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not out[1000].base_failed and not out[1000].kept and all(out[i].kept for i in range(100))
+
+
+def test_language_pieces_cover_the_whole_text(spark):
+    late = "1234 5678 " * 400 + "der fluss ist lang und das haus ist alt " * 200 + "ende"
+    rows = [(late, "de"), ("kurz und gut", "de"), ("+++ " * 1000, "xx")]
+    got = langid.sample(spark.createDataFrame(rows, "text string, lang string"))
+    assert [la for la, _ in got] == ["de", "de"]
+    piece = max((p for _, p in got), key=len)
+    assert 1400 <= len(piece) <= langid.PIECE + langid.WINDOWS and piece.startswith("der fluss") and piece.endswith("ende")
+    assert "kurz und gut" in [p for _, p in got]
