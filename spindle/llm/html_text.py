@@ -57,6 +57,7 @@ NAMES = {
     "newsletter", "subscribe", "subscription", "signup", "login", "signin", "register", "search", "share", "sharing", "social",
     "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion", "related", "recommended",
     "recommendations", "teaser", "teasers", "trending", "tags", "form"}
+TITLES = {"article", "entry", "post", "content", "story", "title"}  # whose "header" is the article's own
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "alertdialog", "toolbar"}
 
 _TOKEN = re.compile(r"<!--(?P<c>.*?)(?:--!?>|\Z)|<!\[CDATA\[(?P<d>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -125,7 +126,10 @@ class Page:
         up = self._open[-1]
         self.parent.append(up)
         self.tag.append(tag)
-        self.named.append(hidden or role in ROLES or any(n in NAMES for n in names))
+        told = NAMES.intersection(names)
+        if TITLES.intersection(names):
+            told.discard("header")
+        self.named.append(hidden or role in ROLES or bool(told))
         e = len(self.tag) - 1
         if tag in INLINE:
             self.path.append(self.path[up])
