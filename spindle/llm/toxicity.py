@@ -27,7 +27,8 @@ LEAST_Z = 3.0  # significance of a lexicon token
 TRAIN_ROWS = 200_000  # sample bound: labelled rows trained on, about (by a hash of the id where there are more)
 LEXICON = 50_000  # model size bound: the most significant tokens
 STEMS = (4, 6)  # letters of the stems that longer tokens are also counted under, so inflected forms share evidence
-DRIFT = -0.15  # score of a token outside the lexicon
+DRIFT = -0.15  # score of a token outside the lexicon, at most
+LEAST_MEAN = -0.02  # mean score of clean text, at most
 MOST = 6.0  # largest score of a token
 PREDICT = 0.7  # fixed value: score from which a text is predicted toxic
 
@@ -139,13 +140,19 @@ def token_counts(rows: DataFrame, text: str, label: str) -> DataFrame:
                                        F.sum((1 - F.col(label)).cast("long")).alias("clean"))
 
 
-def fit_lexicon(counts: DataFrame) -> tuple[dict[str, float], dict[float, float]]:
-    """Log-odds with the Dirichlet prior of the tokens that are significantly toxic, at most LEXICON of them, and
-    how often each score occurs in the clean rows (share by score)."""
+def solved_drift(positive: float, other: float) -> float:
+    """The score of a token outside the lexicon: DRIFT, or what makes the mean score of clean text ``LEAST_MEAN`` where the lexicon's tokens are so
+    common in it (mean ``positive`` over all its tokens, a share ``other`` outside the lexicon) that DRIFT would not."""
+    return min(DRIFT, (LEAST_MEAN - positive) / max(other, 1e-6))
+
+
+def fit_lexicon(counts: DataFrame) -> tuple[dict[str, float], dict[float, float], float]:
+    """Log-odds with the Dirichlet prior of the tokens that are significantly toxic, at most LEXICON of them, how often each
+    score occurs in the clean rows (share by score), and the drift."""
     total = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     toxic, clean = float(total[0] or 0), float(total[1] or 0)
     if not toxic or not clean:
-        return {}, {}
+        return {}, {}, DRIFT
     prior = (F.col("toxic") + F.col("clean")) * PRIOR
     weight = (toxic + clean) * PRIOR
     a, b = F.col("toxic") + prior, F.col("clean") + prior
@@ -154,12 +161,13 @@ def fit_lexicon(counts: DataFrame) -> tuple[dict[str, float], dict[float, float]
     # equal significance is cut off by the token itself
     top = counts.select("token", "clean", odds.alias("odds"), z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(
         F.desc("z"), "token").limit(LEXICON)
-    lexicon, rates = {}, {DRIFT: 1.0}
+    lexicon, rates, other = {}, {}, 1.0
     for r in top.collect():
         value = lexicon[r.token] = min(MOST, r.odds)
         rates[value] = rates.get(value, 0.0) + r.clean / clean
-        rates[DRIFT] -= r.clean / clean
-    return lexicon, rates
+        other -= r.clean / clean
+    drift = solved_drift(sum(v * p for v, p in rates.items()), other)
+    return lexicon, {**rates, drift: other}, drift
 
 
 def _calibrate(rates: dict[float, float]) -> float:
@@ -174,7 +182,7 @@ def _calibrate(rates: dict[float, float]) -> float:
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return max(lo, 0.05)
+    return max(lo, 1e-6)
 
 
 def fit(rows: DataFrame, text: str = "text", label: str = "toxic") -> Model:
@@ -183,11 +191,11 @@ def fit(rows: DataFrame, text: str = "text", label: str = "toxic") -> Model:
     Without both classes the model knows no toxic token and scores every text the same, below 0.5. The driver gets the
     lexicon (LEXICON tokens at most) and histograms of bounded size; all labelled rows are counted."""
     counts = materialize(token_counts(rows, text, label), "tox-counts")
-    lexicon, rates = fit_lexicon(counts)
+    lexicon, rates, drift = fit_lexicon(counts)
     if not lexicon:
         return Model({}, DRIFT, 1.0, 1.0, 1.0, 1.0)
     lam = _calibrate(rates)
-    raw = Model(lexicon, DRIFT, lam, 1.0, 1.0, 0.0)
+    raw = Model(lexicon, drift, lam, 1.0, 1.0, 0.0)
 
     def tops(batches):
         import pyarrow as pa
@@ -206,7 +214,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "toxic") -> Model:
     e = labelled.where(F.col(label) == 0).mapInArrow(tops, "y int, e double").agg(
         F.percentile_approx(F.when(F.col("e").isNotNull(), F.col("e")), 0.5, 1000), F.count("e"), F.count("*")).first()
     k = min(1.0, max(1e-4, -math.log(max(1e-9, 1 - 0.5 * (e[1] / e[2]))) / e[0])) if e[2] and e[1] and e[0] else 1.0
-    known = Model(lexicon, DRIFT, lam, k, 1.0, 0.0)
+    known = Model(lexicon, drift, lam, k, 1.0, 0.0)
 
     def evidences(batches):
         import pyarrow as pa
@@ -220,7 +228,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "toxic") -> Model:
     x = np.array([r.e / 4 for r in hist])
     pos, cnt = np.array([float(r.pos) for r in hist]), np.array([float(r.n) for r in hist])
     slope, middle = _logistic(x, pos, cnt)
-    return Model(lexicon, DRIFT, lam, k, slope, middle)
+    return Model(lexicon, drift, lam, k, slope, middle)
 
 
 def _logistic(x: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -251,7 +259,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFram
 
 
 def score_rows(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The columns of ``df`` except ``text``, with ``score`` (0 to 1), ``predicted`` (score >= 0.7), ``n_segments`` and ``segments``
+    """The columns of ``df`` except ``text``, with ``score`` (0 to 1), ``predicted`` (score >= 0.7) and ``segments``
     (start token, end token, score of each significant passage).
 
     NULL and empty texts have no segments and the score of no evidence. Texts are scored row by row, whole."""

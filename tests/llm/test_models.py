@@ -174,3 +174,13 @@ def test_language_pieces_cover_the_whole_text(spark):
     piece = max((p for _, p in got), key=len)
     assert 1400 <= len(piece) <= langid.PIECE + langid.WINDOWS and piece.startswith("der fluss") and piece.endswith("ende")
     assert "kurz und gut" in [p for _, p in got]
+
+
+def test_drift_keeps_the_mean_of_clean_text_negative():
+    assert toxicity.solved_drift(0.01, 0.99) == toxicity.DRIFT
+    for positive, other in ((0.5, 0.8), (2.0, 0.3)):
+        drift = toxicity.solved_drift(positive, other)
+        assert drift < toxicity.DRIFT and positive + other * drift == pytest.approx(toxicity.LEAST_MEAN)
+        rates = {positive / (1 - other): 1 - other, drift: other}
+        lam = toxicity._calibrate(rates)
+        assert sum(p * np.exp(lam * v) for v, p in rates.items()) == pytest.approx(1, abs=1e-3) and lam > 0
