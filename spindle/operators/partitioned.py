@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindle.operators import exact
-from spindle.operators.convolution import _integral, _sample
+from spindle.operators.convolution import _integral, _power, _sample
 from spindle.session import materialize
 from spindle.sources.kernels import bank_frequencies, kernel_width
 
@@ -104,7 +104,7 @@ def fir_partitioned(signal: DataFrame, bank: DataFrame, keys: Sequence[str], ent
 
     ``run`` output blocks, ``tile`` kernel parts and ``band`` kernels meet in one task: its memory is
     about ``(run + tile + run * band + tile * band) * entries * 8`` bytes (times the limbs of integers too large for one),
-    for every kernel width. Missing samples make NULL outputs in the windows they touch. Integers are exact.
+    for every kernel width. Missing samples make NULL outputs in the windows they touch. Integers are exact. Rows with a NULL key are left out.
     """
     keys, half = list(keys), entries // 2
     integral = _integral(signal, value, bank)
@@ -121,7 +121,13 @@ def fir_partitioned(signal: DataFrame, bank: DataFrame, keys: Sequence[str], ent
     freqs = bank_frequencies(bank)
     bands = signal.sparkSession.createDataFrame([(f, k // band) for k, f in enumerate(freqs)], "frequency int, band long")
     sums = _products(blocks, kernels, bands, keys, half, parts, run, tile, -(-len(freqs) // band))
-    return _outputs(blocks, sums, keys, half, width, limbs, -(-len(freqs) // band), index, signal.schema[time].dataType)
+    return _outputs(blocks, sums, keys, half, width, limbs, -(-len(freqs) // band), index, time, signal.schema[time].dataType)
+
+
+def band_power_partitioned(signal: DataFrame, bank: DataFrame, keys: Sequence[str], **args) -> DataFrame:
+    """Band power by partitioned kernels (same rows as ``band_power_blocks``); arguments as ``fir_partitioned``."""
+    y = fir_partitioned(signal, bank, keys, **args)
+    return y.select(*keys, args.get("time", "time"), "frequency", _power(F.col("y")).alias("convolution"))
 
 
 def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
@@ -187,7 +193,7 @@ def schema_arrow(tbl: pa.Table, keys: list[str], schema: T.StructType) -> pa.Tab
     return pa.table([pa.array([], tbl.column(f.name).type if f.name in keys else kinds[f.dataType]) for f in schema.fields], names=schema.names)
 
 
-def _outputs(blocks, sums, keys, half, width, limbs, n_bands, index, time_type) -> DataFrame:
+def _outputs(blocks, sums, keys, half, width, limbs, n_bands, index, time, time_type) -> DataFrame:
     """The tiles' sums added, transformed back and set on the own samples of each block."""
     own = blocks.where((F.col("x_limb") == 0) & (F.size("place") > 0)).select(*keys, "block", "place", "known", "at", "gap")
     # the last missing sample of the blocks before (an absent block is missing): a window over one row per block
@@ -200,7 +206,7 @@ def _outputs(blocks, sums, keys, half, width, limbs, n_bands, index, time_type)
     own = own.withColumn("band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_bands - 1).cast("bigint"))))
     size = half + 1
     y_type = T.LongType() if limbs else T.DoubleType()
-    schema = T.StructType([*_key_fields(blocks, keys), T.StructField("time", time_type), T.StructField("frequency", T.IntegerType()),
+    schema = T.StructType([*_key_fields(blocks, keys), T.StructField(time, time_type), T.StructField("frequency", T.IntegerType()),
                            T.StructField(index, T.LongType()), T.StructField("y", y_type)])
 
     def finish(info: pa.Table, parts: pa.Table) -> pa.Table:

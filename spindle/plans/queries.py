@@ -18,6 +18,7 @@ from spindle.operators import (
     average_reference_join,
     average_reference_window,
     band_power_blocks,
+    band_power_partitioned,
     band_power_relational,
     count_bins,
     dense_index,
@@ -174,6 +175,11 @@ def fir_long(spark, sf):
     return fir_partitioned(fx.signal(spark, sf), fx.long_bank(spark, sf), fx.SERIES, entries=128, run=4, tile=2, band=4)
 
 
+def band_power_long(spark, sf):
+    """Band power with kernels in two parts."""
+    return band_power_partitioned(fx.signal(spark, sf), fx.bank(spark, sf), fx.SERIES, entries=64, tile=2)
+
+
 def fir_exact(spark, sf):
     """31-bit samples and 16-bit taps by transforms, in limbs."""
     return fir_blocks(*fx.wide(fx.signal(spark, sf), fx.bank(spark, sf)), fx.SERIES)
@@ -602,6 +608,7 @@ QUERIES: dict[str, Query] = {
     "fir_missing_blocks": fir_missing_blocks,
     "fir_long": fir_long,
     "fir_exact": fir_exact,
+    "band_power_long": band_power_long,
     "fir_exact_long": fir_exact_long,
     "job_from_text": job_from_text,
     "job_append": job_append,
@@ -682,6 +689,7 @@ GROUP BY t.rat, t.dt, t.channel, t.time, t.i, k.frequency"""
 
 SQL: dict[str, str] = {
     "fir_long": _fir_sql("ltaps", with_ctes("sig", body=", " + _LONG_TAPS)),
+    "band_power_long": with_ctes("pw", body="SELECT * FROM pw"),
     "fir_exact": _fir_sql("taps", with_ctes("sig", "taps", body=""), wide=True),
     "fir_exact_long": _fir_sql("ltaps", with_ctes("sig", body=", " + _LONG_TAPS), wide=True),
     "kernel_bank_long": with_ctes("taps", body="SELECT frequency, u, h FROM taps"),
