@@ -92,8 +92,8 @@ def within_intervals(df: DataFrame, intervals: DataFrame, time: str = "time", bi
     if bounds is None:
         return df.filter(F.lit(False))
     clipped = clip_intervals(intervals, bounds)
-    if ranges:
-        df = df.where(in_ranges(F.col(time), coarse_ranges(clipped, bounds, ranges)))
+    if ranges and (covered := coarse_ranges(clipped, bounds, ranges)):
+        df = df.where(in_ranges(F.col(time), covered))
     width = bin_width or mean_length(clipped)
     bins = merged_bins(clipped, width)
     keyed = df.withColumn("_bin", F.floor(F.col(time) / F.lit(width)))
