@@ -6,9 +6,10 @@ one Spark ROLLUP over ``(lang, w1, .., w5)`` sums all shorter phrases, the words
 same rows; no n-gram is exploded.
 
 Windows are cut before they are shuffled, without changing a count that matters. A phrase that occurs ``LEAST`` times or more
-consists of words and pairs of neighbours that do, so a window ends before the first pair that is too
-rare, and a word that is too rare opens an empty window (the rollup's total still has it). Which ones are rare comes from one count
-of hashed words and pairs; hashes that collide only raise a count, so a window may be kept too long, never cut too short.
+consists of words, pairs and runs of three words that do, so a window ends before the first pair or run that is too
+rare, and a word that is too rare opens an empty window (the rollup's total still has it). Which ones are rare comes from a count
+of hashed words and pairs, then one of runs of three; hashes that collide only raise a count, so a window may be kept too long, never cut
+too short.
 
 Texts are taken in shards of about ``SHARD`` bytes, staged once as word numbers of the shard; everything between the
 stages is a join on hash or shard, so no task depends on the size of a language, a source or a group of copies.
@@ -16,6 +17,8 @@ stages is a join on hash or shard, so no task depends on the size of a language,
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,8 @@ from spindle.session import materialize
 ORDER = 5  # words of a window
 LEAST = 100  # occurrences of a candidate
 TOP = 2000  # phrases reported per language
-SHARD = 8 << 20  # bytes of text of a shard, about; one document at least
+SALTS = 64  # keys over which the phrases of a language are dealt
+SHARD = 16 << 20  # bytes of text of a shard, about; one document at least
 
 CUTS = r"[.,;:!?\n\x0B\x0C\r]"  # fixed value: the piece ends of the result contract
 GAPS = r"[ \t]+"  # fixed value: the word gaps of the result contract
@@ -100,6 +104,7 @@ def _shards(docs: DataFrame, text: str, lang: str, size: int) -> DataFrame:
                     number += 1
             held.clear()
             total = 0
+            _give_back()
 
         for b in batches:
             texts, langs = b.column(0).cast(pa.large_string()), b.column(1)
@@ -129,67 +134,115 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return seq, mix64(string_hashes(row["words"].values) ^ (own * _STEP))
 
 
-def _pairs(seq: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the words with a neighbour behind them in their piece, and the hash of each such pair."""
-    at = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
-    return at, mix64(h[seq[at]] * _STEP + h[seq[at + 1]])
+class Shard:
+    """A shard opened: word numbers in text order and, per order k, where a run of k words of one piece may be frequent."""
 
+    def __init__(self, row: dict, often: np.ndarray | None = None):
+        self.words = row["words"].values
+        self.seq, self.h = _open(row)
+        self.often = np.sort(np.empty(0, np.uint64) if often is None else often)
+        self.size = len(self.seq)
 
-def _hashed(shards: DataFrame) -> DataFrame:
-    """Rows (shard, h, n): how often each word and pair occurs in a shard."""
+    def _found(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.often):
+            return np.zeros(len(x), bool)
+        return self.often[np.minimum(np.searchsorted(self.often, x), len(self.often) - 1)] == x
 
-    def run(batches):
+    def orders(self, most: int, known: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For k = 1 .. ``most``: the hashes of the runs of k words all of whose shorter runs may be frequent, and a mask of the
+        positions where such a run is frequent itself - if ``often`` has the runs of k words (k <= ``known``) -, else of all of them."""
+        at = np.flatnonzero(self.seq >= 0)
+        run = self.h[self.seq[at]]
+        for k in range(1, most + 1):
+            if k > 1:
+                both = np.append(on, False)
+                both = both[at] & both[at + 1]
+                at, run = at[both], run[both]
+                # an end of piece in between is never on, so the last word is one
+                run = mix64(run * _STEP + self.h[self.seq[at + k - 1]] + np.uint64(k))
+            on = np.zeros(self.size, bool)
+            on[at[self._found(run)] if k <= known else at] = True
+            yield run, on
+
+
+def _counted(shard: pa.Scalar, run: np.ndarray) -> pa.RecordBatch:
+    h, n = np.unique(run, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.repeat(shard, len(h)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))],
+                                      names=["shard", "h", "n"])
+
+
+def _row(rows, i: int) -> dict:
+    return {c: rows.column(c)[i] for c in ("lang", "words", "seq")}
+
+
+def _keys(rows: pa.Table) -> np.ndarray:
+    return rows.column("h").to_numpy().view(np.uint64)
+
+
+_RUNS = "shard long, h long, n long"
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker waits between stages, while the JVM beside it sorts."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _frequent(runs: DataFrame, least: int, name: str) -> DataFrame:
+    """Rows (shard, h) of ``runs`` whose hash occurs ``least`` times or more in all shards together, written."""
+    total = F.sum("n").over(Window.partitionBy("h"))
+    return materialize(runs.withColumn("_total", total).where(F.col("_total") >= least).select("shard", "h"), name)
+
+
+def _often(shards: DataFrame, least: int) -> DataFrame:
+    """Rows (shard, h): the words, pairs and runs of three words of each shard that may be frequent. Runs of three are counted
+    where both pairs are frequent."""
+
+    def pairs(batches):
         for b in batches:
             for i in range(b.num_rows):
-                row = {c: b.column(c)[i] for c in ("lang", "words", "seq")}
-                seq, h = _open(row)
-                words = np.bincount(seq[seq >= 0], minlength=len(h))
-                pair, n = np.unique(_pairs(seq, h)[1], return_counts=True)
-                keys = np.concatenate([h, pair]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(b.column("shard")[i], len(keys)), pa.array(keys),
-                     pa.array(np.concatenate([words, n]).astype(np.int64))], names=["shard", "h", "n"])
+                yield from (_counted(b.column("shard")[i], run) for run, _ in Shard(_row(b, i)).orders(2, 0))
+                _give_back()
 
-    return shards.mapInArrow(run, "shard long, h long, n long")
+    def triples(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("shard", "h", "n")})
+        *_, (run, _) = Shard(_row(left, 0), _keys(right)).orders(3, 2)
+        return pa.Table.from_batches([_counted(left.column("shard")[0], run)])
+
+    short = _frequent(shards.mapInArrow(pairs, _RUNS), least, "collocation-pairs")
+    by = short.select(F.col("shard").alias("to"), "h")
+    longer = shards.groupBy("shard").cogroup(by.groupBy("to")).applyInArrow(triples, _RUNS)
+    return short.unionByName(_frequent(longer, least, "collocation-triples"))
 
 
 def _windows(shards: DataFrame, often: DataFrame, order: int) -> DataFrame:
     """Rows (lang, w1 .., n): the cut windows of each shard with their number of occurrences in it."""
+    names = [f"w{i}" for i in range(1, order + 1)]
+    schema = pa.schema([("lang", pa.string()), *[(c, pa.string()) for c in names], ("n", pa.int64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("lang", pa.string()), *[(f"w{i}", pa.string()) for i in range(1, order + 1)], ("n", pa.int64())])
         if not left.num_rows:
             return schema.empty_table()
-        row = {c: left.column(c)[0] for c in ("lang", "words", "seq")}
-        seq, h = _open(row)
-        keep = np.sort(right.column("h").to_numpy().view(np.uint64))
-
-        def often_one(x):
-            at = np.minimum(np.searchsorted(keep, x), max(len(keep) - 1, 0))
-            return keep[at] == x if len(keep) else np.zeros(len(x), bool)
-
-        v = len(h)  # stands for the padding
-        word = np.append(np.where(often_one(h), np.arange(v), v), v).astype(np.int32)  # the last entry answers -1
-        at, pair = _pairs(seq, h)
-        on = np.zeros(len(seq) + order, bool)  # the pair that begins here is frequent
-        on[at] = often_one(pair)
-        starts = np.flatnonzero(seq >= 0)
-        codes = word[seq]
-        columns = [codes[starts]]
-        go = columns[0] < v
-        padded = np.append(codes, np.full(order, v, np.int32))
-        for k in range(1, order):
-            go = go & on[starts + k - 1] & (padded[starts + k] < v)
-            columns.append(np.where(go, padded[starts + k], v))
-        names = [f"w{i}" for i in range(1, order + 1)]
-        # numbers are below 2^31 and fit side by side in a group key
+        shard = Shard(_row(left, 0), _keys(right))
+        masks = [np.append(on, np.zeros(order, bool)) for _, on in shard.orders(min(order, 3), 3)]
+        v = len(shard.h)  # stands for the padding
+        seq = np.append(shard.seq, np.full(order, v, np.int32))
+        starts = np.flatnonzero(shard.seq >= 0)
+        columns, go = [], np.ones(len(starts), bool)
+        for k in range(1, order + 1):
+            m = min(k, len(masks))
+            go = go & masks[m - 1][starts + k - m]
+            columns.append(np.where(go, seq[starts + k - 1], v))
         grouped = pa.table([pa.array(c) for c in columns], names=names).group_by(names, use_threads=False).aggregate([([], "count_all")])
-        words = pa.concat_arrays([row["words"].values.cast(pa.string()), pa.array([""])])
-        return pa.table([pa.repeat(row["lang"], grouped.num_rows), *[words.take(grouped.column(c).combine_chunks()) for c in names],
+        words = pa.concat_arrays([shard.words.cast(pa.string()), pa.array([""])])
+        return pa.table([pa.repeat(left.column("lang")[0], grouped.num_rows), *[words.take(grouped.column(c).combine_chunks()) for c in names],
                          grouped.column("count_all").cast(pa.int64())], schema=schema)
 
-    out = "lang string, " + ", ".join(f"w{i} string" for i in range(1, order + 1)) + ", n long"
-    return shards.groupBy("shard").cogroup(often.groupBy("shard")).applyInArrow(run, out)
+    out = "lang string, " + ", ".join(f"{c} string" for c in names) + ", n long"
+    by = often.select(F.col("shard").alias("to"), "h")
+    return shards.groupBy("shard").cogroup(by.groupBy("to")).applyInArrow(run, out)
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, order: int = ORDER,
@@ -201,10 +254,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     gives no rows; other columns are not read.
     """
     shards = materialize(_shards(docs, text, lang, size), "collocation-shards")
-    total = F.sum("n").over(Window.partitionBy("h"))
-    often = _hashed(shards).withColumn("total", total).where(F.col("total") >= least).select("shard", "h")
-    windows = _windows(shards, often, order)
     names = [f"w{i}" for i in range(1, order + 1)]
+    windows = _windows(shards, _often(shards, least), order).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     level = F.grouping_id()
     sums = windows.rollup("lang", *names).agg(F.sum("n").alias("f"), level.alias("_g"))
     # the grouping id has a bit for each column summed away, the last column lowest
@@ -228,7 +279,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     A phrase that occurs as often as a longer one around it occurs as often as those in between, so the phrases
     longer by one word decide. Scores are exact: products are decimals of 38 digits.
     """
-    counts = phrase_counts(docs, text, lang, least, order, size)
+    return scored(phrase_counts(docs, text, lang, least, order, size))
+
+
+def scored(counts: DataFrame) -> DataFrame:
+    """The scores of :func:`collocations` from the rows of :func:`phrase_counts`."""
     phrases = counts.where("k > 1").withColumn("words", F.split("phrase", " "))
     part = lambda start, n: F.concat_ws(" ", F.slice("words", start, n))
     shorter = phrases.where("k > 2").select(
@@ -240,18 +295,23 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
                        part(F.col("cut") + 1, F.col("k") - F.col("cut")).alias("right"))
     of = lambda name, f: counts.where("k > 0").select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     n = counts.where("k = 0").select("lang", F.col("f").alias("n"))
-    scored = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"]).join(n, "lang")
-    scored = scored.withColumn("_x", _big(F.col("a") * 1000) * _big("n")).withColumn("_y", _big("l") * _big("r"))
-    scored = scored.withColumn("score", F.expr("_x div _y"))
-    best = scored.groupBy("lang", "phrase", "k", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
+    rows = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"])
+    # a language may hold most of the phrases: its total goes to SALTS keys
+    n = n.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")).join(n, ["lang", "_salt"])
+    rows = rows.withColumn("_x", _big(F.col("a") * 1000) * _big("n")).withColumn("_y", _big("l") * _big("r"))
+    best = rows.withColumn("score", F.expr("_x div _y")).groupBy("lang", "phrase", "k", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
     return best.select("lang", "phrase", "k", "b.cut", "a", "b.l", "b.r", "n", "b.score")
 
 
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 phrases of each language of ``documents``."""
     found = collocations(table(spark, sf_dir, "documents"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
+    best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # the first of each part of a language first, so that no task sorts more than SALTS * TOP phrases of one
+    found = found.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    found = found.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*best))).where(F.col("_r") <= TOP)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= TOP)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
