@@ -274,24 +274,30 @@ def _chirp_numbers(lengths: DataFrame) -> DataFrame:
     return ranges.select("_len", "_m", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (PIECE - 1), last))).alias("_d"))
 
 
+def _padded(df: DataFrame) -> DataFrame:
+    """``_m``, the power of two from 2 * _len - 1 on, and the split of transforms of that length: no lengths are read or joined for it."""
+    bits = F.ceil(F.log2(F.col("_len") * 2 - 1))
+    m = F.pow(F.lit(2.0), bits).cast("bigint")
+    return df.withColumns({"_m": m, "_n": m, "_n1": F.pow(F.lit(2.0), F.floor(bits / 2)).cast("bigint")})
+
+
 def _chirp(rows: DataFrame, sizes: DataFrame, keys: list[str], entries: int) -> DataFrame:
     """Transform of any length: with ``jk = (j^2 + k^2 - (k-j)^2) / 2``, ``X[k] = w[k] * sum_j (x[j] w[j]) conj(w[k-j])``,
     ``w[j] = exp(-i pi j^2 / n)``. The sum is a cyclic convolution of length m, the power of two from 2n - 1 on (what is not
     there counts as zero, so the padding has no rows); the spectrum of
-    the chirp is made once for each length that occurs."""
-    m = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_n") * 2 - 1))).cast("bigint")
+    the chirp is made once for each length that occurs. It is as long as a series, so it meets the spectra by a shuffle: the size that
+    Spark expects of it is that of the lengths it is made from, and would have it broadcast."""
     c, s = _wave(F.col("_j"), F.col("_n"), -1)
     re, im = _times(F.col("re"), F.col("im"), c, s)
-    a = rows.select(*keys, "_j", re.alias("re"), im.alias("im"), F.col("_n").alias("_len"), m.alias("_m"))
-    fa = _dft(a, [*keys, "_len"], "_j", F.col("re"), F.col("im"), entries, "_m")
-    lengths = sizes.select(F.col("_n").alias("_len"), m.alias("_m")).distinct()
+    a = rows.select(*keys, "_j", re.alias("re"), im.alias("im"), F.col("_n").alias("_len"))
+    fa = _four_step(_padded(a), [*keys, "_len"], entries)
+    lengths = _padded(sizes.select(F.col("_n").alias("_len")).distinct())
     c, s = _wave(F.col("_d"), F.col("_len"), +1)
-    b = _chirp_numbers(lengths).select("_len", "_m", F.pmod(F.col("_d"), F.col("_m")).alias("_j"), c.alias("re"), s.alias("im"))
-    fb = _dft(b, ["_len"], "_j", F.col("re"), F.col("im"), entries, "_m").select(
-        "_len", "k", F.col("re").alias("_br"), F.col("im").alias("_bi"))
+    b = _chirp_numbers(lengths).select("_len", F.pmod(F.col("_d"), F.col("_m")).alias("_j"), c.alias("re"), s.alias("im"))
+    fb = _four_step(_padded(b), ["_len"], entries).select("_len", "k", F.col("re").alias("_br"), F.col("im").alias("_bi"))
     re, im = _times(F.col("re"), F.col("im"), F.col("_br"), F.col("_bi"))
-    prod = fa.join(fb, ["_len", "k"]).select(*keys, "_len", F.col("k").alias("_j"), re.alias("re"), (-im).alias("im"), F.col("_n").alias("_m"))
-    conv = _dft(prod, [*keys, "_len"], "_j", F.col("re"), F.col("im"), entries, "_m").where(F.col("k") < F.col("_len"))
+    prod = fa.join(fb.hint("merge"), ["_len", "k"]).select(*keys, "_len", F.col("k").alias("_j"), re.alias("re"), (-im).alias("im"))
+    conv = _four_step(_padded(prod), [*keys, "_len"], entries).where(F.col("k") < F.col("_len"))
     c, s = _wave(F.col("k"), F.col("_len"), -1)
     re, im = _times(F.col("re") / F.col("_n"), -F.col("im") / F.col("_n"), c, s)
     return conv.select(*keys, "k", re.alias("re"), im.alias("im"), F.col("_len").alias("_n"))

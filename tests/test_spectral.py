@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spindle.operators import dense_index
 from spindle.operators import spectral as X
 
 
@@ -233,3 +234,22 @@ def test_chirp_is_made_in_ranges(spark, monkeypatch):
     x = rng.normal(size=1031) + 1j * rng.normal(size=1031)
     out = as_arrays(X.complex_forward(long_df(spark, {1: x}), ["g"], entries_per_call=128), "k")
     assert np.allclose(out[1], direct(x, -1), atol=1e-7)
+
+
+def broadcasts(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+
+
+def test_chirp_spectra_and_places_of_samples_pass_no_driver(spark):
+    """A chirp's spectrum is as long as a series: it is not broadcast, though it is made from a table of a few lengths."""
+    rng = np.random.default_rng(6)
+    x = {1: rng.normal(size=1031) + 1j * rng.normal(size=1031), 2: rng.normal(size=360)}
+    for kind in (X.complex_forward_distributed, X.real_forward):
+        out = kind(long_df(spark, x), ["g"], entries_per_call=64)
+        assert len(broadcasts(out)) <= 2  # only the lengths, a row per series, for each of the two plans
+        assert not any("_len" in line for line in broadcasts(out))
+    got = as_arrays(X.complex_forward_distributed(long_df(spark, x), ["g"], entries_per_call=64), "k")
+    assert all(np.allclose(got[g], direct(v, -1), atol=1e-7) for g, v in x.items())
+    rows = spark.range(300).selectExpr("id % 3 AS g", "id")
+    placed = dense_index(rows, ["g"], ["id"], F.floor(F.col("id") / 50))
+    assert not broadcasts(placed) and all(r["i"] == r["id"] // 3 for r in placed.collect())
