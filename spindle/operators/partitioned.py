@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,13 +26,15 @@ from spindle.operators.convolution import _integral, _power, _sample
 from spindle.session import materialize
 from spindle.sources.kernels import bank_frequencies, kernel_width
 
+CALL = 1 << 14  # samples of one call, about: short blocks come many to a call
+
 _SPECTRUM = [T.StructField("re", T.ArrayType(T.DoubleType())), T.StructField("im", T.ArrayType(T.DoubleType()))]
 
 
-def _lists(spectra: list[np.ndarray]) -> list[pa.Array]:
-    flat = np.concatenate(spectra) if spectra else np.empty(0, complex)
-    ends = pa.array(np.append(0, np.cumsum([len(s) for s in spectra])), pa.int32())
-    return [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(part))) for part in (flat.real, flat.imag)]
+def _lists(spectra: np.ndarray) -> list[pa.Array]:
+    """The lines of a matrix as lists of real and of imaginary parts."""
+    ends = pa.array(np.arange(len(spectra) + 1, dtype=np.int32) * np.int32(spectra.shape[1]))
+    return [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(part).reshape(-1))) for part in (spectra.real, spectra.imag)]
 
 
 def _spectra(tbl: pa.Table, size: int) -> np.ndarray:
@@ -52,7 +55,7 @@ def kernel_spectra(bank: DataFrame, half: int, limbs: exact.Limbs | None = None)
         h = np.zeros(half, np.int64 if limbs else np.float64)
         h[tbl.column("u").to_numpy() - part * half] = tbl.column("h").to_numpy()
         pieces = exact.split(h, limbs.h_bits, limbs.h_count) if limbs else [h]
-        spectra = [np.fft.rfft(p, n=2 * half) for p in pieces]
+        spectra = np.fft.rfft(np.array(pieces), n=2 * half, axis=1)
         m = len(spectra)
         return pa.table([pa.repeat(tbl.column("frequency")[0], m), pa.array(np.full(m, part)), pa.array(np.arange(m, dtype=np.int32)),
                          *_lists(spectra)], names=schema.names)
@@ -72,41 +75,52 @@ def signal_spectra(rows: DataFrame, keys: list[str], half: int, limbs: exact.Lim
                            T.StructField("known", T.ArrayType(T.BooleanType())), T.StructField("at", T.ArrayType(time)),
                            T.StructField("gap", T.LongType())])
 
+    per_call = max(1, CALL // half)
+
     def run(tbl: pa.Table) -> pa.Table:
-        block = tbl.column("block")[0].as_py()
-        at = tbl.column("_i").to_numpy() - (block - 1) * half
-        v = tbl.column("_v")
-        x = np.zeros(2 * half, np.int64 if limbs else np.float64)
-        x[at] = v.fill_null(0).to_numpy()
-        pieces = exact.split(x, limbs.x_bits, limbs.x_count) if limbs else [x]
-        spectra = [np.fft.rfft(p) for p in pieces]
-        m = len(spectra)
+        first = tbl.column("_call")[0].as_py() * per_call
+        at = tbl.column("_i").to_numpy() - (first - 1) * half  # line 0 is the part before the first block
+        order = np.argsort(at)
+        at, v = at[order], tbl.column("_v").combine_chunks().take(pa.array(order))
+        x = np.zeros((per_call + 1, half), np.int64 if limbs else np.float64)
+        x.reshape(-1)[at] = v.fill_null(0).to_numpy()
+        held = np.zeros(per_call + 1, bool)
+        held[at // half] = True
+        lines = np.flatnonzero(held[1:] | held[:-1])  # blocks with a sample of their own or of the part before
+        both = np.concatenate([x[lines], x[lines + 1]], axis=1)
+        pieces = exact.split(both, limbs.x_bits, limbs.x_count) if limbs else [both]
+        m, n = len(pieces), len(lines)
+        spectra = np.concatenate([np.fft.rfft(p, axis=1) for p in pieces])
         own = np.flatnonzero(at >= half)
-        own = own[np.argsort(at[own])]
-        ends = pa.array([0] + [len(own)] * m, pa.int32())  # the lists of limb 0; the others' are empty
-        lists = [pa.array(at[own] - half), v.is_valid().combine_chunks().take(pa.array(own)),
-                 tbl.column("_time").combine_chunks().take(pa.array(own))]
-        missing = np.ones(half, bool)
-        missing[at[own] - half] = ~lists[1].to_numpy(zero_copy_only=False)
-        gaps = np.flatnonzero(missing)
-        gap = pa.array([block * half + int(gaps[-1]) if len(gaps) else None] * m, pa.int64())
-        return pa.table([*(pa.repeat(tbl.column(k)[0], m) for k in keys), pa.array(np.full(m, block)), pa.array(np.arange(m, dtype=np.int32)),
-                         *_lists(spectra), *(pa.ListArray.from_arrays(ends, x) for x in lists), gap], names=schema.names)
+        counts = np.bincount(at[own] // half - 1, minlength=per_call)[lines]
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts), np.full(n * (m - 1), counts.sum())]), pa.int32())  # lists on limb 0 only
+        known = v.is_valid().take(pa.array(own))
+        lists = [pa.array(at[own] % half), known, tbl.column("_time").combine_chunks().take(pa.array(order[own]))]
+        missing = np.ones((per_call, half), bool)
+        missing.reshape(-1)[at[own] - half] = ~known.to_numpy(zero_copy_only=False)
+        missing = missing[lines]
+        last = (first + lines) * half + half - 1 - np.argmax(missing[:, ::-1], axis=1)
+        gap = pa.array(np.tile(last, m), pa.int64(), mask=np.tile(~missing.any(axis=1), m))
+        return pa.table([*(pa.repeat(tbl.column(k)[0], m * n) for k in keys), pa.array(np.tile(first + lines, m)),
+                         pa.array(np.repeat(np.arange(m, dtype=np.int32), n)), *_lists(spectra),
+                         *(pa.ListArray.from_arrays(ends, x) for x in lists), gap], names=schema.names)
 
     own = F.floor(F.col("_i") / half)
-    fan = rows.withColumn("block", F.explode(F.array(own, own + 1)))
-    return fan.groupBy(*keys, "block").applyInArrow(run, schema)
+    call = lambda block: F.floor(block / per_call)
+    fan = rows.withColumn("_call", F.explode(F.array_distinct(F.array(call(own), call(own + 1)))))
+    return fan.groupBy(*keys, "_call").applyInArrow(run, schema)
 
 
 def fir_partitioned(signal: DataFrame, bank: DataFrame, keys: Sequence[str], entries: int = 1 << 14, index: str = "i",
                     value: str = "v", time: str = "time", run: int = 16, tile: int = 16, band: int = 8) -> DataFrame:
     """Filtered value ``y`` per (keys, time, frequency, i), as ``fir_blocks``, with no transform above ``entries`` entries.
 
-    ``run`` output blocks, ``tile`` kernel parts and ``band`` kernels meet in one task: its memory is
-    about ``(run + tile + run * band + tile * band) * entries * 8`` bytes (times the limbs of integers too large for one),
+    ``run`` output blocks (more where these have less than ``CALL`` samples), ``tile`` kernel parts and ``band`` kernels meet in one
+    call: its memory is about ``(run + tile + run * band + tile * band) * entries * 8`` bytes (times the limbs of integers too large for one),
     for every kernel width. Missing samples make NULL outputs in the windows they touch. Integers are exact. Rows with a NULL key are left out.
     """
     keys, half = list(keys), entries // 2
+    run = max(run, CALL // half)
     integral = _integral(signal, value, bank)
     width = kernel_width(bank)
     limbs = None
@@ -161,28 +175,35 @@ def _products(blocks, kernels, bands, keys, half, parts, run, tile, n_bands) ->
         if not x.num_rows or not h.num_rows:
             return none
         n_run, t = x.column("_run")[0].as_py(), x.column("_tile")[0].as_py()
-        end = min(x.column("_last")[0].as_py(), n_run * run + run - 1)
+        lo, end = n_run * run, min(x.column("_last")[0].as_py(), n_run * run + run - 1)
         xs, hs = _spectra(x, size), _spectra(h, size)
-        x_at = {(m, i): k for k, (m, i) in enumerate(zip(x.column("block").to_pylist(), x.column("x_limb").to_pylist()))}
         h_at: dict[tuple, list] = {}
         for k, (f, p, j) in enumerate(zip(*(h.column(c).to_pylist() for c in ("frequency", "part", "h_limb")))):
             h_at.setdefault((f, j), []).append((p, k))
-        limbs_x = sorted({i for _, i in x_at})
+        blocks, limbs_x = x.column("block").to_numpy(), x.column("x_limb").to_numpy()
+        base = min(int(blocks.min()), lo - max(p for held in h_at.values() for p, _ in held))
         head, out = [], []
-        for m in range(n_run * run, end + 1):
-            for i in limbs_x:
-                for (f, j), held in h_at.items():
-                    pairs = [(x_at[m - p, i], k) for p, k in held if (m - p, i) in x_at]
-                    if pairs:
-                        a, b = (np.array(c) for c in zip(*pairs))
-                        head.append((m, f, i, j))
-                        out.append(np.einsum("ps,ps->s", xs[a], hs[b]))
-        if not out:
+        for i in np.unique(limbs_x):
+            mine = limbs_x == i
+            lines, there = np.zeros((end + 1 - base, size), complex), np.zeros(end + 1 - base, bool)
+            mine &= blocks <= end
+            lines[blocks[mine] - base], there[blocks[mine] - base] = xs[mine], True
+            for (f, j), held in h_at.items():
+                total, some = np.zeros((end + 1 - lo, size), complex), np.zeros(end + 1 - lo, bool)
+                for p, k in held:
+                    at = slice(lo - p - base, end + 1 - p - base)
+                    total += lines[at] * hs[k]
+                    some |= there[at]
+                m = np.flatnonzero(some)
+                head.append((m + lo, np.full(len(m), f), np.full(len(m), i), np.full(len(m), j)))
+                out.append(total if len(m) == len(total) else total[m])
+        block, f, i, j = (np.concatenate(c) for c in zip(*head))
+        n = len(block)
+        if not n:
             return none
-        block, f, i, j = (np.array(c) for c in zip(*head))
-        n = len(out)
         return pa.table([*(pa.repeat(x.column(k)[0], n) for k in keys), pa.array(block, pa.int64()), pa.repeat(x.column("band")[0], n),
-                         pa.array(f, pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), *_lists(out)], names=schema.names)
+                         pa.array(f, pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), *_lists(np.concatenate(out))],
+                        names=schema.names)
 
     return spread.groupBy(*by).cogroup(taps.groupBy(*to)).applyInArrow(product, schema)
 
@@ -204,7 +225,7 @@ def _outputs(blocks, sums, keys, half, width, limbs, n_bands, index, time, time_
         F.max(F.greatest(F.col("_gap"), F.col("_absent"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_absent")))
     own = own.join(marks.select(*keys, "block", F.coalesce("_before", F.lit(-1).cast("bigint")).alias("_before")), [*keys, "block"])
     own = own.withColumn("band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_bands - 1).cast("bigint"))))
-    size = half + 1
+    size, per_call = half + 1, max(1, CALL // half)
     y_type = T.LongType() if limbs else T.DoubleType()
     schema = T.StructType([*_key_fields(blocks, keys), T.StructField(time, time_type), T.StructField("frequency", T.IntegerType()),
                            T.StructField(index, T.LongType()), T.StructField("y", y_type)])
@@ -215,32 +236,47 @@ def _outputs(blocks, sums, keys, half, width, limbs, n_bands, index, time, time_
             key_types = [(info if info.num_rows else parts).column(k).type for k in keys]
             kinds = [*key_types, info.column("at").type.value_type, pa.int32(), pa.int64(), y_arrow]
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        block, before = info.column("block")[0].as_py(), info.column("_before")[0].as_py()
+        blocks, n_place = info.column("block").to_numpy(), pc.list_value_length(info.column("place")).to_numpy()
+        line = np.repeat(np.arange(len(blocks)), n_place)  # the line of each own sample
         place = info.column("place").combine_chunks().flatten().to_numpy()
         known = info.column("known").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         times = info.column("at").combine_chunks().flatten()
-        missing = np.ones(half, bool)
-        missing[place[known]] = False
-        last = np.maximum.accumulate(np.where(missing, block * half + np.arange(half), before))
-        last = np.maximum(last, before)[place]
-        t = block * half + place
-        keep = np.flatnonzero(t >= width - 1)
+        missing = np.ones((len(blocks), half), bool)
+        missing[line[known], place[known]] = False
+        before = info.column("_before").to_numpy()[:, None]
+        last = np.maximum.accumulate(np.where(missing, blocks[:, None] * half + np.arange(half), before), axis=1)
+        last = np.maximum(last, before)[line, place]
+        t = blocks[line] * half + place
         spectra, sets = _spectra(parts, size), {}
+        line_of = np.full(per_call, -1)
+        line_of[blocks % per_call] = np.arange(len(blocks))
+        of = line_of[parts.column("block").to_numpy() % per_call]
         for k, key in enumerate(zip(*(parts.column(c).to_pylist() for c in ("frequency", "x_limb", "h_limb")))):
-            sets.setdefault(key, []).append(k)
+            if of[k] >= 0:  # else the block has no samples of its own
+                sets.setdefault(key, []).append(k)
         total: dict[int, exact.Sum | np.ndarray] = {}
+        keeps: dict[int, np.ndarray] = {}  # the samples of the blocks that a kernel's products reach
         for (f, i, j), rows in sets.items():
-            y = np.fft.irfft(spectra[rows].sum(axis=0), n=2 * half)[half:][place[keep]]
+            if f not in keeps:
+                some = np.zeros(len(blocks), bool)
+                some[of[[k for key, ks in sets.items() if key[0] == f for k in ks]]] = True
+                keeps[f] = np.flatnonzero((t >= width - 1) & some[line])
+            keep = keeps[f]
+            summed = np.zeros((len(blocks), size), complex)
+            np.add.at(summed, of[rows], spectra[rows])
+            y = np.fft.irfft(summed, n=2 * half, axis=1)[:, half:][line[keep], place[keep]]
             if limbs:
                 total.setdefault(f, exact.Sum(len(keep))).add(y, limbs.shift(i, j))
             else:
                 total[f] = y
-        n, kk = len(keep), len(total)
-        ys = np.concatenate([v.values() if limbs else v for v in total.values()]) if kk else np.empty(0)
-        spoilt = np.tile(last[keep] > t[keep] - width, kk)
-        return pa.table([*(pa.repeat(info.column(k)[0], n * kk) for k in keys), pa.concat_arrays([times.take(pa.array(keep))] * kk),
-                         pa.array(np.repeat(np.array(list(total), np.int32), n)), pa.array(np.tile(t[keep], kk)),
-                         pa.array(ys, y_arrow, mask=spoilt)], names=names)
-
-    by = [*keys, "block", "band"]
+        ys = np.concatenate([v.values() if limbs else v for v in total.values()]) if total else np.empty(0)
+        keep = np.concatenate([keeps[f] for f in total]) if total else np.empty(0, np.int64)
+        n = len(keep)
+        return pa.table([*(pa.repeat(info.column(k)[0], n) for k in keys), times.take(pa.array(keep)),
+                         pa.array(np.repeat(np.array(list(total), np.int32), [len(keeps[f]) for f in total])), pa.array(t[keep]),
+                         pa.array(ys, y_arrow, mask=last[keep] > t[keep] - width)], names=names)
+
+    by = [*keys, "_call", "band"]
+    call = F.floor(F.col("block") / per_call)
+    own, sums = own.withColumn("_call", call), sums.withColumn("_call", call)
     return own.groupBy(*by).cogroup(sums.groupBy(*by)).applyInArrow(finish, schema)

@@ -1,8 +1,12 @@
 """Partitioned kernels and exact integers against direct sums."""
 
+import uuid
+
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from spindle.operators import exact, fir_blocks, fir_partitioned, fir_relational
 from spindle.operators import partitioned
@@ -119,3 +123,29 @@ def test_values_beyond_a_bigint_raise(spark):
     for df in (fir_blocks(sig, bank, ["c"], block=16), fir_partitioned(sig, bank, ["c"], entries=16)):
         with pytest.raises(Exception, match="does not fit a BIGINT"):
             df.collect()
+
+
+def test_short_blocks_come_many_to_a_call(spark, monkeypatch, tmp_path):
+    """5000 samples in blocks of 8 are a few calls of Python, not one for each block and band; small calls give the same."""
+    def counted(real):
+        def apply(self, fn, schema):
+            def run(*tables):
+                (tmp_path / uuid.uuid4().hex).touch()
+                return fn(*tables[-2:])
+            # the number of arguments tells a grouped map from a cogrouped one
+            return real(self, (lambda x: run(x)) if isinstance(self, GroupedData) else (lambda x, y: run(x, y)), schema)
+        return apply
+
+    rng = np.random.default_rng(8)
+    series = {"a": list(rng.integers(-500, 500, 5000)), "b": [None if i == 9 else "absent" if 30 < i < 60 else 3 for i in range(100)]}
+    kernels = {f: list(rng.integers(-90, 90, 21)) for f in (5, 6, 7)}
+    sig, bank = signal_df(spark, series), bank_df(spark, kernels)
+    for kind in (GroupedData, PandasCogroupedOps):
+        monkeypatch.setattr(kind, "applyInArrow", counted(kind.applyInArrow))
+    want = direct(series, kernels)
+    assert got(fir_partitioned(sig, bank, ["c"], entries=16, run=2, tile=2, band=2)) == want
+    assert len(list(tmp_path.iterdir())) < 100
+    monkeypatch.undo()
+    monkeypatch.setattr(partitioned, "CALL", 24)
+    few = {c: xs[:90] for c, xs in series.items()}
+    assert got(fir_partitioned(signal_df(spark, few), bank, ["c"], entries=16, run=2, tile=2, band=2)) == direct(few, kernels)
