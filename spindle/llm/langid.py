@@ -4,8 +4,8 @@ A text is brought to lower case, runs of other characters than letters become on
 language's dictionary, in units that cover it whole (short ones, so that the dictionary and not the text's own repeats
 decides). The language with the smallest total wins. The margin to the runner-up, relative to the runner-up's size, is the confidence; narrow
 margins are rejected. Dictionaries are built from a bounded sample of the labelled training rows: per
-language, DICT_PIECES pieces (distinct texts of a hash range, those with the smallest hash). A piece is the text's letters, or where
-these are longer than PIECE characters, windows spread evenly over all of them.
+language, DICT_PIECES pieces (distinct texts of a hash range, those with the smallest hash). A piece is the text, or where that is
+longer than PIECE characters its letters, or where these are longer too, windows spread evenly over all of them.
 """
 
 from __future__ import annotations
@@ -40,11 +40,12 @@ def normal(text: str) -> bytes:
 
 
 def _piece(text: str) -> Column:
-    """The letters of a text, runs of others one space; of long ones WINDOWS windows from the first letters to the last."""
+    """The text; of long ones the letters, runs of others one space; where these are long too, WINDOWS windows from the first letters
+    to the last."""
     letters = F.trim(F.regexp_replace(F.col(text), r"[^\p{L}\p{M}]+", " "))
     size = PIECE // WINDOWS
     start = lambda i: (1 + F.floor((F.length(letters) - size) * i / (WINDOWS - 1))).cast("int")
-    return F.when(F.length(letters) <= PIECE, letters).otherwise(
+    return F.when(F.length(text) <= PIECE, F.col(text)).when(F.length(letters) <= PIECE, letters).otherwise(
         F.concat_ws(" ", *(F.substring(letters, start(i), F.lit(size)) for i in range(WINDOWS))))
 
 
@@ -73,13 +74,13 @@ def sample(train: DataFrame, text: str = "text", lang: str = "lang") -> list[tup
         short = {la: v for la, v in share.items() if v < RANGE and len(found.get(la, [])) < DICT_PIECES}
         out += [(la, p) for la, v in found.items() if la not in short for p in v]
         share = {la: min(RANGE, max(v, 1) * 16) for la, v in short.items()}
-    return sorted(out)
+    return sorted(out, key=lambda r: (r[0], _NOT_LETTERS.sub(" ", r[1]).strip(), r[1]))
 
 
 def dictionaries(pieces: list[tuple[str, str]]) -> dict[str, bytes]:
     out: dict[str, bytes] = {}
     for la, p in pieces:
-        out[la] = out.get(la, b"") + normal(p) + b"\n"
+        out[la] = out.get(la, b"") + normal(p).strip() + b"\n"
     return out
 
 
