@@ -150,14 +150,15 @@ class Memo(dict):
 class Encoder:
     """Text chunks in, final tokens out; holds a bounded rest of the text between the calls."""
 
+    pattern = regex.compile(PATTERN)  # once, not for every text
+    runs = {k: regex.compile(v) for k, v in {"L": r"\p{L}+", "N": r"\p{N}+", "S": r"\p{White_Space}+",
+                                             "O": r"[^\p{White_Space}\p{L}\p{N}]+"}.items()}
+
     def __init__(self, merges: Merges, memo: Memo | None = None, long: int = LONG, look: int | None = None):
         self.merges = merges
         self.memo = memo if memo is not None else Memo(merges)
         self.long = long
         self.look = merges.lookahead() if look is None else look
-        self.pattern = regex.compile(PATTERN)
-        self.runs = {k: regex.compile(v) for k, v in {"L": r"\p{L}+", "N": r"\p{N}+", "S": r"\p{White_Space}+",
-                                                      "O": r"[^\p{White_Space}\p{L}\p{N}]+"}.items()}
         self.specials = sorted(merges.special, key=len, reverse=True)
         self.rest = ""  # text not yet cut into final pieces
         self.run: str | None = None  # class of a long piece that is under way

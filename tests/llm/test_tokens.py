@@ -147,3 +147,13 @@ def test_total_is_the_last_of_the_scan_and_keeps_little(merges):
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 6 * peaks[0]
+
+
+def test_patterns_are_compiled_once_for_all_texts(merges, library, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("a pattern was compiled for a text")
+
+    monkeypatch.setattr(bpe.regex, "compile", refuse)
+    memo, look = bpe.Memo(merges), merges.lookahead()
+    for text in ["the cat's 23 hats", "a" * 3000]:
+        assert [t for part in bpe.encode_text(text, merges, memo, look) for t in part] == ids(library, text)
