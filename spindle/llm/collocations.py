@@ -1,18 +1,16 @@
 """Phrase collocations by top-order marginalisation.
 
-Only the longest windows are counted: every word opens one window of up to five words, its lead columns ``w1 .. w5``
-padded with '' behind the end of its piece. A phrase of k words occurs once for each window that begins with it, so
-one Spark ROLLUP over ``(lang, w1, .., w5)`` sums all shorter phrases, the words and the total from the
-same rows; no n-gram is exploded.
-
-Windows are cut before they are shuffled, without changing a count that matters. A phrase that occurs ``LEAST`` times or more
-consists of words, pairs and runs of three words that do, so a window ends before the first pair or run that is too
-rare, and a word that is too rare opens an empty window (the rollup's total still has it). Which ones are rare comes from a count
-of hashed words and pairs, then one of runs of three; hashes that collide only raise a count, so a window may be kept too long, never cut
-too short.
-
-Texts are taken in shards of about ``SHARD`` bytes, staged once as word numbers of the shard; everything between the
-stages is a join on hash or shard, so no task depends on the size of a language, a source or a group of copies.
+Only the longest windows are counted: every word opens one window of up to five words, padded behind the end of its piece. A phrase of
+k words occurs once for each window that begins with it, so the windows, sorted, give all shorter phrases as runs of equal
+prefixes; no n-gram is exploded.
+
+Windows end before a word that occurs too rarely for any candidate, and the words that stay are numbered by frequency, so that a window is
+one or two long numbers. Words are the only thing windows are cut by, and only those far too rare (``RARE``): what a closer cut leaves,
+by frequent pairs or longer runs above all, grows much faster than the text, as ever more of them reach the fixed number of occurrences.
+
+A window is dealt by its first two words, or where these are among the most common ones by as many more as it takes to reach another
+(``HOT``); what such a task finds of shorter phrases is a part, and the parts are summed. Texts are taken in shards of about ``SHARD``
+bytes, staged once as word numbers of the shard. So no task depends on the size of a language, a source or a group of copies.
 """
 
 from __future__ import annotations
@@ -20,6 +18,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import mix64, run_hashes, table
+from spindle.llm.common import table
 from spindle.session import materialize
 
 ORDER = 5  # words of a window
@@ -36,28 +35,16 @@ LEAST = 100  # occurrences of a candidate
 TOP = 2000  # phrases reported per language
 SALTS = 64  # keys over which the phrases of a language are dealt
 SHARD = 16 << 20  # bytes of text of a shard, about; one document at least
+HOT = 256  # a word with this part of all words or more is too common to deal windows by
+BLOCK = 1 << 19  # windows looked at together
+RARE = 8  # a word ends windows if it occurs less often than this part of what a candidate needs
 
 CUTS = r"[.,;:!?\n\x0B\x0C\r]"  # fixed value: the piece ends of the result contract
 GAPS = r"[ \t]+"  # fixed value: the word gaps of the result contract
 
-_NO_BYTE = np.zeros(256, bool)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHARDS = "shard long, lang string, words array<string>, seq binary"
 
 
-def string_hashes(col: pa.Array) -> np.ndarray:
-    """64-bit hashes of whole strings; empty ones are 0."""
-    col = col.cast(pa.large_string()).combine_chunks() if isinstance(col, pa.ChunkedArray) else col.cast(pa.large_string())
-    n = len(col)
-    out = np.zeros(n, np.uint64)
-    if n:
-        off = np.frombuffer(col.buffers()[1], np.int64, n + 1, col.offset * 8)
-        raw = np.frombuffer(col.buffers()[2], np.uint8)[off[0]:off[-1]] if col.buffers()[2] is not None else np.empty(0, np.uint8)
-        off = off - off[0]
-        out[np.diff(off) > 0] = run_hashes(raw, off, False, _NO_BYTE)[0]
-    return out
-
-
 def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and their numbers of words per piece (pieces without words are left out)."""
     parts = pc.list_flatten(pc.split_pattern_regex(pc.ascii_lower(texts), CUTS))
@@ -127,122 +114,169 @@ def _shards(docs: DataFrame, text: str, lang: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, _SHARDS)
 
 
-def _open(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The word numbers of a shard and the hash of each of its words, the language mixed in."""
-    seq = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["seq"].as_py()), np.int32)
-    own = string_hashes(pa.array([row["lang"].as_py()]))
-    return seq, mix64(string_hashes(row["words"].values) ^ (own * _STEP))
-
-
-class Shard:
-    """A shard opened: word numbers in text order and, per order k, where a run of k words of one piece may be frequent."""
-
-    def __init__(self, row: dict, often: np.ndarray | None = None):
-        self.words = row["words"].values
-        self.seq, self.h = _open(row)
-        self.often = np.sort(np.empty(0, np.uint64) if often is None else often)
-        self.size = len(self.seq)
-
-    def _found(self, x: np.ndarray) -> np.ndarray:
-        if not len(self.often):
-            return np.zeros(len(x), bool)
-        return self.often[np.minimum(np.searchsorted(self.often, x), len(self.often) - 1)] == x
-
-    def orders(self, most: int, known: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For k = 1 .. ``most``: the hashes of the runs of k words all of whose shorter runs may be frequent, and a mask of the
-        positions where such a run is frequent itself - if ``often`` has the runs of k words (k <= ``known``) -, else of all of them."""
-        at = np.flatnonzero(self.seq >= 0)
-        run = self.h[self.seq[at]]
-        for k in range(1, most + 1):
-            if k > 1:
-                both = np.append(on, False)
-                both = both[at] & both[at + 1]
-                at, run = at[both], run[both]
-                # an end of piece in between is never on, so the last word is one
-                run = mix64(run * _STEP + self.h[self.seq[at + k - 1]] + np.uint64(k))
-            on = np.zeros(self.size, bool)
-            on[at[self._found(run)] if k <= known else at] = True
-            yield run, on
-
+def _give_back() -> None:
+    """Return freed memory to the system: a worker waits between stages, while the JVM beside it sorts."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
-def _counted(shard: pa.Scalar, run: np.ndarray) -> pa.RecordBatch:
-    h, n = np.unique(run, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.repeat(shard, len(h)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))],
-                                      names=["shard", "h", "n"])
 
+def _numbers(seq: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(seq.as_py()), np.int32)
 
-def _row(rows, i: int) -> dict:
-    return {c: rows.column(c)[i] for c in ("lang", "words", "seq")}
 
+def _words(shards: DataFrame) -> DataFrame:
+    """Rows (shard, lang, word, i, n): the words of each shard, their numbers and occurrences in it."""
 
-def _keys(rows: pa.Table) -> np.ndarray:
-    return rows.column("h").to_numpy().view(np.uint64)
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                words = b.column("words")[i].values
+                seq = _numbers(b.column("seq")[i])
+                n = np.bincount(seq[seq >= 0], minlength=len(words))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(b.column("shard")[i], len(words)), pa.repeat(b.column("lang")[i], len(words)), words.cast(pa.string()),
+                     pa.array(np.arange(len(words), dtype=np.int32)), pa.array(n.astype(np.int64))],
+                    names=["shard", "lang", "word", "i", "n"])
+                _give_back()
 
+    return shards.mapInArrow(run, "shard long, lang string, word string, i int, n long")
 
-_RUNS = "shard long, h long, n long"
 
+def _vocabulary(own: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """Rows (lang, word, f, id): the words of ``least`` occurrences or more, numbered from 1 by falling frequency, and their number."""
+    f = own.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    ranked = f.orderBy(F.desc("f"), "lang", "word").withColumn("_at", F.monotonically_increasing_id())
+    ranked = materialize(ranked, "collocation-vocabulary")
+    first, size = [], 0
+    part = F.shiftright("_at", 33)  # a row for each sorted part, not for each word
+    for r in sorted(ranked.groupBy(part.alias("part")).agg(F.count("*").alias("words")).collect()):
+        first += [F.lit(r.part), F.lit(size + 1)]
+        size += r.words
+    start = F.create_map(*first)[part] if first else F.lit(1)
+    return ranked.select("lang", "word", "f", (start + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("int").alias("id")), size
 
-def _give_back() -> None:
-    """Return freed memory to the system: a worker waits between stages, while the JVM beside it sorts."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not glibc
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
+class Code:
+    """How windows of word numbers below 2 ** ``bits`` are kept: ``per`` of them in one long, the first highest; 0 behind the end."""
 
-def _frequent(runs: DataFrame, least: int, name: str) -> DataFrame:
-    """Rows (shard, h) of ``runs`` whose hash occurs ``least`` times or more in all shards together, written."""
-    total = F.sum("n").over(Window.partitionBy("h"))
-    return materialize(runs.withColumn("_total", total).where(F.col("_total") >= least).select("shard", "h"), name)
+    def __init__(self, size: int, order: int):
+        self.order, self.bits = order, max(1, size.bit_length())
+        self.per = 63 // self.bits
+        self.names = [f"a{j}" for j in range(-(-order // self.per))]
 
+    def _shift(self, j: int) -> int:
+        return self.bits * (self.per - 1 - j % self.per)
 
-def _often(shards: DataFrame, least: int) -> DataFrame:
-    """Rows (shard, h): the words, pairs and runs of three words of each shard that may be frequent. Runs of three are counted
-    where both pairs are frequent."""
+    def pack(self, columns: list[np.ndarray]) -> list[np.ndarray]:
+        out = [np.zeros(len(columns[0]), np.int64) for _ in self.names]
+        for j, c in enumerate(columns):
+            out[j // self.per] |= c.astype(np.int64) << self._shift(j)
+        return out
 
-    def pairs(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                yield from (_counted(b.column("shard")[i], run) for run, _ in Shard(_row(b, i)).orders(2, 0))
-                _give_back()
+    def unpack(self, longs: list[np.ndarray]) -> list[np.ndarray]:
+        return [(longs[j // self.per] >> self._shift(j) & (1 << self.bits) - 1).astype(np.int32) for j in range(self.order)]
 
-    def triples(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("shard", "h", "n")})
-        *_, (run, _) = Shard(_row(left, 0), _keys(right)).orders(3, 2)
-        return pa.Table.from_batches([_counted(left.column("shard")[0], run)])
+    def word(self, j: int) -> Column:
+        return F.shiftright(self.names[j // self.per], self._shift(j)).bitwiseAND(F.lit((1 << self.bits) - 1))
 
-    short = _frequent(shards.mapInArrow(pairs, _RUNS), least, "collocation-pairs")
-    by = short.select(F.col("shard").alias("to"), "h")
-    longer = shards.groupBy("shard").cogroup(by.groupBy("to")).applyInArrow(triples, _RUNS)
-    return short.unionByName(_frequent(longer, least, "collocation-triples"))
+    def keys(self, hot: int) -> list[Column]:
+        """What a window is dealt by: its words up to the first above ``hot``, two at least."""
+        out = [self.word(j) for j in range(min(2, self.order))]
+        common = F.lit(True)
+        for j in range(2, self.order):
+            common = F.greatest(*(self.word(i) for i in range(j))) <= hot
+            out.append(F.when(common, self.word(j)).otherwise(0))
+        return out
 
 
-def _windows(shards: DataFrame, often: DataFrame, order: int) -> DataFrame:
-    """Rows (lang, w1 .., n): the cut windows of each shard with their number of occurrences in it."""
-    names = [f"w{i}" for i in range(1, order + 1)]
-    schema = pa.schema([("lang", pa.string()), *[(c, pa.string()) for c in names], ("n", pa.int64())])
+def _windows(shards: DataFrame, ids: DataFrame, code: Code) -> DataFrame:
+    """Rows (a0 .., n): the cut windows of two words or more of each shard, with their number of occurrences in each ``BLOCK`` of it.
+    ``ids`` has rows (to, i, id) for the words of a shard, 0 or none for those that are too rare."""
+    schema = pa.schema([*((c, pa.int64()) for c in code.names), ("n", pa.int64())])
+    most = BLOCK
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
-        shard = Shard(_row(left, 0), _keys(right))
-        masks = [np.append(on, np.zeros(order, bool)) for _, on in shard.orders(min(order, 3), 3)]
-        v = len(shard.h)  # stands for the padding
-        seq = np.append(shard.seq, np.full(order, v, np.int32))
-        starts = np.flatnonzero(shard.seq >= 0)
-        columns, go = [], np.ones(len(starts), bool)
-        for k in range(1, order + 1):
-            m = min(k, len(masks))
-            go = go & masks[m - 1][starts + k - m]
-            columns.append(np.where(go, seq[starts + k - 1], v))
-        grouped = pa.table([pa.array(c) for c in columns], names=names).group_by(names, use_threads=False).aggregate([([], "count_all")])
-        words = pa.concat_arrays([shard.words.cast(pa.string()), pa.array([""])])
-        return pa.table([pa.repeat(left.column("lang")[0], grouped.num_rows), *[words.take(grouped.column(c).combine_chunks()) for c in names],
-                         grouped.column("count_all").cast(pa.int64())], schema=schema)
-
-    out = "lang string, " + ", ".join(f"{c} string" for c in names) + ", n long"
-    by = often.select(F.col("shard").alias("to"), "h")
-    return shards.groupBy("shard").cogroup(by.groupBy("to")).applyInArrow(run, out)
+        number = np.zeros(left.column("known")[0].as_py() + 1, np.int32)  # the last one for the ends of pieces, -1
+        number[right.column("i").to_numpy()] = right.column("id").to_numpy()
+        seq = np.append(number[_numbers(left.column("seq")[0])], np.zeros(code.order, np.int32))
+        on = seq > 0
+        every = np.flatnonzero(on[:-1] & on[1:])
+        parts = [schema.empty_table()]
+        for a in range(0, len(every), most):
+            starts = every[a:a + most]
+            columns, go = [], np.ones(len(starts), bool)
+            for k in range(code.order):
+                go = go & on[starts + k]
+                columns.append(np.where(go, seq[starts + k], 0))
+            grouped = pa.table([pa.array(x) for x in code.pack(columns)], names=code.names)
+            grouped = grouped.group_by(code.names, use_threads=False).aggregate([([], "count_all")])
+            parts.append(pa.table([*(grouped.column(c) for c in code.names), grouped.column("count_all").cast(pa.int64())], schema=schema))
+        _give_back()
+        return pa.concat_tables(parts)
+
+    out = ", ".join(f"{c} long" for c in code.names) + ", n long"
+    texts = shards.select("shard", F.size("words").alias("known"), "seq")
+    return texts.groupBy("shard").cogroup(ids.groupBy("to")).applyInArrow(run, out)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= most:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _prefixes(windows: DataFrame, code: Code, hot: int, least: int) -> DataFrame:
+    """Rows (ids, f): the phrases of two words or more that begin ``least`` windows or more. Those of words up to ``hot`` alone are in
+    parts and of any number, but for the longest: their windows are in several tasks."""
+    most = BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the last window of the block before
+        held = {k: (np.zeros(k, np.int32), 0) for k in range(2, code.order + 1)}  # the run of equal prefixes that is not over
+
+        def rows(k: int, ids: np.ndarray, f: np.ndarray):
+            part = (ids <= hot).all(axis=1) if k < code.order else np.zeros(len(ids), bool)
+            stay = (ids[:, -1] > 0) & (part | (f >= least))
+            ids, f = ids[stay], f[stay]
+            ends = pa.array(np.arange(0, k * len(f) + 1, k, dtype=np.int32))
+            if len(f):
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(ids.ravel())), pa.array(f)], names=["ids", "f"])
+
+        for block in _blocks(batches, most):
+            words = code.unpack([block.column(c).to_numpy() for c in code.names])
+            n = block.column("n").to_numpy()
+            new = np.zeros(len(n), bool)
+            for k in range(1, code.order + 1):
+                w = words[k - 1]
+                new[1:] |= w[1:] != w[:-1]
+                new[0] |= last is None or w[0] != last[k - 1]
+                if k == 1:
+                    continue
+                starts = np.flatnonzero(new)
+                ids, f = held[k]
+                f += int(n[:starts[0] if len(starts) else len(n)].sum())
+                if len(starts):
+                    runs = np.stack([x[starts] for x in words[:k]], axis=1)
+                    sums = np.add.reduceat(n, starts)
+                    yield from rows(k, np.concatenate([ids[None], runs[:-1]]), np.append(f, sums[:-1]))
+                    ids, f = runs[-1], int(sums[-1])
+                held[k] = ids, f
+            last = [int(w[-1]) for w in words]
+        for k, (ids, f) in held.items():
+            yield from rows(k, ids[None], np.array([f], np.int64))
+
+    dealt = windows.repartition(*code.keys(hot)).sortWithinPartitions(*code.names)
+    parts = dealt.mapInArrow(run, "ids array<int>, f long")
+    return parts.groupBy("ids").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, order: int = ORDER,
@@ -254,16 +288,24 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     gives no rows; other columns are not read.
     """
     shards = materialize(_shards(docs, text, lang, size), "collocation-shards")
-    names = [f"w{i}" for i in range(1, order + 1)]
-    windows = _windows(shards, _often(shards, least), order).groupBy("lang", *names).agg(F.sum("n").alias("n"))
-    level = F.grouping_id()
-    sums = windows.rollup("lang", *names).agg(F.sum("n").alias("f"), level.alias("_g"))
-    # the grouping id has a bit for each column summed away, the last column lowest
-    k = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
-    sums = sums.where(F.col("_g") < (1 << order + 1) - 1).withColumn("k", k)
-    last = F.when(F.col("k") > 0, F.element_at(F.array(*names), F.greatest(F.col("k"), F.lit(1))))
-    sums = sums.where((F.col("k") == 0) | ((last != "") & (F.col("f") >= least)))
-    return materialize(sums.select("lang", "k", F.concat_ws(" ", *names).alias("phrase"), "f"), "collocation-counts")
+    own = materialize(_words(shards), "collocation-words")
+    totals = own.groupBy("lang").agg(F.sum("n").alias("f"))
+    vocabulary, known = _vocabulary(own, max(1, least // RARE))
+    rows = [totals.select("lang", F.lit(0).alias("k"), F.lit("").alias("phrase"), "f"),
+            vocabulary.where(F.col("f") >= least).select("lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), "f")]
+    if order > 1:
+        code = Code(known, order)
+        all_words = own.agg(F.sum("n").alias("n")).first().n or 0
+        hot = vocabulary.where(F.col("f") * HOT >= all_words).count()
+        # words without a number stay in: with the others alone the rows would grow faster than the text; no vocabulary passes the driver
+        ids = own.join(vocabulary.hint("merge"), ["lang", "word"], "left").select(
+            F.col("shard").alias("to"), "i", F.coalesce("id", F.lit(0)).alias("id"))
+        found = _prefixes(_windows(shards, materialize(ids, "collocation-ids"), code), code, hot, least)
+        found = materialize(found, "collocation-prefixes")
+        named = found.select("ids", "f", F.posexplode("ids").alias("at", "id")).join(vocabulary.select("id", "lang", "word"), "id")
+        named = named.groupBy("ids", "f").agg(F.min("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "word"))).alias("w"))
+        rows.append(named.select("lang", F.size("ids").alias("k"), F.concat_ws(" ", F.col("w.word")).alias("phrase"), "f"))
+    return materialize(reduce(DataFrame.unionByName, rows), "collocation-counts")
 
 
 def _big(c: str | Column) -> Column:

@@ -85,3 +85,44 @@ def test_windows_are_cut_without_losing_a_count(spark):
     for least in (2, 7):
         some = {(r.lang, r.phrase): r.f for r in collocations.phrase_counts(df, least=least, size=500).collect()}
         assert some == {p: f for p, f in all_counts.items() if f >= least or p[1] == ""}
+
+
+@pytest.mark.parametrize("hot,block", [(1, 1), (12, 50), (10**6, 7)])
+def test_parts_of_phrases_of_common_words_are_summed(spark, monkeypatch, hot, block):
+    docs = texts(120, 4)
+    df = spark.createDataFrame(docs, "text string, lang string").repartition(3)
+    monkeypatch.setattr(collocations, "HOT", hot)
+    monkeypatch.setattr(collocations, "BLOCK", block)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert got(collocations.collocations(df, least=9, size=2000)) == brute(docs, 9)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_rows_between_the_stages_grow_with_the_text(spark, monkeypatch):
+    made, windows, materialize = Counter(), collocations._windows, collocations.materialize
+
+    def counted(*args):
+        out = windows(*args)
+        made["windows"] += out.count()
+        return out
+
+    def written(df, name):
+        out = materialize(df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(collocations, "_windows", counted)
+    monkeypatch.setattr(collocations, "materialize", written)
+    r, sizes = random.Random(5), []
+    for n in (40, 200):  # every word is frequent in both, every pair in the larger one only
+        made.clear()
+        docs = [(" ".join(r.choices("abcdefghijkl", k=40)), "en") for _ in range(n)]
+        df = spark.createDataFrame(docs, "text string, lang string").repartition(2)
+        counts = {(x.lang, x.phrase): x.f for x in collocations.phrase_counts(df, least=30, size=800).collect()}
+        assert (len(counts) > 100) == (n == 200)
+        sizes.append(dict(made))
+    assert sizes[0]["windows"] > 500
+    assert all(v < 1000 or v <= 7 * sizes[0].get(name, 0) for name, v in sizes[1].items()), sizes
