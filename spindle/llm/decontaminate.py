@@ -10,6 +10,7 @@ counts has. Shorter items are looked up whole, as words and, in scripts without
 
 from __future__ import annotations
 
+import functools
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,8 @@ MISS = -2
 LEAST = 10  # score of the best segment from which an overlap counts
 SLICE_WORDS = 200_000  # benchmark words broadcast at a time (about 60 bytes of seeds each); larger sets take several passes
 
+BLOCK = 4096  # windows of a text that are looked up at a time, so that a long text's hits are not held all at once, each with the text
+
 SMALL = 15  # a segment of so few words that scores LEAST has one miss at most, so RUN words in a row agree
 RUN = 6
 PREFIXES = [8, 4, 2, 1]  # words that begin a short item and are looked up, as many as it has
@@ -54,11 +57,50 @@ def _starts(h: str) -> Column:
     return F.when(F.size(h) >= SPAN, F.sequence(F.lit(0), F.size(h) - SPAN)).otherwise(F.array().cast("array<int>"))
 
 
-def segment(doc: Column, item: Column, diagonal: Column) -> Column:
-    """Best segment (score, words, agreeing words, first word in the document) of an item laid on a document at ``diagonal``."""
-    low = F.greatest(F.lit(0), -diagonal)
-    part = F.slice(doc, (diagonal + low + 1).cast("int"), F.size(item))
-    pairs = F.zip_with(part, F.slice(item, (low + 1).cast("int"), F.size(item)), lambda a, b: F.coalesce((a == b).cast("int"), F.lit(-1)))
+def _blocks(texts: DataFrame, margin: int) -> DataFrame:
+    """Rows (__doc, __first, __h, __own, __many): texts (__doc, __h) in blocks. A block holds the words from place __first on; windows that
+    begin at its __many words from __own on are its own, and ``margin`` more words stand around them as far as the text has them."""
+    step = max(BLOCK, margin)
+    n = F.size("__h")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+    def block(at: Column) -> Column:
+        first = F.greatest(at - margin, F.lit(0))
+        return F.struct(first.alias("first"), F.slice("__h", first + 1, F.lit(step + 2 * margin)).alias("h"), (at - first).alias("own"))
+
+    return texts.select("__doc", F.explode(F.transform(starts, block)).alias("b")).select(
+        "__doc", F.col("b.first").alias("__first"), F.col("b.h").alias("__h"), F.col("b.own").alias("__own"), F.lit(step).alias("__many"))
+
+
+def _windows(left: DataFrame, kept: list[int], name: str) -> DataFrame:
+    """Windows of blocks: place __p in __h and the hash ``name`` of the kept words."""
+    shift = [F.slice("__h", F.col("__own") + (k + 1), F.col("__many")).alias(f"w{k}") for k in kept]
+    windows = left.select("__doc", "__first", "__h", "__own", F.posexplode(F.arrays_zip(*shift)).alias("__i", "w"))
+    return windows.where(F.col(f"w.w{kept[-1]}").isNotNull()).select(
+        "__doc", "__first", "__h", (F.col("__own") + F.col("__i")).alias("__p"), F.xxhash64(*(F.col(f"w.w{k}") for k in kept)).alias(name))
+
+
+def _agree(kept: list[int], back: int = 0) -> Column:
+    """Whether document and item agree in the kept words of the windows ``back`` words before __p and __q; False outside of either."""
+    same = [F.get("__h", F.col("__p") + (k - back)) == F.get("__ih", F.col("__q") + (k - back)) for k in kept]
+    return F.coalesce(functools.reduce(Column.__and__, same), F.lit(False))
+
+
+def _scored(hits: DataFrame) -> DataFrame:
+    """Best segments from LEAST on, for hits (__doc, __first, __h, __p, __item, __ih, __q). Of the document goes on only what the item is
+    laid on. Each explode holds one row; it keeps the cut before and the score behind it from being computed again or later."""
+    d = F.col("__p") - F.col("__q")
+    low = F.greatest(F.lit(0), -d)
+    laid = F.struct(F.slice("__h", (d + low + 1).cast("int"), F.size("__ih")).alias("part"),
+                    F.slice("__ih", (low + 1).cast("int"), F.size("__ih")).alias("item"), (F.col("__first") + d + low).alias("at"))
+    cut = hits.select("__doc", "__item", F.explode(F.array(laid)).alias("l"))
+    return cut.select("__doc", "__item", F.explode(F.array(segment(F.col("l.part"), F.col("l.item"), F.col("l.at")))).alias("s")).where(
+        F.col("s.score") >= LEAST)
+
+
+def segment(part: Column, item: Column, at: Column) -> Column:
+    """Best segment (score, words, agreeing words, first word in the document) of an item's words laid on those of a document from ``at`` on."""
+    pairs = F.zip_with(part, item, lambda a, b: F.coalesce((a == b).cast("int"), F.lit(-1)))
     zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("len"), F.lit(0).alias("same"), F.lit(0).alias("at"), F.lit(0).alias("score"),
                     F.lit(0).alias("n"), F.lit(0).alias("hits"), F.lit(0).alias("start"))
 
@@ -75,7 +117,7 @@ def segment(doc: Column, item: Column, diagonal: Column) -> Column:
 
     best = F.aggregate(pairs, zero, step)
     return F.struct(best["score"].alias("score"), best["n"].alias("n_overlap"), best["hits"].alias("n_matched"),
-                    (best["start"] + diagonal + low).cast("long").alias("doc_start"))
+                    (best["start"] + at).cast("long").alias("doc_start"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -87,9 +129,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     their segments counts). Empty tables give no rows. Items that do not fit one broadcast are taken in slices, a pass each."""
     items = benchmark.select(F.col(item_id).alias("__item"), hashed(item_text).alias("__ih")).where(F.size("__ih") >= SPAN)
     small = items.where(F.size("__ih") <= SMALL)
-    total, n_small = items.agg(F.sum(F.size("__ih")), F.count_if(F.size("__ih") <= SMALL)).first()
+    total, n_small, longest = items.agg(F.sum(F.size("__ih")), F.count_if(F.size("__ih") <= SMALL), F.max(F.size("__ih"))).first()
     slices = 1 + (total or 0) // SLICE_WORDS
-    left = docs.select(F.col(doc_id).alias("__doc"), hashed(text).alias("__h")).where(F.size("__h") >= SPAN)
+    left = _blocks(docs.select(F.col(doc_id).alias("__doc"), hashed(text).alias("__h")), longest or SPAN)
     found = None
     for k in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("__item"), F.lit(slices)) == k)
@@ -115,34 +157,27 @@ def _pass(left: DataFrame, items: DataFrame) -> DataFrame:
     seeds = starts.select("__item", "__q", F.explode(F.array(*(
         F.struct(F.lit(m).alias("mask"), _window("__ih", "__q", kept).alias("seed")) for m, kept in enumerate(KEPT)))).alias("s")).select(
         "__item", "__q", F.col("s.mask").alias("__mask"), F.col("s.seed").alias("__seed"))
-    shift = [F.slice("__h", F.lit(k + 1), F.size("__h")).alias(f"w{k}") for k in COMMON]
-    windows = left.select("__doc", "__h", F.posexplode(F.arrays_zip(*shift)).alias("__p", "w")).where(
-        F.col(f"w.w{COMMON[-1]}").isNotNull()).select(
-        "__doc", "__h", "__p", F.xxhash64(*(F.col(f"w.w{k}") for k in COMMON)).alias("__common"))
-    near = windows.join(F.broadcast(probe), "__common", "left_semi")
-    masked = near.select("__doc", "__h", "__p", F.explode(F.array(*(
+    near = _windows(left, COMMON, "__common").join(F.broadcast(probe), "__common", "left_semi")
+    masked = near.select("__doc", "__first", "__h", "__p", F.explode(F.array(*(
         F.struct(F.lit(m).alias("mask"), _window("__h", "__p", kept).alias("seed")) for m, kept in enumerate(KEPT)))).alias("s"))
     hits = masked.join(F.broadcast(seeds), (F.col("s.seed") == F.col("__seed")) & (F.col("s.mask") == F.col("__mask"))).join(
         F.broadcast(items.select(F.col("__item").alias("__i2"), "__ih")), F.col("__item").eqNullSafe(F.col("__i2")))
-    return hits.select("__doc", "__item", segment(F.col("__h"), F.col("__ih"), F.col("__p") - F.col("__q")).alias("s")).where(
-        F.col("s.score") >= LEAST)
+    # one hit of a run on a diagonal is enough: the first, by the first mask that meets it
+    met = functools.reduce(Column.__or__, [(F.col("__mask") > m) & _agree(kept) for m, kept in enumerate(KEPT[:-1])] + [_agree(kept, 1) for kept in KEPT])
+    return _scored(hits.where(~met))
 
 
 def _in_a_row(left: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
     """Places __p of the texts where the ``n`` words of a seed (hash __seed) stand in a row, with the columns of the seed."""
-    shift = [F.slice("__h", F.lit(k + 1), F.size("__h")).alias(f"w{k}") for k in range(n)]
-    windows = left.select("__doc", "__h", F.posexplode(F.arrays_zip(*shift)).alias("__p", "w")).where(
-        F.col(f"w.w{n - 1}").isNotNull()).select("__doc", "__h", "__p", F.xxhash64(*(F.col(f"w.w{k}") for k in range(n))).alias("__seed"))
     # the probe has no condition, so it is compiled with the windows and only hits are copied out with their whole text
-    near = windows.join(F.broadcast(seeds.select("__seed").distinct()), "__seed", "left_semi")
+    near = _windows(left, list(range(n)), "__seed").join(F.broadcast(seeds.select("__seed").distinct()), "__seed", "left_semi")
     return near.join(F.broadcast(seeds), "__seed")
 
 
 def _small(left: DataFrame, items: DataFrame) -> DataFrame:
     at = items.withColumn("__q", F.explode(F.sequence(F.lit(0), F.size("__ih") - RUN)))
     seeds = at.select("__item", "__ih", "__q", _window("__ih", "__q", list(range(RUN))).alias("__seed"))
-    diagonals = _in_a_row(left, seeds, RUN).select("__doc", "__item", "__h", "__ih", (F.col("__p") - F.col("__q")).alias("__d"))
-    return diagonals.select("__doc", "__item", segment(F.col("__h"), F.col("__ih"), F.col("__d")).alias("s")).where(F.col("s.score") >= LEAST)
+    return _scored(_in_a_row(left, seeds, RUN).where(~_agree([0], 1)))  # the first hit of a run
 
 
 def _short(found: DataFrame, left: DataFrame, items: DataFrame) -> DataFrame:
@@ -150,9 +185,10 @@ def _short(found: DataFrame, left: DataFrame, items: DataFrame) -> DataFrame:
     n = F.size("__ih")
     items = items.where((F.col("__n") < SPAN) & (n > 0)).drop("__n").withColumn(
         "__k", F.coalesce(*(F.when(n >= k, F.lit(k)) for k in PREFIXES)))
-    total, lengths = items.agg(F.sum(n), F.sort_array(F.collect_set("__k"))).first()
+    total, lengths, longest = items.agg(F.sum(n), F.sort_array(F.collect_set("__k")), F.max(n)).first()
     if not lengths:
         return found
+    left = _blocks(left, longest)
     slices = 1 + total // SLICE_WORDS
     for i in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("__item"), F.lit(slices)) == i)
@@ -160,7 +196,7 @@ def _short(found: DataFrame, left: DataFrame, items: DataFrame) -> DataFrame:
             seeds = part.where(F.col("__k") == k).select("__item", "__ih", F.xxhash64(*(F.get("__ih", F.lit(j)) for j in range(k))).alias("__seed"))
             hits = _in_a_row(left, seeds, k).where(F.slice("__h", F.col("__p") + 1, n) == F.col("__ih"))
             found = found.unionByName(hits.select("__doc", "__item", F.struct(
-                n.alias("score"), n.alias("n_overlap"), n.alias("n_matched"), F.col("__p").cast("long").alias("doc_start")).alias("s")))
+                n.alias("score"), n.alias("n_overlap"), n.alias("n_matched"), (F.col("__first") + F.col("__p")).cast("long").alias("doc_start")).alias("s")))
     return found
 
 

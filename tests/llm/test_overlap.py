@@ -217,6 +217,61 @@ def test_decontamination_tolerates_changes_in_items_of_13_to_15_words(spark):
     assert {(r.doc_id, r.item_id, r.score) for r in decontaminate.overlaps(d, b).collect()} == want
 
 
+def joined_with_items(df):
+    """(rows, columns) of the joins that lay items on documents, after df.collect()."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        columns = {node.output().apply(i).name() for i in range(node.output().size())}
+        if kind == "BroadcastHashJoinExec" and "__ih" in columns:
+            out.append((node.metrics().apply("numOutputRows").value(), columns))
+    return out
+
+
+def test_decontamination_lays_an_item_once_on_a_run_of_hits(spark):
+    """600 equal words meet the item at every place by every mask: far more hits than words, and each held the whole text."""
+    d = spark.createDataFrame([(1, "same " * 600), (2, "same " * 29)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "same " * 30), (8, "same " * 14)], "item_id long, text string")
+    df = decontaminate.overlaps(d, b)
+    rows = [n for n, _ in joined_with_items(df)]
+    assert rows and sum(rows) <= 4 * 629
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 7, 30, 30, 30, 0), (1, 8, 14, 14, 14, 0), (2, 7, 29, 29, 29, 0), (2, 8, 14, 14, 14, 0)]
+
+
+def test_decontamination_in_blocks_equals_whole_texts(spark, monkeypatch):
+    """Items longer and shorter than a block, whole and in part, across its borders; words that repeat; short items."""
+    r = random.Random(11)
+    word = lambda: r.choice("abcdefgh") * r.randint(1, 6)
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([16, 20, 33, 61, 17, 40])] + [(6, "oh no " * 12), (6, "oh no " * 9)]
+    docs = []
+    for i in range(40):
+        parts = [[word() for _ in range(r.randint(0, 70))]]
+        for _ in range(3):
+            w = r.choice(items)[1].split()
+            cut = w[r.randint(0, 4):len(w) - r.randint(0, 4)]
+            parts += [[word() if r.random() < 0.05 else x for x in cut], [word() for _ in range(r.randint(0, 30))]]
+        docs.append((i, " ".join(x for p in parts for x in p)))
+    docs += [(40, None), (41, ""), (42, "oh no " * 50)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items[:-1], "item_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE b (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO d VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO b VALUES (?, ?)", items[:-1])
+    want = sorted(con.execute(decontaminate.oracle("d", "b")).fetchall())
+    more = spark.createDataFrame([*items, (20, "oh"), (21, "no oh no"), (22, "aa b")], "item_id long, text string")
+    get = lambda x, short=False: sorted(tuple(r) for r in decontaminate.overlaps(d, x, short=short).collect())
+    whole = get(more, True)
+    assert len(want) > 60 and get(b) == want and len(whole) > len(want)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        assert get(b) == want and get(more, True) == whole
+
+
 def test_pipeline_equals_brute_force(spark):
     """Each stage again in plain Python (decontamination in DuckDB), on the smallest tables."""
     docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
